@@ -1,10 +1,10 @@
 """Case-level rules and finance totals (G1–G7).
 
-First and Last are ordered reductions: ``min_by``/``max_by`` over a struct of the order
-columns (DEC-3). They are declarative aggregates with partial aggregation, so a case that
-holds a third of all events is reduced map-side in every task before the shuffle; no task
-ever holds a whole case. All First attributes share one ``min_by`` of a struct (and all Last
-ones one ``max_by``), so each event row feeds a single buffer per rule, not one per column.
+First and Last are ordered reductions: ``min``/``max`` of a struct that holds the order
+columns (DEC-3) followed by the values. They are declarative aggregates with partial
+aggregation, so a case that holds a third of all events is reduced map-side in every task
+before the shuffle; no task ever holds a whole case. All First attributes share one ``min``
+(and all Last ones one ``max``), so each event feeds one buffer per rule, not one per column.
 """
 
 from __future__ import annotations
@@ -17,11 +17,17 @@ from pyspark.sql import functions as F
 from ..functions.types import quote
 
 
-def order_key(order: Sequence[str]) -> Column:
-    """The DEC-3 order as one comparable struct (nulls sort first, field by field)."""
+def _packed(order: Sequence[str], values: Sequence[str]) -> Column:
+    """One struct: the DEC-3 order fields first, then the carried values.
+
+    Struct comparison is field by field with nulls first, so ``min`` of it is the first row
+    in that order and ``max`` the last; on a tie in the order the values decide, which keeps
+    the result deterministic.
+    """
     if not order:
         raise ValueError("an order is needed for First/Last; give start, end or tiebreak columns")
-    return F.struct(*[F.col(quote(c)).alias(f"o{i}") for i, c in enumerate(order)])
+    return F.struct(*[F.col(quote(c)).alias(f"o{i}") for i, c in enumerate(order)],
+                    *[F.col(quote(c)).alias(f"v{i}") for i, c in enumerate(values)])
 
 
 def _rule_aggs(rules: Mapping[str, tuple[str, str]], order: Sequence[str]) -> tuple[list[Column], list[Column]]:
@@ -30,12 +36,10 @@ def _rule_aggs(rules: Mapping[str, tuple[str, str]], order: Sequence[str]) -> tu
     lasts = [(out, col) for out, (col, how) in rules.items() if how == "Last"]
     aggs: list[Column] = []
     post: list[Column] = []
-    key = order_key(order) if rules else None
-    for label, group, fn in (("__first", firsts, F.min_by), ("__last", lasts, F.max_by)):
+    for label, group, fn in (("__first", firsts, F.min), ("__last", lasts, F.max)):
         if not group:
             continue
-        value = F.struct(*[F.col(quote(col)).alias(f"v{i}") for i, (_, col) in enumerate(group)])
-        aggs.append(fn(value, key).alias(label))
+        aggs.append(fn(_packed(order, [col for _, col in group])).alias(label))
         post += [F.col(label)[f"v{i}"].alias(out) for i, (out, _) in enumerate(group)]
     return aggs, post
 

@@ -68,7 +68,7 @@ def output_columns(spec: ImportSpec) -> list[OutputColumn]:
             target = spec.dataset(j.target_dataset)
             if target.kind == KIND_CASES:
                 continue
-            out += [OutputColumn(j.prefix + c, target.name, c, via=f"{owner.name}.{j.source_column}")
+            out += [OutputColumn(j.prefix + c, target.name, c, via=_edge_label(owner, j))
                     for c in target.columns]
     for owner in _edge_owners(spec):
         for j in owner.joins:
@@ -108,14 +108,13 @@ class _Namer:
 
 
 def _lookup_side(src: DataFrame, target: Dataset, edge: JoinEdge, key_name: str,
-                 check_keys: bool) -> DataFrame:
+                 cols: list[OutputColumn], check_keys: bool) -> DataFrame:
     schema = {f.name: f.dataType for f in src.schema.fields}
     if edge.target_column not in schema:
         raise SpecError(f"{target.name} has no column {edge.target_column!r}")
     key = typed_key(F.col(quote(edge.target_column)), schema[edge.target_column], edge.key_type,
                     where=f"{target.name}.{edge.target_column}")
-    side = src.select(key.alias(key_name),
-                      *[F.col(quote(c)).alias(edge.prefix + c) for c in target.columns])
+    side = src.select(key.alias(key_name), *[F.col(quote(c.source)).alias(c.name) for c in cols])
     side = side.filter(F.col(key_name).isNotNull())
     if check_keys:
         side = unique_key_guard(side, key_name, f"{target.name}.{edge.target_column}")
@@ -129,27 +128,46 @@ def _source_key(df_schema: dict, owner: Dataset, edge: JoinEdge) -> Column:
                      where=f"{owner.name}.{edge.source_column}")
 
 
+def _edge_label(owner: Dataset, edge: JoinEdge) -> str:
+    return f"{owner.name}.{edge.source_column}"
+
+
 def _attach_lookups(base: DataFrame, owner: Dataset, spec: ImportSpec, sources: Mapping[str, DataFrame],
-                    keys: dict[JoinEdge, str], namer: _Namer, check_keys: bool) -> DataFrame:
+                    keys: dict[JoinEdge, str], out_cols: list[OutputColumn], namer: _Namer,
+                    check_keys: bool) -> DataFrame:
     """Left-join every lookup edge of ``owner`` onto ``base`` (which carries typed keys)."""
     for j in owner.joins:
         target = spec.dataset(j.target_dataset)
         if target.kind == KIND_CASES:
             continue
-        if not target.columns and check_keys:
-            # Unique keys: a left join that adds no column cannot change the rows.
+        cols = [c for c in out_cols if c.via == _edge_label(owner, j)]
+        if not cols and check_keys:
+            # Unique keys: a left join that adds no column cannot change the rows. Catalyst
+            # cannot prove the keys unique, so it would keep the join; the builder drops it.
             continue
         _, tname = namer.next()
-        side = _lookup_side(sources[target.name], target, j, tname, check_keys)
+        side = _lookup_side(sources[target.name], target, j, tname, cols, check_keys)
         base = base.join(side, base[keys[j]] == side[tname], "left").drop(tname)
     return base
 
 
-def star_join(spec: ImportSpec, sources: Mapping[str, DataFrame], check_keys: bool | None = None) -> DataFrame:
-    """Assemble the star: one row per event (exactly one when target keys are unique)."""
+def star_join(spec: ImportSpec, sources: Mapping[str, DataFrame], check_keys: bool | None = None,
+              columns: list[str] | tuple[str, ...] | None = None) -> DataFrame:
+    """Assemble the star: one row per event (exactly one when target keys are unique).
+
+    ``columns`` limits the output to those names. With the key check on, a lookup (or the
+    cases table) that contributes none of them is not joined at all.
+    """
     spec.validate(require_roles=False)
     check = spec.check_keys if check_keys is None else check_keys
     out_cols = output_columns(spec)
+    if columns is not None:
+        known = {c.name for c in out_cols}
+        unknown = [c for c in columns if c not in known]
+        if unknown:
+            raise SpecError(f"not star output columns: {unknown}")
+        wanted = set(columns)
+        out_cols = [c for c in out_cols if c.name in wanted]
     namer = _Namer()
     ev, cs = spec.events, spec.cases
     for d in spec.datasets:
@@ -170,7 +188,9 @@ def star_join(spec: ImportSpec, sources: Mapping[str, DataFrame], check_keys: bo
     base = ev_src.select(*ev_sel)
 
     # Cases side with its own lookups, then the events -> cases link.
-    if cs is not None:
+    needs_cases = cs is not None and (not check or any(
+        c.dataset == cs.name or c.via.startswith(cs.name + ".") for c in out_cols))
+    if needs_cases:
         link = spec.case_edge()
         cs_src = sources[cs.name]
         cs_schema = {f.name: f.dataType for f in cs_src.schema.fields}
@@ -189,16 +209,18 @@ def star_join(spec: ImportSpec, sources: Mapping[str, DataFrame], check_keys: bo
             sname, _ = namer.next()
             cs_keys[j] = sname
             cs_sel.append(_source_key(cs_schema, cs, j).alias(sname))
-        cs_sel += [_source_key(cs_schema, cs, j).alias(j.export_name) for j in cs.joins if j.export_name]
+        wanted_exports = {c.name for c in out_cols if c.export and c.dataset == cs.name}
+        cs_sel += [_source_key(cs_schema, cs, j).alias(j.export_name) for j in cs.joins
+                   if j.export_name in wanted_exports]
         cases_wide = cs_src.select(*cs_sel).filter(F.col(case_key).isNotNull())
-        cases_wide = _attach_lookups(cases_wide, cs, spec, sources, cs_keys, namer, check)
+        cases_wide = _attach_lookups(cases_wide, cs, spec, sources, cs_keys, out_cols, namer, check)
         cases_wide = cases_wide.drop(*cs_keys.values())
         if check:
             # After the case lookups: the guard's window shares the case-key shuffle with the join.
             cases_wide = unique_key_guard(cases_wide, case_key, f"{cs.name}.{link.target_column}")
         base = base.join(cases_wide, base[ev_keys[link]] == cases_wide[case_key], "left").drop(case_key)
 
-    base = _attach_lookups(base, ev, spec, sources, ev_keys, namer, check)
+    base = _attach_lookups(base, ev, spec, sources, ev_keys, out_cols, namer, check)
 
     final: list[Column] = []
     for c in out_cols:

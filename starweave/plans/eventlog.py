@@ -19,28 +19,38 @@ from ..operators.star import star_join
 from .spec import ImportSpec, SpecError
 
 
-def _attributed(spec: ImportSpec, sources: Mapping[str, DataFrame], check_keys: bool | None) -> DataFrame:
-    return apply_attributes(star_join(spec, sources, check_keys), spec.attributes, drop_excluded=False)
+def _attributed(spec: ImportSpec, sources: Mapping[str, DataFrame], check_keys: bool | None,
+                columns: list[str] | tuple[str, ...] | None = None) -> DataFrame:
+    star = star_join(spec, sources, check_keys, columns=columns)
+    present = set(star.columns)
+    attrs = [a for a in spec.attributes if a.name in present]
+    return apply_attributes(star, attrs, drop_excluded=False)
 
 
 def event_log(spec: ImportSpec, sources: Mapping[str, DataFrame], check_keys: bool | None = None,
-              require_roles: bool = True, case_attributes_on_events: bool = False) -> DataFrame:
+              require_roles: bool = True, case_attributes_on_events: bool = False,
+              columns: list[str] | tuple[str, ...] | None = None) -> DataFrame:
     """One row per event with typed attribute columns (DEC-10).
 
     With ``case_attributes_on_events`` every Case-level attribute carries its case's First or
-    Last value on each event (G3) instead of the event's own value.
+    Last value on each event (G3) instead of the event's own value. ``columns`` limits the log
+    to those names (plus, for G3, the role and order columns) and skips joins they do not need.
     """
     spec.validate(require_roles=require_roles)
-    log = _attributed(spec, sources, check_keys)
+    if columns is not None and case_attributes_on_events:
+        roles = spec.roles()
+        columns = list(dict.fromkeys([*columns, roles.case, *roles.order(), *case_rules(spec)]))
+    log = _attributed(spec, sources, check_keys, columns)
     if case_attributes_on_events:
         roles = spec.roles()
-        rules = case_rules(spec)
+        rules = {k: v for k, v in case_rules(spec).items() if k in log.columns}
         if rules:
             renamed = {f"__cl_{k}": v for k, v in rules.items()}
             log = attach_case_attributes(log, roles.case, roles.order(), renamed)
             for out in rules:
                 log = log.withColumn(out, log[f"__cl_{out}"]).drop(f"__cl_{out}")
-    return log.drop(*excluded_columns(spec.attributes))
+    log = log.drop(*excluded_columns(spec.attributes))
+    return log.select(*columns) if columns is not None else log
 
 
 def case_rules(spec: ImportSpec) -> dict[str, tuple[str, str]]:
@@ -53,8 +63,10 @@ def case_table(spec: ImportSpec, sources: Mapping[str, DataFrame], check_keys: b
     """One row per case that has events (DEC-12), built from the event log (G1, G2, G4)."""
     spec.validate()
     roles = spec.roles()
-    log = _attributed(spec, sources, check_keys)
-    out = _case_table(log, roles.case, roles.order(), case_rules(spec), start=roles.start, end=roles.end)
+    rules = case_rules(spec)
+    needed = [roles.case, *roles.order(), *[c for c in (roles.end,) if c], *rules]
+    log = _attributed(spec, sources, check_keys, list(dict.fromkeys(needed)))
+    out = _case_table(log, roles.case, roles.order(), rules, start=roles.start, end=roles.end)
     return out.drop(*[c for c in excluded_columns(spec.attributes) if c != roles.case])
 
 
@@ -70,7 +82,9 @@ def finance(spec: ImportSpec, sources: Mapping[str, DataFrame], attribute: str,
     if a is None or a.finance == "None":
         raise SpecError(f"{attribute!r} is not a finance attribute")
     roles = spec.roles()
-    log = _attributed(spec, sources, check_keys)
+    by = list(by or [])
+    needed = [attribute, roles.case, *roles.order(), *by] + ([roles.resource] if roles.resource else [])
+    log = _attributed(spec, sources, check_keys, list(dict.fromkeys(needed)))
     if a.finance == "PerResource":
         if not roles.resource:
             raise SpecError("PerResource needs a Resource role")

@@ -203,27 +203,31 @@ def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- case level and finance
-def _sales_log(spark: SparkSession, sf_dir: str) -> tuple[ImportSpec, DataFrame]:
+def _sales_log(spark: SparkSession, sf_dir: str, *columns: str) -> tuple[ImportSpec, DataFrame]:
+    """The sales event log limited to ``columns`` plus the case and order columns."""
     spec = sales_spec()
-    return spec, eventlog.event_log(spec, sales_sources(spark, sf_dir))
+    r = spec.roles()
+    keep = list(dict.fromkeys([r.case, *r.order(), *columns]))
+    return spec, eventlog.event_log(spec, sales_sources(spark, sf_dir), columns=keep)
 
 
 def case_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec, log = _sales_log(spark, sf_dir)
+    spec, log = _sales_log(spark, sf_dir, "l_returnflag")
     r = spec.roles()
     return cases.case_values(log, r.case, r.order(), {"l_returnflag": ("l_returnflag", "First")})
 
 
 def case_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec, log = _sales_log(spark, sf_dir)
+    spec, log = _sales_log(spark, sf_dir, "l_returnflag")
     r = spec.roles()
     return cases.case_values(log, r.case, r.order(), {"l_returnflag": ("l_returnflag", "Last")})
 
 
 def case_attributes_on_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = clicks_spec()
-    log = eventlog.event_log(spec, clicks_sources(spark, sf_dir))
     r = spec.roles()
+    log = eventlog.event_log(spec, clicks_sources(spark, sf_dir),
+                             columns=["event_id", "event_type", r.case, *r.order()])
     rules = {"first_type": ("event_type", "First"), "last_type": ("event_type", "Last")}
     return cases.attach_case_attributes(log, r.case, r.order(), rules).select("event_id", "first_type", "last_type")
 
@@ -250,7 +254,7 @@ def finance_per_resource(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- measures
 def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec, log = _sales_log(spark, sf_dir)
+    spec, log = _sales_log(spark, sf_dir, "o_orderdate")
     return measures.durations(log, spec.roles().case, "o_orderdate", "l_shipdate")
 
 
@@ -262,13 +266,13 @@ def event_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def activity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec, log = _sales_log(spark, sf_dir)
+    spec, log = _sales_log(spark, sf_dir, "p_type")
     r = spec.roles()
     return measures.summarize(log, r.activity, r.case, "activity")
 
 
 def resource_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec, log = _sales_log(spark, sf_dir)
+    spec, log = _sales_log(spark, sf_dir, "s_name")
     r = spec.roles()
     return measures.summarize(log, r.resource, r.case, "resource")
 
