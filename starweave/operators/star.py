@@ -13,10 +13,12 @@ it is a sort-merge join on the typed key. A hot foreign key (one key holding a t
 events, or many null keys) lands in one shuffle partition of the events side; AQE's skew-join
 rule splits that partition, which it supports for left outer joins with the skew on the left.
 
-Key check (DEC-2): with ``check_keys`` on, each join target carries an in-plan uniqueness
-guard: a count over a window partitioned by the typed key, and a filter that raises on a
-count above one. The window needs the same hash partitioning on the key as the join, so
-the guard costs no extra shuffle and no extra pass; the error surfaces when the job runs.
+Key check (DEC-2): with ``check_keys`` on, every join target gets a guard branch in the same
+job: its typed key column is counted per key (partial aggregation, then a shuffle of keys
+only) and a filter raises on a count above one; the branch yields no rows and is unioned
+into the result. The joins themselves stay exactly as without the check: a guard placed
+between a join and its shuffle (a window on the key, say) would hide the shuffle from AQE's
+skew-join rule, which only splits a partition when the join sits directly on its shuffles.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.types import quote, typed_key
@@ -87,15 +89,23 @@ def _edge_owners(spec: ImportSpec) -> list[Dataset]:
     return [spec.events] + ([spec.cases] if spec.cases is not None else [])
 
 
-def unique_key_guard(df: DataFrame, key: str, what: str) -> DataFrame:
-    """Fail the job if ``key`` repeats in ``df``; null keys are ignored (they never match)."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(F.col(key)))
+def key_guard(keys: DataFrame, key: str, what: str) -> DataFrame:
+    """No rows if ``key`` is unique in ``keys``; fails the job on the first repeated key.
+
+    Null keys are ignored (they never match). The count is a partial aggregate, so even a key
+    repeated in a third of the rows is reduced map-side before the shuffle.
+    """
+    counts = keys.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
     message = F.concat(F.lit(f"duplicate key in {what}: "), F.col(key).cast("string"))
-    return (
-        df.withColumn("__n", n)
-        .filter(F.when(F.col("__n") > 1, F.raise_error(message)).otherwise(F.lit(True)))
-        .drop("__n")
-    )
+    return counts.filter(F.when(F.col("__n") > 1, F.raise_error(message)).otherwise(F.lit(False)))
+
+
+def _with_guards(result: DataFrame, guards: list[DataFrame]) -> DataFrame:
+    """Union the (empty) guard branches into ``result`` so they run in the same job."""
+    for g in guards:
+        empty = g.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in result.schema.fields])
+        result = result.unionByName(empty)
+    return result
 
 
 class _Namer:
@@ -108,17 +118,14 @@ class _Namer:
 
 
 def _lookup_side(src: DataFrame, target: Dataset, edge: JoinEdge, key_name: str,
-                 cols: list[OutputColumn], check_keys: bool) -> DataFrame:
+                 cols: list[OutputColumn]) -> DataFrame:
     schema = {f.name: f.dataType for f in src.schema.fields}
     if edge.target_column not in schema:
         raise SpecError(f"{target.name} has no column {edge.target_column!r}")
     key = typed_key(F.col(quote(edge.target_column)), schema[edge.target_column], edge.key_type,
                     where=f"{target.name}.{edge.target_column}")
     side = src.select(key.alias(key_name), *[F.col(quote(c.source)).alias(c.name) for c in cols])
-    side = side.filter(F.col(key_name).isNotNull())
-    if check_keys:
-        side = unique_key_guard(side, key_name, f"{target.name}.{edge.target_column}")
-    return side
+    return side.filter(F.col(key_name).isNotNull())
 
 
 def _source_key(df_schema: dict, owner: Dataset, edge: JoinEdge) -> Column:
@@ -134,7 +141,7 @@ def _edge_label(owner: Dataset, edge: JoinEdge) -> str:
 
 def _attach_lookups(base: DataFrame, owner: Dataset, spec: ImportSpec, sources: Mapping[str, DataFrame],
                     keys: dict[JoinEdge, str], out_cols: list[OutputColumn], namer: _Namer,
-                    check_keys: bool) -> DataFrame:
+                    check_keys: bool, guards: list[DataFrame]) -> DataFrame:
     """Left-join every lookup edge of ``owner`` onto ``base`` (which carries typed keys)."""
     for j in owner.joins:
         target = spec.dataset(j.target_dataset)
@@ -146,7 +153,9 @@ def _attach_lookups(base: DataFrame, owner: Dataset, spec: ImportSpec, sources:
             # cannot prove the keys unique, so it would keep the join; the builder drops it.
             continue
         _, tname = namer.next()
-        side = _lookup_side(sources[target.name], target, j, tname, cols, check_keys)
+        side = _lookup_side(sources[target.name], target, j, tname, cols)
+        if check_keys:
+            guards.append(key_guard(side.select(tname), tname, f"{target.name}.{j.target_column}"))
         base = base.join(side, base[keys[j]] == side[tname], "left").drop(tname)
     return base
 
@@ -169,6 +178,7 @@ def star_join(spec: ImportSpec, sources: Mapping[str, DataFrame], check_keys: bo
         wanted = set(columns)
         out_cols = [c for c in out_cols if c.name in wanted]
     namer = _Namer()
+    guards: list[DataFrame] = []
     ev, cs = spec.events, spec.cases
     for d in spec.datasets:
         if d.name not in sources:
@@ -213,14 +223,13 @@ def star_join(spec: ImportSpec, sources: Mapping[str, DataFrame], check_keys: bo
         cs_sel += [_source_key(cs_schema, cs, j).alias(j.export_name) for j in cs.joins
                    if j.export_name in wanted_exports]
         cases_wide = cs_src.select(*cs_sel).filter(F.col(case_key).isNotNull())
-        cases_wide = _attach_lookups(cases_wide, cs, spec, sources, cs_keys, out_cols, namer, check)
-        cases_wide = cases_wide.drop(*cs_keys.values())
         if check:
-            # After the case lookups: the guard's window shares the case-key shuffle with the join.
-            cases_wide = unique_key_guard(cases_wide, case_key, f"{cs.name}.{link.target_column}")
+            guards.append(key_guard(cases_wide.select(case_key), case_key, f"{cs.name}.{link.target_column}"))
+        cases_wide = _attach_lookups(cases_wide, cs, spec, sources, cs_keys, out_cols, namer, check, guards)
+        cases_wide = cases_wide.drop(*cs_keys.values())
         base = base.join(cases_wide, base[ev_keys[link]] == cases_wide[case_key], "left").drop(case_key)
 
-    base = _attach_lookups(base, ev, spec, sources, ev_keys, out_cols, namer, check)
+    base = _attach_lookups(base, ev, spec, sources, ev_keys, out_cols, namer, check, guards)
 
     final: list[Column] = []
     for c in out_cols:
@@ -229,4 +238,4 @@ def star_join(spec: ImportSpec, sources: Mapping[str, DataFrame], check_keys: bo
             final.append(F.col(ev_keys[edge]).alias(c.name))
         else:
             final.append(F.col(quote(c.name)))
-    return base.select(*final)
+    return _with_guards(base.select(*final), guards)
