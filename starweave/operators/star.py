@@ -167,6 +167,13 @@ def star_join(spec: ImportSpec, sources: Mapping[str, DataFrame], check_keys: bo
     ``columns`` limits the output to those names. With the key check on, a lookup (or the
     cases table) that contributes none of them is not joined at all.
     """
+    star, guards = star_parts(spec, sources, check_keys, columns)
+    return _with_guards(star, guards)
+
+
+def star_parts(spec: ImportSpec, sources: Mapping[str, DataFrame], check_keys: bool | None = None,
+               columns: list[str] | tuple[str, ...] | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """The star without its key guards, and the guards (each empty unless a key repeats)."""
     spec.validate(require_roles=False)
     check = spec.check_keys if check_keys is None else check_keys
     out_cols = output_columns(spec)
@@ -238,4 +245,4 @@ def star_join(spec: ImportSpec, sources: Mapping[str, DataFrame], check_keys: bo
             final.append(F.col(ev_keys[edge]).alias(c.name))
         else:
             final.append(F.col(quote(c.name)))
-    return _with_guards(base.select(*final), guards)
+    return base.select(*final), guards
