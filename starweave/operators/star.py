@@ -14,9 +14,9 @@ events, or many null keys) lands in one shuffle partition of the events side; AQ
 rule splits that partition, which it supports for left outer joins with the skew on the left.
 
 Key check (DEC-2): with ``check_keys`` on, every join target gets a guard branch in the same
-job: its typed key column is counted per key (partial aggregation, then a shuffle of keys
-only) and a filter raises on a count above one; the branch yields no rows and is unioned
-into the result. The joins themselves stay exactly as without the check: a guard placed
+job: the typed key columns of all targets, tagged by target, are counted per key in one
+aggregate (partial aggregation, then a shuffle of keys only) and a filter raises on a count
+above one; the branch yields no rows and is unioned into the result. The joins themselves stay exactly as without the check: a guard placed
 between a join and its shuffle (a window on the key, say) would hide the shuffle from AQE's
 skew-join rule, which only splits a partition when the join sits directly on its shuffles.
 """
@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.types import quote, typed_key
 from ..plans.spec import KIND_CASES, Dataset, ImportSpec, JoinEdge, SpecError
@@ -89,23 +90,42 @@ def _edge_owners(spec: ImportSpec) -> list[Dataset]:
     return [spec.events] + ([spec.cases] if spec.cases is not None else [])
 
 
-def key_guard(keys: DataFrame, key: str, what: str) -> DataFrame:
-    """No rows if ``key`` is unique in ``keys``; fails the job on the first repeated key.
+def guard_keys(keys: DataFrame, key: str, what: str) -> DataFrame:
+    """The non-null keys of one join target, tagged for the combined key guard."""
+    dtype = keys.schema[key].dataType
+    integral = isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    k = F.col(key)
+    return keys.filter(k.isNotNull()).select(
+        F.lit(what).alias("__what"),
+        (k.cast("bigint") if integral else F.lit(None).cast("bigint")).alias("__ki"),
+        (F.lit(None).cast("string") if integral else k.cast("string")).alias("__ks"),
+    )
 
-    Null keys are ignored (they never match). The count is a partial aggregate, so even a key
-    repeated in a third of the rows is reduced map-side before the shuffle.
+
+def key_guard(tagged: list[DataFrame]) -> DataFrame | None:
+    """No rows if every tagged key set is unique; fails the job on the first repeated key.
+
+    All targets share one aggregate (one shuffle stage however many targets there are). The
+    count is a partial aggregate, so even a key repeated in a third of the rows is reduced
+    map-side before the shuffle.
     """
-    counts = keys.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    message = F.concat(F.lit(f"duplicate key in {what}: "), F.col(key).cast("string"))
+    if not tagged:
+        return None
+    keys = tagged[0]
+    for more in tagged[1:]:
+        keys = keys.unionByName(more)
+    counts = keys.groupBy("__what", "__ki", "__ks").agg(F.count(F.lit(1)).alias("__n"))
+    message = F.concat(F.lit("duplicate key in "), F.col("__what"), F.lit(": "),
+                       F.coalesce(F.col("__ki").cast("string"), F.col("__ks")))
     return counts.filter(F.when(F.col("__n") > 1, F.raise_error(message)).otherwise(F.lit(False)))
 
 
-def _with_guards(result: DataFrame, guards: list[DataFrame]) -> DataFrame:
-    """Union the (empty) guard branches into ``result`` so they run in the same job."""
-    for g in guards:
-        empty = g.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in result.schema.fields])
-        result = result.unionByName(empty)
-    return result
+def _with_guards(result: DataFrame, guard: DataFrame | None) -> DataFrame:
+    """Union the (empty) guard branch into ``result`` so it runs in the same job."""
+    if guard is None:
+        return result
+    empty = guard.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in result.schema.fields])
+    return result.unionByName(empty)
 
 
 class _Namer:
@@ -155,7 +175,7 @@ def _attach_lookups(base: DataFrame, owner: Dataset, spec: ImportSpec, sources:
         _, tname = namer.next()
         side = _lookup_side(sources[target.name], target, j, tname, cols)
         if check_keys:
-            guards.append(key_guard(side.select(tname), tname, f"{target.name}.{j.target_column}"))
+            guards.append(guard_keys(side.select(tname), tname, f"{target.name}.{j.target_column}"))
         base = base.join(side, base[keys[j]] == side[tname], "left").drop(tname)
     return base
 
@@ -167,13 +187,13 @@ def star_join(spec: ImportSpec, sources: Mapping[str, DataFrame], check_keys: bo
     ``columns`` limits the output to those names. With the key check on, a lookup (or the
     cases table) that contributes none of them is not joined at all.
     """
-    star, guards = star_parts(spec, sources, check_keys, columns)
-    return _with_guards(star, guards)
+    star, guard = star_parts(spec, sources, check_keys, columns)
+    return _with_guards(star, guard)
 
 
 def star_parts(spec: ImportSpec, sources: Mapping[str, DataFrame], check_keys: bool | None = None,
-               columns: list[str] | tuple[str, ...] | None = None) -> tuple[DataFrame, list[DataFrame]]:
-    """The star without its key guards, and the guards (each empty unless a key repeats)."""
+               columns: list[str] | tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """The star without its key check, and the check (empty unless a key repeats; None if off)."""
     spec.validate(require_roles=False)
     check = spec.check_keys if check_keys is None else check_keys
     out_cols = output_columns(spec)
@@ -231,7 +251,7 @@ def star_parts(spec: ImportSpec, sources: Mapping[str, DataFrame], check_keys: b
                    if j.export_name in wanted_exports]
         cases_wide = cs_src.select(*cs_sel).filter(F.col(case_key).isNotNull())
         if check:
-            guards.append(key_guard(cases_wide.select(case_key), case_key, f"{cs.name}.{link.target_column}"))
+            guards.append(guard_keys(cases_wide.select(case_key), case_key, f"{cs.name}.{link.target_column}"))
         cases_wide = _attach_lookups(cases_wide, cs, spec, sources, cs_keys, out_cols, namer, check, guards)
         cases_wide = cases_wide.drop(*cs_keys.values())
         base = base.join(cases_wide, base[ev_keys[link]] == cases_wide[case_key], "left").drop(case_key)
@@ -245,4 +265,4 @@ def star_parts(spec: ImportSpec, sources: Mapping[str, DataFrame], check_keys: b
             final.append(F.col(ev_keys[edge]).alias(c.name))
         else:
             final.append(F.col(quote(c.name)))
-    return base.select(*final), guards
+    return base.select(*final), key_guard(guards)

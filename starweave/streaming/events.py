@@ -22,10 +22,10 @@ from ..plans.spec import ImportSpec, SpecError
 from ..session import scratch_path
 
 
-def check_static_keys(guards: list[DataFrame]) -> None:
-    """Run the key guards of the static sides; raises on the first repeated key."""
-    for g in guards:
-        g.write.format("noop").mode("overwrite").save()
+def check_static_keys(guard: DataFrame | None) -> None:
+    """Run the key check of the static sides; raises on the first repeated key."""
+    if guard is not None:
+        guard.write.format("noop").mode("overwrite").save()
 
 
 def stream_event_log(spec: ImportSpec, events_stream: DataFrame, static_sources: Mapping[str, DataFrame],
@@ -38,8 +38,8 @@ def stream_event_log(spec: ImportSpec, events_stream: DataFrame, static_sources:
     if streaming_statics:
         raise SpecError(f"only the events dataset may be a stream, not {streaming_statics}")
     sources = {**static_sources, spec.events.name: events_stream}
-    star, guards = star_parts(spec, sources, check_keys, columns)
-    check_static_keys(guards)
+    star, guard = star_parts(spec, sources, check_keys, columns)
+    check_static_keys(guard)
     present = set(star.columns)
     attrs = [a for a in spec.attributes if a.name in present and not a.is_excluded]
     out = apply_attributes(star, attrs, drop_excluded=False)
