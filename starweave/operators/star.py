@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.types import quote, typed_key
+from ..functions.types import key_spark_type, quote, typed_key
 from ..plans.spec import KIND_CASES, Dataset, ImportSpec, JoinEdge, SpecError
 
 
@@ -86,16 +86,21 @@ def output_columns(spec: ImportSpec) -> list[OutputColumn]:
     return out
 
 
+def _check_columns(d: Dataset, schema: dict) -> None:
+    missing = [c for c in d.columns if c not in schema]
+    if missing:
+        raise SpecError(f"{d.name}: columns not in the source: {missing}")
+
+
 def _edge_owners(spec: ImportSpec) -> list[Dataset]:
     return [spec.events] + ([spec.cases] if spec.cases is not None else [])
 
 
-def guard_keys(keys: DataFrame, key: str, what: str) -> DataFrame:
-    """The non-null keys of one join target, tagged for the combined key guard."""
-    dtype = keys.schema[key].dataType
+def guard_keys(keys: DataFrame, key: str, what: str, dtype: T.DataType) -> DataFrame:
+    """The keys of one join target (already without nulls), tagged for the combined guard."""
     integral = isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
     k = F.col(key)
-    return keys.filter(k.isNotNull()).select(
+    return keys.select(
         F.lit(what).alias("__what"),
         (k.cast("bigint") if integral else F.lit(None).cast("bigint")).alias("__ki"),
         (F.lit(None).cast("string") if integral else k.cast("string")).alias("__ks"),
@@ -175,8 +180,9 @@ def _attach_lookups(base: DataFrame, owner: Dataset, spec: ImportSpec, sources:
         _, tname = namer.next()
         side = _lookup_side(sources[target.name], target, j, tname, cols)
         if check_keys:
-            guards.append(guard_keys(side.select(tname), tname, f"{target.name}.{j.target_column}"))
-        base = base.join(side, base[keys[j]] == side[tname], "left").drop(tname)
+            guards.append(guard_keys(side, tname, f"{target.name}.{j.target_column}",
+                                     key_spark_type(j.key_type)))
+        base = base.join(side, base[keys[j]] == side[tname], "left")
     return base
 
 
@@ -214,7 +220,7 @@ def star_parts(spec: ImportSpec, sources: Mapping[str, DataFrame], check_keys: b
     # Events side: included columns, typed foreign keys, export names.
     ev_src = sources[ev.name]
     ev_schema = {f.name: f.dataType for f in ev_src.schema.fields}
-    project(ev_src, ev.columns)  # validates names
+    _check_columns(ev, ev_schema)
     ev_keys: dict[JoinEdge, str] = {}
     ev_sel: list[Column] = [F.col(quote(c.source)).alias(c.name) for c in out_cols
                             if c.dataset == ev.name and not c.via and not c.export]
@@ -231,7 +237,7 @@ def star_parts(spec: ImportSpec, sources: Mapping[str, DataFrame], check_keys: b
         link = spec.case_edge()
         cs_src = sources[cs.name]
         cs_schema = {f.name: f.dataType for f in cs_src.schema.fields}
-        project(cs_src, cs.columns)
+        _check_columns(cs, cs_schema)
         if link.target_column not in cs_schema:
             raise SpecError(f"{cs.name} has no column {link.target_column!r}")
         _, case_key = namer.next()
@@ -251,10 +257,10 @@ def star_parts(spec: ImportSpec, sources: Mapping[str, DataFrame], check_keys: b
                    if j.export_name in wanted_exports]
         cases_wide = cs_src.select(*cs_sel).filter(F.col(case_key).isNotNull())
         if check:
-            guards.append(guard_keys(cases_wide.select(case_key), case_key, f"{cs.name}.{link.target_column}"))
+            guards.append(guard_keys(cases_wide, case_key, f"{cs.name}.{link.target_column}",
+                                     key_spark_type(link.key_type)))
         cases_wide = _attach_lookups(cases_wide, cs, spec, sources, cs_keys, out_cols, namer, check, guards)
-        cases_wide = cases_wide.drop(*cs_keys.values())
-        base = base.join(cases_wide, base[ev_keys[link]] == cases_wide[case_key], "left").drop(case_key)
+        base = base.join(cases_wide, base[ev_keys[link]] == cases_wide[case_key], "left")
 
     base = _attach_lookups(base, ev, spec, sources, ev_keys, out_cols, namer, check, guards)
 
