@@ -166,7 +166,7 @@ def _edge_label(owner: Dataset, edge: JoinEdge) -> str:
 
 def _attach_lookups(base: DataFrame, owner: Dataset, spec: ImportSpec, sources: Mapping[str, DataFrame],
                     keys: dict[JoinEdge, str], out_cols: list[OutputColumn], namer: _Namer,
-                    check_keys: bool, guards: list[DataFrame]) -> DataFrame:
+                    check_keys: bool, guards: dict[tuple[str, str], DataFrame]) -> DataFrame:
     """Left-join every lookup edge of ``owner`` onto ``base`` (which carries typed keys)."""
     for j in owner.joins:
         target = spec.dataset(j.target_dataset)
@@ -180,8 +180,9 @@ def _attach_lookups(base: DataFrame, owner: Dataset, spec: ImportSpec, sources:
         _, tname = namer.next()
         side = _lookup_side(sources[target.name], target, j, tname, cols)
         if check_keys:
-            guards.append(guard_keys(side, tname, f"{target.name}.{j.target_column}",
-                                     key_spark_type(j.key_type)))
+            what = f"{target.name}.{j.target_column}"
+            if (what, j.key_type) not in guards:  # a lookup shared by two edges is checked once
+                guards[(what, j.key_type)] = guard_keys(side, tname, what, key_spark_type(j.key_type))
         base = base.join(side, base[keys[j]] == side[tname], "left")
     return base
 
@@ -211,7 +212,7 @@ def star_parts(spec: ImportSpec, sources: Mapping[str, DataFrame], check_keys: b
         wanted = set(columns)
         out_cols = [c for c in out_cols if c.name in wanted]
     namer = _Namer()
-    guards: list[DataFrame] = []
+    guards: dict[tuple[str, str], DataFrame] = {}
     ev, cs = spec.events, spec.cases
     for d in spec.datasets:
         if d.name not in sources:
@@ -257,8 +258,8 @@ def star_parts(spec: ImportSpec, sources: Mapping[str, DataFrame], check_keys: b
                    if j.export_name in wanted_exports]
         cases_wide = cs_src.select(*cs_sel).filter(F.col(case_key).isNotNull())
         if check:
-            guards.append(guard_keys(cases_wide, case_key, f"{cs.name}.{link.target_column}",
-                                     key_spark_type(link.key_type)))
+            what = f"{cs.name}.{link.target_column}"
+            guards[(what, link.key_type)] = guard_keys(cases_wide, case_key, what, key_spark_type(link.key_type))
         cases_wide = _attach_lookups(cases_wide, cs, spec, sources, cs_keys, out_cols, namer, check, guards)
         base = base.join(cases_wide, base[ev_keys[link]] == cases_wide[case_key], "left")
 
@@ -271,4 +272,4 @@ def star_parts(spec: ImportSpec, sources: Mapping[str, DataFrame], check_keys: b
             final.append(F.col(ev_keys[edge]).alias(c.name))
         else:
             final.append(F.col(quote(c.name)))
-    return base.select(*final), key_guard(guards)
+    return base.select(*final), key_guard(list(guards.values()))
