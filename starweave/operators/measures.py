@@ -19,7 +19,12 @@ def durations(log: DataFrame, case: str, start: str, end: str | None = None) ->
         F.min(F.col(quote(start))).alias("first_start"),
         F.max(F.col(quote(end))).alias("last_end"),
     )
-    return agg.withColumn("seconds", F.timestamp_diff("SECOND", F.col("first_start"), F.col("last_end")))
+    return add_seconds(agg, "first_start", "last_end")
+
+
+def add_seconds(df: DataFrame, start: str, end: str, name: str = "seconds") -> DataFrame:
+    """``df`` with the whole seconds from ``start`` to ``end`` (negative when end comes first)."""
+    return df.withColumn(name, F.timestamp_diff("SECOND", F.col(quote(start)), F.col(quote(end))))
 
 
 def event_durations(log: DataFrame, start: str, end: str) -> DataFrame:

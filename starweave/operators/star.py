@@ -161,7 +161,7 @@ def _source_key(df_schema: dict, owner: Dataset, edge: JoinEdge) -> Column:
 
 
 def _edge_label(owner: Dataset, edge: JoinEdge) -> str:
-    return f"{owner.name}.{edge.source_column}"
+    return f"{owner.name}.{edge.source_column}->{edge.target_dataset}.{edge.target_column}"
 
 
 def _attach_lookups(base: DataFrame, owner: Dataset, spec: ImportSpec, sources: Mapping[str, DataFrame],
@@ -187,6 +187,126 @@ def _attach_lookups(base: DataFrame, owner: Dataset, spec: ImportSpec, sources:
     return base
 
 
+def is_case_side(spec: ImportSpec, c: OutputColumn) -> bool:
+    """True for columns of the cases dataset, its lookups and its export names."""
+    cs = spec.cases
+    return cs is not None and (c.dataset == cs.name and not c.via or c.via.startswith(cs.name + "."))
+
+
+@dataclass(frozen=True)
+class CaseParts:
+    """The two halves of a star split at the events -> cases link.
+
+    ``events``: events joined to their own lookups, with ``events_key`` (the typed link key).
+    ``cases``: the cases table joined to its lookups, with ``cases_key`` (the typed target key).
+    ``guard``: the key check of every target touched (None when the check is off).
+    """
+
+    events: DataFrame
+    events_key: str
+    cases: DataFrame
+    cases_key: str
+    guard: DataFrame | None
+
+
+def case_parts(spec: ImportSpec, sources: Mapping[str, DataFrame], columns: list[str] | tuple[str, ...],
+               check_keys: bool | None = None) -> CaseParts:
+    """Build both halves of the star for the named output columns, without joining them.
+
+    Callers that reduce events to one row per case aggregate ``events`` by ``events_key`` first
+    and join the result to ``cases``: the events are then shuffled as partial aggregates, and
+    the join runs over one row per case instead of one per event.
+    """
+    spec.validate(require_roles=False)
+    if spec.cases is None:
+        raise SpecError("case_parts needs a cases dataset")
+    check = spec.check_keys if check_keys is None else check_keys
+    out_cols = _wanted(output_columns(spec), columns)
+    namer = _Namer()
+    guards: dict[tuple[str, str], DataFrame] = {}
+    link = spec.case_edge()
+    ev_cols = [c for c in out_cols if not is_case_side(spec, c)]
+    cs_cols = [c for c in out_cols if is_case_side(spec, c)]
+    base, ev_keys = _events_select(spec, sources, ev_cols, namer)
+    base = _attach_lookups(base, spec.events, spec, sources, ev_keys, ev_cols, namer, check, guards)
+    ev_final = [_final_column(spec, c, ev_keys) for c in ev_cols] + [F.col(ev_keys[link])]
+    cases_wide, case_key = _cases_wide(spec, sources, cs_cols, namer, check, guards)
+    cs_final = [F.col(quote(c.name)) for c in cs_cols] + [F.col(case_key)]
+    return CaseParts(base.select(*ev_final), ev_keys[link], cases_wide.select(*cs_final), case_key,
+                     key_guard(list(guards.values())))
+
+
+def _wanted(out_cols: list[OutputColumn], columns: list[str] | tuple[str, ...] | None) -> list[OutputColumn]:
+    if columns is None:
+        return out_cols
+    known = {c.name for c in out_cols}
+    unknown = [c for c in columns if c not in known]
+    if unknown:
+        raise SpecError(f"not star output columns: {unknown}")
+    wanted = set(columns)
+    return [c for c in out_cols if c.name in wanted]
+
+
+def _events_select(spec: ImportSpec, sources: Mapping[str, DataFrame], out_cols: list[OutputColumn],
+                   namer: _Namer) -> tuple[DataFrame, dict[JoinEdge, str]]:
+    """The events dataset narrowed to its output columns plus one typed key per edge."""
+    ev = spec.events
+    for d in spec.datasets:
+        if d.name not in sources:
+            raise SpecError(f"no source for dataset {d.name!r}")
+    ev_src = sources[ev.name]
+    ev_schema = {f.name: f.dataType for f in ev_src.schema.fields}
+    _check_columns(ev, ev_schema)
+    ev_keys: dict[JoinEdge, str] = {}
+    sel: list[Column] = [F.col(quote(c.source)).alias(c.name) for c in out_cols
+                         if c.dataset == ev.name and not c.via and not c.export]
+    for j in ev.joins:
+        sname, _ = namer.next()
+        ev_keys[j] = sname
+        sel.append(_source_key(ev_schema, ev, j).alias(sname))
+    return ev_src.select(*sel), ev_keys
+
+
+def _cases_wide(spec: ImportSpec, sources: Mapping[str, DataFrame], out_cols: list[OutputColumn],
+                namer: _Namer, check: bool, guards: dict[tuple[str, str], DataFrame]) -> tuple[DataFrame, str]:
+    """The cases dataset with its lookups joined, keyed by the typed link target."""
+    cs = spec.cases
+    link = spec.case_edge()
+    cs_src = sources[cs.name]
+    cs_schema = {f.name: f.dataType for f in cs_src.schema.fields}
+    _check_columns(cs, cs_schema)
+    if link.target_column not in cs_schema:
+        raise SpecError(f"{cs.name} has no column {link.target_column!r}")
+    _, case_key = namer.next()
+    cs_keys: dict[JoinEdge, str] = {}
+    sel: list[Column] = [
+        typed_key(F.col(quote(link.target_column)), cs_schema[link.target_column], link.key_type,
+                  where=f"{cs.name}.{link.target_column}").alias(case_key)
+    ]
+    sel += [F.col(quote(c.source)).alias(c.name) for c in out_cols
+            if c.dataset == cs.name and not c.via and not c.export]
+    for j in cs.joins:
+        sname, _ = namer.next()
+        cs_keys[j] = sname
+        sel.append(_source_key(cs_schema, cs, j).alias(sname))
+    wanted_exports = {c.name for c in out_cols if c.export and c.dataset == cs.name}
+    sel += [_source_key(cs_schema, cs, j).alias(j.export_name) for j in cs.joins
+            if j.export_name in wanted_exports]
+    cases_wide = cs_src.select(*sel).filter(F.col(case_key).isNotNull())
+    if check:
+        what = f"{cs.name}.{link.target_column}"
+        guards[(what, link.key_type)] = guard_keys(cases_wide, case_key, what, key_spark_type(link.key_type))
+    cases_wide = _attach_lookups(cases_wide, cs, spec, sources, cs_keys, out_cols, namer, check, guards)
+    return cases_wide, case_key
+
+
+def _final_column(spec: ImportSpec, c: OutputColumn, ev_keys: dict[JoinEdge, str]) -> Column:
+    if c.export and c.dataset == spec.events.name:
+        edge = next(j for j in spec.events.joins if j.source_column == c.source and j.export_name == c.name)
+        return F.col(ev_keys[edge]).alias(c.name)
+    return F.col(quote(c.name))
+
+
 def star_join(spec: ImportSpec, sources: Mapping[str, DataFrame], check_keys: bool | None = None,
               columns: list[str] | tuple[str, ...] | None = None) -> DataFrame:
     """Assemble the star: one row per event (exactly one when target keys are unique).
@@ -203,73 +323,21 @@ def star_parts(spec: ImportSpec, sources: Mapping[str, DataFrame], check_keys: b
     """The star without its key check, and the check (empty unless a key repeats; None if off)."""
     spec.validate(require_roles=False)
     check = spec.check_keys if check_keys is None else check_keys
-    out_cols = output_columns(spec)
-    if columns is not None:
-        known = {c.name for c in out_cols}
-        unknown = [c for c in columns if c not in known]
-        if unknown:
-            raise SpecError(f"not star output columns: {unknown}")
-        wanted = set(columns)
-        out_cols = [c for c in out_cols if c.name in wanted]
+    out_cols = _wanted(output_columns(spec), columns)
     namer = _Namer()
     guards: dict[tuple[str, str], DataFrame] = {}
-    ev, cs = spec.events, spec.cases
-    for d in spec.datasets:
-        if d.name not in sources:
-            raise SpecError(f"no source for dataset {d.name!r}")
+    cs = spec.cases
 
     # Events side: included columns, typed foreign keys, export names.
-    ev_src = sources[ev.name]
-    ev_schema = {f.name: f.dataType for f in ev_src.schema.fields}
-    _check_columns(ev, ev_schema)
-    ev_keys: dict[JoinEdge, str] = {}
-    ev_sel: list[Column] = [F.col(quote(c.source)).alias(c.name) for c in out_cols
-                            if c.dataset == ev.name and not c.via and not c.export]
-    for j in ev.joins:
-        sname, _ = namer.next()
-        ev_keys[j] = sname
-        ev_sel.append(_source_key(ev_schema, ev, j).alias(sname))
-    base = ev_src.select(*ev_sel)
+    base, ev_keys = _events_select(spec, sources, out_cols, namer)
 
     # Cases side with its own lookups, then the events -> cases link.
-    needs_cases = cs is not None and (not check or any(
-        c.dataset == cs.name or c.via.startswith(cs.name + ".") for c in out_cols))
+    needs_cases = cs is not None and (not check or any(is_case_side(spec, c) for c in out_cols))
     if needs_cases:
+        cases_wide, case_key = _cases_wide(spec, sources, out_cols, namer, check, guards)
         link = spec.case_edge()
-        cs_src = sources[cs.name]
-        cs_schema = {f.name: f.dataType for f in cs_src.schema.fields}
-        _check_columns(cs, cs_schema)
-        if link.target_column not in cs_schema:
-            raise SpecError(f"{cs.name} has no column {link.target_column!r}")
-        _, case_key = namer.next()
-        cs_keys: dict[JoinEdge, str] = {}
-        cs_sel: list[Column] = [
-            typed_key(F.col(quote(link.target_column)), cs_schema[link.target_column], link.key_type,
-                      where=f"{cs.name}.{link.target_column}").alias(case_key)
-        ]
-        cs_sel += [F.col(quote(c.source)).alias(c.name) for c in out_cols
-                   if c.dataset == cs.name and not c.via and not c.export]
-        for j in cs.joins:
-            sname, _ = namer.next()
-            cs_keys[j] = sname
-            cs_sel.append(_source_key(cs_schema, cs, j).alias(sname))
-        wanted_exports = {c.name for c in out_cols if c.export and c.dataset == cs.name}
-        cs_sel += [_source_key(cs_schema, cs, j).alias(j.export_name) for j in cs.joins
-                   if j.export_name in wanted_exports]
-        cases_wide = cs_src.select(*cs_sel).filter(F.col(case_key).isNotNull())
-        if check:
-            what = f"{cs.name}.{link.target_column}"
-            guards[(what, link.key_type)] = guard_keys(cases_wide, case_key, what, key_spark_type(link.key_type))
-        cases_wide = _attach_lookups(cases_wide, cs, spec, sources, cs_keys, out_cols, namer, check, guards)
         base = base.join(cases_wide, base[ev_keys[link]] == cases_wide[case_key], "left")
 
-    base = _attach_lookups(base, ev, spec, sources, ev_keys, out_cols, namer, check, guards)
-
-    final: list[Column] = []
-    for c in out_cols:
-        if c.export and c.dataset == ev.name:
-            edge = next(j for j in ev.joins if j.source_column == c.source and j.export_name == c.name)
-            final.append(F.col(ev_keys[edge]).alias(c.name))
-        else:
-            final.append(F.col(quote(c.name)))
+    base = _attach_lookups(base, spec.events, spec, sources, ev_keys, out_cols, namer, check, guards)
+    final = [_final_column(spec, c, ev_keys) for c in out_cols]
     return base.select(*final), key_guard(list(guards.values()))

@@ -212,15 +212,13 @@ def _sales_log(spark: SparkSession, sf_dir: str, *columns: str) -> tuple[ImportS
 
 
 def case_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec, log = _sales_log(spark, sf_dir, "l_returnflag")
-    r = spec.roles()
-    return cases.case_values(log, r.case, r.order(), {"l_returnflag": ("l_returnflag", "First")})
+    return eventlog.case_aggregate(sales_spec(), sales_sources(spark, sf_dir),
+                                   rules={"l_returnflag": ("l_returnflag", "First")}, count=None)
 
 
 def case_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec, log = _sales_log(spark, sf_dir, "l_returnflag")
-    r = spec.roles()
-    return cases.case_values(log, r.case, r.order(), {"l_returnflag": ("l_returnflag", "Last")})
+    return eventlog.case_aggregate(sales_spec(), sales_sources(spark, sf_dir),
+                                   rules={"l_returnflag": ("l_returnflag", "Last")}, count=None)
 
 
 def case_attributes_on_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,8 +252,9 @@ def finance_per_resource(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- measures
 def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec, log = _sales_log(spark, sf_dir, "o_orderdate")
-    return measures.durations(log, spec.roles().case, "o_orderdate", "l_shipdate")
+    per_case = eventlog.case_aggregate(sales_spec(), sales_sources(spark, sf_dir),
+                                       mins={"first_start": "o_orderdate"}, maxs={"last_end": "l_shipdate"})
+    return measures.add_seconds(per_case, "first_start", "last_end")
 
 
 def event_order(spark: SparkSession, sf_dir: str) -> DataFrame:
