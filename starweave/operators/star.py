@@ -24,7 +24,7 @@ skew-join rule, which only splits a partition when the join sits directly on its
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -194,46 +194,77 @@ def is_case_side(spec: ImportSpec, c: OutputColumn) -> bool:
 
 
 @dataclass(frozen=True)
-class CaseParts:
-    """The two halves of a star split at the events -> cases link.
+class SplitParts:
+    """A star split at one edge: the near side and the edge's target, not yet joined.
 
-    ``events``: events joined to their own lookups, with ``events_key`` (the typed link key).
-    ``cases``: the cases table joined to its lookups, with ``cases_key`` (the typed target key).
+    ``near``: events with every other join needed for ``columns``, plus ``near_key`` (the typed
+    key of the split edge). ``far``: the edge's target (for the cases link, the cases table
+    with its lookups), with ``far_key``. ``far_columns``: output columns on the far side.
     ``guard``: the key check of every target touched (None when the check is off).
     """
 
-    events: DataFrame
-    events_key: str
-    cases: DataFrame
-    cases_key: str
+    near: DataFrame
+    near_key: str
+    far: DataFrame
+    far_key: str
+    far_columns: tuple[str, ...]
     guard: DataFrame | None
 
 
-def case_parts(spec: ImportSpec, sources: Mapping[str, DataFrame], columns: list[str] | tuple[str, ...],
-               check_keys: bool | None = None) -> CaseParts:
-    """Build both halves of the star for the named output columns, without joining them.
+def split_edge_of(spec: ImportSpec, column: str) -> JoinEdge | None:
+    """The events edge whose far side supplies ``column``: the cases link for cases-side
+    columns, the lookup edge for an events-lookup column; None for an events column."""
+    c = next((o for o in output_columns(spec) if o.name == column), None)
+    if c is None:
+        raise SpecError(f"{column!r} is not a star output column")
+    if is_case_side(spec, c):
+        return spec.case_edge()
+    for j in spec.events.joins:
+        if c.via == _edge_label(spec.events, j):
+            return j
+    return None
 
-    Callers that reduce events to one row per case aggregate ``events`` by ``events_key`` first
-    and join the result to ``cases``: the events are then shuffled as partial aggregates, and
-    the join runs over one row per case instead of one per event.
+
+def split_parts(spec: ImportSpec, sources: Mapping[str, DataFrame], columns: list[str] | tuple[str, ...],
+                edge: JoinEdge, check_keys: bool | None = None) -> SplitParts:
+    """Build both sides of the star split at the events ``edge`` for the named output columns.
+
+    Callers that reduce events per group of a far-side column aggregate ``near`` by
+    ``near_key`` first and join the result to ``far``: events are then shuffled only as
+    partial aggregates, and the join runs over one row per key.
     """
     spec.validate(require_roles=False)
-    if spec.cases is None:
-        raise SpecError("case_parts needs a cases dataset")
+    if edge not in spec.events.joins:
+        raise SpecError("split_parts splits at an edge of the events dataset")
     check = spec.check_keys if check_keys is None else check_keys
     out_cols = _wanted(output_columns(spec), columns)
     namer = _Namer()
     guards: dict[tuple[str, str], DataFrame] = {}
-    link = spec.case_edge()
-    ev_cols = [c for c in out_cols if not is_case_side(spec, c)]
-    cs_cols = [c for c in out_cols if is_case_side(spec, c)]
-    base, ev_keys = _events_select(spec, sources, ev_cols, namer)
-    base = _attach_lookups(base, spec.events, spec, sources, ev_keys, ev_cols, namer, check, guards)
-    ev_final = [_final_column(spec, c, ev_keys) for c in ev_cols] + [F.col(ev_keys[link])]
-    cases_wide, case_key = _cases_wide(spec, sources, cs_cols, namer, check, guards)
-    cs_final = [F.col(quote(c.name)) for c in cs_cols] + [F.col(case_key)]
-    return CaseParts(base.select(*ev_final), ev_keys[link], cases_wide.select(*cs_final), case_key,
-                     key_guard(list(guards.values())))
+    target = spec.dataset(edge.target_dataset)
+    on_cases = target.kind == KIND_CASES
+    if on_cases:
+        far_cols = [c for c in out_cols if is_case_side(spec, c)]
+    else:
+        far_cols = [c for c in out_cols if c.via == _edge_label(spec.events, edge)]
+    near_cols = [c for c in out_cols if c not in far_cols]
+    base, ev_keys = _events_select(spec, sources, near_cols, namer)
+    if not on_cases and any(is_case_side(spec, c) for c in near_cols):
+        cases_wide, case_key = _cases_wide(spec, sources, near_cols, namer, check, guards)
+        base = base.join(cases_wide, base[ev_keys[spec.case_edge()]] == cases_wide[case_key], "left")
+    others = replace(spec.events, joins=tuple(j for j in spec.events.joins if j != edge))
+    base = _attach_lookups(base, others, spec, sources, ev_keys, near_cols, namer, check, guards)
+    near = base.select(*[_final_column(spec, c, ev_keys) for c in near_cols], F.col(ev_keys[edge]))
+    if on_cases:
+        far, far_key = _cases_wide(spec, sources, far_cols, namer, check, guards)
+    else:
+        _, far_key = namer.next()
+        far = _lookup_side(sources[target.name], target, edge, far_key, far_cols)
+        if check:
+            what = f"{target.name}.{edge.target_column}"
+            guards.setdefault((what, edge.key_type), guard_keys(far, far_key, what, key_spark_type(edge.key_type)))
+    far = far.select(*[F.col(quote(c.name)) for c in far_cols], F.col(far_key))
+    return SplitParts(near, ev_keys[edge], far, far_key, tuple(c.name for c in far_cols),
+                      key_guard(list(guards.values())))
 
 
 def _wanted(out_cols: list[OutputColumn], columns: list[str] | tuple[str, ...] | None) -> list[OutputColumn]:

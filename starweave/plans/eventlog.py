@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.types import quote
 from ..operators.cases import attach_case_attributes, finance_totals
 from ..operators.project import apply_attributes, excluded_columns
-from ..operators.star import _with_guards, case_parts, is_case_side, output_columns, star_join
+from ..operators.star import _with_guards, output_columns, split_edge_of, split_parts, star_join
 from .spec import ImportSpec, SpecError
 
 
@@ -83,57 +83,66 @@ def case_aggregate(spec: ImportSpec, sources: Mapping[str, DataFrame], *,
                    mins: Mapping[str, str] | None = None, maxs: Mapping[str, str] | None = None,
                    sums: Mapping[str, str] | None = None, count: str | None = "n_events",
                    check_keys: bool | None = None) -> DataFrame:
-    """Reduce the events of each case: one row per case that has events.
-
-    Output: the case column, then ``count`` (if named), ``mins``, ``maxs``, ``rules`` (First or
-    Last in DEC-3 order) and ``sums`` (money as ``decimal(18,2)``, returned as double), each a
-    mapping from output name to attribute.
-
-    When the Case attribute comes from the cases dataset, the events are reduced *before* they
-    meet it: grouped by their typed link key (partial aggregation in every map task, so a hot
-    case never lands whole in one task), then joined, one row per key, to the cases side, and
-    merged per case; keys with no case fold into the single null-case group (DEC-14). The
-    events are never shuffled whole, only as partial aggregates, and the cases join runs over
-    one row per key. Columns of the cases side are constant within a case, so their
-    Min/Max/First/Last is the case's own value. Without a cases dataset the event log is
-    grouped directly.
+    """Reduce the events of each case: one row per case that has events (see ``group_aggregate``)."""
+    spec.validate()
+    return group_aggregate(spec, sources, spec.roles().case, rules=rules, mins=mins, maxs=maxs, sums=sums,
+                           count=count, check_keys=check_keys)
+
+
+def group_aggregate(spec: ImportSpec, sources: Mapping[str, DataFrame], group: str, *,
+                    rules: Mapping[str, tuple[str, str]] | None = None,
+                    mins: Mapping[str, str] | None = None, maxs: Mapping[str, str] | None = None,
+                    sums: Mapping[str, str] | None = None, count: str | None = "n_events",
+                    order: list[str] | None = None, check_keys: bool | None = None) -> DataFrame:
+    """Reduce the events of each value of ``group``: one row per value that has events.
+
+    Output: ``group``, then ``count`` (if named), ``mins``, ``maxs``, ``rules`` (First or Last
+    in ``order``, by default the DEC-3 order) and ``sums`` (money as ``decimal(18,2)``, returned
+    as double), each a mapping from output name to attribute.
+
+    When ``group`` comes from the far side of an events edge (the cases table, or a lookup such
+    as the resource's), the events are reduced *before* they meet that side: grouped by the
+    edge's typed key (partial aggregation in every map task, so a hot key never lands whole in
+    one task), joined one row per key to the far side, then merged per group. Events are never
+    shuffled whole for that join, only as partial aggregates. Far-side values are constant per
+    key: Min/Max/Sum use them once per key (Sum weighs by the key's event count) and First/Last
+    pair them with the key's first/last event before the merge. Keys with no match have a null
+    group and merge into the single null group (DEC-14). Otherwise the event log is grouped
+    directly.
     """
     spec.validate()
     roles = spec.roles()
     rules, mins, maxs, sums = dict(rules or {}), dict(mins or {}), dict(maxs or {}), dict(sums or {})
-    order = list(roles.order())
-    cols = {c.name: c for c in output_columns(spec)}
-    referenced = [roles.case, *order, *[c for c, _ in rules.values()], *mins.values(), *maxs.values(),
+    order = list(roles.order() if order is None else order)
+    cols = {c.name for c in output_columns(spec)}
+    referenced = [group, *order, *[c for c, _ in rules.values()], *mins.values(), *maxs.values(),
                   *sums.values()]
     missing = [c for c in referenced if c not in cols]
     if missing:
         raise SpecError(f"not columns of the event log: {sorted(set(missing))}")
     needed = list(dict.fromkeys(referenced))
-
-    def case_side(name: str) -> bool:
-        return is_case_side(spec, cols[name])
-
-    split = spec.cases is not None and case_side(roles.case) and not any(case_side(c) for c in sums.values())
-    if not split:
+    edge = split_edge_of(spec, group)
+    if edge is None:
         log = _attributed(spec, sources, check_keys, needed)
-        partials, post = _reductions(order, rules, mins, maxs, sums, count, lambda name: False)
-        out = log.groupBy(F.col(quote(roles.case))).agg(*[e.alias(n) for n, e in partials])
-        return out.select(F.col(quote(roles.case)), *[expr.alias(name) for name, expr in post])
-
-    parts = case_parts(spec, sources, needed, check_keys)
-    ev = _typed(spec, parts.events)
-    cw = _typed(spec, parts.cases)
-    ev_order = [c for c in order if not case_side(c)]
-    partials, post = _reductions(ev_order, rules, mins, maxs, sums, count, case_side)
-    per_key = ev.groupBy(F.col(parts.events_key)).agg(*[e.alias(n) for n, e in partials])
-    joined = per_key.join(cw, per_key[parts.events_key] == cw[parts.cases_key], "left")
-    # One row per key now. Keys of one case meet in one group; keys with no case all have a
-    # null case and merge into the single null-case group (DEC-14). Case-side columns are
-    # constant per group, so any value will do.
-    carried = [c for c in cw.columns if c not in (parts.cases_key, roles.case)]
-    merged = joined.groupBy(F.col(quote(roles.case))).agg(
-        *[_merge(n) for n, _ in partials], *[F.any_value(F.col(quote(c))).alias(c) for c in carried])
-    out = merged.select(F.col(quote(roles.case)), *[expr.alias(name) for name, expr in post])
+        partials, post = _reductions(order, rules, mins, maxs, sums, count, set())
+        out = log.groupBy(F.col(quote(group))).agg(*[e.alias(n) for n, e in partials])
+        return out.select(F.col(quote(group)), *[expr.alias(name) for name, expr in post])
+
+    parts = split_parts(spec, sources, needed, edge, check_keys)
+    far = set(parts.far_columns)
+    near_df = _typed(spec, parts.near)
+    far_df = _typed(spec, parts.far)
+    near_order = [c for c in order if c not in far]
+    partials, post = _reductions(near_order, rules, mins, maxs, sums, count, far)
+    per_key = near_df.groupBy(F.col(parts.near_key)).agg(*[e.alias(n) for n, e in partials])
+    joined = per_key.join(far_df, per_key[parts.near_key] == far_df[parts.far_key], "left")
+    # One row per key now: far-side values are constant per key. Pair them with the key's
+    # partials, then merge the keys of each group; keys without a match all have a null group.
+    merges, far_post = _far_merges(partials, rules, mins, maxs, sums, far)
+    merged = joined.groupBy(F.col(quote(group))).agg(*merges)
+    exprs = dict(post + far_post)
+    names = ([count] if count else []) + [*mins, *maxs, *rules, *sums]
+    out = merged.select(F.col(quote(group)), *[exprs[n].alias(n) for n in names])
     return _with_guards(out, parts.guard)
 
 
@@ -145,130 +154,77 @@ def _typed(spec: ImportSpec, df: DataFrame) -> DataFrame:
 def _pack(order: list[str], values: list[str]) -> Column:
     fields = [F.col(quote(c)).alias(f"o{i}") for i, c in enumerate(order)]
     fields += [F.col(quote(c)).alias(f"v{i}") for i, c in enumerate(values)]
+    if not fields:
+        fields = [F.lit(0).alias("o0")]
     return F.struct(*fields)
 
 
 def _reductions(order: list[str], rules: dict, mins: dict, maxs: dict, sums: dict, count: str | None,
-                case_side) -> tuple[list[tuple[str, Column]], list[tuple[str, Column]]]:
-    """Decomposable aggregates ``(name, expression)`` over event-side columns, and the output
-    expressions over them; case-side columns are read as they are (constant per case)."""
+                far: set[str]) -> tuple[list[tuple[str, Column]], list[tuple[str, Column]]]:
+    """Decomposable aggregates ``(name, expression)`` over near-side columns, and the output
+    expressions over them. Far-side columns are left to ``_far_merges``."""
     aggs: list[tuple[str, Column]] = [("__n", F.count(F.lit(1)))]
     post: list[tuple[str, Column]] = []
     if count:
         post.append((count, F.col("__n")))
     for label, spec_map, fn in (("__min", mins, F.min), ("__max", maxs, F.max)):
         for i, (out, col) in enumerate(spec_map.items()):
-            if case_side(col):
-                post.append((out, F.col(quote(col))))
-            else:
+            if col not in far:
                 aggs.append((f"{label}{i}", fn(F.col(quote(col)))))
                 post.append((out, F.col(f"{label}{i}")))
-    firsts = [(o, c) for o, (c, how) in rules.items() if how != "Last" and not case_side(c)]
-    lasts = [(o, c) for o, (c, how) in rules.items() if how == "Last" and not case_side(c)]
-    for label, group, fn in (("__first", firsts, F.min), ("__last", lasts, F.max)):
-        if group:
+    firsts = [(o, c) for o, (c, how) in rules.items() if how != "Last" and c not in far]
+    lasts = [(o, c) for o, (c, how) in rules.items() if how == "Last" and c not in far]
+    has_far_first = any(how != "Last" and c in far for c, how in rules.values())
+    has_far_last = any(how == "Last" and c in far for c, how in rules.values())
+    for label, group, fn, needed in (("__first", firsts, F.min, has_far_first),
+                                     ("__last", lasts, F.max, has_far_last)):
+        if group or needed:
             aggs.append((label, fn(_pack(order, [c for _, c in group]))))
     for out, (col, how) in rules.items():
-        if case_side(col):
-            post.append((out, F.col(quote(col))))
-        else:
+        if col not in far:
             label, group = ("__last", lasts) if how == "Last" else ("__first", firsts)
             i = [o for o, _ in group].index(out)
-            post.append((out, F.col(label)[f"v{i}"]))
+            post.append((out, F.col(label)["p"][f"v{i}"] if far else F.col(label)[f"v{i}"]))
     for i, (out, col) in enumerate(sums.items()):
-        aggs.append((f"__sum{i}", F.sum(F.col(quote(col)).cast("decimal(18,2)"))))
-        post.append((out, F.col(f"__sum{i}").cast("double")))
+        if col not in far:
+            aggs.append((f"__sum{i}", F.sum(F.col(quote(col)).cast("decimal(18,2)"))))
+            post.append((out, F.col(f"__sum{i}").cast("double")))
     return aggs, post
 
 
-def _merge(name: str) -> Column:
-    """How per-key partial results combine into one group."""
-    c = F.col(name)
-    if name == "__n" or name.startswith("__sum"):
-        return F.sum(c).alias(name)
-    if name.startswith(("__min", "__first")):
-        return F.min(c).alias(name)
-    return F.max(c).alias(name)
-
+def _far_merges(partials: list[tuple[str, Column]], rules: dict, mins: dict, maxs: dict, sums: dict,
+                far: set[str]) -> tuple[list[Column], list[tuple[str, Column]]]:
+    """Merge per-key partials per group, folding in far-side values (constant per key).
 
-def finance(spec: ImportSpec, sources: Mapping[str, DataFrame], attribute: str,
-            by: list[str] | None = None, check_keys: bool | None = None) -> DataFrame:
-    """Total of one finance attribute under its FinanceImportType (G5–G7, DEC-11).
-
-    ``by`` defaults to the case column for PerEvent and PerCase, and to the resource column
-    for PerResource. PerEvent by case and PerCase reduce per case first (``case_aggregate``);
-    the other groupings sum over the event log.
+    Returns the merge aggregates and the output expressions of the far-side columns.
     """
-    spec.validate()
-    a = spec.attribute(attribute)
-    if a is None or a.finance == "None":
-        raise SpecError(f"{attribute!r} is not a finance attribute")
-    roles = spec.roles()
-    by = list(by or [])
-    if a.finance == "PerEvent" and by in ([], [roles.case]):
-        return case_aggregate(spec, sources, sums={"total": attribute}, count=None, check_keys=check_keys)
-    if a.finance == "PerCase":
-        carried = {c: (c, "First") for c in dict.fromkeys([attribute, *by]) if c != roles.case}
-        per_case = case_aggregate(spec, sources, rules=carried, count=None, check_keys=check_keys)
-        money = F.col(quote(attribute)).cast("decimal(18,2)")
-        group = [F.col(quote(c)) for c in (by or [roles.case])]
-        return per_case.groupBy(*group).agg(F.sum(money).cast("double").alias("total"))
-    needed = [attribute, roles.case, *roles.order(), *by] + ([roles.resource] if roles.resource else [])
-    log = _attributed(spec, sources, check_keys, list(dict.fromkeys(needed)))
-    if a.finance == "PerResource":
-        if not roles.resource:
-            raise SpecError("PerResource needs a Resource role")
-        default_by = [roles.resource]
-        order = [c for c in roles.order() if c != roles.resource] + [roles.case]
-    else:
-        default_by = [roles.case]
-        order = list(roles.order())
-    return finance_totals(log, attribute, a.finance, by or default_by, order=order,
-                          case=roles.case, resource=roles.resource)
+    def side(last: bool) -> list[str]:
+        return [c for c, how in rules.values() if c in far and (how == "Last") == last]
 
-
-def _typed(spec: ImportSpec, df: DataFrame) -> DataFrame:
-    present = set(df.columns)
-    return apply_attributes(df, [a for a in spec.attributes if a.name in present], drop_excluded=False)
-
-
-def _pack(order: list[str], values: list[str]) -> Column:
-    fields = [F.col(quote(c)).alias(f"o{i}") for i, c in enumerate(order)]
-    fields += [F.col(quote(c)).alias(f"v{i}") for i, c in enumerate(values)]
-    return F.struct(*fields)
-
-
-def _reductions(order: list[str], rules: dict, mins: dict, maxs: dict, sums: dict, count: str | None,
-                case_side) -> tuple[list[tuple[str, Column]], list[tuple[str, Column]]]:
-    """Decomposable aggregates ``(name, expression)`` over event-side columns, and the output
-    expressions over them; case-side columns are read as they are (constant per case)."""
-    aggs: list[tuple[str, Column]] = [("__n", F.count(F.lit(1)))]
+    merges: list[Column] = []
     post: list[tuple[str, Column]] = []
-    if count:
-        post.append((count, F.col("__n")))
-    for label, spec_map, fn in (("__min", mins, F.min), ("__max", maxs, F.max)):
+    for name, _ in partials:
+        if name in ("__first", "__last"):
+            values = side(name == "__last")
+            packed = F.struct(F.col(name).alias("p"), *[F.col(quote(c)).alias(f"x{i}") for i, c in enumerate(values)])
+            merges.append((F.min(packed) if name == "__first" else F.max(packed)).alias(name))
+        else:
+            merges.append(_merge(name))
+    for label, spec_map, fn in (("__fmin", mins, F.min), ("__fmax", maxs, F.max)):
         for i, (out, col) in enumerate(spec_map.items()):
-            if case_side(col):
-                post.append((out, F.col(quote(col))))
-            else:
-                aggs.append((f"{label}{i}", fn(F.col(quote(col)))))
+            if col in far:
+                merges.append(fn(F.col(quote(col))).alias(f"{label}{i}"))
                 post.append((out, F.col(f"{label}{i}")))
-    firsts = [(o, c) for o, (c, how) in rules.items() if how != "Last" and not case_side(c)]
-    lasts = [(o, c) for o, (c, how) in rules.items() if how == "Last" and not case_side(c)]
-    for label, group, fn in (("__first", firsts, F.min), ("__last", lasts, F.max)):
-        if group:
-            aggs.append((label, fn(_pack(order, [c for _, c in group]))))
     for out, (col, how) in rules.items():
-        if case_side(col):
-            post.append((out, F.col(quote(col))))
-        else:
-            label, group = ("__last", lasts) if how == "Last" else ("__first", firsts)
-            i = [o for o, _ in group].index(out)
-            post.append((out, F.col(label)[f"v{i}"]))
+        if col in far:
+            name = "__last" if how == "Last" else "__first"
+            post.append((out, F.col(name)[f"x{side(how == 'Last').index(col)}"]))
     for i, (out, col) in enumerate(sums.items()):
-        aggs.append((f"__sum{i}", F.sum(F.col(quote(col)).cast("decimal(18,2)"))))
-        post.append((out, F.col(f"__sum{i}").cast("double")))
-    return aggs, post
+        if col in far:
+            weighted = F.col(quote(col)).cast("decimal(18,2)") * F.col("__n")
+            merges.append(F.sum(weighted).alias(f"__fsum{i}"))
+            post.append((out, F.col(f"__fsum{i}").cast("double")))
+    return merges, post
 
 
 def _merge(name: str) -> Column:
@@ -283,10 +239,11 @@ def _merge(name: str) -> Column:
 
 def finance(spec: ImportSpec, sources: Mapping[str, DataFrame], attribute: str,
             by: list[str] | None = None, check_keys: bool | None = None) -> DataFrame:
-    """Total of one finance attribute under its FinanceImportType (G5–G7).
+    """Total of one finance attribute under its FinanceImportType (G5–G7, DEC-11).
 
     ``by`` defaults to the case column for PerEvent and PerCase, and to the resource column
-    for PerResource.
+    for PerResource. PerEvent by case, PerCase and PerResource reduce per case or resource first
+    (``group_aggregate``); PerEvent by other columns sums over the event log.
     """
     spec.validate()
     a = spec.attribute(attribute)
@@ -294,15 +251,25 @@ def finance(spec: ImportSpec, sources: Mapping[str, DataFrame], attribute: str,
         raise SpecError(f"{attribute!r} is not a finance attribute")
     roles = spec.roles()
     by = list(by or [])
-    needed = [attribute, roles.case, *roles.order(), *by] + ([roles.resource] if roles.resource else [])
-    log = _attributed(spec, sources, check_keys, list(dict.fromkeys(needed)))
+    if a.finance == "PerEvent" and by in ([], [roles.case]):
+        return case_aggregate(spec, sources, sums={"total": attribute}, count=None, check_keys=check_keys)
+    if a.finance == "PerCase":
+        carried = {c: (c, "First") for c in dict.fromkeys([attribute, *by]) if c != roles.case}
+        per_case = case_aggregate(spec, sources, rules=carried, count=None, check_keys=check_keys)
+        money = F.col(quote(attribute)).cast("decimal(18,2)")
+        group = [F.col(quote(c)) for c in (by or [roles.case])]
+        return per_case.groupBy(*group).agg(F.sum(money).cast("double").alias("total"))
     if a.finance == "PerResource":
         if not roles.resource:
             raise SpecError("PerResource needs a Resource role")
-        default_by = [roles.resource]
+        # DEC-3 order within a resource; the case closes ties between cases.
         order = [c for c in roles.order() if c != roles.resource] + [roles.case]
-    else:
-        default_by = [roles.case]
-        order = list(roles.order())
-    return finance_totals(log, attribute, a.finance, by or default_by, order=order,
-                          case=roles.case, resource=roles.resource)
+        carried = {c: (c, "First") for c in dict.fromkeys([attribute, *by]) if c != roles.resource}
+        per_resource = group_aggregate(spec, sources, roles.resource, rules=carried, count=None, order=order,
+                                       check_keys=check_keys)
+        money = F.col(quote(attribute)).cast("decimal(18,2)")
+        group = [F.col(quote(c)) for c in (by or [roles.resource])]
+        return per_resource.groupBy(*group).agg(F.sum(money).cast("double").alias("total"))
+    needed = [attribute, roles.case, *roles.order(), *by]
+    log = _attributed(spec, sources, check_keys, list(dict.fromkeys(needed)))
+    return finance_totals(log, attribute, a.finance, by, order=list(roles.order()), case=roles.case)

@@ -91,3 +91,35 @@ def test_case_aggregate_split_matches_log_grouping(spark):
     assert split.exceptAll(brute).count() == 0 and brute.exceptAll(split).count() == 0
     orphans = li.filter(F.col("l_orderkey") < 0).count()
     assert split.filter(F.col("o_orderkey").isNull()).first()["n_events"] == orphans
+
+
+def test_group_aggregate_by_lookup_column_matches_log_grouping(spark):
+    """Grouping by a lookup column (resource) after a per-key reduction equals grouping the
+    whole event log, with names shared by two supplier keys and a hot supplier."""
+    from starweave.plans import eventlog, stars
+
+    spec = stars.sales_spec()
+    src = stars.sales_sources(spark, SF01)
+    sup = src["supplier"].withColumn("s_name", F.concat(F.lit("S"), (F.col("s_suppkey") % 50).cast("string")))
+    li = src["lineitem"].withColumn(
+        "l_suppkey", F.when(F.col("l_partkey") % 3 == 0, F.lit(5)).otherwise(F.col("l_suppkey")))
+    src = {**src, "supplier": sup, "lineitem": li}
+    order = ["l_shipdate", "l_linenumber", "l_partkey", "o_orderkey"]
+    got = eventlog.group_aggregate(
+        spec, src, "s_name", order=order,
+        rules={"bal": ("s_acctbal", "First"), "rf": ("l_returnflag", "Last")},
+        mins={"first_ship": "l_shipdate"}, sums={"tot": "l_extendedprice", "bal_sum": "s_acctbal"})
+    log = eventlog.event_log(spec, src)
+    key = [F.col(c) for c in order]
+    want = log.groupBy("s_name").agg(
+        F.count(F.lit(1)).alias("n_events"),
+        F.min("l_shipdate").alias("first_ship"),
+        F.min(F.struct(*key, F.col("s_acctbal"))).alias("f"),
+        F.max(F.struct(*key, F.col("l_returnflag"))).alias("l"),
+        F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("tot"),
+        F.sum(F.col("s_acctbal").cast("decimal(18,2)")).cast("double").alias("bal_sum"),
+    ).select("s_name", "n_events", "first_ship", F.col("f.s_acctbal").alias("bal"),
+             F.col("l.l_returnflag").alias("rf"), "tot", "bal_sum")
+    assert got.columns == want.columns
+    assert got.count() == want.count() == 50
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
