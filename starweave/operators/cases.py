@@ -79,10 +79,19 @@ def attach_case_attributes(log: DataFrame, case: str, order: Sequence[str],
 
     Same answer as ``first_value``/``last_value`` over a full-frame window partitioned by case,
     but computed as a partial aggregate joined back: a window would put a whole case into one
-    task, the aggregate never does. The join back is null-safe, so events without a case get
-    the values of the null-case group, as a window partition on a null key would.
+    task, the aggregate never does.
     """
-    values = case_values(log, case, order, rules).withColumnRenamed(case, "__case")
+    return attach_case_values(log, case, case_values(log, case, order, rules))
+
+
+def attach_case_values(log: DataFrame, case: str, values: DataFrame) -> DataFrame:
+    """Join one row of values per case (keyed by ``case``) onto every event of that case.
+
+    The join is null-safe, so events without a case get the values of the null-case group, as
+    a window partition on a null key would. Its keys are expressions of the case column, so
+    both sides are shuffled for the join itself and AQE can split a hot case's partition.
+    """
+    values = values.withColumnRenamed(case, "__case")
     joined = log.join(values, log[quote(case)].eqNullSafe(values["__case"]), "left")
     return joined.drop("__case")
 

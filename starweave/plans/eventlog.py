@@ -17,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.types import quote
-from ..operators.cases import attach_case_attributes, finance_totals
+from ..operators.cases import attach_case_values, finance_totals
 from ..operators.project import apply_attributes, excluded_columns
 from ..operators.star import _with_guards, output_columns, split_edge_of, split_parts, star_join
 from .spec import ImportSpec, SpecError
@@ -50,7 +50,8 @@ def event_log(spec: ImportSpec, sources: Mapping[str, DataFrame], check_keys: bo
         rules = {k: v for k, v in case_rules(spec).items() if k in log.columns}
         if rules:
             renamed = {f"__cl_{k}": v for k, v in rules.items()}
-            log = attach_case_attributes(log, roles.case, roles.order(), renamed)
+            values = case_aggregate(spec, sources, rules=renamed, count=None, check_keys=check_keys)
+            log = attach_case_values(log, roles.case, values)
             for out in rules:
                 log = log.withColumn(out, log[f"__cl_{out}"]).drop(f"__cl_{out}")
     log = log.drop(*excluded_columns(spec.attributes))

@@ -223,11 +223,12 @@ def case_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def case_attributes_on_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = clicks_spec()
-    r = spec.roles()
-    log = eventlog.event_log(spec, clicks_sources(spark, sf_dir),
-                             columns=["event_id", "event_type", r.case, *r.order()])
+    sources = clicks_sources(spark, sf_dir)
+    case = spec.roles().case
+    log = eventlog.event_log(spec, sources, columns=["event_id", case])
     rules = {"first_type": ("event_type", "First"), "last_type": ("event_type", "Last")}
-    return cases.attach_case_attributes(log, r.case, r.order(), rules).select("event_id", "first_type", "last_type")
+    values = eventlog.case_aggregate(spec, sources, rules=rules, count=None)
+    return cases.attach_case_values(log, case, values).select("event_id", "first_type", "last_type")
 
 
 def case_table_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
