@@ -11,9 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.types import quote
@@ -139,7 +137,7 @@ def group_aggregate(spec: ImportSpec, sources: Mapping[str, DataFrame], group: s
     joined = per_key.join(far_df, per_key[parts.near_key] == far_df[parts.far_key], "left")
     # One row per key now: far-side values are constant per key. Pair them with the key's
     # partials, then merge the keys of each group; keys without a match all have a null group.
-    merges, far_post = _far_merges(partials, rules, mins, maxs, sums, far)
+    merges, far_post = _far_merges(partials, rules, mins, maxs, sums, far, order, near_order)
     merged = joined.groupBy(F.col(quote(group))).agg(*merges)
     exprs = dict(post + far_post)
     names = ([count] if count else []) + [*mins, *maxs, *rules, *sums]
@@ -185,7 +183,7 @@ def _reductions(order: list[str], rules: dict, mins: dict, maxs: dict, sums: dic
         if col not in far:
             label, group = ("__last", lasts) if how == "Last" else ("__first", firsts)
             i = [o for o, _ in group].index(out)
-            post.append((out, F.col(label)["p"][f"v{i}"] if far else F.col(label)[f"v{i}"]))
+            post.append((out, F.col(label)[f"v{i}"]))
     for i, (out, col) in enumerate(sums.items()):
         if col not in far:
             aggs.append((f"__sum{i}", F.sum(F.col(quote(col)).cast("decimal(18,2)"))))
@@ -194,23 +192,31 @@ def _reductions(order: list[str], rules: dict, mins: dict, maxs: dict, sums: dic
 
 
 def _far_merges(partials: list[tuple[str, Column]], rules: dict, mins: dict, maxs: dict, sums: dict,
-                far: set[str]) -> tuple[list[Column], list[tuple[str, Column]]]:
+                far: set[str], order: list[str], near_order: list[str]
+                ) -> tuple[list[Column], list[tuple[str, Column]]]:
     """Merge per-key partials per group, folding in far-side values (constant per key).
 
-    Returns the merge aggregates and the output expressions of the far-side columns.
+    First/Last: each key's first (last) event is repacked with the *full* order, far-side order
+    columns included, followed by its near-side and far-side values; the merge takes the min
+    (max) of those, so keys that share a group are compared in the complete order. Returns the
+    merge aggregates and the output expressions of the far-side columns.
     """
-    def side(last: bool) -> list[str]:
-        return [c for c, how in rules.values() if c in far and (how == "Last") == last]
+    def values(last: bool, on_far: bool) -> list[str]:
+        return [c for c, how in rules.values() if (c in far) == on_far and (how == "Last") == last]
 
     merges: list[Column] = []
     post: list[tuple[str, Column]] = []
     for name, _ in partials:
-        if name in ("__first", "__last"):
-            values = side(name == "__last")
-            packed = F.struct(F.col(name).alias("p"), *[F.col(quote(c)).alias(f"x{i}") for i, c in enumerate(values)])
-            merges.append((F.min(packed) if name == "__first" else F.max(packed)).alias(name))
-        else:
+        if name not in ("__first", "__last"):
             merges.append(_merge(name))
+            continue
+        last = name == "__last"
+        fields = [(F.col(quote(c)) if c in far else F.col(name)[f"o{near_order.index(c)}"]).alias(f"o{i}")
+                  for i, c in enumerate(order)]
+        fields += [F.col(name)[f"v{i}"].alias(f"v{i}") for i in range(len(values(last, False)))]
+        fields += [F.col(quote(c)).alias(f"x{i}") for i, c in enumerate(values(last, True))]
+        packed = F.struct(*(fields or [F.lit(0).alias("o0")]))
+        merges.append((F.max(packed) if last else F.min(packed)).alias(name))
     for label, spec_map, fn in (("__fmin", mins, F.min), ("__fmax", maxs, F.max)):
         for i, (out, col) in enumerate(spec_map.items()):
             if col in far:
@@ -218,8 +224,8 @@ def _far_merges(partials: list[tuple[str, Column]], rules: dict, mins: dict, max
                 post.append((out, F.col(f"{label}{i}")))
     for out, (col, how) in rules.items():
         if col in far:
-            name = "__last" if how == "Last" else "__first"
-            post.append((out, F.col(name)[f"x{side(how == 'Last').index(col)}"]))
+            last = how == "Last"
+            post.append((out, F.col("__last" if last else "__first")[f"x{values(last, True).index(col)}"]))
     for i, (out, col) in enumerate(sums.items()):
         if col in far:
             weighted = F.col(quote(col)).cast("decimal(18,2)") * F.col("__n")

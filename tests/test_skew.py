@@ -123,3 +123,33 @@ def test_group_aggregate_by_lookup_column_matches_log_grouping(spark):
     assert got.columns == want.columns
     assert got.count() == want.count() == 50
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_group_aggregate_by_case_lookup_uses_full_order(spark):
+    """Grouping by a case-lookup column: several cases share a group, and the Start column
+    comes from the cases table; First/Last must compare it across cases."""
+    from pyspark.sql import Window as W
+
+    from starweave.plans import eventlog, stars
+
+    spec = stars.sales_spec()
+    src = stars.sales_sources(spark, SF01)
+    order = ["o_orderdate", "l_shipdate", "l_linenumber", "l_partkey", "l_suppkey"]
+    got = eventlog.group_aggregate(
+        spec, src, "c_mktsegment", order=order,
+        rules={"first_flag": ("l_returnflag", "First"), "first_status": ("o_orderstatus", "First"),
+               "last_prio": ("o_orderpriority", "Last")},
+        mins={"first_order": "o_orderdate"}, maxs={"last_ship": "l_shipdate"})
+    log = eventlog.event_log(spec, src)
+    w = W.partitionBy("c_mktsegment").orderBy(*order).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    want = log.select(
+        "c_mktsegment",
+        F.count(F.lit(1)).over(w).alias("n_events"),
+        F.min("o_orderdate").over(w).alias("first_order"),
+        F.max("l_shipdate").over(w).alias("last_ship"),
+        F.first("l_returnflag").over(w).alias("first_flag"),
+        F.first("o_orderstatus").over(w).alias("first_status"),
+        F.last("o_orderpriority").over(w).alias("last_prio"),
+    ).distinct()
+    assert got.count() == want.count()
+    assert got.exceptAll(want.select(*got.columns)).count() == 0
