@@ -71,13 +71,14 @@ def cases_without_events(events: DataFrame, cases: DataFrame, source_column: str
     return probe.join(used, probe["__t"] == used["__k"], "left_anti").drop("__t")
 
 
-def profile_columns(df: DataFrame, exact: bool = False, columns: list[str] | None = None) -> DataFrame:
+def profile_columns(df: DataFrame, exact: bool = False, columns: list[str] | None = None,
+                    rsd: float = 0.05) -> DataFrame:
     """One row per column: ``column_name, family, n_rows, n_nulls, n_distinct``.
 
     A single aggregation pass computes every count; the one-row result is unpivoted with
-    ``inline``. ``exact=False`` uses HyperLogLog++ (``approx_count_distinct``), which keeps the
-    pass to one partial/final aggregate. ``exact=True`` counts exactly; Catalyst expands the
-    rows once per column for that.
+    ``inline``. ``exact=False`` uses HyperLogLog++ (``approx_count_distinct`` with relative
+    standard deviation ``rsd``), which keeps the pass to one partial/final aggregate.
+    ``exact=True`` counts exactly; Catalyst expands the rows once per column for that.
     """
     names = columns or df.columns
     fields = {f.name: f for f in df.schema.fields}
@@ -85,7 +86,7 @@ def profile_columns(df: DataFrame, exact: bool = False, columns: list[str] | Non
     for i, name in enumerate(names):
         c = F.col(quote(name))
         aggs.append(F.count(c).alias(f"__nn{i}"))
-        aggs.append((F.count_distinct(c) if exact else F.approx_count_distinct(c)).alias(f"__nd{i}"))
+        aggs.append((F.count_distinct(c) if exact else F.approx_count_distinct(c, rsd)).alias(f"__nd{i}"))
     one = df.agg(*aggs)
     rows = [
         F.struct(
