@@ -40,16 +40,6 @@ def summarize(log: DataFrame, key: str, case: str, name: str | None = None) -> D
     )
 
 
-def _shuffle_partitions(df: DataFrame) -> int:
-    """The session's shuffle partition count, or the default parallelism if it is not a number."""
-    spark = df.sparkSession
-    value = spark.conf.get("spark.sql.shuffle.partitions", None)
-    try:
-        return max(1, int(value))
-    except (TypeError, ValueError):
-        return max(1, spark.sparkContext.defaultParallelism)
-
-
 def event_order(log: DataFrame, case: str, order: Sequence[str], name: str = "n",
                 partitions: int | None = None) -> DataFrame:
     """Position of each event inside its case, 1-based, in DEC-3 order (M2).
@@ -72,9 +62,11 @@ def event_order(log: DataFrame, case: str, order: Sequence[str], name: str = "n"
     """
     if not order:
         raise ValueError("event_order needs order columns")
-    n_parts = partitions or _shuffle_partitions(log)
     keys = [F.col(quote(case))] + [F.col(quote(c)) for c in order]
-    ranged = log.repartitionByRange(n_parts, *keys).withColumn("__p", F.spark_partition_id())
+    # Without an explicit count the range shuffle takes the session's shuffle partitions and AQE
+    # may merge neighbouring ranges; merged ranges are still contiguous runs of the order.
+    ranged = log.repartitionByRange(partitions, *keys) if partitions else log.repartitionByRange(*keys)
+    ranged = ranged.withColumn("__p", F.spark_partition_id())
     slice_w = Window.partitionBy(F.col(quote(case)), F.col("__p")).orderBy(*[F.col(quote(c)) for c in order])
     numbered = ranged.withColumn("__r", F.row_number().over(slice_w))
 
