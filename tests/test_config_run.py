@@ -38,3 +38,11 @@ def test_command_line_writes_log_and_case_table(spark):
     assert log.count() == spark.read.parquet(f"{SF01}/events.parquet").count()
     assert cases.count() == log.select("c_custkey").distinct().count()
     assert {"c_custkey", "n_events", "start_ts", "end_ts", "c_mktsegment", "n_name"} <= set(cases.columns)
+
+
+def test_example_config_parses():
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    with open(os.path.join(here, "examples", "golden_import.json"), encoding="utf-8") as fh:
+        spec = ImportSpec.from_config(json.load(fh))
+    assert [d.name for d in spec.datasets] == ["events", "cases", "activity", "resource"]
+    assert spec.roles().case == "CaseID" and spec.roles().end == "EndTimestamp"
