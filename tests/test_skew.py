@@ -153,3 +153,34 @@ def test_group_aggregate_by_case_lookup_uses_full_order(spark):
     ).distinct()
     assert got.count() == want.count()
     assert got.exceptAll(want.select(*got.columns)).count() == 0
+
+
+def test_group_aggregate_by_shared_lookup_column(spark):
+    """Group by the events-side use of a lookup that the cases side also uses (prefixed)."""
+    from starweave.plans import eventlog
+    from starweave.plans.spec import ImportSpec, attr, cases, edge, events, lookup
+
+    ev = spark.read.parquet(f"{SF01}/events.parquet").withColumn("ev_nationkey", F.col("user_id") % 25)
+    src = {"events": ev, "customer": spark.read.parquet(f"{SF01}/customer.parquet"),
+           "nation": spark.read.parquet(f"{SF01}/nation.parquet")}
+    spec = ImportSpec((
+        events("events", ["event_id", "ts", "event_type", "value", "user_id", "ev_nationkey"],
+               edge("user_id", "customer", "c_custkey"),
+               edge("ev_nationkey", "nation", "n_nationkey", prefix="ev_")),
+        cases("customer", ["c_custkey", "c_nationkey"], edge("c_nationkey", "nation", "n_nationkey", prefix="cs_")),
+        lookup("nation", ["n_name"]),
+    ), (attr("event_id", "Integer"), attr("ts", "Date", "Start"), attr("event_type", "String", "Activity"),
+        attr("value", "Float"), attr("c_custkey", "Integer", "Case", "Case"),
+        attr("ev_n_name", "String"), attr("cs_n_name", "String", level="Case")),
+        tiebreak=("event_id",)).validate()
+    got = eventlog.group_aggregate(spec, src, "ev_n_name", rules={"home": ("cs_n_name", "First")},
+                                   sums={"v": "value"})
+    log = eventlog.event_log(spec, src)
+    order = [F.col("ts"), F.col("event_id")]
+    want = log.groupBy("ev_n_name").agg(
+        F.count(F.lit(1)).alias("n_events"),
+        F.min(F.struct(*order, F.col("cs_n_name"))).alias("f"),
+        F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("v"),
+    ).select("ev_n_name", "n_events", F.col("f.cs_n_name").alias("home"), "v")
+    assert got.count() == want.count() == 25
+    assert got.exceptAll(want).count() == 0
