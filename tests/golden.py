@@ -61,7 +61,6 @@ def spec() -> ImportSpec:
 # The same spec as an import config document (the JSON shape the contract uses).
 CONFIG = {
     "inputDataBinding": {
-        "productFlavor": "processadvisor",
         "dataSource": {
             "dataSourceSchemaType": 1,
             "datasets": [
