@@ -26,19 +26,25 @@ def _metadata(a: Attribute) -> dict:
     }
 
 
-def apply_attributes(star: DataFrame, attributes: Sequence[Attribute], drop_excluded: bool = True) -> DataFrame:
+def apply_attributes(star: DataFrame, attributes: Sequence[Attribute], drop_excluded: bool = True,
+                     metadata: bool = True) -> DataFrame:
     """Type, default and flag each attribute column of the star, in one projection.
 
     SourceDataType casts with ``try_cast`` (P5); a non-empty DefaultValue fills nulls (P6,
     DEC-7); the attribute's role, level, rules and display flag ride along as column metadata
     (P8); ``IsExcluded`` columns are dropped last (P7, DEC-8). Columns without an attribute pass
-    through unchanged.
+    through unchanged. With ``metadata=False`` (internal uses) the projection is skipped when it
+    would change nothing.
     """
     fields = {f.name: f.dataType for f in star.schema.fields}
     by_name = {a.name: a for a in attributes}
     unknown = [n for n in by_name if n not in fields]
     if unknown:
         raise SpecError(f"attributes with no column in the star: {unknown}")
+    if not metadata and not any(
+            (drop_excluded and a.is_excluded) or a.default_value != ""
+            or fields[a.name] != ATTRIBUTE_SPARK_TYPE[a.source_data_type] for a in by_name.values()):
+        return star
     out: list[Column] = []
     for name, dtype in fields.items():
         col = F.col(quote(name))

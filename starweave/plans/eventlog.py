@@ -147,7 +147,8 @@ def group_aggregate(spec: ImportSpec, sources: Mapping[str, DataFrame], group: s
 
 def _typed(spec: ImportSpec, df: DataFrame) -> DataFrame:
     present = set(df.columns)
-    return apply_attributes(df, [a for a in spec.attributes if a.name in present], drop_excluded=False)
+    return apply_attributes(df, [a for a in spec.attributes if a.name in present], drop_excluded=False,
+                            metadata=False)
 
 
 def _pack(order: list[str], values: list[str]) -> Column:
