@@ -184,3 +184,29 @@ def test_group_aggregate_by_shared_lookup_column(spark):
     ).select("ev_n_name", "n_events", F.col("f.cs_n_name").alias("home"), "v")
     assert got.count() == want.count() == 25
     assert got.exceptAll(want).count() == 0
+
+
+def test_group_aggregate_fan_out_without_key_check(spark):
+    """With the key check off, duplicate target keys fan events out the same way in the
+    per-key reduction as in the joined event log."""
+    from starweave.plans import eventlog, stars
+
+    spec = stars.sales_spec()
+    src = stars.sales_sources(spark, SF01)
+    orders = src["orders"]
+    dup = orders.unionByName(orders.filter(F.col("o_orderkey") % 7 == 0)
+                             .withColumn("o_orderstatus", F.lit("X")))
+    src = {**src, "orders": dup}
+    got = eventlog.group_aggregate(spec, src, "o_orderstatus", rules={"f": ("l_returnflag", "First")},
+                                   mins={"m": "l_shipdate"}, sums={"t": "l_extendedprice", "p": "o_totalprice"},
+                                   check_keys=False)
+    log = eventlog.event_log(spec, src, check_keys=False)
+    order = [F.col(c) for c in spec.roles().order()]
+    want = log.groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n_events"), F.min("l_shipdate").alias("m"),
+        F.min(F.struct(*order, F.col("l_returnflag"))).alias("ff"),
+        F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("t"),
+        F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("p"),
+    ).select("o_orderstatus", "n_events", "m", F.col("ff.l_returnflag").alias("f"), "t", "p")
+    assert got.count() == want.count() == 4
+    assert got.exceptAll(want).count() == 0
