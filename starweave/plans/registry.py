@@ -203,14 +203,6 @@ def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- case level and finance
-def _sales_log(spark: SparkSession, sf_dir: str, *columns: str) -> tuple[ImportSpec, DataFrame]:
-    """The sales event log limited to ``columns`` plus the case and order columns."""
-    spec = sales_spec()
-    r = spec.roles()
-    keep = list(dict.fromkeys([r.case, *r.order(), *columns]))
-    return spec, eventlog.event_log(spec, sales_sources(spark, sf_dir), columns=keep)
-
-
 def case_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eventlog.case_aggregate(sales_spec(), sales_sources(spark, sf_dir),
                                    rules={"l_returnflag": ("l_returnflag", "First")}, count=None)
@@ -266,14 +258,16 @@ def event_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def activity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec, log = _sales_log(spark, sf_dir, "p_type")
+    spec = sales_spec()
     r = spec.roles()
+    log = eventlog.event_log(spec, sales_sources(spark, sf_dir), columns=[r.case, r.activity])
     return measures.summarize(log, r.activity, r.case, "activity")
 
 
 def resource_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec, log = _sales_log(spark, sf_dir, "s_name")
+    spec = sales_spec()
     r = spec.roles()
+    log = eventlog.event_log(spec, sales_sources(spark, sf_dir), columns=[r.case, r.resource])
     return measures.summarize(log, r.resource, r.case, "resource")
 
 
