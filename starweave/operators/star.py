@@ -130,7 +130,7 @@ def _with_guards(result: DataFrame, guard: DataFrame | None) -> DataFrame:
     if guard is None:
         return result
     empty = guard.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in result.schema.fields])
-    return result.unionByName(empty)
+    return result.union(empty)  # same columns in the same order
 
 
 class _Namer:

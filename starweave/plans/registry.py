@@ -181,7 +181,7 @@ STAR_COLUMNS = ["l_linenumber", "o_orderkey", "c_mktsegment", "p_type", "s_name"
 
 
 def star_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _star_join(sales_spec(), sales_sources(spark, sf_dir)).select(*STAR_COLUMNS)
+    return _star_join(sales_spec(), sales_sources(spark, sf_dir), columns=STAR_COLUMNS)
 
 
 # ---------------------------------------------------------------- key audits
