@@ -254,7 +254,34 @@ def split_parts(spec: ImportSpec, sources: Mapping[str, DataFrame], columns: lis
     others = replace(spec.events, joins=tuple(j for j in spec.events.joins if j != edge))
     base = _attach_lookups(base, others, spec, sources, ev_keys, near_cols, namer, check, guards)
     near = base.select(*[_final_column(spec, c, ev_keys) for c in near_cols], F.col(ev_keys[edge]))
-    if on_cases:
+    far, far_key = _far_side(spec, sources, edge, far_cols, namer, check, guards)
+    return SplitParts(near, ev_keys[edge], far, far_key, tuple(c.name for c in far_cols),
+                      key_guard(list(guards.values())))
+
+
+def far_parts(spec: ImportSpec, sources: Mapping[str, DataFrame], columns: list[str] | tuple[str, ...],
+              edge: JoinEdge, check_keys: bool | None = None) -> tuple[DataFrame, str, tuple[str, ...], DataFrame | None]:
+    """Only the far side of ``split_parts``: ``(far, far_key, far_columns, guard)``.
+
+    The events dataset is not read; callers that kept per-key partial results (for example
+    per micro-batch of a stream) join them to this side.
+    """
+    spec.validate(require_roles=False)
+    check = spec.check_keys if check_keys is None else check_keys
+    out_cols = _wanted(output_columns(spec), columns)
+    if spec.dataset(edge.target_dataset).kind == KIND_CASES:
+        far_cols = [c for c in out_cols if is_case_side(spec, c)]
+    else:
+        far_cols = [c for c in out_cols if c.via == _edge_label(spec.events, edge)]
+    guards: dict[tuple[str, str], DataFrame] = {}
+    far, far_key = _far_side(spec, sources, edge, far_cols, _Namer(), check, guards)
+    return far, far_key, tuple(c.name for c in far_cols), key_guard(list(guards.values()))
+
+
+def _far_side(spec: ImportSpec, sources: Mapping[str, DataFrame], edge: JoinEdge, far_cols: list[OutputColumn],
+              namer: _Namer, check: bool, guards: dict[tuple[str, str], DataFrame]) -> tuple[DataFrame, str]:
+    target = spec.dataset(edge.target_dataset)
+    if target.kind == KIND_CASES:
         far, far_key = _cases_wide(spec, sources, far_cols, namer, check, guards)
     else:
         _, far_key = namer.next()
@@ -262,9 +289,7 @@ def split_parts(spec: ImportSpec, sources: Mapping[str, DataFrame], columns: lis
         if check:
             what = f"{target.name}.{edge.target_column}"
             guards.setdefault((what, edge.key_type), guard_keys(far, far_key, what, key_spark_type(edge.key_type)))
-    far = far.select(*[F.col(quote(c.name)) for c in far_cols], F.col(far_key))
-    return SplitParts(near, ev_keys[edge], far, far_key, tuple(c.name for c in far_cols),
-                      key_guard(list(guards.values())))
+    return far.select(*[F.col(quote(c.name)) for c in far_cols], F.col(far_key)), far_key
 
 
 def _wanted(out_cols: list[OutputColumn], columns: list[str] | tuple[str, ...] | None) -> list[OutputColumn]:

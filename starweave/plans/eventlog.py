@@ -10,6 +10,7 @@ prunes unused columns and joins' inputs down to the scans.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from ..functions.types import quote
 from ..operators.cases import attach_case_values, finance_totals
 from ..operators.project import apply_attributes, excluded_columns
 from ..operators.star import _with_guards, output_columns, split_edge_of, split_parts, star_join
-from .spec import ImportSpec, SpecError
+from .spec import ImportSpec, JoinEdge, SpecError
 
 
 def _attributed(spec: ImportSpec, sources: Mapping[str, DataFrame], check_keys: bool | None,
@@ -88,6 +89,42 @@ def case_aggregate(spec: ImportSpec, sources: Mapping[str, DataFrame], *,
                            count=count, check_keys=check_keys)
 
 
+@dataclass(frozen=True)
+class GroupPlan:
+    """What ``group_aggregate`` computes, resolved against the spec (no data touched)."""
+
+    group: str
+    rules: dict
+    mins: dict
+    maxs: dict
+    sums: dict
+    count: str | None
+    order: list
+    needed: list
+    edge: JoinEdge | None
+
+    def names(self) -> list[str]:
+        return ([self.count] if self.count else []) + [*self.mins, *self.maxs, *self.rules, *self.sums]
+
+
+def group_plan(spec: ImportSpec, group: str, *, rules: Mapping[str, tuple[str, str]] | None = None,
+               mins: Mapping[str, str] | None = None, maxs: Mapping[str, str] | None = None,
+               sums: Mapping[str, str] | None = None, count: str | None = "n_events",
+               order: list[str] | None = None) -> GroupPlan:
+    spec.validate()
+    roles = spec.roles()
+    rules, mins, maxs, sums = dict(rules or {}), dict(mins or {}), dict(maxs or {}), dict(sums or {})
+    order = list(roles.order() if order is None else order)
+    cols = {c.name for c in output_columns(spec)}
+    referenced = [group, *order, *[c for c, _ in rules.values()], *mins.values(), *maxs.values(),
+                  *sums.values()]
+    missing = [c for c in referenced if c not in cols]
+    if missing:
+        raise SpecError(f"not columns of the event log: {sorted(set(missing))}")
+    return GroupPlan(group, rules, mins, maxs, sums, count, order, list(dict.fromkeys(referenced)),
+                     split_edge_of(spec, group))
+
+
 def group_aggregate(spec: ImportSpec, sources: Mapping[str, DataFrame], group: str, *,
                     rules: Mapping[str, tuple[str, str]] | None = None,
                     mins: Mapping[str, str] | None = None, maxs: Mapping[str, str] | None = None,
@@ -109,40 +146,56 @@ def group_aggregate(spec: ImportSpec, sources: Mapping[str, DataFrame], group: s
     group and merge into the single null group (DEC-14). Otherwise the event log is grouped
     directly.
     """
-    spec.validate()
-    roles = spec.roles()
-    rules, mins, maxs, sums = dict(rules or {}), dict(mins or {}), dict(maxs or {}), dict(sums or {})
-    order = list(roles.order() if order is None else order)
-    cols = {c.name for c in output_columns(spec)}
-    referenced = [group, *order, *[c for c, _ in rules.values()], *mins.values(), *maxs.values(),
-                  *sums.values()]
-    missing = [c for c in referenced if c not in cols]
-    if missing:
-        raise SpecError(f"not columns of the event log: {sorted(set(missing))}")
-    needed = list(dict.fromkeys(referenced))
-    edge = split_edge_of(spec, group)
-    if edge is None:
-        log = _attributed(spec, sources, check_keys, needed)
-        partials, post = _reductions(order, rules, mins, maxs, sums, count, set())
-        out = log.groupBy(F.col(quote(group))).agg(*[e.alias(n) for n, e in partials])
-        return out.select(F.col(quote(group)), *[expr.alias(name) for name, expr in post])
-
-    parts = split_parts(spec, sources, needed, edge, check_keys)
-    far = set(parts.far_columns)
-    near_df = _typed(spec, parts.near)
-    far_df = _typed(spec, parts.far)
-    near_order = [c for c in order if c not in far]
-    partials, post = _reductions(near_order, rules, mins, maxs, sums, count, far)
-    per_key = near_df.groupBy(F.col(parts.near_key)).agg(*[e.alias(n) for n, e in partials])
-    joined = per_key.join(far_df, per_key[parts.near_key] == far_df[parts.far_key], "left")
+    plan = group_plan(spec, group, rules=rules, mins=mins, maxs=maxs, sums=sums, count=count, order=order)
+    if plan.edge is None:
+        per_key = key_partials(spec, plan, _attributed(spec, sources, check_keys, plan.needed), plan.group)
+        return finish_group(spec, plan, per_key)
+    parts = split_parts(spec, sources, plan.needed, plan.edge, check_keys)
+    per_key = key_partials(spec, plan, parts.near, parts.near_key, parts.far_columns)
+    return finish_group(spec, plan, per_key, parts.far, parts.far_key, parts.far_columns, parts.guard)
+
+
+def key_partials(spec: ImportSpec, plan: GroupPlan, near: DataFrame, key: str,
+                 far_columns: tuple[str, ...] = ()) -> DataFrame:
+    """Per-key partial results: ``__key`` plus one column per decomposable aggregate.
+
+    Partial results of several inputs (say, the micro-batches of a stream) merge with
+    ``merge_partials`` before ``finish_group``.
+    """
+    far = set(far_columns)
+    near = _typed(spec, near)
+    near_order = [c for c in plan.order if c not in far]
+    partials, _ = _reductions(near_order, plan.rules, plan.mins, plan.maxs, plan.sums, plan.count, far)
+    return near.groupBy(F.col(quote(key)).alias("__key")).agg(*[e.alias(n) for n, e in partials])
+
+
+def merge_partials(partials: DataFrame) -> DataFrame:
+    """Combine partial results that share a key (from separate inputs) into one row per key."""
+    names = [c for c in partials.columns if c.startswith("__") and c != "__key" and c != "__epoch"]
+    return partials.groupBy("__key").agg(*[_merge(n) for n in names])
+
+
+def finish_group(spec: ImportSpec, plan: GroupPlan, per_key: DataFrame, far_df: DataFrame | None = None,
+                 far_key: str | None = None, far_columns: tuple[str, ...] = (),
+                 guard: DataFrame | None = None) -> DataFrame:
+    """From per-key partials to one row per group (see ``group_aggregate``)."""
+    far = set(far_columns)
+    near_order = [c for c in plan.order if c not in far]
+    partials, post = _reductions(near_order, plan.rules, plan.mins, plan.maxs, plan.sums, plan.count, far)
+    if far_df is None:
+        exprs = dict(post)
+        out = per_key.select(F.col("__key").alias(plan.group), *[exprs[n].alias(n) for n in plan.names()])
+        return _with_guards(out, guard)
+    far_df = _typed(spec, far_df)
+    joined = per_key.join(far_df, per_key["__key"] == far_df[far_key], "left")
     # One row per key now: far-side values are constant per key. Pair them with the key's
     # partials, then merge the keys of each group; keys without a match all have a null group.
-    merges, far_post = _far_merges(partials, rules, mins, maxs, sums, far, order, near_order)
-    merged = joined.groupBy(F.col(quote(group))).agg(*merges)
+    merges, far_post = _far_merges(partials, plan.rules, plan.mins, plan.maxs, plan.sums, far, plan.order,
+                                   near_order)
+    merged = joined.groupBy(F.col(quote(plan.group))).agg(*merges)
     exprs = dict(post + far_post)
-    names = ([count] if count else []) + [*mins, *maxs, *rules, *sums]
-    out = merged.select(F.col(quote(group)), *[exprs[n].alias(n) for n in names])
-    return _with_guards(out, parts.guard)
+    out = merged.select(F.col(quote(plan.group)), *[exprs[n].alias(n) for n in plan.names()])
+    return _with_guards(out, guard)
 
 
 def _typed(spec: ImportSpec, df: DataFrame) -> DataFrame:
