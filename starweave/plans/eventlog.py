@@ -69,13 +69,21 @@ def case_table(spec: ImportSpec, sources: Mapping[str, DataFrame], check_keys: b
     Columns: the case column, ``n_events``, ``start_ts`` (min Start), ``end_ts`` (max End, or
     max Start without an End role, DEC-9), then every Case-level attribute's First or Last.
     """
+    out = case_aggregate(spec, sources, check_keys=check_keys, **case_table_measures(spec))
+    return drop_excluded_case_columns(spec, out)
+
+
+def case_table_measures(spec: ImportSpec) -> dict:
+    """The reductions of the case table, as keyword arguments of ``group_aggregate``."""
     spec.validate()
     roles = spec.roles()
-    first_role = roles.start or roles.end
-    last_role = roles.end or roles.start
-    out = case_aggregate(spec, sources, rules=case_rules(spec), mins={"start_ts": first_role},
-                         maxs={"end_ts": last_role}, check_keys=check_keys)
-    return out.drop(*[c for c in excluded_columns(spec.attributes) if c != roles.case])
+    return {"rules": case_rules(spec), "mins": {"start_ts": roles.start or roles.end},
+            "maxs": {"end_ts": roles.end or roles.start}, "count": "n_events"}
+
+
+def drop_excluded_case_columns(spec: ImportSpec, table: DataFrame) -> DataFrame:
+    case = spec.roles().case
+    return table.drop(*[c for c in excluded_columns(spec.attributes) if c != case])
 
 
 def case_aggregate(spec: ImportSpec, sources: Mapping[str, DataFrame], *,

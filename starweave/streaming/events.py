@@ -5,19 +5,24 @@ with the stream on the left keeps no state, so the query runs with constant memo
 long it lives. The key guards of the static sides cannot be unioned into a streaming plan;
 they run once, as their own batch job, before the stream starts.
 
-Case-level rules need all events of a case, which a stream never has; build them in batch
-over the written log (``plans.eventlog.case_table``) or per micro-batch in ``foreachBatch``.
+Case-level results need all events of a case, which no micro-batch has. ``start_group_partials``
+writes, per micro-batch, each key's *partial* results (counts, minima, maxima, First/Last packs,
+sums) to Parquet, one folder per epoch, overwritten if the epoch is replayed; the stream holds
+no per-case state. ``group_from_partials`` merges all epochs per key and finishes the
+reduction in batch, exactly as ``plans.eventlog.group_aggregate`` does over the whole table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.project import apply_attributes
-from ..operators.star import star_parts
+from ..operators.star import far_parts, split_parts, star_parts
+from ..plans import eventlog
 from ..plans.spec import ImportSpec, SpecError
 from ..session import scratch_path
 
@@ -65,3 +70,76 @@ def start_log_stream(log: DataFrame, path: str, checkpoint: str | None = None,
     elif processing_time:
         writer = writer.trigger(processingTime=processing_time)
     return writer.start()
+
+
+def start_group_partials(spec: ImportSpec, events_stream: DataFrame, static_sources: Mapping[str, DataFrame],
+                         path: str, group: str | None = None, *, check_keys: bool | None = None,
+                         checkpoint: str | None = None, available_now: bool = False,
+                         processing_time: str | None = None, **measures) -> StreamingQuery:
+    """Stream the per-key partial results of ``group_aggregate`` into ``path``.
+
+    ``group`` defaults to the Case attribute; ``measures`` are ``group_aggregate``'s ``rules``,
+    ``mins``, ``maxs``, ``sums``, ``count`` and ``order``. Each micro-batch is reduced per key
+    of the edge that supplies the group (or per group value when the events hold it) and
+    written under ``__epoch=<id>`` with dynamic partition overwrite, so a replayed epoch
+    replaces its own output and nothing is counted twice.
+    """
+    if not events_stream.isStreaming:
+        raise SpecError("events_stream must be a streaming DataFrame (spark.readStream...)")
+    plan = eventlog.group_plan(spec, group or spec.roles().case, **measures)
+    ev_name = spec.events.name
+    if plan.edge is not None:
+        # The static sides' key check runs once, before the stream starts.
+        probe = split_parts(spec, {**static_sources, ev_name: events_stream}, plan.needed, plan.edge, check_keys)
+        check_static_keys(probe.guard)
+
+    def write_batch(batch: DataFrame, epoch: int) -> None:
+        sources = {**static_sources, ev_name: batch}
+        if plan.edge is None:
+            near = eventlog.event_log(spec, sources, check_keys=False, columns=plan.needed)
+            per_key = eventlog.key_partials(spec, plan, near, plan.group)
+        else:
+            parts = split_parts(spec, sources, plan.needed, plan.edge, check_keys=False)
+            per_key = eventlog.key_partials(spec, plan, parts.near, parts.near_key, parts.far_columns)
+        (per_key.withColumn("__epoch", F.lit(int(epoch)))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("__epoch").parquet(path))
+
+    spark = events_stream.sparkSession
+    writer = events_stream.writeStream.foreachBatch(write_batch).option(
+        "checkpointLocation", checkpoint or scratch_path(spark, "partials-ckpt"))
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    elif processing_time:
+        writer = writer.trigger(processingTime=processing_time)
+    return writer.start()
+
+
+def group_from_partials(spec: ImportSpec, static_sources: Mapping[str, DataFrame], path: str,
+                        group: str | None = None, *, check_keys: bool | None = None,
+                        spark: SparkSession | None = None, **measures) -> DataFrame:
+    """Finish ``group_aggregate`` from the partials that ``start_group_partials`` wrote."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        raise SpecError("no active Spark session; pass spark=")
+    plan = eventlog.group_plan(spec, group or spec.roles().case, **measures)
+    per_key = eventlog.merge_partials(spark.read.parquet(path))
+    if plan.edge is None:
+        return eventlog.finish_group(spec, plan, per_key)
+    far, far_key, far_columns, guard = far_parts(spec, static_sources, plan.needed, plan.edge, check_keys)
+    return eventlog.finish_group(spec, plan, per_key, far, far_key, far_columns, guard)
+
+
+def start_case_table_partials(spec: ImportSpec, events_stream: DataFrame, static_sources: Mapping[str, DataFrame],
+                              path: str, **options) -> StreamingQuery:
+    """``start_group_partials`` with the case table's reductions."""
+    return start_group_partials(spec, events_stream, static_sources, path, **options,
+                                **eventlog.case_table_measures(spec))
+
+
+def case_table_from_partials(spec: ImportSpec, static_sources: Mapping[str, DataFrame], path: str,
+                             check_keys: bool | None = None, spark: SparkSession | None = None) -> DataFrame:
+    """The case table (as ``plans.eventlog.case_table``) from streamed partials."""
+    out = group_from_partials(spec, static_sources, path, check_keys=check_keys, spark=spark,
+                              **eventlog.case_table_measures(spec))
+    return eventlog.drop_excluded_case_columns(spec, out)
