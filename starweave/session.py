@@ -36,13 +36,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Read from the session. Only when it is unset (local tests) a folder under the system
-    temp dir is created and registered, so later ``checkpoint()`` calls use it too.
+    Read from the session. When it is unset, a local-mode session (tests, a laptop) gets a
+    folder under the system temp dir, registered so later ``checkpoint()`` calls use it too;
+    any other master must name a shared folder, since a machine-local one is not visible to
+    every executor.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         return current
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     local = tempfile.mkdtemp(prefix="starweave-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
