@@ -26,8 +26,10 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--out", required=True, help="output folder (event_log/ and case_table/ below it)")
     ap.add_argument("--path", action="append", default=[], metavar="NAME=LOCATION",
                     help="dataset location override; repeatable")
-    ap.add_argument("--format", default="parquet", choices=["parquet", "csv", "table"])
-    ap.add_argument("--recursive", action="store_true", help="read each location as a folder of files")
+    ap.add_argument("--format", default=None, choices=["parquet", "csv", "table"],
+                    help="source format (default: the config's dataSourceFileType, else parquet)")
+    ap.add_argument("--recursive", action="store_true", default=None,
+                    help="read each location as a folder of files (default for config-named file formats)")
     ap.add_argument("--tiebreak", default="", help="comma-separated columns that complete the event order")
     ap.add_argument("--case-table", action="store_true", help="also write the case table")
     ap.add_argument("--partition-by", default="", help="comma-separated event-log partition columns")

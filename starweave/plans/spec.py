@@ -21,6 +21,8 @@ from ..functions.types import ATTRIBUTE_TYPES, JOIN_KEY_TYPES
 KIND_EVENTS = 0
 KIND_CASES = 1
 KIND_LOOKUP = 2
+# dataSource.dataSourceFileType: 0 CSV files, 1 Parquet files, 2 catalog (Delta) tables.
+FILE_TYPES = {0: "csv", 1: "parquet", 2: "table"}
 IMPORT_TYPES = ("Case", "Activity", "Start", "End", "Resource", "Other")
 LEVELS = ("Event", "Case")
 FINANCE_TYPES = ("None", "PerEvent", "PerCase", "PerResource")
@@ -97,6 +99,8 @@ class ImportSpec:
     attributes: tuple[Attribute, ...] = ()
     tiebreak: tuple[str, ...] = ()
     check_keys: bool = True
+    # Source format named by the config document ("csv", "parquet", "table"), if any.
+    source_format: str | None = None
 
     # -- lookups -------------------------------------------------------------
     @property
@@ -258,7 +262,11 @@ class ImportSpec:
         missing = [d.name for d in datasets if not d.path]
         if paths and missing:
             raise SpecError(f"no path for datasets {missing}")
-        return cls(tuple(datasets), attributes, tuple(tiebreak), check_keys).validate()
+        code = source.get("dataSourceFileType")
+        if code is not None and int(code) not in FILE_TYPES:
+            raise SpecError(f"unknown dataSourceFileType {code!r}")
+        fmt = FILE_TYPES[int(code)] if code is not None else None
+        return cls(tuple(datasets), attributes, tuple(tiebreak), check_keys, fmt).validate()
 
     def to_config(self) -> dict[str, Any]:
         """The datasets and attributes as a config document (round-trips with ``from_config``)."""
@@ -279,6 +287,8 @@ class ImportSpec:
             "inputDataBinding": {
                 "dataSource": {
                     "dataSourceSchemaType": 1,
+                    **({"dataSourceFileType": {v: k for k, v in FILE_TYPES.items()}[self.source_format]}
+                       if self.source_format else {}),
                     "datasets": [
                         {
                             "Kind": d.kind,

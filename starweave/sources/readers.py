@@ -51,12 +51,19 @@ def read_dataset(spark: SparkSession, ref: str, fmt: str = "parquet", recursive:
 
 def load_sources(spark: SparkSession, spec: ImportSpec,
                  sources: Mapping[str, DataFrame | str] | None = None,
-                 fmt: str = "parquet", recursive: bool = False) -> dict[str, DataFrame]:
+                 fmt: str | None = None, recursive: bool | None = None) -> dict[str, DataFrame]:
     """One DataFrame per dataset of the spec.
 
     ``sources`` maps a dataset name to a DataFrame or to a path/table name; missing names fall
-    back to the dataset's ``Path``. Every dataset must resolve.
+    back to the dataset's ``Path``. Every dataset must resolve. ``fmt`` defaults to the format
+    the config document names (``dataSourceFileType``), else Parquet; files of a config-named
+    CSV or Parquet source are read as folders (``recursive``) unless told otherwise.
     """
+    if fmt is None:
+        fmt = spec.source_format or "parquet"
+        if recursive is None:
+            recursive = spec.source_format in ("csv", "parquet")
+    recursive = bool(recursive) and fmt != "table"
     sources = dict(sources or {})
     out: dict[str, DataFrame] = {}
     for d in spec.datasets:

@@ -46,3 +46,23 @@ def test_example_config_parses():
         spec = ImportSpec.from_config(json.load(fh))
     assert [d.name for d in spec.datasets] == ["events", "cases", "activity", "resource"]
     assert spec.roles().case == "CaseID" and spec.roles().end == "EndTimestamp"
+
+
+def test_config_file_type_picks_the_reader(spark):
+    """dataSourceFileType 0 reads each dataset as a folder of CSV files."""
+    from starweave.functions.types import normalize_types
+
+    doc = _clicks_config()
+    root = scratch_path(spark, "csv-star")
+    for d in doc["inputDataBinding"]["dataSource"]["datasets"]:
+        df = spark.read.parquet(d["Path"])
+        df.write.option("header", "true").csv(f"{root}/{d['Name']}/part")
+        d["Path"] = f"{root}/{d['Name']}"
+    doc["inputDataBinding"]["dataSource"]["dataSourceFileType"] = 0
+    spec = ImportSpec.from_config(doc, tiebreak=("event_id",))
+    assert spec.source_format == "csv" and ImportSpec.from_config(spec.to_config()).source_format == "csv"
+    sources = {k: normalize_types(v) for k, v in load_sources(spark, spec).items()}
+    log = eventlog.event_log(spec, sources).select("event_id", "event_type", "c_custkey", "n_name")
+    want = eventlog.event_log(stars.clicks_spec(), stars.clicks_sources(spark, SF01)) \
+        .select("event_id", "event_type", "c_custkey", "n_name")
+    assert log.count() == want.count() and log.exceptAll(want).count() == 0
