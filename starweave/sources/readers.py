@@ -23,7 +23,8 @@ def read_dataset(spark: SparkSession, ref: str, fmt: str = "parquet", recursive:
                  schema: T.StructType | str | None = None) -> DataFrame:
     """Load one dataset.
 
-    ``fmt``: ``"table"`` (catalog name, possibly qualified), ``"csv"`` (header row, types
+    ``fmt``: ``"table"`` (catalog name, possibly qualified, or a Delta table's storage path),
+    ``"csv"`` (header row, types
     inferred unless ``schema`` is given) or ``"parquet"``. With ``recursive=True`` a folder is
     read as one table: every file with the format's extension below it, at any depth; names
     starting with ``_`` or ``.`` are skipped by Spark's file index.
@@ -31,6 +32,10 @@ def read_dataset(spark: SparkSession, ref: str, fmt: str = "parquet", recursive:
     if fmt == "table":
         if recursive:
             raise ValueError("recursive applies to file formats only")
+        if "/" in ref:
+            # A table's storage path rather than a catalog name: read it as a Delta table
+            # (the Delta jar must be on the classpath, as it is wherever such tables live).
+            return spark.read.format("delta").load(ref)
         return spark.read.table(ref)
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}; expected one of {FORMATS}")
