@@ -24,10 +24,9 @@ def read_dataset(spark: SparkSession, ref: str, fmt: str = "parquet", recursive:
     """Load one dataset.
 
     ``fmt``: ``"table"`` (catalog name, possibly qualified, or a Delta table's storage path),
-    ``"csv"`` (header row, types
-    inferred unless ``schema`` is given) or ``"parquet"``. With ``recursive=True`` a folder is
-    read as one table: every file with the format's extension below it, at any depth; names
-    starting with ``_`` or ``.`` are skipped by Spark's file index.
+    ``"csv"`` (header row, types inferred unless ``schema`` is given) or ``"parquet"``. With
+    ``recursive=True`` a folder is read as one table: every file with the format's extension
+    below it, at any depth; names starting with ``_`` or ``.`` are skipped by Spark's file index.
     """
     if fmt == "table":
         if recursive:
