@@ -16,9 +16,14 @@ rule splits that partition, which it supports for left outer joins with the skew
 Key check (DEC-2): with ``check_keys`` on, every join target gets a guard branch in the same
 job: the typed key columns of all targets, tagged by target, are counted per key in one
 aggregate (partial aggregation, then a shuffle of keys only) and a filter raises on a count
-above one; the branch yields no rows and is unioned into the result. The joins themselves stay exactly as without the check: a guard placed
-between a join and its shuffle (a window on the key, say) would hide the shuffle from AQE's
-skew-join rule, which only splits a partition when the join sits directly on its shuffles.
+above one; the branch yields no rows and is unioned into the result. The joins themselves
+stay exactly as without the check: a guard placed between a join and its shuffle (a window on
+the key, say) would hide the shuffle from AQE's skew-join rule, which only splits a partition
+when the join sits directly on its shuffles.
+
+Split builds (``split_parts``, ``far_parts``): the same pieces, cut at one events edge and not
+joined there, for callers that reduce the events per key of that edge before the join
+(``plans.eventlog.group_aggregate``).
 """
 
 from __future__ import annotations
