@@ -127,6 +127,11 @@ def display_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _display_attributes(eventlog.event_log(spec, clicks_sources(spark, sf_dir)))
 
 
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole typed event log of the sales star (every attribute, DEC-10)."""
+    return eventlog.event_log(sales_spec(), sales_sources(spark, sf_dir))
+
+
 def role_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = sales_spec()
     log = eventlog.event_log(spec, sales_sources(spark, sf_dir))
@@ -223,6 +228,11 @@ def case_attributes_on_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.attach_case_values(log, case, values).select("event_id", "first_type", "last_type")
 
 
+def case_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sales case table from the spec: counts, span and every Case-level attribute."""
+    return eventlog.case_table(sales_spec(), sales_sources(spark, sf_dir))
+
+
 def case_table_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = clicks_flat_spec()
     log = eventlog.event_log(spec, tables(spark, sf_dir, "events"))
@@ -285,6 +295,7 @@ QUERIES: dict[str, Query] = {
     "default_values": default_values,
     "exclude_attributes": exclude_attributes,
     "display_attributes": display_attributes,
+    "event_log": event_log,
     "role_projection": role_projection,
     "join_events_cases": join_events_cases,
     "join_event_lookup": join_event_lookup,
@@ -299,6 +310,7 @@ QUERIES: dict[str, Query] = {
     "case_first": case_first,
     "case_last": case_last,
     "case_attributes_on_events": case_attributes_on_events,
+    "case_table": case_table,
     "case_table_from_events": case_table_from_events,
     "finance_per_event": finance_per_event,
     "finance_per_case": finance_per_case,
@@ -356,6 +368,12 @@ ORACLE: dict[str, str] = {
         select 'n_name', count(distinct n.n_name)
         from events e left join customer c on e.user_id = c.c_custkey
                       left join nation n on c.c_nationkey = n.n_nationkey""",
+    "event_log": f"""
+        select l.l_linenumber::bigint as l_linenumber, l.l_quantity, l.l_extendedprice, l.l_discount,
+               l.l_returnflag, l.l_shipdate, o.o_orderkey, o.o_orderstatus, o.o_totalprice, o.o_orderdate,
+               o.o_orderpriority, p.p_type, s.s_name, s.s_acctbal, c.c_mktsegment,
+               l.l_partkey, l.l_suppkey
+        from {_SALES_FROM}""",
     "role_projection": f"""
         select o.o_orderkey as case_id, p.p_type as activity, l.l_shipdate as start_ts, s.s_name as resource
         from {_SALES_FROM}""",
@@ -424,6 +442,14 @@ ORACLE: dict[str, str] = {
         from events e left join customer c on e.user_id = c.c_custkey
         window w as (partition by c.c_custkey order by e.ts, e.event_id
                      rows between unbounded preceding and unbounded following)""",
+    "case_table": f"""
+        select o.o_orderkey, count(*) as n_events, min(l.l_shipdate) as start_ts, max(l.l_shipdate) as end_ts,
+               arg_min(o.o_orderstatus, row({_SALES_ORDER})) as o_orderstatus,
+               arg_min(o.o_totalprice, row({_SALES_ORDER})) as o_totalprice,
+               arg_min(o.o_orderdate, row({_SALES_ORDER})) as o_orderdate,
+               arg_min(o.o_orderpriority, row({_SALES_ORDER})) as o_orderpriority,
+               arg_min(c.c_mktsegment, row({_SALES_ORDER})) as c_mktsegment
+        from {_SALES_FROM} group by o.o_orderkey""",
     "case_table_from_events": """
         select user_id, count(*) as n_events, min(ts) as start_ts, max(ts) as end_ts,
                arg_min(event_type, row(ts, event_id)) as first_type
