@@ -50,3 +50,11 @@ def test_display_attributes_without_flags_is_empty(spark):
     assert display_attributes(log).count() == 0
     flagged = log.withColumn("Region", F.col("Region").alias("Region", metadata={"display": True}))
     assert [tuple(r) for r in display_attributes(flagged).collect()] == [("Region", 2)]
+
+
+def test_event_log_metadata_carries_roles_and_flags(spark):
+    log = eventlog.event_log(golden.spec(), golden.frames(spark))
+    meta = {f.name: f.metadata for f in log.schema.fields}
+    assert meta["CaseID"]["import_type"] == "Case" and meta["CaseID"]["level"] == "Case"
+    assert meta["EventCost"]["finance"] == "PerEvent"
+    assert meta["Activity"]["case_handling"] == "First" and meta["Activity"]["display"] is False
