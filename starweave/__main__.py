@@ -35,6 +35,8 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--partition-by", default="", help="comma-separated event-log partition columns")
     ap.add_argument("--no-check-keys", action="store_true", help="allow duplicate join-target keys (fan-out)")
     ap.add_argument("--mode", default="errorifexists", choices=["errorifexists", "overwrite"])
+    ap.add_argument("--explain", action="store_true",
+                    help="print the formatted physical plans instead of writing anything")
     args = ap.parse_args(argv)
 
     with open(args.config, encoding="utf-8") as fh:
@@ -46,9 +48,16 @@ def main(argv: list[str] | None = None) -> int:
     sources = load_sources(spark, spec, paths, fmt=args.format, recursive=args.recursive)
     out = args.out.rstrip("/")
     partition_by = [c for c in args.partition_by.split(",") if c] or None
-    write_log(eventlog.event_log(spec, sources), f"{out}/event_log", partition_by=partition_by, mode=args.mode)
-    if args.case_table:
-        write_log(eventlog.case_table(spec, sources), f"{out}/case_table", mode=args.mode)
+    log = eventlog.event_log(spec, sources)
+    cases = eventlog.case_table(spec, sources) if args.case_table else None
+    if args.explain:
+        log.explain("formatted")
+        if cases is not None:
+            cases.explain("formatted")
+        return 0
+    write_log(log, f"{out}/event_log", partition_by=partition_by, mode=args.mode)
+    if cases is not None:
+        write_log(cases, f"{out}/case_table", mode=args.mode)
     return 0
 
 

@@ -66,3 +66,13 @@ def test_config_file_type_picks_the_reader(spark):
     want = eventlog.event_log(stars.clicks_spec(), stars.clicks_sources(spark, SF01)) \
         .select("event_id", "event_type", "c_custkey", "n_name")
     assert log.count() == want.count() and log.exceptAll(want).count() == 0
+
+
+def test_command_line_explain_writes_nothing(spark, capsys):
+    out = scratch_path(spark, "cli-explain")
+    cfg = strip_scheme(scratch_path(spark, "cfg")) + ".json"
+    os.makedirs(os.path.dirname(cfg), exist_ok=True)
+    with open(cfg, "w", encoding="utf-8") as fh:
+        json.dump(_clicks_config(), fh)
+    assert main([cfg, "--out", out, "--tiebreak", "event_id", "--case-table", "--explain"]) == 0
+    assert not os.path.exists(strip_scheme(out))
