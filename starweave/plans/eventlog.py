@@ -206,6 +206,35 @@ def finish_group(spec: ImportSpec, plan: GroupPlan, per_key: DataFrame, far_df:
     return _with_guards(out, guard)
 
 
+def summary(spec: ImportSpec, sources: Mapping[str, DataFrame], key: str, name: str | None = None,
+            check_keys: bool | None = None) -> DataFrame:
+    """Per value of ``key`` (the activity or the resource): ``n_events`` and ``n_cases``
+    (distinct non-null cases), as ``operators.measures.summarize`` over the event log (M3, M4).
+
+    When the case comes from the cases dataset and ``key`` does not, the events are first
+    reduced to distinct (key, link key) pairs with their counts; only those pairs meet the
+    cases side, where each link key resolves to its case (null when it has none, DEC-14).
+    """
+    spec.validate()
+    case = spec.roles().case
+    out_name = name or key
+    edge = split_edge_of(spec, case)
+    far_of_key = edge is not None and split_edge_of(spec, key) == edge
+    if edge is None or far_of_key or key == case:
+        log = _attributed(spec, sources, check_keys, [case, key])
+        return log.groupBy(F.col(quote(key)).alias(out_name)).agg(
+            F.count(F.lit(1)).alias("n_events"), F.count_distinct(F.col(quote(case))).alias("n_cases"))
+    parts = split_parts(spec, sources, [key, case], edge, check_keys)
+    near = _typed(spec, parts.near)
+    far_df = _typed(spec, parts.far)
+    pairs = near.groupBy(F.col(quote(key)).alias("__g"), F.col(parts.near_key).alias("__key")).agg(
+        F.count(F.lit(1)).alias("__n"))
+    joined = pairs.join(far_df, pairs["__key"] == far_df[parts.far_key], "left")
+    out = joined.groupBy(F.col("__g").alias(out_name)).agg(
+        F.sum("__n").alias("n_events"), F.count_distinct(F.col(quote(case))).alias("n_cases"))
+    return _with_guards(out, parts.guard)
+
+
 def _typed(spec: ImportSpec, df: DataFrame) -> DataFrame:
     present = set(df.columns)
     return apply_attributes(df, [a for a in spec.attributes if a.name in present], drop_excluded=False,

@@ -269,16 +269,12 @@ def event_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def activity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = sales_spec()
-    r = spec.roles()
-    log = eventlog.event_log(spec, sales_sources(spark, sf_dir), columns=[r.case, r.activity])
-    return measures.summarize(log, r.activity, r.case, "activity")
+    return eventlog.summary(spec, sales_sources(spark, sf_dir), spec.roles().activity, "activity")
 
 
 def resource_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = sales_spec()
-    r = spec.roles()
-    log = eventlog.event_log(spec, sales_sources(spark, sf_dir), columns=[r.case, r.resource])
-    return measures.summarize(log, r.resource, r.case, "resource")
+    return eventlog.summary(spec, sales_sources(spark, sf_dir), spec.roles().resource, "resource")
 
 
 QUERIES: dict[str, Query] = {

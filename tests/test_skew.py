@@ -210,3 +210,24 @@ def test_group_aggregate_fan_out_without_key_check(spark):
     ).select("o_orderstatus", "n_events", "m", F.col("ff.l_returnflag").alias("f"), "t", "p")
     assert got.count() == want.count() == 4
     assert got.exceptAll(want).count() == 0
+
+
+def test_summary_pairs_match_log_grouping(spark):
+    """Per-activity counts from (activity, link key) pairs equal grouping the whole log, with
+    a hot order and orphan keys."""
+    from starweave.operators.measures import summarize
+    from starweave.plans import eventlog, stars
+
+    spec = stars.sales_spec()
+    src = stars.sales_sources(spark, SF01)
+    li = src["lineitem"].withColumn(
+        "l_orderkey",
+        F.when(F.col("l_partkey") % 3 == 0, F.lit(7))
+        .when(F.col("l_partkey") % 11 == 1, -F.col("l_orderkey") - 1)
+        .otherwise(F.col("l_orderkey")))
+    src = {**src, "lineitem": li}
+    for key, name in (("p_type", "activity"), ("s_name", "resource"), ("l_returnflag", "flag")):
+        got = eventlog.summary(spec, src, key, name)
+        want = summarize(eventlog.event_log(spec, src), key, "o_orderkey", name)
+        assert got.count() == want.count()
+        assert got.exceptAll(want).count() == 0
