@@ -70,3 +70,12 @@ def test_key_guard_is_a_side_branch(spark):
     assert "Union" in text and "raise_error" in text
     # No window between a join and its shuffle.
     assert "Window" not in text
+
+
+def test_summary_reduces_pairs_before_the_cases_join(spark):
+    lines = plan(QUERIES["activity_summary"](spark, SF01)).splitlines()
+    scan = next(i for i, l in enumerate(lines) if "lineitem.parquet" in l)
+    pairs = max(i for i, l in enumerate(lines[:scan]) if "partial_count(1)" in l)
+    join = max(i for i, l in enumerate(lines[:pairs]) if "Join" in l and "LeftOuter" in l)
+    assert join < pairs < scan
+    assert "SortAggregate" not in "\n".join(lines[:scan])
