@@ -58,3 +58,18 @@ def test_event_log_metadata_carries_roles_and_flags(spark):
     assert meta["CaseID"]["import_type"] == "Case" and meta["CaseID"]["level"] == "Case"
     assert meta["EventCost"]["finance"] == "PerEvent"
     assert meta["Activity"]["case_handling"] == "First" and meta["Activity"]["display"] is False
+
+
+def test_summary_fallback_paths_match_log_grouping(spark):
+    from starweave.operators.measures import summarize
+    from starweave.plans import stars
+
+    spec, src = stars.clicks_spec(), stars.clicks_sources(spark, SF01)
+    got = eventlog.summary(spec, src, "c_mktsegment", "segment")      # key on the cases side
+    want = summarize(eventlog.event_log(spec, src), "c_mktsegment", "c_custkey", "segment")
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+    flat = stars.clicks_flat_spec()
+    ev = {"events": src["events"]}
+    got = eventlog.summary(flat, ev, "event_type")                     # no cases dataset
+    want = summarize(eventlog.event_log(flat, ev), "event_type", "user_id")
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count() == 5
