@@ -206,6 +206,47 @@ def finish_group(spec: ImportSpec, plan: GroupPlan, per_key: DataFrame, far_df:
     return _with_guards(out, guard)
 
 
+def case_values_on_events(spec: ImportSpec, sources: Mapping[str, DataFrame],
+                          rules: Mapping[str, tuple[str, str]], columns: list[str],
+                          check_keys: bool | None = None) -> DataFrame:
+    """Event rows (``columns``) with their case's First/Last values (G3).
+
+    When the case comes from the cases dataset, the values are keyed by the events' own link
+    key: each key gets its case's merged values (a key with no case gets the null-case group's,
+    DEC-14), and the events join them on that key. The events are shuffled once, for that
+    join, and never joined to the cases table themselves; a hot case is one hot key there,
+    which AQE's skew-join rule splits. Without a cases dataset the values are joined back on
+    the case column.
+    """
+    case = spec.roles().case
+    plan = group_plan(spec, case, rules=rules, count=None)
+    if plan.edge is None:
+        log = _attributed(spec, sources, check_keys, list(dict.fromkeys([*columns, case])))
+        values = finish_group(spec, plan, key_partials(spec, plan, log, case))
+        return attach_case_values(log, case, values).select(*columns, *rules)
+    parts = split_parts(spec, sources, plan.needed, plan.edge, check_keys)
+    far = set(parts.far_columns)
+    per_key = key_partials(spec, plan, parts.near, parts.near_key, parts.far_columns)
+    joined = per_key.join(_typed(spec, parts.far), per_key["__key"] == F.col(parts.far_key), "left")
+    near_order = [c for c in plan.order if c not in far]
+    partials, post = _reductions(near_order, plan.rules, plan.mins, plan.maxs, plan.sums, None, far)
+    merges, far_post = _far_merges(partials, plan.rules, plan.mins, plan.maxs, plan.sums, far, plan.order,
+                                   near_order)
+    exprs = dict(post + far_post)
+    values = joined.groupBy(F.col(quote(case)).alias("__case")).agg(*merges).select(
+        "__case", *[exprs[n].alias(n) for n in rules])
+    key_map = joined.select("__key", F.col(quote(case)).alias("__kcase"))
+    by_key = key_map.join(values, key_map["__kcase"].eqNullSafe(values["__case"]), "left").select(
+        "__key", F.col("__kcase").alias("__c"), *rules)
+    event_cols = [c for c in columns if c != case]
+    side = split_parts(spec, sources, event_cols + [case], plan.edge, check_keys=False)
+    link = side.near_key
+    events = _typed(spec, side.near.select(*event_cols, link))
+    out = events.join(by_key, events[link].eqNullSafe(by_key["__key"]), "left")
+    picks = [F.col("__c").alias(case) if c == case else F.col(quote(c)) for c in columns]
+    return _with_guards(out.select(*picks, *rules), parts.guard)
+
+
 def summary(spec: ImportSpec, sources: Mapping[str, DataFrame], key: str, name: str | None = None,
             check_keys: bool | None = None) -> DataFrame:
     """Per value of ``key`` (the activity or the resource): ``n_events`` and ``n_cases``

@@ -219,13 +219,8 @@ def case_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def case_attributes_on_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = clicks_spec()
-    sources = clicks_sources(spark, sf_dir)
-    case = spec.roles().case
-    log = eventlog.event_log(spec, sources, columns=["event_id", case])
     rules = {"first_type": ("event_type", "First"), "last_type": ("event_type", "Last")}
-    values = eventlog.case_aggregate(spec, sources, rules=rules, count=None)
-    return cases.attach_case_values(log, case, values).select("event_id", "first_type", "last_type")
+    return eventlog.case_values_on_events(clicks_spec(), clicks_sources(spark, sf_dir), rules, ["event_id"])
 
 
 def case_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -231,3 +231,33 @@ def test_summary_pairs_match_log_grouping(spark):
         want = summarize(eventlog.event_log(spec, src), key, "o_orderkey", name)
         assert got.count() == want.count()
         assert got.exceptAll(want).count() == 0
+
+
+def test_case_values_on_events_keyed_by_link(spark):
+    """G3 keyed by the events' link key equals full-frame windows over the joined log, with a
+    hot customer, orphan keys and null keys (the null-case group, DEC-14)."""
+    from pyspark.sql import Window as W
+
+    from starweave.plans import eventlog, stars
+
+    spec = stars.clicks_spec()
+    src = stars.clicks_sources(spark, SF01)
+    ev = src["events"].withColumn(
+        "user_id",
+        F.when(F.col("event_id") % 3 == 0, F.lit(7))
+        .when(F.col("event_id") % 13 == 1, -F.col("user_id") - 1)
+        .when(F.col("event_id") % 29 == 2, F.lit(None))
+        .otherwise(F.col("user_id")))
+    src = {**src, "events": ev}
+    rules = {"first_type": ("event_type", "First"), "last_type": ("event_type", "Last"),
+             "seg": ("c_mktsegment", "First")}
+    got = eventlog.case_values_on_events(spec, src, rules, ["event_id", "c_custkey"])
+    log = eventlog.event_log(spec, src)
+    w = W.partitionBy("c_custkey").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding,
+                                                                         W.unboundedFollowing)
+    want = log.select("event_id", "c_custkey", F.first("event_type").over(w).alias("first_type"),
+                      F.last("event_type").over(w).alias("last_type"),
+                      F.first("c_mktsegment").over(w).alias("seg"))
+    assert got.columns == want.columns
+    assert got.count() == want.count() == ev.count()
+    assert got.exceptAll(want).count() == 0
