@@ -79,3 +79,18 @@ def test_summary_reduces_pairs_before_the_cases_join(spark):
     join = max(i for i, l in enumerate(lines[:pairs]) if "Join" in l and "LeftOuter" in l)
     assert join < pairs < scan
     assert "SortAggregate" not in "\n".join(lines[:scan])
+
+
+def test_case_values_on_events_shuffles_events_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = plan(QUERIES["case_attributes_on_events"](spark, SF01)).splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # The event rows (event_id plus the link key) go straight from their scan into the join
+    # shuffle: no join with the cases table on the event side.
+    scan = next(i for i, l in enumerate(lines) if "FileScan parquet [event_id" in l and "ts" not in l.split("]")[0])
+    exchange = max(i for i, l in enumerate(lines[:scan]) if "Exchange" in l)
+    assert "hashpartitioning(coalesce(" in lines[exchange]
+    assert not any("Join" in l for l in lines[exchange:scan])
+    assert "Window" not in "\n".join(lines)
