@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from starweave.llm.minhash import near_duplicates
 from starweave.llm.quality import STOP_SET, quality_report
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
@@ -58,5 +63,31 @@ q_report AS (
               WHEN NOT coalesce(dup_line_ratio <= 0.5, true) THEN 'few_repeated_lines' END AS failed_rule
   FROM q_signals)"""
 
-QUERIES: dict[str, Query] = {"op8_quality_rules": op8_quality_rules}
-ORACLE: dict[str, str] = {"op8_quality_rules": f"WITH {QUALITY_SIGNALS_SQL} SELECT * FROM q_report"}
+_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+NEAR_DUPLICATES_SQL = f"""
+n_words AS (
+  SELECT doc_id, list_filter(string_split_regex({_AZ}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+n_shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM n_words WHERE len(w) > 0)),
+n_size AS (SELECT doc_id, count(*) AS n FROM n_shingle GROUP BY doc_id),
+n_common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM n_shingle a JOIN n_shingle b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+n_link AS (
+  SELECT a, b FROM n_common JOIN n_size x ON x.doc_id = a JOIN n_size y ON y.doc_id = b
+  WHERE 100 * c >= 85 * (x.n + y.n - c)),
+n_reach AS (
+  SELECT doc_id AS a, doc_id AS r FROM documents
+  UNION SELECT q.a, e.b FROM n_reach q JOIN n_link e ON e.a = q.r),
+n_report AS (
+  SELECT d.doc_id, coalesce(any_value(z.n), 0)::BIGINT AS n_shingles, min(q.r) AS component_id,
+         d.doc_id = min(q.r) AS kept
+  FROM documents d JOIN n_reach q ON q.a = d.doc_id LEFT JOIN n_size z ON z.doc_id = d.doc_id GROUP BY d.doc_id)"""
+
+QUERIES: dict[str, Query] = {"op3_minhash": op3_minhash, "op8_quality_rules": op8_quality_rules}
+ORACLE: dict[str, str] = {
+    "op3_minhash": f"WITH RECURSIVE {NEAR_DUPLICATES_SQL} SELECT * FROM n_report",
+    "op8_quality_rules": f"WITH {QUALITY_SIGNALS_SQL} SELECT * FROM q_report",
+}
