@@ -1,0 +1,156 @@
+"""Secret scans: regular-expression candidates, judged by how many owners in the corpus hold them.
+
+Candidates come from built-in regular expressions; their values are hashed, and one aggregate over
+the corpus counts the distinct owners and repositories that hold each hash. A value held by several
+owners is a copied example; one held by a single owner that looks random is a live credential.
+The base kinds are always reported. Candidates of the extra kind ``mixed`` (long tokens of upper
+case, lower case and digits, without a telling name before them) are reported only when the
+ownership count says that they are live, and when no base span overlaps them.
+
+Everything is DataFrame expressions. Only candidate rows are shuffled, never texts. Positions are
+code points, end exclusive: texts are split at the matches and the lengths are added up.
+
+Defined results: a null text counts as empty and has no spans; null owners are one owner, a null
+repository is one repository; repeated rows are reported one by one; null ids pass through; an
+empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from starweave.llm.common import col, documents, fresh, quoted, stored
+
+# The contract's three base kinds in order, and the extra kind of the method.
+# Hexadecimal runs and access keys are matched from the minimum length on, which equals dropping
+# the short matches: a shorter run cannot hold a longer one.
+ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+KINDS = {
+    "assign": ASSIGN,
+    "access": r"AKIA[A-Z0-9]{14,}",
+    "hex": r"(?<![0-9a-f])[0-9a-f]{16,}",
+    "mixed": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}",
+}
+BASE = ("assign", "access", "hex")
+NAMES = list(KINDS)
+#: A value of this many owners or more is a copied example.
+COPIED_OWNERS = 2
+#: Live credentials have this many different characters at least.
+LIVE_CHARACTERS = 10
+
+
+def _live_looking(value: Column) -> Column:
+    """Random by its characters: many different ones, letters and digits."""
+    return (value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+            & (F.size(F.array_distinct(F.split(value, ""))) >= LIVE_CHARACTERS))
+
+
+def _hits(kind: str, matches: Column, text: Column) -> Column:
+    """Per match: kind, number, characters since the last match, length, value hash, does it count, is it live-looking."""
+    pattern = KINDS[kind]
+    gaps = F.split(text, pattern, -1)
+    value = lambda m: F.regexp_extract(m, ASSIGN, 2) if kind == "assign" else m
+    good = {
+        "assign": lambda m: F.length(value(m)) >= 12,
+        "mixed": lambda m: m.rlike("[a-z]") & m.rlike("[A-Z]") & m.rlike("[0-9]"),
+    }.get(kind, lambda m: F.lit(True))
+    rows = F.transform(F.arrays_zip(matches.alias("m"), gaps.alias("g")), lambda x, i: F.struct(
+        F.lit(NAMES.index(kind)).alias("kind"), i.alias("k"), F.length(x["g"]).cast("long").alias("gap"),
+        F.length(x["m"]).cast("long").alias("len"), F.unhex(F.sha2(value(x["m"]).cast("binary"), 256)).alias("hash"),
+        good(x["m"]).alias("good"), _live_looking(value(x["m"])).alias("live")))
+    return F.when(F.size(matches) > 0, F.filter(rows, lambda r: r["len"].isNotNull())).otherwise(F.array())
+
+
+def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col: str) -> DataFrame:
+    """One row per document, with the candidates of every kind in the array ``hits``."""
+    names = ["doc_id", "text", "owner", "repo"]
+    df = docs.select(col(docs, id_col).cast("long").alias("doc_id"),
+                     F.coalesce(col(docs, text_col).cast("string"), F.lit("")).alias("text"),
+                     F.coalesce(col(docs, owner_col).cast("string"), F.lit("")).alias("owner"),
+                     F.coalesce(col(docs, repo_col).cast("string"), F.lit("")).alias("repo"))
+    found = df.select(*names, *(F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(f"m_{k}") for k, p in KINDS.items()))
+    hits = F.concat(*(_hits(k, F.col(f"m_{k}"), F.col("text")) for k in KINDS))
+    return found.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "owner", "repo",
+                        F.md5("text").alias("digest"), hits.alias("hits"))
+
+
+def ownership(hits: DataFrame) -> DataFrame:
+    """``(hash, n_owners, n_repos)``: distinct owners and (owner, repository) pairs of each value."""
+    held = hits.select("hash", "owner", "repo").distinct().groupBy("hash", "owner").agg(F.count("*").alias("n"))
+    return held.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repos"))
+
+
+def _placed(table: DataFrame) -> DataFrame:
+    """One row per good candidate, with its start and end."""
+    rows = table.filter(F.size("hits") > 0).select("rid", "owner", "repo", F.inline("hits"))
+    run = Window.partitionBy("rid", "kind").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(run))
+    return rows.filter("good").select("rid", "owner", "repo", "kind", (F.col("end") - F.col("len")).alias("start"),
+                                      "end", "hash", "live")
+
+
+def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
+                  repo_col: str = "doc_id", copied_owners: int = COPIED_OWNERS) -> DataFrame:
+    """One row per document: counts per base kind, the digest of the base spans, all spans, and how
+    many reported spans are live (one owner, random-looking) or copied (several owners)."""
+    table = stored(candidates(docs, id_col, text_col, owner_col, repo_col), "secrets")
+    hits = stored(_placed(table), "secret-hits")
+    counts = stored(ownership(hits), "secret-owners")
+    mixed = NAMES.index("mixed")
+    judged = hits.select("rid", "kind", "start", "end", "hash", "live").join(counts, "hash").select(
+        "rid", "kind", "start", "end", (F.col("n_owners") >= copied_owners).alias("copied"),
+        (F.col("live") & (F.col("n_owners") < copied_owners)).alias("live"))
+    judged = judged.filter((F.col("kind") != mixed) | F.col("live"))
+    is_base = F.col("kind") != mixed
+    before = Window.partitionBy("rid").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = Window.partitionBy("rid").orderBy("start", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    judged = judged.withColumn("reach", F.max(F.when(is_base, F.col("end"))).over(before)).withColumn(
+        "next", F.min(F.when(is_base, F.col("start"))).over(after))
+    judged = judged.filter(is_base | ((F.coalesce("reach", F.lit(0)) <= F.col("start"))
+                                      & (F.coalesce("next", "end") >= F.col("end"))))
+    name = F.element_at(F.array(*map(F.lit, NAMES)), F.col("kind") + 1)
+    count = lambda k: F.count_if(F.col("kind") == NAMES.index(k)).alias(f"n_{k}")
+    span = F.struct("start", "kind", "end", F.concat_ws(":", name, "start", "end").alias("text"))
+    per_doc = judged.groupBy("rid").agg(
+        *(count(k) for k in BASE), F.count_if("live").alias("n_live"), F.count_if("copied").alias("n_copied"),
+        F.sort_array(F.collect_list(span)).alias("all"))
+    text = lambda a: F.array_join(F.transform(a, lambda s: s["text"]), ",")
+    per_doc = per_doc.select(
+        "rid", *(f"n_{k}" for k in BASE), "n_live", "n_copied", text(F.col("all")).alias("spans"),
+        text(F.filter("all", lambda s: s["kind"] != mixed)).alias("base"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return table.select("rid", "doc_id", "digest").join(per_doc, "rid", "left").select(
+        "doc_id", *(zero(f"n_{k}") for k in BASE),
+        F.sha2(F.coalesce("base", F.lit("")).cast("binary"), 256).alias("base_sha256"),
+        F.coalesce("spans", F.lit("")).alias("spans"), zero("n_live"), zero("n_copied"), "digest")
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
+           repo_col: str = "doc_id", mask: str = "[SECRET]") -> DataFrame:
+    """All documents, with every reported span of the text replaced by ``mask``.
+
+    Spans are a function of the text alone (ownership is counted per value), so they are matched to
+    documents by the text's digest, one row per distinct text that has any.
+    """
+    report = secret_report(docs, id_col, text_col, owner_col, repo_col)
+    spans = stored(report.filter("spans <> ''").select("digest", "spans").distinct(), "secret-spans")
+    d, s, t = (fresh(docs.columns, x) for x in ("digest", "spans", "text"))
+    spans = spans.select(F.col("digest").alias(d), F.col("spans").alias(s))
+    text = col(docs, text_col).cast("string")
+    mine = [col(docs, c) for c in docs.columns]
+    df = docs.select(*mine, F.md5(F.coalesce(text, F.lit(""))).alias(d)).join(spans, d, "left")
+    cuts = F.transform(F.split(F.col(s), ","), lambda x: F.struct(
+        F.split(x, ":")[1].cast("int").alias("a"), F.split(x, ":")[2].cast("int").alias("b")))
+    df = df.select(*(F.col(quoted(c)) for c in docs.columns), cuts.alias(s))
+    mine = [F.col(quoted(c)) for c in docs.columns]
+    # Merge overlapping cuts: each span starts after the furthest end before it.
+    spans = F.col(s)
+    ends = lambda i: F.coalesce(F.array_max(F.transform(F.slice(spans, 1, i), lambda x: x["b"])), F.lit(0))
+    body = F.col(quoted(text_col)).cast("string")
+    parts = F.transform(spans, lambda x, i: F.when(x["a"] >= ends(i), F.concat(
+        F.substring(body, ends(i) + 1, x["a"] - ends(i)), F.lit(mask))).otherwise(F.lit("")))
+    tail = F.substring(body, ends(F.size(spans)) + 1, F.length(body))
+    new = F.when(spans.isNull(), body).otherwise(F.concat(F.array_join(parts, ""), tail))
+    df = df.select(*mine, new.alias(t))
+    return df.select(*(F.col(t).alias(c) if c == text_col else F.col(quoted(c)) for c in docs.columns))
