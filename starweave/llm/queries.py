@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from starweave.llm.minhash import near_duplicates
 from starweave.llm.quality import STOP_SET, quality_report
-from starweave.llm.secrets import secret_report
+from starweave.llm.secret_scan import secret_report
+from starweave.llm.suffix_dedup import repeated_bytes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +26,10 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
@@ -91,7 +96,8 @@ n_report AS (
          d.doc_id = min(q.r) AS kept
   FROM documents d JOIN n_reach q ON q.a = d.doc_id LEFT JOIN n_size z ON z.doc_id = d.doc_id GROUP BY d.doc_id)"""
 
-QUERIES: dict[str, Query] = {"op1_secret_scans": op1_secret_scans, "op3_minhash": op3_minhash, "op8_quality_rules": op8_quality_rules}
+QUERIES: dict[str, Query] = {"op1_secret_scans": op1_secret_scans, "op3_minhash": op3_minhash, "op5_suffix_array": op5_suffix_array,
+                             "op8_quality_rules": op8_quality_rules}
 ORACLE: dict[str, str] = {
     "op3_minhash": f"WITH RECURSIVE {NEAR_DUPLICATES_SQL} SELECT * FROM n_report",
     "op8_quality_rules": f"WITH {QUALITY_SIGNALS_SQL} SELECT * FROM q_report",
