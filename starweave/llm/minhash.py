@@ -6,9 +6,11 @@ Two permutations give all coordinates. ``BANDS`` bands of ``ROWS`` coordinates a
 bucket keys; texts with 0.85 similarity share no bucket with a probability under one in a million.
 
 Linking without all pairs of a bucket: equal sets are one node. In every bucket each node is
-compared, on full sets, with the bucket's smallest node (the pivot). Jaccard distance is a metric,
-so two nodes can only be linked if their distances to the pivot differ by at most the allowed
-distance; only such pairs that are still in different components are compared afterwards.
+compared, on full sets, with the bucket's pivot: the node that meets most others over all its
+buckets, as the original of many edited copies does. Buckets that still hold nodes of different
+components are settled by a prefix filter: with shingles ordered from rare to common, two sets that
+link must share one of the first n - ceil(0.85 n) + 1 of each. Passages that many texts share are
+common and stand at the end, so they do not make pairs; every pair that can link is compared.
 
 Defined results: a null or blank text has an empty set and is linked with nothing; a text with
 fewer than five words is one shingle; rows without an id take part in links but are never named as
@@ -115,28 +117,24 @@ def _linked(compared: DataFrame, min_percent: int) -> DataFrame:
     return compared.filter(F.col("i") * 100 >= F.col("u") * min_percent).select("a", "b")
 
 
-def _unsettled_pairs(members: DataFrame, compared: DataFrame, labels: DataFrame, min_percent: int) -> DataFrame:
-    """Pairs of a bucket that lie in different components and may still link.
-
-    Their distances to the bucket's pivot differ by at most the allowed distance (triangle
-    inequality), and their set sizes by at most the allowed ratio.
-    """
-    far = 1 - min_percent / 100 + 1e-9
-    known = compared.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (1 - F.col("i") / F.col("u")).alias("d"))
-    here = (members.filter("node <> pivot").join(known, ["pivot", "node"])
-            .join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    ends = members.select("key", F.col("pivot").alias("node")).distinct().join(labels, "node", "left").select(
-        "key", F.coalesce("label", "node").alias("label"))
-    open_keys = (here.select("key", "label").unionAll(ends).groupBy("key")
-                 .agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key"))
-    here = stored(here.join(open_keys, "key").select("key", "node", "n", "label", "d"), "unsettled")
-    cell = F.floor(F.col("d") / far).cast("int")
-    left = here.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"),
-                       F.col("d").alias("da"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    right = here.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"),
-                        F.col("d").alias("db"), cell.alias("cell"))
-    pairs = left.join(right, ["key", "cell"]).filter(
-        (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.abs(F.col("da") - F.col("db")) <= far)
+def _unsettled_pairs(members: DataFrame, sets: DataFrame, labels: DataFrame, min_percent: int) -> DataFrame:
+    """Pairs of nodes in different components, each in a bucket that is not of one component, that may link."""
+    here = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+    here = stored(here, "here")
+    open_keys = (here.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+                 .filter("lo < hi").select("key"))
+    open_nodes = stored(here.join(open_keys, "key").select("node", "n", "label").distinct(), "open")
+    rows = stored(open_nodes.join(sets, "node").select("node", F.explode("shingles").alias("s")), "open-shingles")
+    spread = stored(rows.groupBy("s").agg(F.count("*").alias("df")), "spread")
+    ranked = rows.join(spread, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("all"))
+    length = F.col("n") - F.ceil(F.col("n") * min_percent / 100) + 1
+    prefix = ranked.join(open_nodes, "node").select(
+        "node", "n", "label", F.inline(F.slice("all", F.lit(1), length.cast("int"))))
+    prefix = stored(prefix.filter("df > 1").select("node", "n", "label", "s"), "prefix")
+    one = prefix.select("s", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    two = prefix.select("s", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    pairs = one.join(two, "s").filter(
+        (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))
         & (100 * F.least("na", "nb") >= min_percent * F.greatest("na", "nb")))
     return pairs.select("a", "b").distinct()
 
@@ -158,11 +156,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "set_key", "rep", "keys", "n", F.when(F.col("set_key") == F.col("owner"), F.col("rep"))
         .otherwise(F.xxhash64("set_key")).alias("node")), "nodes")
 
-    # A bucket is known by its size and smallest node, gathered by partial aggregation only.
+    # Buckets are known by their sizes and pivots, gathered by partial aggregation only.
     slots = nodes.select("node", "n", F.explode("keys").alias("key"))
-    pivots = stored(slots.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("size"))
-                    .filter("size > 1").select("key", "pivot"), "pivots")
-    members = stored(slots.join(pivots, "key"), "members")
+    sizes = stored(slots.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
+    members = stored(slots.join(sizes, "key"), "slots")
+    weights = stored(members.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
+    pivots = members.join(weights, "node").groupBy("key").agg(
+        F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("top"))
+    pivots = stored(pivots.select("key", (-F.col("top.minus")).alias("pivot")), "pivots")
+    members = stored(members.select("key", "node", "n").join(pivots, "key"), "members")
 
     # Full sets of the nodes that share a bucket, each made from one row that has this set.
     chosen = (members.select("node").distinct().join(nodes.select("node", "set_key"), "node")
@@ -176,7 +178,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     compared = _compared(members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")), sets)
     edges = _linked(compared, min_percent)
     labels = connected_components(edges)
-    more = stored(_unsettled_pairs(members, compared, labels, min_percent).join(compared, ["a", "b"], "left_anti"), "more")
+    more = stored(_unsettled_pairs(members, sets, labels, min_percent).join(compared, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
         labels = connected_components(edges.unionAll(_linked(_compared(more, sets), min_percent)))
 

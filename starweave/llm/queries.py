@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from starweave.llm.langid import identify
 from starweave.llm.minhash import near_duplicates
 from starweave.llm.packing import pack
 from starweave.llm.quality import STOP_SET, quality_report
@@ -32,6 +33,10 @@ def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
@@ -102,7 +107,7 @@ n_report AS (
          d.doc_id = min(q.r) AS kept
   FROM documents d JOIN n_reach q ON q.a = d.doc_id LEFT JOIN n_size z ON z.doc_id = d.doc_id GROUP BY d.doc_id)"""
 
-QUERIES: dict[str, Query] = {"op1_secret_scans": op1_secret_scans, "op3_minhash": op3_minhash, "op5_suffix_array": op5_suffix_array,
+QUERIES: dict[str, Query] = {"op1_secret_scans": op1_secret_scans, "op3_minhash": op3_minhash, "op5_suffix_array": op5_suffix_array, "op7_language_id": op7_language_id,
                              "op8_quality_rules": op8_quality_rules, "op10_packing": op10_packing}
 ORACLE: dict[str, str] = {
     "op3_minhash": f"WITH RECURSIVE {NEAR_DUPLICATES_SQL} SELECT * FROM n_report",

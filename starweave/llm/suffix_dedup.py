@@ -269,15 +269,17 @@ def _results(whole_characters: bool):
     return run
 
 
-def _ordered(base: DataFrame) -> DataFrame:
-    """Add ``ord``, the text's place in the order of documents: the id itself if it can serve."""
-    ids = base.select("doc_id", "digest").distinct()
-    shape = ids.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")).first()
+def _ordered(df: DataFrame, id_col: str, digest: str, out: str) -> DataFrame:
+    """Add ``out``, the text's place in the order of documents: the id itself if it can serve."""
+    ids = df.select(F.col(id_col).alias("i"), F.col(digest).alias("g")).distinct()
+    shape = ids.agg(F.count("*").alias("n"), F.count_distinct("i").alias("ids")).first()
     if shape.n == shape.ids:
-        return base.withColumn("ord", F.col("doc_id"))
-    ranked = ids.orderBy(F.col("doc_id").asc_nulls_last(), "digest").rdd.zipWithIndex()
+        return df.withColumn(out, F.col(id_col))
+    ranked = ids.orderBy(F.col("i").asc_nulls_last(), "g").rdd.zipWithIndex()
     ranked = stored(ranked.map(lambda x: (x[0][0], x[0][1], x[1])).toDF("i long, g binary, ord long"), "order")
-    return base.join(ranked, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("g"))).drop("i", "g")
+    i, g = fresh(df.columns, "i"), fresh(df.columns, "g")
+    ranked = ranked.select(F.col("i").alias(i), F.col("g").alias(g), F.col("ord").alias(out))
+    return df.join(ranked, F.col(id_col).eqNullSafe(F.col(i)) & (F.col(digest) == F.col(g))).drop(i, g)
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
@@ -305,17 +307,40 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
 def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     base = documents(docs, id_col, text_col)
     text = F.coalesce("text", F.lit("")).cast("binary")
-    return _ordered(base.select("doc_id", text.alias("text"), F.unhex(F.md5(text)).alias("digest")))
+    return _ordered(base.select("doc_id", text.alias("text"), F.unhex(F.md5(text)).alias("digest")),
+                    "doc_id", "digest", "ord")
+
+
+def _cut_texts(texts: DataFrame, spans: DataFrame, whole_characters: bool) -> DataFrame:
+    """What is left of each text that has spans; other texts are mostly dropped before the shuffle."""
+    hit = KeyFilter(spans.select("ord")).rows(texts, "ord").join(spans, "ord").select("ord", "text", "spans")
+    schema = "ord long, n_removed long, n_spans long, kept binary"
+    return stored(hit.mapInArrow(_results(whole_characters), schema).dropDuplicates(["ord"]), "cut")
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All documents, their texts without the repeated bytes, with all their columns.
+
+    A character that is only partly covered stays whole, so the texts remain valid; a text may
+    become empty.
+    """
+    i, g, o, x, k = (fresh(docs.columns, n) for n in ("id", "digest", "ord", "bytes", "kept"))
+    mine = [F.col(quoted(c)) for c in docs.columns]
+    text = F.coalesce(col(docs, text_col).cast("string"), F.lit("")).cast("binary")
+    df = docs.select(*mine, col(docs, id_col).cast("long").alias(i), F.unhex(F.md5(text)).alias(g))
+    df = _ordered(df, i, g, o)
+    texts = df.select(F.col(o).alias("ord"),
+                      F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).cast("binary").alias("text"))
+    cut = _cut_texts(texts, repeated_spans(texts), True).select(F.col("ord").alias(o), F.col("kept").cast("string").alias(k))
+    new = F.coalesce(F.col(k), F.col(quoted(text_col)).cast("string")).alias(text_col)
+    return df.join(cut, o, "left").select(*(new if c == text_col else F.col(quoted(c)) for c in docs.columns))
 
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     base = _base(docs, id_col, text_col)
-    distinct = base.select("ord", "text", "doc_id")
-    spans = repeated_spans(distinct)
-    hit = KeyFilter(spans.select("ord")).rows(base.select("ord", "text"), "ord").join(spans, "ord")
-    cut = stored(hit.mapInArrow(_results(False), "ord long, n_removed long, n_spans long, kept binary")
-                 .dropDuplicates(["ord"]), "cut")
+    texts = base.select("ord", "text")
+    cut = _cut_texts(texts, repeated_spans(texts), False)
     whole = base.select("doc_id", "ord", F.octet_length("text").cast("long").alias("n_bytes"),
                         F.sha2("text", 256).alias("whole"))
     zero = F.lit(0).cast("long")
