@@ -10,7 +10,8 @@ compared, on full sets, with the bucket's pivot: the node that meets most others
 buckets, as the original of many edited copies does. Buckets that still hold nodes of different
 components are settled by a prefix filter: with shingles ordered from rare to common, two sets that
 link must share one of the first n - ceil(0.85 n) + 1 of each. Passages that many texts share are
-common and stand at the end, so they do not make pairs; every pair that can link is compared.
+common and stand at the end, so they do not make pairs. A set's shingles that no other open set has
+bound its overlap with any of them. Every pair that can link is compared.
 
 Defined results: a null or blank text has an empty set and is linked with nothing; a text with
 fewer than five words is one shingle; rows without an id take part in links but are never named as
@@ -128,14 +129,21 @@ def _unsettled_pairs(members: DataFrame, sets: DataFrame, labels: DataFrame, min
     spread = stored(rows.groupBy("s").agg(F.count("*").alias("df")), "spread")
     ranked = rows.join(spread, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("all"))
     length = F.col("n") - F.ceil(F.col("n") * min_percent / 100) + 1
+    # Only shingles of two open nodes or more can be common: they bound the overlap of a pair.
+    shared = F.size(F.filter("all", lambda x: x["df"] > 1))
+    first = F.filter(F.slice("all", F.lit(1), length.cast("int")), lambda x: x["df"] > 1)
+    columns = ("node", "n", "most", "label", "first")
     prefix = ranked.join(open_nodes, "node").select(
-        "node", "n", "label", F.inline(F.slice("all", F.lit(1), length.cast("int"))))
-    prefix = stored(prefix.filter("df > 1").select("node", "n", "label", "s"), "prefix")
-    one = prefix.select("s", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    two = prefix.select("s", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+        "node", "n", "label", shared.alias("most"), F.transform(first, lambda x: x["s"]).alias("first"))
+    prefix = stored(prefix.select(*columns, F.explode("first").alias("s")), "prefix")
+    one = prefix.select("s", *(F.col(c).alias(f"{c}_a") for c in columns))
+    two = prefix.select("s", *(F.col(c).alias(f"{c}_b") for c in columns))
     pairs = one.join(two, "s").filter(
-        (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))
-        & (100 * F.least("na", "nb") >= min_percent * F.greatest("na", "nb")))
+        (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b"))
+        & (F.least("most_a", "most_b") * (100 + min_percent) >= min_percent * (F.col("n_a") + F.col("n_b")))
+        # a pair comes up once, at the first shingle that both prefixes hold
+        & (F.get(F.array_intersect("first_a", "first_b"), F.lit(0)) == F.col("s")))
+    pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     return pairs.select("a", "b").distinct()
 
 
