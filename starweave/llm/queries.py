@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from starweave.llm.langid import identify
+from starweave.llm.lm import score_documents
 from starweave.llm.minhash import near_duplicates
 from starweave.llm.packing import pack
 from starweave.llm.quality import STOP_SET, quality_report
@@ -41,6 +42,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -108,7 +113,8 @@ n_report AS (
   FROM documents d JOIN n_reach q ON q.a = d.doc_id LEFT JOIN n_size z ON z.doc_id = d.doc_id GROUP BY d.doc_id)"""
 
 QUERIES: dict[str, Query] = {"op1_secret_scans": op1_secret_scans, "op3_minhash": op3_minhash, "op5_suffix_array": op5_suffix_array, "op7_language_id": op7_language_id,
-                             "op8_quality_rules": op8_quality_rules, "op10_packing": op10_packing}
+                             "op8_quality_rules": op8_quality_rules, "op9_lm_scoring": op9_lm_scoring,
+                             "op10_packing": op10_packing}
 ORACLE: dict[str, str] = {
     "op3_minhash": f"WITH RECURSIVE {NEAR_DUPLICATES_SQL} SELECT * FROM n_report",
     "op8_quality_rules": f"WITH {QUALITY_SIGNALS_SQL} SELECT * FROM q_report",
