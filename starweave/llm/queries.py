@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from starweave.llm.ann import search
 from starweave.llm.langid import identify
 from starweave.llm.lm import score_documents
 from starweave.llm.minhash import near_duplicates
@@ -30,6 +31,10 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"))
+
+
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(table(spark, sf_dir, "documents"))
 
@@ -112,7 +117,7 @@ n_report AS (
          d.doc_id = min(q.r) AS kept
   FROM documents d JOIN n_reach q ON q.a = d.doc_id LEFT JOIN n_size z ON z.doc_id = d.doc_id GROUP BY d.doc_id)"""
 
-QUERIES: dict[str, Query] = {"op1_secret_scans": op1_secret_scans, "op3_minhash": op3_minhash, "op5_suffix_array": op5_suffix_array, "op7_language_id": op7_language_id,
+QUERIES: dict[str, Query] = {"op1_secret_scans": op1_secret_scans, "op3_minhash": op3_minhash, "op4_nearest_neighbours": op4_nearest_neighbours, "op5_suffix_array": op5_suffix_array, "op7_language_id": op7_language_id,
                              "op8_quality_rules": op8_quality_rules, "op9_lm_scoring": op9_lm_scoring,
                              "op10_packing": op10_packing}
 ORACLE: dict[str, str] = {
