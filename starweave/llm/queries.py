@@ -12,6 +12,7 @@ from starweave.llm.langid import identify
 from starweave.llm.lm import score_documents
 from starweave.llm.minhash import near_duplicates
 from starweave.llm.packing import pack
+from starweave.llm.pieces import encoding_report
 from starweave.llm.quality import STOP_SET, quality_report
 from starweave.llm.secret_scan import secret_report
 from starweave.llm.suffix_dedup import repeated_bytes
@@ -27,6 +28,10 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents")).drop("digest")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_report(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -117,7 +122,8 @@ n_report AS (
          d.doc_id = min(q.r) AS kept
   FROM documents d JOIN n_reach q ON q.a = d.doc_id LEFT JOIN n_size z ON z.doc_id = d.doc_id GROUP BY d.doc_id)"""
 
-QUERIES: dict[str, Query] = {"op1_secret_scans": op1_secret_scans, "op3_minhash": op3_minhash, "op4_nearest_neighbours": op4_nearest_neighbours, "op5_suffix_array": op5_suffix_array, "op7_language_id": op7_language_id,
+QUERIES: dict[str, Query] = {"op1_secret_scans": op1_secret_scans, "op2_sentencepiece": op2_sentencepiece,
+                             "op3_minhash": op3_minhash, "op4_nearest_neighbours": op4_nearest_neighbours, "op5_suffix_array": op5_suffix_array, "op7_language_id": op7_language_id,
                              "op8_quality_rules": op8_quality_rules, "op9_lm_scoring": op9_lm_scoring,
                              "op10_packing": op10_packing}
 ORACLE: dict[str, str] = {
