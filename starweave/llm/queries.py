@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from starweave.llm.ann import search
+from starweave.llm.compact_windows import near_duplicate_passages
 from starweave.llm.langid import identify
 from starweave.llm.lm import score_documents
 from starweave.llm.minhash import near_duplicates
@@ -44,6 +45,10 @@ def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(table(spark, sf_dir, "documents"))
 
 
+def op6_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -123,7 +128,8 @@ n_report AS (
   FROM documents d JOIN n_reach q ON q.a = d.doc_id LEFT JOIN n_size z ON z.doc_id = d.doc_id GROUP BY d.doc_id)"""
 
 QUERIES: dict[str, Query] = {"op1_secret_scans": op1_secret_scans, "op2_sentencepiece": op2_sentencepiece,
-                             "op3_minhash": op3_minhash, "op4_nearest_neighbours": op4_nearest_neighbours, "op5_suffix_array": op5_suffix_array, "op7_language_id": op7_language_id,
+                             "op3_minhash": op3_minhash, "op4_nearest_neighbours": op4_nearest_neighbours, "op5_suffix_array": op5_suffix_array, "op6_compact_windows": op6_compact_windows,
+                             "op7_language_id": op7_language_id,
                              "op8_quality_rules": op8_quality_rules, "op9_lm_scoring": op9_lm_scoring,
                              "op10_packing": op10_packing}
 ORACLE: dict[str, str] = {
