@@ -32,21 +32,26 @@ def fresh(taken: Iterable[str], label: str) -> str:
     return name
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it back.
 
-    It cuts lineage: a lost executor costs one stage over this table, not the steps before it.
+    It cuts lineage: a lost executor costs one stage over this table, not the steps before it. The
+    shuffle files of the write go as soon as the table is there, since nothing reads them again.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
     """Only the columns an operator needs, under fixed names, so that extra columns cannot clash."""
     cols = [col(df, id_col).cast("long").alias("doc_id"), col(df, text_col).cast("string").alias("text")]
