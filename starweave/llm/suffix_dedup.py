@@ -6,9 +6,9 @@ in the corpus leaves; the others get a longer name, until they are unique or pas
 
 Three things keep this far below one row per byte and round, without losing a match:
 
-* Anchors. Every 100-byte string holds 69 strings of 32 bytes; the one with the smallest hash
+* Anchors. Every 100-byte string holds 45 strings of 56 bytes; the one with the smallest hash
   (leftmost on ties) is its anchor. Equal strings have equal anchors at equal places, so only
-  anchors are ranked in the first round, about one byte in 35. A string whose anchor is unique
+  anchors are ranked in the first round, about one byte in 23. A string whose anchor is unique
   occurs once.
 * Contexts. An anchor's context is all bytes of the 100-byte strings that can hold it. If two
   anchors have equal contexts, all strings around the later one start earlier too. If all anchors
@@ -40,8 +40,8 @@ from starweave.llm.keyfilter import KeyFilter
 from starweave.llm.shingles import mix
 
 LENGTH = 100  # bytes of a string that may not repeat
-GRAM = 32  # bytes of an anchor
-_SPAN = LENGTH - GRAM  # an anchor starts 0 to 68 bytes after its string
+GRAM = 56  # bytes of an anchor (32 to 64): long enough that few repeat by chance
+_SPAN = LENGTH - GRAM  # an anchor starts 0 to this many bytes after its string
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)
 _POS = 24  # bits of a position inside a buffer
@@ -68,7 +68,9 @@ class Buffer:
                 if width in (4, 32, 64):
                     names[width] = h
         self.h4, self.h32, self.h64 = names[4], names[32], names[64]
-        key = (mix(self.h32) >> _U(_POS)) << _U(_POS)
+        with np.errstate(over="ignore"):
+            self.grams = mix(self.h32[:len(self.h32) - GRAM + 32] * _P + self.h32[GRAM - 32:])
+        key = (self.grams >> _U(_POS)) << _U(_POS)
         key |= np.arange(len(key), dtype=_U)
         width = 1
         while width * 2 <= _SPAN + 1:
@@ -94,7 +96,7 @@ class Buffer:
             yield number, shift, size, first + lo - shift, last + lo - shift, a[first]
 
     def gram(self, anchors: np.ndarray) -> np.ndarray:
-        return mix(self.h32[anchors] ^ _U(GRAM)).view(np.int64)
+        return self.grams[anchors].view(np.int64)
 
     def context(self, anchors: np.ndarray, shift: int, size: int) -> np.ndarray:
         """Name of the bytes of all strings that can hold the anchor, within the text."""
@@ -126,16 +128,16 @@ def buffers(texts: list[bytes | None]) -> Iterator[Buffer]:
             for lo in range(0, n - LENGTH + 1, _BLOCK):
                 hi = min(lo + _BLOCK, n - LENGTH + 1)
                 a, b = max(0, lo - 2 * LENGTH), min(n, hi + 3 * LENGTH)
-                yield Buffer(t[a:b] + bytes(64), [(number, 0, a, n, lo, hi)])
+                yield Buffer(t[a:b] + bytes(128), [(number, 0, a, n, lo, hi)])
             continue
         data.append(t)
         parts.append((number, size, 0, n, 0, n - LENGTH + 1))
         size += n
         if size >= _PACK:
-            yield Buffer(b"".join([*data, bytes(64)]), parts)
+            yield Buffer(b"".join([*data, bytes(128)]), parts)
             data, parts, size = [], [], 0
     if data:
-        yield Buffer(b"".join([*data, bytes(64)]), parts)
+        yield Buffer(b"".join([*data, bytes(128)]), parts)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[pa.RecordBatch]:
@@ -154,84 +156,71 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _anchors(repeated: KeyFilter):
+    """Anchors whose names may repeat; ``again`` marks a context that the same text holds before."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _chunks(batches):
             order = b.column("ord").to_numpy()
-            cols: list[list[np.ndarray]] = [[], [], [], []]
+            found: dict[int, list[tuple[np.ndarray, ...]]] = {}
             for buf in buffers(b.column("text").to_pylist()):
                 for number, shift, size, _, _, anchors in buf.runs():
                     gram = buf.gram(anchors)
                     keep = repeated.keep(gram)
                     if keep.any():
-                        anchors = anchors[keep]
-                        for c, x in zip(cols, (gram[keep], buf.context(anchors, shift, size),
-                                               np.full(len(anchors), order[number]), anchors + shift)):
-                            c.append(x)
+                        at = anchors[keep]
+                        found.setdefault(number, []).append((gram[keep], buf.context(at, shift, size), at + shift))
+            cols: list[list[np.ndarray]] = [[], [], [], [], []]
+            for number, parts in found.items():
+                gram, ctx, pos = (np.concatenate(x) for x in zip(*parts))
+                pos, once = np.unique(pos, return_index=True)  # blocks of a long text share their edges
+                gram, ctx = gram[once], ctx[once]
+                again = np.ones(len(ctx), dtype=bool)
+                again[np.unique(ctx, return_index=True)[1]] = False
+                for c, x in zip(cols, (gram, ctx, np.full(len(pos), order[number]), pos, again)):
+                    c.append(x)
             if cols[0]:
                 yield pa.record_batch([pa.array(np.concatenate(c)) for c in cols],
-                                      names=["gram", "ctx", "ord", "pos"])
+                                      names=["gram", "ctx", "ord", "pos", "again"])
 
     return run
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes known to repeat earlier (``name`` null), and names of the strings still to compare."""
+    """Starts ``a`` and names of the strings around the open anchors. A string that the text holds
+    before is not named again: such strings come out as spans a to b (``name`` null)."""
     for b in _chunks(batches):
         texts = b.column("text").to_pylist()
         order = b.column("ord").to_pylist()
-        cols: list[list[np.ndarray]] = [[], [], [], []]
-
-        def put(number: int, start: np.ndarray, end: np.ndarray, name: np.ndarray | None) -> None:
-            if len(start):
-                cols[0].append(np.full(len(start), order[number], dtype=np.int64))
-                cols[1].append(start.astype(np.int64))
-                cols[2].append(end.astype(np.int64))
-                cols[3].append(np.zeros(len(start), np.int64) if name is None else name)
-                known.append(np.full(len(start), name is None))
-
-        known: list[np.ndarray] = []
-        todo: dict[int, np.ndarray] = {}
-        for number, rows in enumerate(b.column("anchors").to_pylist()):
-            pos, n_gram, n_ctx, first, ctx = (np.array([r[k] for r in rows], dtype=np.int64)
-                                              for k in ("pos", "n_gram", "n_ctx", "first_ord", "ctx"))
-            by = np.argsort(pos, kind="stable")
-            pos, n_gram, n_ctx, first, ctx = (x[by] for x in (pos, n_gram, n_ctx, first, ctx))
-            _, at, back = np.unique(ctx, return_index=True, return_inverse=True)
-            later = (first < order[number]) | (pos[at][back] < pos)
-            size = len(texts[number])
-            put(number, np.maximum(pos[later] - _SPAN, 0), np.minimum(pos[later] + LENGTH, size), None)
-            todo[number] = pos[~later & (n_ctx < n_gram)]
-        open_texts = [t if len(todo[i]) else None for i, t in enumerate(texts)]
-        seen: dict[int, set] = {}
-        for buf in buffers(open_texts):
+        todo = [np.array(p, dtype=np.int64) for p in b.column("open").to_pylist()]
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for buf in buffers(texts):
             for number, shift, _, first, last, anchors in buf.runs():
                 pick = np.isin(anchors + shift, todo[number])
-                if not pick.any():
-                    continue
-                size = (last - first)[pick]
-                starts = np.repeat(first[pick] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                name = buf.string(starts)
-                _, at = np.unique(name, return_index=True)
-                fresh_name = np.zeros(len(name), dtype=bool)
-                fresh_name[at] = True
-                if number in seen:  # an earlier block of the same long text
-                    fresh_name &= ~np.isin(name, np.fromiter(seen[number], np.int64, len(seen[number])))
-                if len(texts[number]) - LENGTH >= _BLOCK:
-                    seen.setdefault(number, set()).update(name.tolist())
-                again = starts[~fresh_name] + shift
-                put(number, again, again + LENGTH, None)
-                new = starts[fresh_name] + shift
-                put(number, new, new + LENGTH, name[fresh_name])
+                if pick.any():
+                    size = (last - first)[pick]
+                    starts = np.repeat(first[pick] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                    found.setdefault(number, []).append((starts + shift, buf.string(starts)))
+        cols: list[list[np.ndarray]] = [[], [], [], [], []]
+        for number, parts in found.items():
+            starts, name = (np.concatenate(x) for x in zip(*parts))
+            head = np.zeros(len(name), dtype=bool)
+            head[np.unique(name, return_index=True)[1]] = True
+            rows = [(starts[head], starts[head] + LENGTH, name[head], False)]
+            if not head.all():
+                x, y = _merged(starts[~head], starts[~head] + LENGTH)
+                rows.append((x, y, np.zeros(len(x), dtype=np.int64), True))
+            for x, y, n, known in rows:
+                for c, v in zip(cols, (np.full(len(x), order[number]), x, y, n, np.full(len(x), known))):
+                    c.append(v)
         if cols[0]:
-            yield pa.record_batch([*(pa.array(np.concatenate(c)) for c in cols[:3]),
-                                   pa.array(np.concatenate(cols[3]), mask=np.concatenate(known))],
-                                  names=["ord", "a", "b", "name"])
+            full = [np.concatenate(c) for c in cols]
+            yield pa.record_batch([pa.array(full[0]), pa.array(full[1].astype(np.int32)),
+                                   pa.array(full[2].astype(np.int32), mask=~full[4]), pa.array(full[3], mask=full[4])], names=["ord", "a", "b", "name"])
 
 
 def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union of spans as disjoint maximal runs."""
     by = np.argsort(starts, kind="stable")
-    a, b = starts[by], np.maximum.accumulate(ends[by])
+    a, b = starts[by], np.maximum.accumulate(ends[by])  # ends so far
     head = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
     return a[head], b[np.concatenate([head[1:] - 1, [len(a) - 1]])]
 
@@ -240,7 +229,7 @@ def _cut(text: bytes, spans: list, whole_characters: bool) -> tuple[bytes, int,
     if not spans:
         return text, 0, 0
     x = np.array([(s["a"], s["b"]) for s in spans], dtype=np.int64)
-    a, b = _merged(x[:, 0], x[:, 1])
+    a, b = _merged(x[:, 0], np.minimum(x[:, 1], len(text)))
     out, at, removed, runs = [], 0, 0, 0
     for s, e in zip(a.tolist(), b.tolist()):
         if whole_characters:  # a character that is only partly covered stays
@@ -288,19 +277,26 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     grams = texts.select("text").mapInArrow(_grams, "gram long")
     repeats = stored(grams.groupBy("gram").agg(F.count("*").alias("n_gram")).filter("n_gram > 1"), "grams")
     rows = texts.select("ord", "text").mapInArrow(_anchors(KeyFilter(repeats.select("gram"))),
-                                                  "gram long, ctx long, ord long, pos long")
-    rows = stored(rows.join(repeats, "gram").select("n_gram", "ctx", "ord", "pos"), "anchors")
-    contexts = stored(rows.groupBy("ctx").agg(F.count("*").alias("n_ctx"), F.min("ord").alias("first_ord")), "contexts")
-    rows = rows.join(contexts, "ctx")
-    per_text = stored(rows.groupBy("ord").agg(F.collect_list(
-        F.struct("pos", "n_gram", "n_ctx", "first_ord", "ctx")).alias("anchors")), "text-anchors")
-    some = KeyFilter(per_text.select("ord")).rows(texts.select("ord", "text"), "ord")
-    strings = stored(some.join(per_text, "ord").select("ord", "text", "anchors")
-                     .mapInArrow(_strings, "ord long, a long, b long, name long"), "strings")
-    names = stored(strings.filter("name is not null").groupBy("name").agg(
-        F.count("*").alias("n"), F.min("ord").alias("first_ord")).filter("n > 1").select("name", "first_ord"), "names")
-    later = strings.join(names, "name").filter("ord > first_ord").select("ord", "a", "b")
-    spans = strings.filter("name is null").select("ord", "a", "b").unionAll(later)
+                                                  "gram long, ctx long, ord long, pos long, again boolean")
+    rows = stored(rows, "anchors")
+    contexts = rows.groupBy("gram", "ctx").agg(F.count("*").alias("n_ctx"), F.min("ord").alias("first_ord"))
+    contexts = stored(contexts.join(repeats, "gram").select("ctx", "n_ctx", "first_ord", "n_gram"), "contexts")
+    rows = rows.join(contexts, "ctx").select(
+        "ord", "pos", (F.col("again") | (F.col("first_ord") < F.col("ord"))).alias("later"),
+        (F.col("n_ctx") < F.col("n_gram")).alias("open"))
+    rows = stored(rows.filter("later or open"), "ranked")
+    known = rows.filter("later").select("ord", F.greatest(F.col("pos") - _SPAN, F.lit(0)).cast("int").alias("a"),
+                                        (F.col("pos") + LENGTH).cast("int").alias("b"))
+    todo = stored(rows.filter("not later").groupBy("ord").agg(F.collect_list("pos").alias("open")), "open-anchors")
+    some = KeyFilter(todo.select("ord")).rows(texts.select("ord", "text"), "ord")
+    strings = stored(some.join(todo, "ord").select("ord", "text", "open")
+                     .mapInArrow(_strings, "ord long, a int, b int, name long"), "strings")
+    named = strings.filter("name is not null")
+    names = named.groupBy("name").agg(F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"))
+    names = stored(names.filter("first_ord < last_ord").select("name", "first_ord"), "names")
+    later = KeyFilter(names.select("name")).rows(named, "name").join(names, "name").filter("ord > first_ord")
+    spans = known.unionAll(strings.filter("name is null").select("ord", "a", "b")).unionAll(
+        later.select("ord", "a", (F.col("a") + LENGTH).alias("b")))
     return stored(spans.groupBy("ord").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
 
 
