@@ -1,0 +1,274 @@
+"""Every operator on small tables: against plain Python, with odd rows and columns, and empty."""
+
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from fixtures_llm import base_secrets, near_components, odd, quality, repeated, rows, table
+from pyspark.sql import functions as F
+
+from starweave.llm import ann, compact_windows, langid, lm, minhash, packing, pieces, secret_scan, suffix_dedup
+from starweave.llm import quality as rules
+
+BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+OPERATORS = {
+    "secrets": secret_scan.secret_report, "redact": secret_scan.redact,
+    "pieces": lambda d: pieces.encoding_report(d, PIECES), "near": minhash.near_duplicates,
+    "keep_one": minhash.keep_one_of_each, "suffix": suffix_dedup.repeated_bytes, "remove": suffix_dedup.remove_repeats,
+    "passages": compact_windows.near_duplicate_passages, "language": langid.identify, "quality": rules.quality_report,
+    "quality_filter": rules.quality_filter, "lm": lm.score_documents, "pack": lambda d: packing.pack(d, BPE),
+}
+DATA = [(r[0], r[1]) for r in rows()]
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_empty_table(spark, name):
+    assert OPERATORS[name](table(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_odd_rows_and_columns(spark, name):
+    docs = odd(spark)
+    got = OPERATORS[name](docs).collect()
+    n = docs.count()
+    if name in ("redact", "remove"):
+        assert len(got) == n and got[0].__fields__ == docs.columns
+    elif name in ("keep_one", "quality_filter"):
+        assert 0 < len(got) < n and got[0].__fields__ == docs.columns
+    elif name == "pack":
+        assert len({(r.doc_id, r.start) for r in got}) <= len(got) and sum(r.start == 0 for r in got) == n
+    elif name != "passages":
+        assert len(got) == n
+    if name == "near":  # exactly one kept row in each component
+        kept = [r for r in got if r.kept and r.n_shingles]
+        assert len(kept) == len({r.component_id for r in kept})
+
+
+def test_secrets(spark):
+    got = {r.doc_id: r for r in secret_scan.secret_report(table(spark)).collect()}
+    for d, t in DATA:
+        assert (got[d].n_assign, got[d].n_access, got[d].n_hex, got[d].base_sha256) == base_secrets(t), d
+    assert "mixed" in got[17].spans and "mixed" in got[18].spans and "assign" not in got[17].spans
+    text = {r.doc_id: r.text for r in secret_scan.redact(table(spark)).collect()}
+    assert "AKIA" not in text[16] and "0123456789abcdef" not in text[16] and text[0] == DATA[0][1]
+
+
+def test_copied_values_are_not_live(spark):
+    data = [(i, "x Zx9aB8cD7eF6gH5iJ4kL3m y", None, f"s{i}", 1) for i in range(3)]
+    assert {r.spans for r in secret_scan.secret_report(table(spark, data)).collect()} == {""}
+    one_owner = [(*r[:3], "s", 1) for r in data]
+    assert {r.spans for r in secret_scan.secret_report(table(spark, one_owner)).collect()} == {"mixed:2:24"}
+
+
+def _brute_viterbi(codec_table, word):
+    best = [(0.0, [])] + [(-np.inf, [])] * len(word)
+    score = {p: (s, i) for i, (p, s, _) in enumerate(codec_table) if s > -np.inf}
+    unknown = min(s for s, _ in score.values()) - 10
+    for e in range(1, len(word) + 1):
+        for b in range(e):
+            s, i = score.get(word[b:e], (unknown if e - b == 1 else -np.inf, -1))
+            if best[b][0] + s > best[e][0]:
+                best[e] = (best[b][0] + s, [*best[b][1], i])
+    return best[-1]
+
+
+def test_pieces(spark):
+    report = {r.doc_id: r for r in pieces.encoding_report(table(spark), PIECES).collect()}
+    assert all(r.round_trip for r in report.values()) and report[3].n_pieces == 0
+    encoded = pieces.encode(table(spark), PIECES)
+    back = {r.doc_id: r.text for r in pieces.decode(encoded, PIECES).collect()}
+    assert back == {d: t or "" for d, t in DATA}
+    codec_table = pieces.piece_table(PIECES)
+    codec = pieces.Codec(codec_table)
+    for text in ["", "a▁b  ▁ ", "\U0001F600\n\tü  ", "x" * 200, "  lead"]:
+        assert codec.decode(codec.encode_all([text])[0]) == text
+    for word in {w for _, t in DATA[:12] for w in (t or "").split()[:60]}:
+        ids = np.frombuffer(codec.encode_all([word])[0], dtype="<u4")
+        assert abs(sum(codec_table[i][1] for i in ids) - _brute_viterbi(codec_table, "▁" + word)[0]) < 1e-6
+
+
+def test_near_duplicates(spark):
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(table(spark)).collect()}
+    assert got == near_components(DATA)
+    kept = {r.doc_id for r in minhash.keep_one_of_each(table(spark)).collect()}
+    assert kept == {d for d, r in got.items() if r[2]}
+
+
+def test_near_duplicates_in_a_crowded_bucket(spark):
+    """Many edits of one text whose pairs lie on both sides of the threshold."""
+    import random
+
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    data = []
+    for d in range(60):
+        w = list(base)
+        for i in rng.sample(range(120), rng.randint(0, 4)):
+            w[i] = f"x{rng.randint(0, 9999)}"
+        data.append((d, " ".join(w)))
+    docs = table(spark, [(d, t, None, None, None) for d, t in data])
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
+    assert got == near_components(data)
+
+
+def test_suffix_array(spark):
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.repeated_bytes(table(spark)).collect()}
+    assert got == repeated(DATA)
+    left = {r.doc_id: r.text for r in suffix_dedup.remove_repeats(table(spark)).collect()}
+    assert left[0] == DATA[0][1] and left[1] == "" and left[14] == "é" * 50
+
+
+def test_suffix_array_blocks_of_long_texts(monkeypatch, spark):
+    monkeypatch.setattr(suffix_dedup, "_BLOCK", 700)
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.repeated_bytes(table(spark)).collect()}
+    assert got == repeated(DATA)
+
+
+def test_compact_windows(spark):
+    values = np.random.default_rng(1).random(400)
+    got = set(zip(*(x.tolist() for x in compact_windows.compact_windows(values, 12))))
+    want = set()
+    for c in range(400):
+        lo = hi = c
+        while lo > 0 and values[lo - 1] > values[c]:
+            lo -= 1
+        while hi < 399 and values[hi + 1] > values[c]:
+            hi += 1
+        if hi - lo + 1 >= 12:
+            want.add((lo, c, hi))
+    assert got == want
+    found = compact_windows.near_duplicate_passages(table(spark)).collect()
+    pairs = {(r.doc_id, r.rep_doc_id) for r in found}
+    assert {(1, 0), (2, 0), (9, 8), (10, 8), (12, 11)} <= pairs
+    text = dict(DATA)
+    for r in found:
+        a, b = text[r.doc_id].lower().split()[r.start:r.end], text[r.rep_doc_id].lower().split()[r.rep_start:r.rep_end]
+        x, y = ({tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+        assert min(len(a), len(b)) >= 50 and abs(len(x & y) / len(x | y) - r.similarity) < 1e-9 and r.similarity >= 0.8
+
+
+def test_quality(spark):
+    got = {r.doc_id: r for r in rules.quality_report(table(spark)).collect()}
+    for d, t in DATA:
+        want = quality(t)
+        assert tuple(got[d])[1:6] == want
+        assert got[d].base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0]), d
+    assert got[0].kept and not got[19].kept and not got[3].kept
+
+
+def test_quality_long_sort_path(monkeypatch, spark):
+    monkeypatch.setattr(rules, "_POSITION_BITS", 3)  # nearly every text is too long to pack
+    got = {r.doc_id: r.n_repeat_words for r in rules.quality_report(table(spark)).collect()}
+    assert got == {d: quality(t)[4] for d, t in DATA}
+
+
+def test_packing(spark):
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(BPE)
+    extra = [(100, " x\t\t y <|endoftext|> z", None, None, 0), (101, "it's  a    b'll  \n c ", None, None, 0), (102, "a " * 5000, None, None, 0)]
+    data = [*rows(), *extra]
+    ids = {r[0]: exact.encode(r[1] or "", add_special_tokens=False).ids + [1] for r in data}
+    got = packing.pack(table(spark, data), BPE, keep_ids=True).collect()
+    by_doc, by_sequence = {}, {}
+    for r in got:
+        piece = np.array(ids[r.doc_id][r.start:r.start + r.length], dtype="<u4").tobytes()
+        assert bytes(r.ids) == piece and zlib.crc32(piece) == r.ids_crc32 and r.doc_tokens == len(ids[r.doc_id])
+        by_doc.setdefault(r.doc_id, []).append((r.start, r.length))
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spans, total in [(by_doc[d], len(ids[d])) for d in ids] + [(s, None) for s in by_sequence.values()]:
+        at = 0
+        for a, n in sorted(spans):
+            assert a == at
+            at += n
+        assert at == total if total else at <= 2048
+
+
+def test_patterns_cover_all_and_waste_little():
+    rng = np.random.default_rng(0)
+    need = np.bincount(np.minimum(rng.lognormal(3, 1, 5000), 63).astype(int), minlength=64)
+    plan = packing.patterns(need, 64)
+    width = np.arange(1, 65)
+    assert (sum(p * n for p, n in plan) == need).all() and all(p @ width <= 64 for p, _ in plan)
+    assert sum(n for _, n in plan) <= 1.02 * (need @ width) / 64 + 1
+
+
+def test_language(spark):
+    rng = np.random.default_rng(2)
+    vocab = {"en": ["the", "of", "house", "nothing"], "de": ["der", "und", "haus", "nichts"]}
+    data = [(i, " ".join(rng.choice(vocab[k], 30)), k, "s", 1) for i, k in enumerate(["en", "de"] * 40)]
+    data += [(1000, "hous nothin", "en", "s", 1), (1001, "1234 !!", "en", "s", 1), (1002, None, "de", "s", 1), (1003, "haus", None, "s", 1)]
+    got = {r.doc_id: r for r in langid.identify(table(spark, data)).collect()}
+    assert all(got[d].lang_pred == lang for d, _, lang, _, _ in data[:81]) and got[1003].lang_pred == "de"
+    assert got[1001].lang_pred == got[1002].lang_pred == "und" and all(0 <= r.score <= 1 for r in got.values())
+    assert all(r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) for d, r in got.items())
+
+
+@pytest.mark.parametrize("head", [200_000, 20])
+def test_lm_base_scores(monkeypatch, spark, head):
+    import collections
+    import math
+
+    monkeypatch.setattr(lm, "HEAD", head)
+    got = {r.doc_id: r for r in lm.score_documents(table(spark)).collect()}
+    tokens = {d: [*(t or "").encode().lower().split(), None] for d, t in DATA}
+    held = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d in tokens}
+    count = collections.Counter(w for d, t in tokens.items() if not held[d] for w in t)
+    total, types = sum(count.values()), len(count)
+    for d, t in tokens.items():
+        want = sum(math.log10((count[w] + 0.5) / (total + 0.5 * (types + 1))) for w in t)
+        r = got[d]
+        assert abs(r.base_score - want) < 1e-6 * max(1, abs(want)) and r.held_out == held[d]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(count[w] > 0 for w in t), total)
+
+
+def test_gru_gradients_and_state():
+    from starweave.llm.gru import Gru
+
+    rng = np.random.default_rng(0)
+    g = Gru(3, 4, 5, seed=2)
+    for k in g.p:
+        g.p[k] = rng.normal(0, 0.5, g.p[k].shape)  # double precision for the comparison
+    prev, target = rng.integers(0, 13, (6, 4)), rng.integers(0, 12, (6, 4))
+    first = rng.random((6, 4)) < 0.2
+    grads, _, _ = g.gradients(prev, target, np.zeros((4, 5)), first)
+    for k in ("u", "cw", "ww", "cb", "wb", "x"):
+        for _ in range(4):
+            at = tuple(rng.integers(0, s) for s in g.p[k].shape)
+            value, eps, side = g.p[k][at], 1e-3, []
+            for sign in (1, -1):
+                g.p[k][at] = value + sign * eps
+                side.append(-g.gradients(prev, target, np.zeros((4, 5)), first)[1])
+            g.p[k][at] = value
+            dense = grads[k]
+            if k == "x":
+                dense = np.zeros_like(g.p["x"])
+                dense[grads["x"][0]] = grads["x"][1]
+            assert abs((side[0] - side[1]) / (2 * eps) - dense[at]) < 2e-2
+    texts = [rng.integers(0, 12, n) for n in (1, 30, 7, 200)]
+    assert np.allclose(g.score(texts, window=5), g.score(texts, window=512), atol=1e-3)
+    assert np.allclose(g.score(texts, batch=1), g.score(texts, batch=4), atol=1e-3)
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 24)).astype(np.float32)
+    x[100:130] = x[40]
+    data = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    data += [(2000, None, 0), (2020, [0.0] * 24, 0), (2040, [float("nan")] * 24, 0), (2060, [1.0, None], 0), (2080, [1.0], 0), (None, [1.0] * 24, 0)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>, vector int").repartition(3)
+    got = {}
+    for r in ann.search(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert set(got) == set(range(0, 1500, 20))
+    v, hits = x.astype(np.float64), 0
+    for q, found in got.items():
+        score = v @ v[q]
+        want = [i for i in np.lexsort((np.arange(1500), -score)) if i != q][:20]
+        hits += len(set(want) & {i for i, _ in found})
+        assert len(found) == 20 and [s for _, s in found] == sorted((s for _, s in found), reverse=True)
+        assert all(abs(score[i] - s) < 1e-9 for i, s in found)
+    assert hits / (20 * len(got)) >= 0.9
+    assert ann.search(spark.createDataFrame([], df.schema)).count() == 0
