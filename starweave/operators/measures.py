@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.types import quote
 
@@ -40,51 +41,61 @@ def summarize(log: DataFrame, key: str, case: str, name: str | None = None) -> D
     )
 
 
+def _line(column: str, dtype: T.DataType) -> Column | None:
+    """The column as a double that rises (weakly) with it; None for types without such a line."""
+    c = F.col(quote(column))
+    if isinstance(dtype, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c).cast("double")
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(c).cast("double")
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(dtype, T.NumericType):
+        return c.cast("double")
+    return None
+
+
 def event_order(log: DataFrame, case: str, order: Sequence[str], name: str = "n",
-                partitions: int | None = None) -> DataFrame:
+                rows_per_slice: int = 100_000) -> DataFrame:
     """Position of each event inside its case, 1-based, in DEC-3 order (M2).
 
-    ``row_number() over (partition by case order by ...)`` would hand a whole case to one
-    task; a case with a third of all events would then be a third of the job in one task.
-    Instead:
-
-    1. Range-partition the events on ``(case, order...)``. The order columns split a hot case
-       across several range partitions; each partition holds a contiguous run of the order.
-    2. Number rows inside each (case, range partition) slice with a window partitioned by both;
-       a slice is never larger than one range partition.
-    3. Count the rows of each slice. Only cases that cross a partition boundary need an offset,
-       and at most one case crosses each boundary, so the offset table has fewer than two rows
-       per partition: a proven bound, broadcast to every task.
-    4. Add the offset.
-
-    The order must be total within a case (give tiebreak columns); with ties the numbering of
-    tied rows is arbitrary, as with ``row_number``.
+    ``row_number() over (partition by case order by ...)`` would hand a whole case to one task.
+    Cases of more than ``rows_per_slice`` events are therefore cut into slices of equal width
+    along their leading order column: a row's slice is a function of the row and of its case's
+    count, minimum and maximum, never of how rows were shuffled. Rows are numbered inside their
+    slice, and each slice starts after the rows of the case's earlier slices. Counts come from
+    partial aggregates over narrow rows; events are shuffled once, by (case, slice).
+
+    Only numbers, dates and timestamps can be cut; other leading columns, and the events of one
+    case that share one leading value, stay in one slice. The order must be total within a case
+    (give tiebreak columns); with ties the numbering of tied rows is arbitrary, as with
+    ``row_number``.
     """
     if not order:
         raise ValueError("event_order needs order columns")
-    keys = [F.col(quote(case))] + [F.col(quote(c)) for c in order]
-    # Without an explicit count the range shuffle takes the session's shuffle partitions and AQE
-    # may merge neighbouring ranges; merged ranges are still contiguous runs of the order.
-    ranged = log.repartitionByRange(partitions, *keys) if partitions else log.repartitionByRange(*keys)
-    ranged = ranged.withColumn("__p", F.spark_partition_id())
-    slice_w = Window.partitionBy(F.col(quote(case)), F.col("__p")).orderBy(*[F.col(quote(c)) for c in order])
-    numbered = ranged.withColumn("__r", F.row_number().over(slice_w))
-
-    sizes = numbered.groupBy(F.col(quote(case)).alias("__c"), F.col("__p").alias("__q")).agg(
-        F.max("__r").alias("__size"))
-    span_w = Window.partitionBy("__c")
-    prior_w = span_w.orderBy("__q").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        sizes.withColumn("__slices", F.count(F.lit(1)).over(span_w))
-        .filter(F.col("__slices") > 1)
-        .withColumn("__off", F.coalesce(F.sum("__size").over(prior_w), F.lit(0)))
-        .filter(F.col("__off") > 0)
-        .select("__c", "__q", "__off")
-    )
-    joined = numbered.join(
-        F.broadcast(offsets),
-        numbered[quote(case)].eqNullSafe(offsets["__c"]) & (numbered["__p"] == offsets["__q"]),
-        "left",
-    )
-    return joined.withColumn(name, (F.col("__r") + F.coalesce(F.col("__off"), F.lit(0))).cast("bigint")) \
-        .drop("__p", "__r", "__c", "__q", "__off")
+    by = [F.col(quote(c)) for c in order]
+    line = _line(order[0], log.schema[order[0]].dataType)
+    # A struct is never null and equal to itself, so events without a case are one case.
+    log_columns = [F.col(quote(c)) for c in log.columns]
+    rows = log.select(*log_columns, F.struct(F.col(quote(case)).alias("c")).alias("__case"))
+    if line is None:
+        number = F.row_number().over(Window.partitionBy("__case").orderBy(*by))
+        return rows.select(*log_columns, number.cast("bigint").alias(name))
+    finite = F.when(~F.isnan(line) & (F.abs(line) < float("inf")), line)
+    long_cases = (rows.select("__case", finite.alias("__x")).groupBy("__case")
+                  .agg(F.count(F.lit(1)).alias("__size"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
+                  .filter(F.col("__size") > rows_per_slice))
+    rows = rows.join(long_cases, "__case", "left")
+    cuts = F.ceil(F.col("__size") / rows_per_slice)
+    place = F.floor((line - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * cuts)
+    # Nulls sort first, NaN last; infinities lie beyond the finite ends.
+    slot = (F.when(F.col("__size").isNull(), F.lit(0)).when(line.isNull(), F.lit(-2))
+            .when(F.isnan(line) | (line == float("inf")), cuts + 1).when(line == float("-inf"), F.lit(-1))
+            .when(F.col("__hi") > F.col("__lo"), F.least(place, cuts)).otherwise(F.lit(0)))
+    rows = rows.select(*log_columns, "__case", slot.cast("bigint").alias("__slice"))
+    sizes = rows.groupBy("__case", "__slice").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("__case").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__case", "__slice", F.sum("__n").over(before).alias("__before")).filter("__before > 0")
+    inside = Window.partitionBy("__case", "__slice").orderBy(*by)
+    numbered = rows.withColumn("__r", F.row_number().over(inside)).join(starts, ["__case", "__slice"], "left")
+    return numbered.select(*log_columns, (F.col("__r") + F.coalesce("__before", F.lit(0))).cast("bigint").alias(name))

@@ -259,7 +259,7 @@ def event_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = clicks_flat_spec()
     log = eventlog.event_log(spec, tables(spark, sf_dir, "events"))
     r = spec.roles()
-    return measures.event_order(log, r.case, r.order()).select("event_id", "user_id", "n")
+    return measures.event_order(log, r.case, r.order())
 
 
 def activity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -468,7 +468,7 @@ ORACLE: dict[str, str] = {
                date_diff('second', min(o.o_orderdate), max(l.l_shipdate)) as seconds
         from {_SALES_FROM} group by o.o_orderkey""",
     "event_order": """
-        select event_id, user_id, row_number() over (partition by user_id order by ts, event_id) as n
+        select * exclude (props), row_number() over (partition by user_id order by ts, event_id) as n
         from events""",
     "activity_summary": f"""
         select p.p_type as activity, count(*) as n_events, count(distinct o.o_orderkey) as n_cases

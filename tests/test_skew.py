@@ -20,20 +20,35 @@ def hot(spark):
     )
 
 
-def test_event_order_splits_hot_case_and_matches_row_number(spark, hot):
+@pytest.mark.parametrize("rows_per_slice", [50, 1_000, 100_000])
+@pytest.mark.parametrize("partitions", [16, 64])
+def test_event_order_matches_row_number_on_all_columns(spark, hot, rows_per_slice, partitions):
     order = ["ts", "event_id"]
-    got = measures.event_order(hot, "user_id", order, partitions=8)
-    # The hot case must cross range partitions, or the offset path is not exercised.
-    spans = (hot.repartitionByRange(8, "user_id", *order).withColumn("p", F.spark_partition_id())
-             .filter(F.col("user_id") == -1).select("p").distinct().count())
-    assert spans > 1
-    w = Window.partitionBy("user_id").orderBy(*order)
-    want = hot.withColumn("n", F.row_number().over(w))
-    diff = got.select("event_id", "n").exceptAll(want.select("event_id", "n"))
-    assert diff.count() == 0
-    assert got.count() == hot.count()
-    top = got.filter(F.col("user_id") == -1).agg(F.max("n")).first()[0]
-    assert top == hot.filter(F.col("user_id") == -1).count()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = measures.event_order(hot, "user_id", order, rows_per_slice=rows_per_slice)
+        assert got.columns == [*hot.columns, "n"]
+        want = hot.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy(*order)))
+        assert got.exceptAll(want).count() == 0 and got.count() == hot.count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("kind", ["double", "int", "date", "timestamp", "string", "decimal(20,4)"])
+def test_event_order_by_any_type(spark, kind):
+    data = [(i % 3, None if i % 11 == 0 else str(20000000 + (i * 7919) % 1000), i) for i in range(600)]
+    df = spark.createDataFrame(data, "c int, x string, id int")
+    cast = {"date": "date_add(date'2020-01-01', cast(x as int) - 20000000)",
+            "timestamp": "timestamp_seconds(cast(x as int))"}.get(kind, f"cast(x as {kind})")
+    df = df.selectExpr("c", f"{cast} as x", "id")
+    if kind == "double":
+        df = df.withColumn("x", F.when(F.col("id") % 13 == 0, float("nan")).when(F.col("id") % 17 == 0, float("-inf"))
+                           .when(F.col("id") % 19 == 0, float("inf")).otherwise(F.col("x")))
+    got = measures.event_order(df, "c", ["x", "id"], rows_per_slice=20)
+    want = df.withColumn("n", F.row_number().over(Window.partitionBy("c").orderBy("x", "id")))
+    pairs = lambda d: {(r.id, r.n) for r in d.select("id", "n").collect()}
+    assert pairs(got) == pairs(want)
 
 
 def test_first_last_on_hot_case_match_window(spark, hot):
