@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.types import quote
+from ..functions.types import MONEY, quote
 
 
 def _packed(order: Sequence[str], values: Sequence[str]) -> Column:
@@ -102,7 +102,7 @@ def finance_totals(log: DataFrame, value: str, mode: str, by: Sequence[str], ord
 
     PerEvent sums every event's value. PerCase first takes one value per case (the First in
     DEC-3 order; ``by`` columns must be case-level and are taken the same way), then sums.
-    PerResource does the same per resource. Money is summed as ``decimal(18,2)`` so the total
+    PerResource does the same per resource. Money is summed exactly as ``MONEY`` so the total
     does not depend on the order of addition; it is returned as a double named ``total``.
     """
     by = list(by)
@@ -117,5 +117,5 @@ def finance_totals(log: DataFrame, value: str, mode: str, by: Sequence[str], ord
         rows = case_values(log, unit, order, rules)
     else:
         raise ValueError(f"finance mode must be PerEvent, PerCase or PerResource, not {mode!r}")
-    money = F.col(quote(value)).cast("decimal(18,2)")
+    money = F.col(quote(value)).try_cast(MONEY)
     return rows.groupBy(*[F.col(quote(c)) for c in by]).agg(F.sum(money).cast("double").alias("total"))

@@ -13,13 +13,12 @@ it is a sort-merge join on the typed key. A hot foreign key (one key holding a t
 events, or many null keys) lands in one shuffle partition of the events side; AQE's skew-join
 rule splits that partition, which it supports for left outer joins with the skew on the left.
 
-Key check (DEC-2): with ``check_keys`` on, every join target gets a guard branch in the same
-job: the typed key columns of all targets, tagged by target, are counted per key in one
-aggregate (partial aggregation, then a shuffle of keys only) and a filter raises on a count
-above one; the branch yields no rows and is unioned into the result. The joins themselves
-stay exactly as without the check: a guard placed between a join and its shuffle (a window on
-the key, say) would hide the shuffle from AQE's skew-join rule, which only splits a partition
-when the join sits directly on its shuffles.
+Key check (DEC-2): with ``check_keys`` on, building the star first runs one job over the typed key
+columns of every join target of the spec, whatever ``columns`` asks for: keys tagged by target are
+counted in one aggregate (partial aggregation, then a shuffle of keys only) and a repeated key
+raises. The check is an action of its own, so no filter, join or pruning of the result can remove
+it, and the joins stay exactly as without it, directly on their shuffles, which AQE's skew-join
+rule needs.
 
 Split builds (``split_parts``, ``far_parts``): the same pieces, cut at one events edge and not
 joined there, for callers that reduce the events per key of that edge before the join
@@ -33,9 +32,8 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.types import key_spark_type, quote, typed_key
+from ..functions.types import quote, typed_key
 from ..plans.spec import KIND_CASES, Dataset, ImportSpec, JoinEdge, SpecError
 
 
@@ -101,41 +99,42 @@ def _edge_owners(spec: ImportSpec) -> list[Dataset]:
     return [spec.events] + ([spec.cases] if spec.cases is not None else [])
 
 
-def guard_keys(keys: DataFrame, key: str, what: str, dtype: T.DataType) -> DataFrame:
-    """The keys of one join target (already without nulls), tagged for the combined guard."""
-    integral = isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
-    k = F.col(key)
-    return keys.select(
-        F.lit(what).alias("__what"),
-        (k.cast("bigint") if integral else F.lit(None).cast("bigint")).alias("__ki"),
-        (F.lit(None).cast("string") if integral else k.cast("string")).alias("__ks"),
-    )
+class DuplicateKeyError(SpecError):
+    """A join target holds a key more than once."""
 
 
-def key_guard(tagged: list[DataFrame]) -> DataFrame | None:
-    """No rows if every tagged key set is unique; fails the job on the first repeated key.
+def check_unique_keys(spec: ImportSpec, sources: Mapping[str, DataFrame]) -> None:
+    """Raise on a repeated (typed, non-null) key of any join target of ``spec``.
 
-    All targets share one aggregate (one shuffle stage however many targets there are). The
-    count is a partial aggregate, so even a key repeated in a third of the rows is reduced
-    map-side before the shuffle.
+    All targets share one aggregate. The count is a partial aggregate, so even a key repeated in
+    a third of the rows is reduced map-side before the shuffle; one row comes back at most.
     """
-    if not tagged:
-        return None
-    keys = tagged[0]
+    keys: dict[tuple[str, str, str], DataFrame] = {}
+    for owner in _edge_owners(spec):
+        for j in owner.joins:
+            what = (j.target_dataset, j.target_column, j.key_type)
+            if what in keys or j.target_dataset not in sources:
+                continue
+            src = sources[j.target_dataset]
+            schema = {f.name: f.dataType for f in src.schema.fields}
+            if j.target_column not in schema:
+                raise SpecError(f"{j.target_dataset} has no column {j.target_column!r}")
+            where = f"{j.target_dataset}.{j.target_column}"
+            key = typed_key(F.col(quote(j.target_column)), schema[j.target_column], j.key_type, where=where)
+            integral = j.key_type == "Integer"
+            keys[what] = src.select(key.alias("k")).filter("k is not null").select(
+                F.lit(where).alias("what"),
+                (F.col("k").cast("bigint") if integral else F.lit(None).cast("bigint")).alias("ki"),
+                (F.lit(None).cast("string") if integral else F.col("k")).alias("ks"))
+    if not keys:
+        return
+    tagged = list(keys.values())
+    every = tagged[0]
     for more in tagged[1:]:
-        keys = keys.unionByName(more)
-    counts = keys.groupBy("__what", "__ki", "__ks").agg(F.count(F.lit(1)).alias("__n"))
-    message = F.concat(F.lit("duplicate key in "), F.col("__what"), F.lit(": "),
-                       F.coalesce(F.col("__ki").cast("string"), F.col("__ks")))
-    return counts.filter(F.when(F.col("__n") > 1, F.raise_error(message)).otherwise(F.lit(False)))
-
-
-def _with_guards(result: DataFrame, guard: DataFrame | None) -> DataFrame:
-    """Union the (empty) guard branch into ``result`` so it runs in the same job."""
-    if guard is None:
-        return result
-    empty = guard.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in result.schema.fields])
-    return result.union(empty)  # same columns in the same order
+        every = every.unionByName(more)
+    repeated = every.groupBy("what", "ki", "ks").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    for row in repeated.limit(1).collect():
+        raise DuplicateKeyError(f"duplicate key in {row.what}: {row.ki if row.ks is None else row.ks}")
 
 
 class _Namer:
@@ -171,23 +170,19 @@ def _edge_label(owner: Dataset, edge: JoinEdge) -> str:
 
 def _attach_lookups(base: DataFrame, owner: Dataset, spec: ImportSpec, sources: Mapping[str, DataFrame],
                     keys: dict[JoinEdge, str], out_cols: list[OutputColumn], namer: _Namer,
-                    check_keys: bool, guards: dict[tuple[str, str], DataFrame]) -> DataFrame:
+                    checked: bool) -> DataFrame:
     """Left-join every lookup edge of ``owner`` onto ``base`` (which carries typed keys)."""
     for j in owner.joins:
         target = spec.dataset(j.target_dataset)
         if target.kind == KIND_CASES:
             continue
         cols = [c for c in out_cols if c.via == _edge_label(owner, j)]
-        if not cols and check_keys:
-            # Unique keys: a left join that adds no column cannot change the rows. Catalyst
+        if not cols and checked:
+            # Keys checked unique: a left join that adds no column cannot change the rows. Catalyst
             # cannot prove the keys unique, so it would keep the join; the builder drops it.
             continue
         _, tname = namer.next()
         side = _lookup_side(sources[target.name], target, j, tname, cols)
-        if check_keys:
-            what = f"{target.name}.{j.target_column}"
-            if (what, j.key_type) not in guards:  # a lookup shared by two edges is checked once
-                guards[(what, j.key_type)] = guard_keys(side, tname, what, key_spark_type(j.key_type))
         base = base.join(side, base[keys[j]] == side[tname], "left")
     return base
 
@@ -205,7 +200,6 @@ class SplitParts:
     ``near``: events with every other join needed for ``columns``, plus ``near_key`` (the typed
     key of the split edge). ``far``: the edge's target (for the cases link, the cases table
     with its lookups), with ``far_key``. ``far_columns``: output columns on the far side.
-    ``guard``: the key check of every target touched (None when the check is off).
     """
 
     near: DataFrame
@@ -213,7 +207,6 @@ class SplitParts:
     far: DataFrame
     far_key: str
     far_columns: tuple[str, ...]
-    guard: DataFrame | None
 
 
 def split_edge_of(spec: ImportSpec, column: str) -> JoinEdge | None:
@@ -241,10 +234,9 @@ def split_parts(spec: ImportSpec, sources: Mapping[str, DataFrame], columns: lis
     spec.validate(require_roles=False)
     if edge not in spec.events.joins:
         raise SpecError("split_parts splits at an edge of the events dataset")
-    check = spec.check_keys if check_keys is None else check_keys
+    check = _checked(spec, sources, check_keys)
     out_cols = _wanted(output_columns(spec), columns)
     namer = _Namer()
-    guards: dict[tuple[str, str], DataFrame] = {}
     target = spec.dataset(edge.target_dataset)
     on_cases = target.kind == KIND_CASES
     if on_cases:
@@ -254,46 +246,49 @@ def split_parts(spec: ImportSpec, sources: Mapping[str, DataFrame], columns: lis
     near_cols = [c for c in out_cols if c not in far_cols]
     base, ev_keys = _events_select(spec, sources, near_cols, namer)
     if not on_cases and any(is_case_side(spec, c) for c in near_cols):
-        cases_wide, case_key = _cases_wide(spec, sources, near_cols, namer, check, guards)
+        cases_wide, case_key = _cases_wide(spec, sources, near_cols, namer, check)
         base = base.join(cases_wide, base[ev_keys[spec.case_edge()]] == cases_wide[case_key], "left")
     others = replace(spec.events, joins=tuple(j for j in spec.events.joins if j != edge))
-    base = _attach_lookups(base, others, spec, sources, ev_keys, near_cols, namer, check, guards)
+    base = _attach_lookups(base, others, spec, sources, ev_keys, near_cols, namer, check)
     near = base.select(*[_final_column(spec, c, ev_keys) for c in near_cols], F.col(ev_keys[edge]))
-    far, far_key = _far_side(spec, sources, edge, far_cols, namer, check, guards)
-    return SplitParts(near, ev_keys[edge], far, far_key, tuple(c.name for c in far_cols),
-                      key_guard(list(guards.values())))
+    far, far_key = _far_side(spec, sources, edge, far_cols, namer, check)
+    return SplitParts(near, ev_keys[edge], far, far_key, tuple(c.name for c in far_cols))
 
 
 def far_parts(spec: ImportSpec, sources: Mapping[str, DataFrame], columns: list[str] | tuple[str, ...],
-              edge: JoinEdge, check_keys: bool | None = None) -> tuple[DataFrame, str, tuple[str, ...], DataFrame | None]:
-    """Only the far side of ``split_parts``: ``(far, far_key, far_columns, guard)``.
+              edge: JoinEdge, check_keys: bool | None = None) -> tuple[DataFrame, str, tuple[str, ...]]:
+    """Only the far side of ``split_parts``: ``(far, far_key, far_columns)``.
 
     The events dataset is not read; callers that kept per-key partial results (for example
     per micro-batch of a stream) join them to this side.
     """
     spec.validate(require_roles=False)
-    check = spec.check_keys if check_keys is None else check_keys
+    check = _checked(spec, sources, check_keys)
     out_cols = _wanted(output_columns(spec), columns)
     if spec.dataset(edge.target_dataset).kind == KIND_CASES:
         far_cols = [c for c in out_cols if is_case_side(spec, c)]
     else:
         far_cols = [c for c in out_cols if c.via == _edge_label(spec.events, edge)]
-    guards: dict[tuple[str, str], DataFrame] = {}
-    far, far_key = _far_side(spec, sources, edge, far_cols, _Namer(), check, guards)
-    return far, far_key, tuple(c.name for c in far_cols), key_guard(list(guards.values()))
+    far, far_key = _far_side(spec, sources, edge, far_cols, _Namer(), check)
+    return far, far_key, tuple(c.name for c in far_cols)
+
+
+def _checked(spec: ImportSpec, sources: Mapping[str, DataFrame], check_keys: bool | None) -> bool:
+    """Run the key check unless it is off; True if keys are known to be unique."""
+    check = spec.check_keys if check_keys is None else check_keys
+    if check:
+        check_unique_keys(spec, sources)
+    return check
 
 
 def _far_side(spec: ImportSpec, sources: Mapping[str, DataFrame], edge: JoinEdge, far_cols: list[OutputColumn],
-              namer: _Namer, check: bool, guards: dict[tuple[str, str], DataFrame]) -> tuple[DataFrame, str]:
+              namer: _Namer, check: bool) -> tuple[DataFrame, str]:
     target = spec.dataset(edge.target_dataset)
     if target.kind == KIND_CASES:
-        far, far_key = _cases_wide(spec, sources, far_cols, namer, check, guards)
+        far, far_key = _cases_wide(spec, sources, far_cols, namer, check)
     else:
         _, far_key = namer.next()
         far = _lookup_side(sources[target.name], target, edge, far_key, far_cols)
-        if check:
-            what = f"{target.name}.{edge.target_column}"
-            guards.setdefault((what, edge.key_type), guard_keys(far, far_key, what, key_spark_type(edge.key_type)))
     return far.select(*[F.col(quote(c.name)) for c in far_cols], F.col(far_key)), far_key
 
 
@@ -329,7 +324,7 @@ def _events_select(spec: ImportSpec, sources: Mapping[str, DataFrame], out_cols:
 
 
 def _cases_wide(spec: ImportSpec, sources: Mapping[str, DataFrame], out_cols: list[OutputColumn],
-                namer: _Namer, check: bool, guards: dict[tuple[str, str], DataFrame]) -> tuple[DataFrame, str]:
+                namer: _Namer, check: bool) -> tuple[DataFrame, str]:
     """The cases dataset with its lookups joined, keyed by the typed link target."""
     cs = spec.cases
     link = spec.case_edge()
@@ -354,10 +349,7 @@ def _cases_wide(spec: ImportSpec, sources: Mapping[str, DataFrame], out_cols: li
     sel += [_source_key(cs_schema, cs, j).alias(j.export_name) for j in cs.joins
             if j.export_name in wanted_exports]
     cases_wide = cs_src.select(*sel).filter(F.col(case_key).isNotNull())
-    if check:
-        what = f"{cs.name}.{link.target_column}"
-        guards[(what, link.key_type)] = guard_keys(cases_wide, case_key, what, key_spark_type(link.key_type))
-    cases_wide = _attach_lookups(cases_wide, cs, spec, sources, cs_keys, out_cols, namer, check, guards)
+    cases_wide = _attach_lookups(cases_wide, cs, spec, sources, cs_keys, out_cols, namer, check)
     return cases_wide, case_key
 
 
@@ -375,18 +367,10 @@ def star_join(spec: ImportSpec, sources: Mapping[str, DataFrame], check_keys: bo
     ``columns`` limits the output to those names. With the key check on, a lookup (or the
     cases table) that contributes none of them is not joined at all.
     """
-    star, guard = star_parts(spec, sources, check_keys, columns)
-    return _with_guards(star, guard)
-
-
-def star_parts(spec: ImportSpec, sources: Mapping[str, DataFrame], check_keys: bool | None = None,
-               columns: list[str] | tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """The star without its key check, and the check (empty unless a key repeats; None if off)."""
     spec.validate(require_roles=False)
-    check = spec.check_keys if check_keys is None else check_keys
+    check = _checked(spec, sources, check_keys)
     out_cols = _wanted(output_columns(spec), columns)
     namer = _Namer()
-    guards: dict[tuple[str, str], DataFrame] = {}
     cs = spec.cases
 
     # Events side: included columns, typed foreign keys, export names.
@@ -395,10 +379,9 @@ def star_parts(spec: ImportSpec, sources: Mapping[str, DataFrame], check_keys: b
     # Cases side with its own lookups, then the events -> cases link.
     needs_cases = cs is not None and (not check or any(is_case_side(spec, c) for c in out_cols))
     if needs_cases:
-        cases_wide, case_key = _cases_wide(spec, sources, out_cols, namer, check, guards)
+        cases_wide, case_key = _cases_wide(spec, sources, out_cols, namer, check)
         link = spec.case_edge()
         base = base.join(cases_wide, base[ev_keys[link]] == cases_wide[case_key], "left")
 
-    base = _attach_lookups(base, spec.events, spec, sources, ev_keys, out_cols, namer, check, guards)
-    final = [_final_column(spec, c, ev_keys) for c in out_cols]
-    return base.select(*final), key_guard(list(guards.values()))
+    base = _attach_lookups(base, spec.events, spec, sources, ev_keys, out_cols, namer, check)
+    return base.select(*[_final_column(spec, c, ev_keys) for c in out_cols])

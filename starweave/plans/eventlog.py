@@ -15,15 +15,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.types import quote
+from ..functions.types import MONEY, quote
 from ..operators.cases import attach_case_values, finance_totals
 from ..operators.project import apply_attributes, excluded_columns
-from ..operators.star import _with_guards, output_columns, split_edge_of, split_parts, star_join
+from ..operators.star import output_columns, split_edge_of, split_parts, star_join
 from .spec import ImportSpec, JoinEdge, SpecError
 
 
-def _attributed(spec: ImportSpec, sources: Mapping[str, DataFrame], check_keys: bool | None,
+def attributed(spec: ImportSpec, sources: Mapping[str, DataFrame], check_keys: bool | None,
                 columns: list[str] | tuple[str, ...] | None = None) -> DataFrame:
+    """The star with typed attributes and defaults, excluded attributes still in place."""
     star = star_join(spec, sources, check_keys, columns=columns)
     present = set(star.columns)
     attrs = [a for a in spec.attributes if a.name in present]
@@ -43,18 +44,18 @@ def event_log(spec: ImportSpec, sources: Mapping[str, DataFrame], check_keys: bo
     if columns is not None and case_attributes_on_events:
         roles = spec.roles()
         columns = list(dict.fromkeys([*columns, roles.case, *roles.order(), *case_rules(spec)]))
-    log = _attributed(spec, sources, check_keys, columns)
+    log = attributed(spec, sources, check_keys, columns)
     if case_attributes_on_events:
         roles = spec.roles()
         rules = {k: v for k, v in case_rules(spec).items() if k in log.columns}
         if rules:
             renamed = {f"__cl_{k}": v for k, v in rules.items()}
-            values = case_aggregate(spec, sources, rules=renamed, count=None, check_keys=check_keys)
+            values = case_aggregate(spec, sources, rules=renamed, count=None, check_keys=False)
             log = attach_case_values(log, roles.case, values)
-            for out in rules:
-                log = log.withColumn(out, log[f"__cl_{out}"]).drop(f"__cl_{out}")
-    log = log.drop(*excluded_columns(spec.attributes))
-    return log.select(*columns) if columns is not None else log
+            log = log.select(*[(F.col(quote(f"__cl_{c}")) if c in rules else F.col(quote(c))).alias(c)
+                               for c in log.columns if not c.startswith("__cl_")])
+    gone = set(excluded_columns(spec.attributes))
+    return log.select(*[F.col(quote(c)) for c in (log.columns if columns is None else columns) if c not in gone])
 
 
 def case_rules(spec: ImportSpec) -> dict[str, tuple[str, str]]:
@@ -141,7 +142,7 @@ def group_aggregate(spec: ImportSpec, sources: Mapping[str, DataFrame], group: s
     """Reduce the events of each value of ``group``: one row per value that has events.
 
     Output: ``group``, then ``count`` (if named), ``mins``, ``maxs``, ``rules`` (First or Last
-    in ``order``, by default the DEC-3 order) and ``sums`` (money as ``decimal(18,2)``, returned
+    in ``order``, by default the DEC-3 order) and ``sums`` (added exactly as ``MONEY``, returned
     as double), each a mapping from output name to attribute.
 
     When ``group`` comes from the far side of an events edge (the cases table, or a lookup such
@@ -156,11 +157,11 @@ def group_aggregate(spec: ImportSpec, sources: Mapping[str, DataFrame], group: s
     """
     plan = group_plan(spec, group, rules=rules, mins=mins, maxs=maxs, sums=sums, count=count, order=order)
     if plan.edge is None:
-        per_key = key_partials(spec, plan, _attributed(spec, sources, check_keys, plan.needed), plan.group)
+        per_key = key_partials(spec, plan, attributed(spec, sources, check_keys, plan.needed), plan.group)
         return finish_group(spec, plan, per_key)
     parts = split_parts(spec, sources, plan.needed, plan.edge, check_keys)
     per_key = key_partials(spec, plan, parts.near, parts.near_key, parts.far_columns)
-    return finish_group(spec, plan, per_key, parts.far, parts.far_key, parts.far_columns, parts.guard)
+    return finish_group(spec, plan, per_key, parts.far, parts.far_key, parts.far_columns)
 
 
 def key_partials(spec: ImportSpec, plan: GroupPlan, near: DataFrame, key: str,
@@ -184,16 +185,14 @@ def merge_partials(partials: DataFrame) -> DataFrame:
 
 
 def finish_group(spec: ImportSpec, plan: GroupPlan, per_key: DataFrame, far_df: DataFrame | None = None,
-                 far_key: str | None = None, far_columns: tuple[str, ...] = (),
-                 guard: DataFrame | None = None) -> DataFrame:
+                 far_key: str | None = None, far_columns: tuple[str, ...] = ()) -> DataFrame:
     """From per-key partials to one row per group (see ``group_aggregate``)."""
     far = set(far_columns)
     near_order = [c for c in plan.order if c not in far]
     partials, post = _reductions(near_order, plan.rules, plan.mins, plan.maxs, plan.sums, plan.count, far)
     if far_df is None:
         exprs = dict(post)
-        out = per_key.select(F.col("__key").alias(plan.group), *[exprs[n].alias(n) for n in plan.names()])
-        return _with_guards(out, guard)
+        return per_key.select(F.col("__key").alias(plan.group), *[exprs[n].alias(n) for n in plan.names()])
     far_df = _typed(spec, far_df)
     joined = per_key.join(far_df, per_key["__key"] == far_df[far_key], "left")
     # One row per key now: far-side values are constant per key. Pair them with the key's
@@ -202,8 +201,7 @@ def finish_group(spec: ImportSpec, plan: GroupPlan, per_key: DataFrame, far_df:
                                    near_order)
     merged = joined.groupBy(F.col(quote(plan.group))).agg(*merges)
     exprs = dict(post + far_post)
-    out = merged.select(F.col(quote(plan.group)), *[exprs[n].alias(n) for n in plan.names()])
-    return _with_guards(out, guard)
+    return merged.select(F.col(quote(plan.group)), *[exprs[n].alias(n) for n in plan.names()])
 
 
 def case_values_on_events(spec: ImportSpec, sources: Mapping[str, DataFrame],
@@ -221,9 +219,9 @@ def case_values_on_events(spec: ImportSpec, sources: Mapping[str, DataFrame],
     case = spec.roles().case
     plan = group_plan(spec, case, rules=rules, count=None)
     if plan.edge is None:
-        log = _attributed(spec, sources, check_keys, list(dict.fromkeys([*columns, case])))
+        log = attributed(spec, sources, check_keys, list(dict.fromkeys([*columns, case])))
         values = finish_group(spec, plan, key_partials(spec, plan, log, case))
-        return attach_case_values(log, case, values).select(*columns, *rules)
+        return attach_case_values(log, case, values).select(*[F.col(quote(c)) for c in [*columns, *rules]])
     parts = split_parts(spec, sources, plan.needed, plan.edge, check_keys)
     far = set(parts.far_columns)
     per_key = key_partials(spec, plan, parts.near, parts.near_key, parts.far_columns)
@@ -237,14 +235,14 @@ def case_values_on_events(spec: ImportSpec, sources: Mapping[str, DataFrame],
         "__case", *[exprs[n].alias(n) for n in rules])
     key_map = joined.select("__key", F.col(quote(case)).alias("__kcase"))
     by_key = key_map.join(values, key_map["__kcase"].eqNullSafe(values["__case"]), "left").select(
-        "__key", F.col("__kcase").alias("__c"), *rules)
+        "__key", F.col("__kcase").alias("__c"), *[F.col(quote(r)) for r in rules])
     event_cols = [c for c in columns if c != case]
     side = split_parts(spec, sources, event_cols + [case], plan.edge, check_keys=False)
     link = side.near_key
-    events = _typed(spec, side.near.select(*event_cols, link))
+    events = _typed(spec, side.near.select(*[F.col(quote(c)) for c in event_cols], link))
     out = events.join(by_key, events[link].eqNullSafe(by_key["__key"]), "left")
     picks = [F.col("__c").alias(case) if c == case else F.col(quote(c)) for c in columns]
-    return _with_guards(out.select(*picks, *rules), parts.guard)
+    return out.select(*picks, *[F.col(quote(r)) for r in rules])
 
 
 def summary(spec: ImportSpec, sources: Mapping[str, DataFrame], key: str, name: str | None = None,
@@ -262,7 +260,7 @@ def summary(spec: ImportSpec, sources: Mapping[str, DataFrame], key: str, name:
     edge = split_edge_of(spec, case)
     far_of_key = edge is not None and split_edge_of(spec, key) == edge
     if edge is None or far_of_key or key == case:
-        log = _attributed(spec, sources, check_keys, [case, key])
+        log = attributed(spec, sources, check_keys, [case, key])
         return log.groupBy(F.col(quote(key)).alias(out_name)).agg(
             F.count(F.lit(1)).alias("n_events"), F.count_distinct(F.col(quote(case))).alias("n_cases"))
     parts = split_parts(spec, sources, [key, case], edge, check_keys)
@@ -271,9 +269,8 @@ def summary(spec: ImportSpec, sources: Mapping[str, DataFrame], key: str, name:
     pairs = near.groupBy(F.col(quote(key)).alias("__g"), F.col(parts.near_key).alias("__key")).agg(
         F.count(F.lit(1)).alias("__n"))
     joined = pairs.join(far_df, pairs["__key"] == far_df[parts.far_key], "left")
-    out = joined.groupBy(F.col("__g").alias(out_name)).agg(
+    return joined.groupBy(F.col("__g").alias(out_name)).agg(
         F.sum("__n").alias("n_events"), F.count_distinct(F.col(quote(case))).alias("n_cases"))
-    return _with_guards(out, parts.guard)
 
 
 def _typed(spec: ImportSpec, df: DataFrame) -> DataFrame:
@@ -318,7 +315,7 @@ def _reductions(order: list[str], rules: dict, mins: dict, maxs: dict, sums: dic
             post.append((out, F.col(label)[f"v{i}"]))
     for i, (out, col) in enumerate(sums.items()):
         if col not in far:
-            aggs.append((f"__sum{i}", F.sum(F.col(quote(col)).cast("decimal(18,2)"))))
+            aggs.append((f"__sum{i}", F.sum(F.col(quote(col)).try_cast(MONEY))))
             post.append((out, F.col(f"__sum{i}").cast("double")))
     return aggs, post
 
@@ -360,7 +357,7 @@ def _far_merges(partials: list[tuple[str, Column]], rules: dict, mins: dict, max
             post.append((out, F.col("__last" if last else "__first")[f"x{values(last, True).index(col)}"]))
     for i, (out, col) in enumerate(sums.items()):
         if col in far:
-            weighted = F.col(quote(col)).cast("decimal(18,2)") * F.col("__n")
+            weighted = F.col(quote(col)).try_cast(MONEY) * F.col("__n").cast("decimal(12,0)")
             merges.append(F.sum(weighted).alias(f"__fsum{i}"))
             post.append((out, F.col(f"__fsum{i}").cast("double")))
     return merges, post
@@ -395,7 +392,7 @@ def finance(spec: ImportSpec, sources: Mapping[str, DataFrame], attribute: str,
     if a.finance == "PerCase":
         carried = {c: (c, "First") for c in dict.fromkeys([attribute, *by]) if c != roles.case}
         per_case = case_aggregate(spec, sources, rules=carried, count=None, check_keys=check_keys)
-        money = F.col(quote(attribute)).cast("decimal(18,2)")
+        money = F.col(quote(attribute)).try_cast(MONEY)
         group = [F.col(quote(c)) for c in (by or [roles.case])]
         return per_case.groupBy(*group).agg(F.sum(money).cast("double").alias("total"))
     if a.finance == "PerResource":
@@ -406,9 +403,9 @@ def finance(spec: ImportSpec, sources: Mapping[str, DataFrame], attribute: str,
         carried = {c: (c, "First") for c in dict.fromkeys([attribute, *by]) if c != roles.resource}
         per_resource = group_aggregate(spec, sources, roles.resource, rules=carried, count=None, order=order,
                                        check_keys=check_keys)
-        money = F.col(quote(attribute)).cast("decimal(18,2)")
+        money = F.col(quote(attribute)).try_cast(MONEY)
         group = [F.col(quote(c)) for c in (by or [roles.resource])]
         return per_resource.groupBy(*group).agg(F.sum(money).cast("double").alias("total"))
     needed = [attribute, roles.case, *roles.order(), *by]
-    log = _attributed(spec, sources, check_keys, list(dict.fromkeys(needed)))
+    log = attributed(spec, sources, check_keys, list(dict.fromkeys(needed)))
     return finance_totals(log, attribute, a.finance, by, order=list(roles.order()), case=roles.case)

@@ -2,8 +2,8 @@
 
 Every dimension stays a static DataFrame; only the events dataset is a stream. A left join
 with the stream on the left keeps no state, so the query runs with constant memory however
-long it lives. The key guards of the static sides cannot be unioned into a streaming plan;
-they run once, as their own batch job, before the stream starts.
+long it lives. The key check of the static sides runs once, as its own batch job, before the
+stream starts.
 
 Case-level results need all events of a case, which no micro-batch has. ``start_group_partials``
 writes, per micro-batch, each key's *partial* results (counts, minima, maxima, First/Last packs,
@@ -21,18 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.project import apply_attributes
-from ..operators.star import far_parts, split_parts, star_parts
+from ..operators.star import check_unique_keys, far_parts, split_parts, star_join
 from ..plans import eventlog
 from ..plans.spec import ImportSpec, SpecError
 from ..session import scratch_path
 
 
-def check_static_keys(guard: DataFrame | None) -> None:
-    """Run the key check of the static sides; raises on the first repeated key."""
-    if guard is not None:
-        guard.write.format("noop").mode("overwrite").save()
-
-
 def stream_event_log(spec: ImportSpec, events_stream: DataFrame, static_sources: Mapping[str, DataFrame],
                      check_keys: bool | None = None,
                      columns: list[str] | tuple[str, ...] | None = None) -> DataFrame:
@@ -43,8 +37,7 @@ def stream_event_log(spec: ImportSpec, events_stream: DataFrame, static_sources:
     if streaming_statics:
         raise SpecError(f"only the events dataset may be a stream, not {streaming_statics}")
     sources = {**static_sources, spec.events.name: events_stream}
-    star, guard = star_parts(spec, sources, check_keys, columns)
-    check_static_keys(guard)
+    star = star_join(spec, sources, check_keys, columns)
     present = set(star.columns)
     attrs = [a for a in spec.attributes if a.name in present and not a.is_excluded]
     out = apply_attributes(star, attrs, drop_excluded=False)
@@ -88,15 +81,13 @@ def start_group_partials(spec: ImportSpec, events_stream: DataFrame, static_sour
         raise SpecError("events_stream must be a streaming DataFrame (spark.readStream...)")
     plan = eventlog.group_plan(spec, group or spec.roles().case, **measures)
     ev_name = spec.events.name
-    if plan.edge is not None:
-        # The static sides' key check runs once, before the stream starts.
-        probe = split_parts(spec, {**static_sources, ev_name: events_stream}, plan.needed, plan.edge, check_keys)
-        check_static_keys(probe.guard)
+    if spec.check_keys if check_keys is None else check_keys:
+        check_unique_keys(spec, static_sources)  # once, before the stream starts
 
     def write_batch(batch: DataFrame, epoch: int) -> None:
         sources = {**static_sources, ev_name: batch}
         if plan.edge is None:
-            near = eventlog.event_log(spec, sources, check_keys=False, columns=plan.needed)
+            near = eventlog.attributed(spec, sources, check_keys=False, columns=plan.needed)
             per_key = eventlog.key_partials(spec, plan, near, plan.group)
         else:
             parts = split_parts(spec, sources, plan.needed, plan.edge, check_keys=False)
@@ -126,8 +117,8 @@ def group_from_partials(spec: ImportSpec, static_sources: Mapping[str, DataFrame
     per_key = eventlog.merge_partials(spark.read.parquet(path))
     if plan.edge is None:
         return eventlog.finish_group(spec, plan, per_key)
-    far, far_key, far_columns, guard = far_parts(spec, static_sources, plan.needed, plan.edge, check_keys)
-    return eventlog.finish_group(spec, plan, per_key, far, far_key, far_columns, guard)
+    far, far_key, far_columns = far_parts(spec, static_sources, plan.needed, plan.edge, check_keys)
+    return eventlog.finish_group(spec, plan, per_key, far, far_key, far_columns)
 
 
 def start_case_table_partials(spec: ImportSpec, events_stream: DataFrame, static_sources: Mapping[str, DataFrame],
