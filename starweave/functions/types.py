@@ -42,26 +42,31 @@ ATTRIBUTE_SPARK_TYPE: dict[str, T.DataType] = {
     "Boolean": T.BooleanType(),
 }
 
+# Money is added exactly: eighteen digits before the point, ten after it. NaN, infinities and values
+# of 1e18 or more do not convert and are left out of totals, as nulls are.
+MONEY = "decimal(28,10)"
+
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
+_DATES = (T.DateType, T.TimestampType, T.TimestampNTZType)
+
 
+# Family of each listed name, from the fixed values above.
+_FAMILY = {name: family for family, names in (
+    ("int", INT_NAMES), ("double", FLOAT_NAMES), ("string", STRING_NAMES + OTHER_AS_STRING_NAMES),
+    ("boolean", BOOLEAN_NAMES), ("timestamp", TIMESTAMP_NAMES)) for name in names}
 
-def type_family(type_name: str) -> str:
-    """Collapse a type name (``simpleString`` or SQL name) to its family."""
-    name = type_name.lower().strip()
-    if name in INT_NAMES:
-        return "int"
-    if name in FLOAT_NAMES or name.startswith("decimal"):
-        return "double"
-    if name in STRING_NAMES or name.startswith(("varchar", "char", "nvarchar")):
-        return "string"
-    if name in BOOLEAN_NAMES:
-        return "boolean"
-    if name in TIMESTAMP_NAMES:
-        return "timestamp"
-    if name in OTHER_AS_STRING_NAMES:
-        return "string"
-    return name
+
+def type_family(type_name: str | T.DataType) -> str:
+    """Family of a Spark type, or of a type name (its parameters and element types do not matter)."""
+    if isinstance(type_name, T.DataType):
+        for kinds, family in ((_INTEGRAL, "int"), (_FRACTIONAL, "double"), (T.BooleanType, "boolean"),
+                              (_DATES, "timestamp")):
+            if isinstance(type_name, kinds):
+                return family
+        type_name = type_name.simpleString()
+    name = type_name.strip().lower()
+    return _FAMILY.get(name) or _FAMILY.get(name.partition("(")[0].strip(), name)
 
 
 def attribute_type_of_family(family: str) -> str:
@@ -70,35 +75,48 @@ def attribute_type_of_family(family: str) -> str:
 
 def default_attribute_type(dtype: T.DataType) -> str:
     """Attribute type a column gets by default from its Spark type."""
-    return attribute_type_of_family(type_family(dtype.simpleString()))
+    return attribute_type_of_family(type_family(dtype))
 
 
-def _sql_type(dtype: T.DataType) -> str:
-    return dtype.simpleString()
+def _as_number(column: Column, source: T.DataType, attribute_type: str) -> Column:
+    """Seconds since 1970 of a date or timestamp, whole for Integer."""
+    if isinstance(source, T.TimestampType):
+        micros = F.unix_micros(column)
+    else:
+        epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+        micros = F.timestamp_diff("MICROSECOND", epoch, column.cast("timestamp_ntz"))
+    return F.floor(micros / 1_000_000).cast("bigint") if attribute_type == "Integer" else micros / F.lit(1e6)
 
 
 def to_attribute_type(column: Column, source: T.DataType, attribute_type: str) -> Column:
-    """Convert one column to the Spark type of ``attribute_type``.
+    """Convert one column to the Spark type of ``attribute_type``; never fails a job.
 
-    Never fails a job: values that do not convert become null (``try_cast``). Nested values
-    become JSON text and binary becomes hex (DEC-5). Double to Integer truncates toward zero.
+    Values that do not convert become null. By source: text and numbers are tried (double to
+    Integer truncates toward zero; a number is no Date); dates and timestamps become seconds since
+    1970 as numbers and are no Boolean; a Boolean is 1 or 0 as a number and no Date; nested values
+    are JSON text and binary is hex, as String only (DEC-5); other types are text, as String only.
     """
     if attribute_type not in ATTRIBUTE_SPARK_TYPE:
         raise ValueError(f"unknown attribute type {attribute_type!r}; expected one of {ATTRIBUTE_TYPES}")
     target = ATTRIBUTE_SPARK_TYPE[attribute_type]
+    nothing = F.lit(None).cast(target)
     if source == target:
         return column
+    if isinstance(source, T.StringType):
+        return column.try_cast(target)
+    if isinstance(source, T.NumericType):
+        return nothing if attribute_type == "Date" else column.try_cast(target)
+    if isinstance(source, _DATES):
+        if attribute_type in ("Integer", "Float"):
+            return _as_number(column, source, attribute_type)
+        return nothing if attribute_type == "Boolean" else column.try_cast(target)
+    if isinstance(source, T.BooleanType):
+        return nothing if attribute_type == "Date" else column.try_cast(target)
+    if attribute_type != "String" or isinstance(source, T.NullType):
+        return nothing
     if isinstance(source, (T.ArrayType, T.MapType, T.StructType)):
-        as_text = F.to_json(column)
-        return as_text if attribute_type == "String" else as_text.try_cast(target)
-    if isinstance(source, T.BinaryType):
-        as_text = F.hex(column)
-        return as_text if attribute_type == "String" else as_text.try_cast(target)
-    if isinstance(source, T.NullType):
-        return F.lit(None).cast(target)
-    if attribute_type == "Date" and isinstance(source, T.DateType):
-        return column.cast(target)
-    return column.try_cast(target)
+        return F.to_json(column)
+    return F.hex(column) if isinstance(source, T.BinaryType) else column.cast(target)
 
 
 def normalize_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

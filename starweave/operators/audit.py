@@ -22,19 +22,18 @@ def fk_orphans(src: DataFrame, tgt: DataFrame, source_column: str, target_column
                key_type: str = "Integer") -> DataFrame:
     """Foreign-key values of ``src`` with no matching key in ``tgt``, with their row counts.
 
-    Columns: the raw foreign-key column (its own name) and ``n``. A null foreign key is not an
+    Columns: the raw foreign-key column (its own name) and ``n`` (``n_rows`` if that is the key's
+    own name). A null foreign key is not an
     orphan; a value that does not convert to the key type is (it can never match).
     """
-    counts = (
-        src.select(F.col(quote(source_column)).alias(source_column))
-        .filter(F.col(quote(source_column)).isNotNull())
-        .groupBy(source_column)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    probe = counts.withColumn("__k", _typed(counts, source_column, key_type, f"source {source_column}"))
+    fk = F.col(quote(source_column))
+    counts = src.filter(fk.isNotNull()).groupBy(fk.alias("__fk")).agg(F.count(F.lit(1)).alias("__n"))
+    probe = counts.withColumn("__k", _typed(counts, "__fk", key_type, f"source {source_column}"))
     keys = tgt.select(_typed(tgt, target_column, key_type, f"target {target_column}").alias("__t"))
     keys = keys.filter(F.col("__t").isNotNull())
-    return probe.join(keys, probe["__k"] == keys["__t"], "left_anti").select(source_column, "n")
+    orphans = probe.join(keys, probe["__k"] == keys["__t"], "left_anti")
+    count = "n" if source_column.lower() != "n" else "n_rows"
+    return orphans.select(F.col("__fk").alias(source_column), F.col("__n").alias(count))
 
 
 def pk_duplicates(tgt: DataFrame, key_column: str, key_type: str | None = None) -> DataFrame:
@@ -91,7 +90,7 @@ def profile_columns(df: DataFrame, exact: bool = False, columns: list[str] | Non
     rows = [
         F.struct(
             F.lit(name).alias("column_name"),
-            F.lit(type_family(fields[name].dataType.simpleString())).alias("family"),
+            F.lit(type_family(fields[name].dataType)).alias("family"),
             F.col("__rows").alias("n_rows"),
             (F.col("__rows") - F.col(f"__nn{i}")).alias("n_nulls"),
             F.col(f"__nd{i}").cast("bigint").alias("n_distinct"),

@@ -10,6 +10,7 @@ given a map from dataset name to source.
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, replace
 from typing import Any
 
@@ -34,6 +35,16 @@ class SpecError(ValueError):
     """A spec that cannot describe one event log."""
 
 
+# What a default value may look like, per attribute type: what a cast from text accepts.
+_DEFAULT_FORMS = {
+    "String": re.compile(r".*", re.S),
+    "Integer": re.compile(r"[+-]?\d+(\.\d*)?"),
+    "Float": re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[+-]?inf(inity)?|nan", re.I),
+    "Date": re.compile(r"\d{4}(-\d{1,2}(-\d{1,2}([ T][\d:.]+)?)?)?"),
+    "Boolean": re.compile(r"true|false|t|f|yes|no|y|n|1|0", re.I),
+}
+
+
 @dataclass(frozen=True)
 class JoinEdge:
     """Single-key equality link from a dataset column to a column of another dataset."""
@@ -194,6 +205,8 @@ class ImportSpec:
                 raise SpecError(f"attribute {a.name!r}: FinanceImportType must be one of {FINANCE_TYPES}")
             if a.case_handling not in CASE_HANDLING:
                 raise SpecError(f"attribute {a.name!r}: CaseLevelAttributeHandling must be one of {CASE_HANDLING}")
+            if a.default_value and not _DEFAULT_FORMS[a.source_data_type].fullmatch(a.default_value.strip()):
+                raise SpecError(f"attribute {a.name!r}: default {a.default_value!r} is no {a.source_data_type}")
         attr_names = [a.name for a in self.attributes]
         clash = sorted({n for n in attr_names if attr_names.count(n) > 1})
         if clash:

@@ -40,7 +40,11 @@ def read_dataset(spark: SparkSession, ref: str, fmt: str = "parquet", recursive:
         raise ValueError(f"unknown format {fmt!r}; expected one of {FORMATS}")
     reader = spark.read
     if recursive:
-        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{fmt}")
+        # The extension in any case. A folder of partition folders (key=value) keeps its partition
+        # columns; any other folder is read at all depths.
+        reader = reader.option("pathGlobFilter", "*." + "".join(f"[{c}{c.upper()}]" for c in fmt))
+        if not _is_partitioned(spark, ref):
+            reader = reader.option("recursiveFileLookup", "true")
     if fmt == "csv":
         reader = reader.option("header", "true")
         if schema is None:
@@ -53,15 +57,28 @@ def read_dataset(spark: SparkSession, ref: str, fmt: str = "parquet", recursive:
     return reader.parquet(ref)
 
 
+def _is_partitioned(spark: SparkSession, ref: str) -> bool:
+    """Whether the visible folders directly below ``ref`` are all partition folders."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(ref)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return False
+    names = [f.getPath().getName() for f in fs.listStatus(path) if f.isDirectory()]
+    names = [n for n in names if n[0] not in "_."]
+    return bool(names) and all("=" in n for n in names)
+
+
 def load_sources(spark: SparkSession, spec: ImportSpec,
                  sources: Mapping[str, DataFrame | str] | None = None,
-                 fmt: str | None = None, recursive: bool | None = None) -> dict[str, DataFrame]:
+                 fmt: str | None = None, recursive: bool | None = None,
+                 schemas: Mapping[str, T.StructType | str] | None = None) -> dict[str, DataFrame]:
     """One DataFrame per dataset of the spec.
 
     ``sources`` maps a dataset name to a DataFrame or to a path/table name; missing names fall
     back to the dataset's ``Path``. Every dataset must resolve. ``fmt`` defaults to the format
     the config document names (``dataSourceFileType``), else Parquet; files of a config-named
-    CSV or Parquet source are read as folders (``recursive``) unless told otherwise.
+    CSV or Parquet source are read as folders (``recursive``) unless told otherwise. ``schemas``
+    gives a dataset's schema, which spares CSV files the scan that infers one.
     """
     if fmt is None:
         fmt = spec.source_format or "parquet"
@@ -75,7 +92,7 @@ def load_sources(spark: SparkSession, spec: ImportSpec,
         if isinstance(given, DataFrame):
             out[d.name] = given
         elif given:
-            out[d.name] = read_dataset(spark, given, fmt, recursive=recursive)
+            out[d.name] = read_dataset(spark, given, fmt, recursive=recursive, schema=(schemas or {}).get(d.name))
         else:
             raise SpecError(f"dataset {d.name!r} has no source and no path")
     return out
@@ -85,4 +102,4 @@ def columns_of(df: DataFrame) -> list[tuple[str, str]]:
     """Name and type family of every column, from the schema (no data read)."""
     from ..functions.types import type_family
 
-    return [(f.name, type_family(f.dataType.simpleString())) for f in df.schema.fields]
+    return [(f.name, type_family(f.dataType)) for f in df.schema.fields]
