@@ -134,11 +134,13 @@ def with_signals(df: DataFrame, text_col: str, out: str) -> DataFrame:
     step = step.select(*mine, c, _repeat_starts(h, p).alias(names[5]))
     step = step.select(*mine, c, _covered(p).alias(names[5]))
     ratio = lambda x, y: F.when(c[y] > 0, c[x] / c[y])
-    return step.select(*mine, F.struct(
+    # One row each: a filter on a generated column is not pushed into the projections below, where
+    # every signal would be computed again wherever it is named.
+    return step.select(*mine, F.explode(F.array(F.struct(
         *(p.alias(x) if x == "n_repeat_words" else c[x].alias(x) for x in COUNTS),
         ratio("word_chars", "n_words").alias("mean_word_chars"),
         ratio("n_symbols", "n_words").alias("symbols_per_word"),
-        ratio("n_dup_lines", "n_lines").alias("dup_line_ratio")).alias(out))
+        ratio("n_dup_lines", "n_lines").alias("dup_line_ratio")))).alias(out))
 
 
 def rule_holds(rule: Rule, signals: Column) -> Column:
