@@ -30,7 +30,7 @@ from starweave.llm.tokens import ByteBpe
 LENGTH = 2048  # ids of a sequence
 END_ID = 1
 UNIT = 8  # ids; piece lengths are rounded up to it when patterns are made
-_BUCKET_ROWS = 20_000  # pieces ranked by one task at a time
+_BUCKET_ROWS = 2_000  # pieces ranked by one task at a time
 
 
 # ---- the linear program, over a histogram of fixed size -------------------------------------
