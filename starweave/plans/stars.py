@@ -20,22 +20,9 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 SALES_TIEBREAK = ("l_linenumber", "l_partkey", "l_suppkey")
 
 
-_TABLES: dict[tuple[int, str], DataFrame] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The driver table ``name`` under ``sf_dir``.
-
-    The DataFrame is kept per session and path, the way a catalog keeps a table's relation:
-    footers are read and the schema resolved once; every query still scans the files.
-    """
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
-    df = _TABLES.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = spark.read.parquet(path)
-        _TABLES[key] = df
-    return df
+    """The driver table ``name`` under ``sf_dir``."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
