@@ -393,7 +393,9 @@ def finance(spec: ImportSpec, sources: Mapping[str, DataFrame], attribute: str,
         carried = {c: (c, "First") for c in dict.fromkeys([attribute, *by]) if c != roles.case}
         per_case = case_aggregate(spec, sources, rules=carried, count=None, check_keys=check_keys)
         money = F.col(quote(attribute)).try_cast(MONEY)
-        group = [F.col(quote(c)) for c in (by or [roles.case])]
+        if by in ([], [roles.case]):  # each case is one row already
+            return per_case.select(F.col(quote(roles.case)), money.cast("double").alias("total"))
+        group = [F.col(quote(c)) for c in by]
         return per_case.groupBy(*group).agg(F.sum(money).cast("double").alias("total"))
     if a.finance == "PerResource":
         if not roles.resource:
@@ -404,8 +406,9 @@ def finance(spec: ImportSpec, sources: Mapping[str, DataFrame], attribute: str,
         per_resource = group_aggregate(spec, sources, roles.resource, rules=carried, count=None, order=order,
                                        check_keys=check_keys)
         money = F.col(quote(attribute)).try_cast(MONEY)
-        group = [F.col(quote(c)) for c in (by or [roles.resource])]
+        if by in ([], [roles.resource]):  # each resource is one row already
+            return per_resource.select(F.col(quote(roles.resource)), money.cast("double").alias("total"))
+        group = [F.col(quote(c)) for c in by]
         return per_resource.groupBy(*group).agg(F.sum(money).cast("double").alias("total"))
-    needed = [attribute, roles.case, *roles.order(), *by]
-    log = attributed(spec, sources, check_keys, list(dict.fromkeys(needed)))
-    return finance_totals(log, attribute, a.finance, by, order=list(roles.order()), case=roles.case)
+    log = attributed(spec, sources, check_keys, list(dict.fromkeys([attribute, *by])))
+    return finance_totals(log, attribute, a.finance, by)

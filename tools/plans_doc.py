@@ -11,9 +11,10 @@ spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sw-plans-"))
 sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 out = ["# Physical plans", "",
        "Final adaptive plans of the bench queries at sf0.1 on `local[8]` (16 shuffle partitions),",
-       "generated from the code after a full run. Small dimensions are broadcast here by their",
-       "runtime size; at scale the same joins are sort-merge joins (see README). Scan locations",
-       "and long expression lists are shortened.", ""]
+       "generated from the code after a full run with broadcast joins off, as they are at scale.",
+       "Scan locations and long expression lists are shortened.", ""]
+spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
 for q in bench.HEADLINE + ["activity_summary"]:
     df = QUERIES[q](spark, sf)
     df.collect()
