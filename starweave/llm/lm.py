@@ -34,7 +34,7 @@ from starweave.llm.shingles import WordHashes
 
 CLASSES, WIDTH, HIDDEN = 32, 32, 16
 WORDS = CLASSES * WIDTH
-HEAD = 200_000  # words whose counts are broadcast: 3.2 MB
+HEAD = 200_000  # words, about, whose counts are broadcast: 3.2 MB
 ROUNDS = (1, 5, 24)  # percent of the training documents in each round
 _END = -1  # the end token's key; word keys are hashes of words
 _BLOCK = 4096  # parameters averaged by one task
@@ -123,7 +123,11 @@ def lexicon(training: DataFrame) -> tuple[DataFrame, Lexicon]:
     counts = training.select("text").mapInArrow(_counts, "key long, n long")
     counts = stored(counts.groupBy("key").agg(F.sum("n").alias("n")), "counts")
     size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("types")).first()
-    head = counts.orderBy(F.desc("n"), "key").limit(HEAD).toPandas()
+    # The head is what lies above one count, so that tasks send their share of it and nothing else.
+    above = 0
+    if size.types > HEAD:
+        above = counts.agg(F.percentile_approx("n", 1 - HEAD / size.types, 1_000_000).alias("n")).first().n
+    head = counts.filter(F.col("n") > above).toPandas().sort_values(["n", "key"], ascending=[False, True])
     return counts, Lexicon(head["key"].to_numpy(np.int64), head["n"].to_numpy(np.int64), size.tokens, size.types)
 
 
