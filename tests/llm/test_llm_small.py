@@ -149,6 +149,26 @@ def test_compact_windows(spark):
         assert min(len(a), len(b)) >= 50 and abs(len(x & y) / len(x | y) - r.similarity) < 1e-9 and r.similarity >= 0.8
 
 
+def _words(seed, n):
+    return [f"w{x}" for x in np.random.default_rng(seed).integers(0, 10**9, n)]
+
+
+def test_passage_whose_pieces_stand_in_unrelated_earlier_documents(spark):
+    """Every hash of the shared passage has an earlier holder that is not similar to it."""
+    passage, data = _words(0, 60), []
+    for i, at in enumerate(range(0, 52, 4)):  # each piece next to text that is copied elsewhere
+        filler = _words(100 + i, 80)
+        data += [(2 * i, " ".join(filler + passage[at:at + 12])), (2 * i + 1, " ".join(filler))]
+    data += [(100, " ".join(_words(200, 70) + passage + _words(201, 70))), (101, " ".join(_words(202, 90) + passage))]
+    # A chain: the middle text is similar to both others, which are not similar to each other.
+    base = _words(300, 150)
+    data += [(200, " ".join(base[:90])), (201, " ".join(base[30:120])), (202, " ".join(base[70:150]))]
+    found = compact_windows.near_duplicate_passages(table(spark, [(*r, None, None, None) for r in data])).collect()
+    spans = {(r.doc_id, r.rep_doc_id): (r.start, r.end, r.rep_start, r.rep_end) for r in found}
+    assert spans[101, 100] == (90, 150, 70, 130)
+    assert spans[201, 200] == (0, 60, 30, 90) and spans[202, 201] == (0, 50, 40, 90)
+
+
 def test_quality(spark):
     got = {r.doc_id: r for r in rules.quality_report(table(spark)).collect()}
     for d, t in DATA:
