@@ -169,6 +169,46 @@ def test_passage_whose_pieces_stand_in_unrelated_earlier_documents(spark):
     assert spans[201, 200] == (0, 60, 30, 90) and spans[202, 201] == (0, 50, 40, 90)
 
 
+def test_passages_around_foreign_text(spark):
+    """Two passages of a pair with other text between them, which is not similar as a whole."""
+    one, two = _words(1, 55), _words(2, 58)
+    data = [(0, one + _words(3, 40) + two), (1, one + _words(4, 60) + two), (2, two + _words(5, 5) + one)]
+    docs = table(spark, [(d, " ".join(w), None, None, None) for d, w in data])
+    got = {(r.doc_id, r.start, r.end) for r in compact_windows.near_duplicate_passages(docs).collect()}
+    for d, start, end in ((1, 0, 55), (1, 115, 173), (2, 0, 58), (2, 63, 118)):
+        assert any(x == d and a <= start and end <= b for x, a, b in got), (d, start, end)
+
+
+def test_passages_against_brute_force(spark):
+    """Texts made of copied, edited and new pieces: every range of LENGTH that is near one of an earlier text is covered."""
+    rng = np.random.default_rng(7)
+    pieces, data = [_words(50 + i, 52) for i in range(5)], []
+    for d in range(14):
+        words = []
+        for _ in range(3):
+            piece = list(pieces[rng.integers(5)])
+            for at in rng.integers(0, 52, rng.integers(0, 3)):
+                piece[at] = f"e{rng.integers(0, 3)}"
+            words += piece + _words(1000 + len(words) + 500 * d, int(rng.integers(0, 25)))
+        data.append((d, " ".join(words)))
+    got = compact_windows.near_duplicate_passages(table(spark, [(*r, None, None, None) for r in data])).collect()
+    ranges = {}
+    for d, t in data:
+        w, n = t.split(), compact_windows.LENGTH
+        s = [tuple(w[i:i + 5]) for i in range(len(w) - 4)]
+        ranges[d] = [frozenset(s[i:i + n]) for i in range(len(s) - n + 1)]
+    checked = 0
+    for d, mine in ranges.items():
+        others = [y for e in range(d) for y in ranges[e]]
+        spans = [(r.start, r.end) for r in got if r.doc_id == d]
+        for i, x in enumerate(mine):
+            if any(len(x & y) >= 0.8 * len(x | y) for y in others):
+                checked += 1
+                middle = i + (compact_windows.LENGTH + 4) // 2
+                assert any(a <= middle < b for a, b in spans), (d, i)
+    assert checked > 100
+
+
 def test_quality(spark):
     got = {r.doc_id: r for r in rules.quality_report(table(spark)).collect()}
     for d, t in DATA:
