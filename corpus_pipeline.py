@@ -18,6 +18,8 @@ from starweave.llm.quality import quality_filter
 from starweave.llm.secret_scan import redact
 from starweave.llm.suffix_dedup import remove_repeats
 
+NEAR_PERCENT = 80  # similarity of near copies; 85 is the contract of the query op3 alone
+
 
 def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
@@ -30,7 +32,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that of the smallest id."""
-    return keep_one_of_each(docs)
+    return keep_one_of_each(docs, min_percent=NEAR_PERCENT)
 
 
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

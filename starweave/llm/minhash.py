@@ -206,9 +206,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return heads.unionAll(rest).unionAll(empty)
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                     min_percent: int = MIN_PERCENT) -> DataFrame:
     """The documents without those that are near copies of a kept one, with all their columns."""
-    report = near_duplicates(docs, id_col, text_col)
+    report = near_duplicates(docs, id_col, text_col, min_percent=min_percent)
     report = stored(report.groupBy("doc_id", "digest").agg(
         F.max("kept").alias("kept"), F.count("*").alias("n"), F.max("n_shingles").alias("size")), "kept")
     gone, once = fresh(docs.columns, "gone"), fresh(docs.columns, "once")

@@ -113,6 +113,18 @@ def test_near_duplicates_in_a_crowded_bucket(spark):
     assert got == near_components(data)
 
 
+def test_pipeline_drops_near_copies_of_similarity_080(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(124)]
+    edited = [f"y{i}" if i in (20, 60, 110) else w for i, w in enumerate(words)]  # 105 of 135 shingles: 0.78
+    near = [f"x{i}" if i in (30, 90) else w for i, w in enumerate(words)]
+    near[91] = "x91"  # 109 of 131 shingles: 0.83
+    docs = table(spark, [(i, " ".join(w), None, None, None) for i, w in enumerate((words, near, edited))])
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {0, 2}
+    assert minhash.keep_one_of_each(docs).count() == 3
+
+
 def test_suffix_array(spark):
     got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.repeated_bytes(table(spark)).collect()}
     assert got == repeated(DATA)
