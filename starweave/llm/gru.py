@@ -134,8 +134,12 @@ class Gru:
         grads["x"] = (words, np.add.reduceat(dgates.reshape(-1, 3 * d)[by], starts, axis=0))
         return grads, float(logp.sum()), h
 
-    def train(self, tokens: np.ndarray, end: int, streams: int = 128, window: int = 16, rate: float = 0.05) -> None:
-        """One pass over the texts in ``tokens``, each closed by ``end``, as parallel streams (Adagrad)."""
+    def train(self, tokens: np.ndarray, end: int, streams: int = 128, window: int = 16, rate: float = 0.05,
+              size: float | None = None) -> None:
+        """One pass over the texts in ``tokens``, each closed by ``end``, as parallel streams (Adagrad).
+
+        What does not fill all streams follows in fewer, its gradients at the same weight a token (``size``).
+        """
         n = len(tokens)
         streams = max(1, min(streams, n // window))
         length = n // streams
@@ -150,10 +154,10 @@ class Gru:
         if not hasattr(self, "_sum"):
             self._sum = {k: np.full_like(v, 1e-2) for k, v in self.p.items()}
         h = np.zeros((streams, self.h), F32)
+        size = F32(1 / streams if size is None else size)
         for at in range(0, length, window):
             part = slice(at, at + window)
             grads, _, h = self.gradients(prev[part], grid[part], h, first[part])
-            size = F32(1 / (streams))
             for k, g in grads.items():
                 if k == "x":
                     rows, g = g
@@ -164,6 +168,7 @@ class Gru:
                     g *= size
                     self._sum[k] += g * g
                     self.p[k] -= rate * g / np.sqrt(self._sum[k])
+        self.train(tokens[streams * length:], end, streams, window, rate, size)
 
     def score(self, texts: list[np.ndarray], window: int = 64, batch: int = 384) -> np.ndarray:
         """Natural log probability of each whole text (its last token included).

@@ -6,7 +6,7 @@
    them stands for all others) is trained by truncated backpropagation: in each of a few rounds
    every task starts from the round's model, trains on its texts of that round, and the mean of the
    models, weighted by tokens and taken block by block on the executors, starts the next round.
-   The rounds' texts are disjoint shares of all training documents, picked by a hash of the id.
+   The rounds' texts are disjoint shares, picked by a hash of the id, that make up all training documents.
 3. Every text is scored whole; the state is carried from window to window. A word outside the
    model's words has the probability of "other" times its smoothed share of all other words.
 
@@ -35,7 +35,7 @@ from starweave.llm.shingles import WordHashes
 CLASSES, WIDTH, HIDDEN = 32, 32, 16
 WORDS = CLASSES * WIDTH
 HEAD = 200_000  # words, about, whose counts are broadcast: 3.2 MB
-ROUNDS = (1, 5, 24)  # percent of the training documents in each round
+ROUNDS = (1, 9, 90)  # percent of the training documents in each round: all of them
 _END = -1  # the end token's key; word keys are hashes of words
 _BLOCK = 4096  # parameters averaged by one task
 

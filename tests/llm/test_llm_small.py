@@ -324,6 +324,22 @@ def test_gru_gradients_and_state():
     assert np.allclose(g.score(texts, batch=1), g.score(texts, batch=4), atol=1e-3)
 
 
+def test_training_takes_every_document_and_token():
+    from starweave.llm.gru import Gru
+
+    assert sum(lm.ROUNDS) == 100
+    seen = []
+
+    class Watched(Gru):
+        def gradients(self, prev, target, h, first):
+            seen.extend(target.ravel().tolist())
+            return super().gradients(prev, target, h, first)
+
+    tokens = np.random.default_rng(1).integers(0, 12, 5000)
+    Watched(3, 4, 5, np.ones(12)).train(tokens, 0)
+    assert sorted(seen) == sorted(tokens.tolist())
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(1500, 24)).astype(np.float32)
