@@ -2,7 +2,7 @@
 
 Candidates come from built-in regular expressions; their values are hashed, and one aggregate over
 the corpus counts the distinct owners and repositories that hold each hash. A value held by several
-owners is a copied example; one held by a single owner that looks random is a live credential.
+owners or by many repositories is a copied example; any other that looks random is a live credential.
 The base kinds are always reported. Candidates of the extra kind ``mixed`` (long tokens of upper
 case, lower case and digits, without a telling name before them) are reported only when the
 ownership count says that they are live, and when no base span overlaps them.
@@ -34,8 +34,9 @@ KINDS = {
 }
 BASE = ("assign", "access", "hex")
 NAMES = list(KINDS)
-#: A value of this many owners or more is a copied example.
-COPIED_OWNERS = 2
+#: A value of this many owners, or of this many repositories (of one owner, too), is a copied example.
+#: A pair of copies reaches neither.
+COPIED_OWNERS, COPIED_REPOS = 3, 10
 #: Live credentials have this many different characters at least.
 LIVE_CHARACTERS = 10
 
@@ -91,16 +92,19 @@ def _placed(table: DataFrame) -> DataFrame:
 
 
 def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
-                  repo_col: str = "doc_id", copied_owners: int = COPIED_OWNERS) -> DataFrame:
+                  repo_col: str = "doc_id", copied_owners: int = COPIED_OWNERS, copied_repos: int = COPIED_REPOS) -> DataFrame:
     """One row per document: counts per base kind, the digest of the base spans, all spans, and how
-    many reported spans are live (one owner, random-looking) or copied (several owners)."""
+    many reported spans are live (not copied, random-looking) or copied, in all and by each count
+    (``copied_owners`` owners or more, ``copied_repos`` repositories or more)."""
     table = stored(candidates(docs, id_col, text_col, owner_col, repo_col), "secrets")
     hits = stored(_placed(table), "secret-hits")
     counts = stored(ownership(hits), "secret-owners")
     mixed = NAMES.index("mixed")
     judged = hits.select("rid", "kind", "start", "end", "hash", "live").join(counts, "hash").select(
-        "rid", "kind", "start", "end", (F.col("n_owners") >= copied_owners).alias("copied"),
-        (F.col("live") & (F.col("n_owners") < copied_owners)).alias("live"))
+        "rid", "kind", "start", "end", (F.col("n_owners") >= copied_owners).alias("by_owners"),
+        (F.col("n_repos") >= copied_repos).alias("by_repos"), "live")
+    copied = F.col("by_owners") | F.col("by_repos")
+    judged = judged.withColumn("copied", copied).withColumn("live", F.col("live") & ~copied)
     judged = judged.filter((F.col("kind") != mixed) | F.col("live"))
     is_base = F.col("kind") != mixed
     before = Window.partitionBy("rid").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -114,16 +118,18 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     span = F.struct("start", "kind", "end", F.concat_ws(":", name, "start", "end").alias("text"))
     per_doc = judged.groupBy("rid").agg(
         *(count(k) for k in BASE), F.count_if("live").alias("n_live"), F.count_if("copied").alias("n_copied"),
+        F.count_if("by_owners").alias("n_copied_owners"), F.count_if("by_repos").alias("n_copied_repos"),
         F.sort_array(F.collect_list(span)).alias("all"))
     text = lambda a: F.array_join(F.transform(a, lambda s: s["text"]), ",")
     per_doc = per_doc.select(
-        "rid", *(f"n_{k}" for k in BASE), "n_live", "n_copied", text(F.col("all")).alias("spans"),
+        "rid", *(f"n_{k}" for k in BASE), "n_live", "n_copied", "n_copied_owners", "n_copied_repos", text(F.col("all")).alias("spans"),
         text(F.filter("all", lambda s: s["kind"] != mixed)).alias("base"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return table.select("rid", "doc_id", "digest").join(per_doc, "rid", "left").select(
         "doc_id", *(zero(f"n_{k}") for k in BASE),
         F.sha2(F.coalesce("base", F.lit("")).cast("binary"), 256).alias("base_sha256"),
-        F.coalesce("spans", F.lit("")).alias("spans"), zero("n_live"), zero("n_copied"), "digest")
+        F.coalesce("spans", F.lit("")).alias("spans"), zero("n_live"), zero("n_copied"),
+        zero("n_copied_owners"), zero("n_copied_repos"), "digest")
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",

@@ -62,6 +62,18 @@ def test_copied_values_are_not_live(spark):
     assert {r.spans for r in secret_scan.secret_report(table(spark, one_owner)).collect()} == {"mixed:2:24"}
 
 
+def test_copied_values_by_owners_and_repositories(spark):
+    hot, pair = "Zx9aB8cD7eF6gH5iJ4kL3m", "Qw1eR2tY3uI4oP5aS6dF7g"
+    data = [(i, f"x {hot} y", None, "s", 1) for i in range(12)]  # one owner, many repositories
+    data += [(100 + i, f"x {pair} y", None, f"s{i}", 1) for i in range(2)]  # one copy under a second owner
+    got = {r.doc_id: r for r in secret_scan.secret_report(table(spark, data)).collect()}
+    assert {got[i].spans for i in range(12)} == {""}
+    assert {got[100 + i].spans for i in range(2)} == {"mixed:2:24"}
+    base = [(i, f"password={hot}", None, "s", 1) for i in range(12)]
+    got = secret_scan.secret_report(table(spark, base)).collect()
+    assert {(r.n_copied, r.n_copied_owners, r.n_copied_repos, r.n_live) for r in got} == {(1, 0, 1, 0)}
+
+
 def _brute_viterbi(codec_table, word):
     best = [(0.0, [])] + [(-np.inf, [])] * len(word)
     score = {p: (s, i) for i, (p, s, _) in enumerate(codec_table) if s > -np.inf}
