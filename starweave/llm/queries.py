@@ -7,8 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from starweave.llm.align import alignment_report
 from starweave.llm.ann import search
 from starweave.llm.compact_windows import near_duplicate_passages
+from starweave.llm.fim import fim_report
 from starweave.llm.langid import identify
 from starweave.llm.lm import score_documents
 from starweave.llm.minhash import near_duplicates
@@ -17,6 +19,7 @@ from starweave.llm.pieces import encoding_report
 from starweave.llm.quality import STOP_SET, quality_report
 from starweave.llm.secret_scan import secret_report
 from starweave.llm.suffix_dedup import repeated_bytes
+from starweave.llm.warc import archive_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +68,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim_report(table(spark, sf_dir, "documents"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                            public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_report(table(spark, sf_dir, "pages"))
+
+
 _STOPS = ", ".join(f"'{w}'" for w in STOP_SET)
 #: Per document: words in order (w), lines that hold a word (ln) and the base counts.
 QUALITY_SIGNALS_SQL = f"""
@@ -127,12 +143,45 @@ n_report AS (
          d.doc_id = min(q.r) AS kept
   FROM documents d JOIN n_reach q ON q.a = d.doc_id LEFT JOIN n_size z ON z.doc_id = d.doc_id GROUP BY d.doc_id)"""
 
-QUERIES: dict[str, Query] = {"op1_secret_scans": op1_secret_scans, "op2_sentencepiece": op2_sentencepiece,
-                             "op3_minhash": op3_minhash, "op4_nearest_neighbours": op4_nearest_neighbours, "op5_suffix_array": op5_suffix_array, "op6_compact_windows": op6_compact_windows,
-                             "op7_language_id": op7_language_id,
-                             "op8_quality_rules": op8_quality_rules, "op9_lm_scoring": op9_lm_scoring,
-                             "op10_packing": op10_packing}
+FIM_SQL = """
+f_text AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id::VARCHAR) AS d FROM documents),
+f_hash AS (
+  SELECT doc_id, t, length(t)::BIGINT AS n, ('0x' || d[1:8])::BIGINT AS h1, ('0x' || d[9:16])::BIGINT AS h2,
+         ('0x' || d[17:24])::BIGINT AS h3, ('0x' || d[25:32])::BIGINT AS h4 FROM f_text),
+f_cut AS (
+  SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM f_hash),
+f_parts AS (
+  SELECT *, substring(t, 1, lo) AS prefix, substring(t, lo + 1, hi - lo) AS middle, substring(t, hi + 1) AS suffix FROM f_cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN lo END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN hi - lo END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM f_parts"""
+
+#: Base32 of a hexadecimal digest: five of its digits are four of the result.
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || h[{5 * j + 1}:{5 * j + 5}])::BIGINT >> {15 - 5 * k}) & 31)::INT, 1)"
+    for j in range(8) for k in range(4))
+WARC_SQL = f"""
+w_page AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+w_first AS (
+  SELECT page_id, strlen(t)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+         min(page_id) OVER (PARTITION BY t) AS f FROM w_page)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN f = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN f <> page_id THEN f END AS refers_to
+FROM w_first"""
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f for f in (
+        op1_secret_scans, op2_sentencepiece, op3_minhash, op4_nearest_neighbours, op5_suffix_array, op6_compact_windows,
+        op7_language_id, op8_quality_rules, op9_lm_scoring, op10_packing, op11_fill_in_middle, op12_tokenizer_alignment,
+        op13_warc)}
 ORACLE: dict[str, str] = {
     "op3_minhash": f"WITH RECURSIVE {NEAR_DUPLICATES_SQL} SELECT * FROM n_report",
     "op8_quality_rules": f"WITH {QUALITY_SIGNALS_SQL} SELECT * FROM q_report",
+    "op11_fill_in_middle": f"WITH {FIM_SQL}",
+    "op13_warc": f"WITH {WARC_SQL}",
 }
