@@ -48,7 +48,7 @@ from starweave.llm.tokens import _IRREGULAR, PATTERN, _byte_of
 LONG = 1 << 16  # bytes of text beyond which a document is spread over tasks
 STEP = 1 << 14  # bytes of a range of such a document
 FAN = 8  # fragments composed at once
-_ROWS = 512  # texts worked on at a time
+_ROWS = 256  # texts worked on at a time
 _MARK = "▁"
 _SPACE = re.compile(r"\s")
 _CUT_BOTH = re.compile(r"(?<=\S)(?= )")  # both tokenizers cut here
@@ -112,7 +112,7 @@ def finished(x: Fragment) -> str:
 class Pair:
     """Both tokenizers with the bytes of their tokens, and the fragments of frequent words."""
 
-    LIMIT = 300_000  # words kept
+    LIMIT = 100_000  # words kept
 
     def __init__(self, vocabulary: bytes, model: bytes) -> None:
         spec = json.loads(vocabulary)
