@@ -15,6 +15,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from .plans import eventlog
+from .plans.names import with_derived_attributes, with_names
 from .plans.spec import ImportSpec
 from .sources.readers import load_sources
 from .sources.sinks import write_log
@@ -31,6 +32,10 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--recursive", action="store_true", default=None,
                     help="read each location as a folder of files (default for config-named file formats)")
     ap.add_argument("--tiebreak", default="", help="comma-separated columns that complete the event order")
+    ap.add_argument("--prefix", action="append", default=[], metavar="DATASET.KEY=PREFIX",
+                    help="prefix of the columns reached through the edge of a key column; repeatable")
+    ap.add_argument("--alias", action="append", default=[], metavar="DATASET[.KEY].COLUMN=NAME",
+                    help="output name of a dataset's own column, or of one reached through the edge of KEY; repeatable")
     ap.add_argument("--case-table", action="store_true", help="also write the case table")
     ap.add_argument("--partition-by", default="", help="comma-separated event-log partition columns")
     ap.add_argument("--no-check-keys", action="store_true", help="allow duplicate join-target keys (fan-out)")
@@ -43,7 +48,12 @@ def main(argv: list[str] | None = None) -> int:
         doc = json.load(fh)
     paths = dict(p.split("=", 1) for p in args.path)
     tiebreak = tuple(c for c in args.tiebreak.split(",") if c)
-    spec = ImportSpec.from_config(doc, tiebreak=tiebreak, check_keys=not args.no_check_keys)
+    spec = ImportSpec.from_config(doc, tiebreak=tiebreak or None, check_keys=False if args.no_check_keys else None)
+    if args.prefix or args.alias:
+        prefixes = {tuple(k.split(".", 1)): v for k, v in (p.split("=", 1) for p in args.prefix)}
+        named = [(k.split("."), v) for k, v in (a.split("=", 1) for a in args.alias)]
+        spec = with_names(spec, prefixes, {(k[0], k[1] if len(k) > 2 else "", k[-1]): v for k, v in named})
+        spec = with_derived_attributes(spec)
     spark = SparkSession.builder.appName("starweave-import").getOrCreate()
     sources = load_sources(spark, spec, paths, fmt=args.format, recursive=args.recursive)
     out = args.out.rstrip("/")

@@ -14,9 +14,8 @@ events, or many null keys) lands in one shuffle partition of the events side; AQ
 rule splits that partition, which it supports for left outer joins with the skew on the left.
 
 Key check (DEC-2): with ``check_keys`` on, building the star first runs one job over the typed key
-columns of every join target of the spec, whatever ``columns`` asks for: keys tagged by target are
-counted in one aggregate (partial aggregation, then a shuffle of keys only) and a repeated key
-raises. The check is an action of its own, so no filter, join or pruning of the result can remove
+columns of every join target of the spec that has no certificate yet, whatever ``columns`` asks for
+(``operators.certificates``); a repeated key raises. The check is an action of its own, so no filter, join or pruning of the result can remove
 it, and the joins stay exactly as without it, directly on their shuffles, which AQE's skew-join
 rule needs.
 
@@ -34,21 +33,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.types import quote, typed_key
+from ..plans.names import OutputColumn, edge_label, edge_owners, hidden_keys, output_columns
 from ..plans.spec import KIND_CASES, Dataset, ImportSpec, JoinEdge, SpecError
-
-
-@dataclass(frozen=True)
-class OutputColumn:
-    name: str          # name in the star output
-    dataset: str       # dataset it comes from
-    source: str        # column in that dataset
-    via: str = ""      # edge label for lookup columns; "" for events/cases columns
-    export: bool = False
-
-
-def hidden_keys(d: Dataset) -> set[str]:
-    """Columns of ``d`` used as a join source: hidden from its output (P2)."""
-    return {j.source_column for j in d.joins}
+from .certificates import DuplicateKeyError, check_targets  # noqa: F401
 
 
 def project(df: DataFrame, columns: list[str] | tuple[str, ...], hide: set[str] | None = None) -> DataFrame:
@@ -61,80 +48,30 @@ def project(df: DataFrame, columns: list[str] | tuple[str, ...], hide: set[str]
     return df.select(*[F.col(quote(c)) for c in columns if c not in hide])
 
 
-def output_columns(spec: ImportSpec) -> list[OutputColumn]:
-    """The star's output columns, in order: events, cases, lookups per edge, export names."""
-    ev = spec.events
-    cs = spec.cases
-    out: list[OutputColumn] = []
-    out += [OutputColumn(c, ev.name, c) for c in ev.columns if c not in hidden_keys(ev)]
-    if cs is not None:
-        out += [OutputColumn(c, cs.name, c) for c in cs.columns if c not in hidden_keys(cs)]
-    for owner in _edge_owners(spec):
-        for j in owner.joins:
-            target = spec.dataset(j.target_dataset)
-            if target.kind == KIND_CASES:
-                continue
-            out += [OutputColumn(j.prefix + c, target.name, c, via=_edge_label(owner, j))
-                    for c in target.columns]
-    for owner in _edge_owners(spec):
-        for j in owner.joins:
-            if j.export_name:
-                out.append(OutputColumn(j.export_name, owner.name, j.source_column, export=True))
-    names = [c.name for c in out]
-    clash = sorted({n for n in names if names.count(n) > 1})
-    if clash:
-        raise SpecError(
-            f"output names clash: {clash}; give the lookup edge a prefix or the key an export name (DEC-6)"
-        )
-    return out
-
-
 def _check_columns(d: Dataset, schema: dict) -> None:
     missing = [c for c in d.columns if c not in schema]
     if missing:
         raise SpecError(f"{d.name}: columns not in the source: {missing}")
 
 
-def _edge_owners(spec: ImportSpec) -> list[Dataset]:
-    return [spec.events] + ([spec.cases] if spec.cases is not None else [])
-
-
-class DuplicateKeyError(SpecError):
-    """A join target holds a key more than once."""
-
-
 def check_unique_keys(spec: ImportSpec, sources: Mapping[str, DataFrame]) -> None:
     """Raise on a repeated (typed, non-null) key of any join target of ``spec``.
 
-    All targets share one aggregate. The count is a partial aggregate, so even a key repeated in
-    a third of the rows is reduced map-side before the shuffle; one row comes back at most.
+    Targets that hold a certificate are not read again; one job checks all the others
+    (``operators.certificates``).
     """
-    keys: dict[tuple[str, str, str], DataFrame] = {}
-    for owner in _edge_owners(spec):
+    targets: dict[tuple[str, str, str], Column] = {}
+    for owner in edge_owners(spec):
         for j in owner.joins:
             what = (j.target_dataset, j.target_column, j.key_type)
-            if what in keys or j.target_dataset not in sources:
+            if what in targets or j.target_dataset not in sources:
                 continue
-            src = sources[j.target_dataset]
-            schema = {f.name: f.dataType for f in src.schema.fields}
+            schema = {f.name: f.dataType for f in sources[j.target_dataset].schema.fields}
             if j.target_column not in schema:
                 raise SpecError(f"{j.target_dataset} has no column {j.target_column!r}")
-            where = f"{j.target_dataset}.{j.target_column}"
-            key = typed_key(F.col(quote(j.target_column)), schema[j.target_column], j.key_type, where=where)
-            integral = j.key_type == "Integer"
-            keys[what] = src.select(key.alias("k")).filter("k is not null").select(
-                F.lit(where).alias("what"),
-                (F.col("k").cast("bigint") if integral else F.lit(None).cast("bigint")).alias("ki"),
-                (F.lit(None).cast("string") if integral else F.col("k")).alias("ks"))
-    if not keys:
-        return
-    tagged = list(keys.values())
-    every = tagged[0]
-    for more in tagged[1:]:
-        every = every.unionByName(more)
-    repeated = every.groupBy("what", "ki", "ks").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    for row in repeated.limit(1).collect():
-        raise DuplicateKeyError(f"duplicate key in {row.what}: {row.ki if row.ks is None else row.ks}")
+            targets[what] = typed_key(F.col(quote(j.target_column)), schema[j.target_column], j.key_type,
+                                      where=f"{j.target_dataset}.{j.target_column}")
+    check_targets(sources, targets)
 
 
 class _Namer:
@@ -164,10 +101,6 @@ def _source_key(df_schema: dict, owner: Dataset, edge: JoinEdge) -> Column:
                      where=f"{owner.name}.{edge.source_column}")
 
 
-def _edge_label(owner: Dataset, edge: JoinEdge) -> str:
-    return f"{owner.name}.{edge.source_column}->{edge.target_dataset}.{edge.target_column}"
-
-
 def _attach_lookups(base: DataFrame, owner: Dataset, spec: ImportSpec, sources: Mapping[str, DataFrame],
                     keys: dict[JoinEdge, str], out_cols: list[OutputColumn], namer: _Namer,
                     checked: bool) -> DataFrame:
@@ -176,7 +109,7 @@ def _attach_lookups(base: DataFrame, owner: Dataset, spec: ImportSpec, sources:
         target = spec.dataset(j.target_dataset)
         if target.kind == KIND_CASES:
             continue
-        cols = [c for c in out_cols if c.via == _edge_label(owner, j)]
+        cols = [c for c in out_cols if c.via == edge_label(owner, j)]
         if not cols and checked:
             # Keys checked unique: a left join that adds no column cannot change the rows. Catalyst
             # cannot prove the keys unique, so it would keep the join; the builder drops it.
@@ -218,7 +151,7 @@ def split_edge_of(spec: ImportSpec, column: str) -> JoinEdge | None:
     if is_case_side(spec, c):
         return spec.case_edge()
     for j in spec.events.joins:
-        if c.via == _edge_label(spec.events, j):
+        if c.via == edge_label(spec.events, j):
             return j
     return None
 
@@ -242,7 +175,7 @@ def split_parts(spec: ImportSpec, sources: Mapping[str, DataFrame], columns: lis
     if on_cases:
         far_cols = [c for c in out_cols if is_case_side(spec, c)]
     else:
-        far_cols = [c for c in out_cols if c.via == _edge_label(spec.events, edge)]
+        far_cols = [c for c in out_cols if c.via == edge_label(spec.events, edge)]
     near_cols = [c for c in out_cols if c not in far_cols]
     base, ev_keys = _events_select(spec, sources, near_cols, namer)
     if not on_cases and any(is_case_side(spec, c) for c in near_cols):
@@ -268,7 +201,7 @@ def far_parts(spec: ImportSpec, sources: Mapping[str, DataFrame], columns: list[
     if spec.dataset(edge.target_dataset).kind == KIND_CASES:
         far_cols = [c for c in out_cols if is_case_side(spec, c)]
     else:
-        far_cols = [c for c in out_cols if c.via == _edge_label(spec.events, edge)]
+        far_cols = [c for c in out_cols if c.via == edge_label(spec.events, edge)]
     far, far_key = _far_side(spec, sources, edge, far_cols, _Namer(), check)
     return far, far_key, tuple(c.name for c in far_cols)
 

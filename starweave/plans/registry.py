@@ -182,6 +182,29 @@ def shared_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _star_join(spec, sources).select("event_id", "ev_n_name", "cs_n_name")
 
 
+def emitted_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A config document that uses one lookup twice and whose events and cases share a column name."""
+    ev = table(spark, sf_dir, "events").withColumn("ev_nationkey", F.col("user_id") % 25)
+    customer = table(spark, sf_dir, "customer").withColumnRenamed("c_acctbal", "value")
+    nation = {"TargetColumnName": "n_nationkey", "TargetDatasetName": "nation", "JoinKeyType": "Integer"}
+    link = {"SourceColumnName": "user_id", "TargetColumnName": "c_custkey", "TargetDatasetName": "customer",
+            "JoinKeyType": "Integer"}
+    datasets = [
+        {"Kind": 0, "Name": "events", "Columns": [{"Name": c} for c in ("event_id", "ts", "event_type", "value")],
+         "Join": [link, {**nation, "SourceColumnName": "ev_nationkey"}]},
+        {"Kind": 1, "Name": "customer", "Columns": [{"Name": c} for c in ("c_custkey", "value")],
+         "Join": [{**nation, "SourceColumnName": "c_nationkey"}]},
+        {"Kind": 2, "Name": "nation", "Columns": [{"Name": "n_name"}], "Join": None},
+    ]
+    attributes = [{"Name": n, "SourceDataType": t, "ImportType": r, "Level": v} for n, t, r, v in (
+        ("event_id", "Integer", "Other", "Event"), ("ts", "Date", "Start", "Event"), ("event_type", "String", "Activity", "Event"),
+        ("value", "Float", "Other", "Case"), ("c_custkey", "Integer", "Case", "Case"), ("n_name", "String", "Other", "Event"))]
+    spec = ImportSpec.from_config({"inputDataBinding": {
+        "dataSource": {"datasets": datasets}, "miningMetadata": {"ImportConfiguration": {"Attributes": attributes}}}},
+        tiebreak=("event_id",))
+    return eventlog.event_log(spec, {"events": ev, "customer": customer, **tables(spark, sf_dir, "nation")})
+
+
 STAR_COLUMNS = ["l_linenumber", "o_orderkey", "c_mktsegment", "p_type", "s_name", "l_shipdate", "l_extendedprice"]
 
 
@@ -293,6 +316,7 @@ QUERIES: dict[str, Query] = {
     "join_case_lookup": join_case_lookup,
     "join_typed_key": join_typed_key,
     "shared_lookup": shared_lookup,
+    "emitted_config": emitted_config,
     "star_join": star_join,
     "fk_orphans": fk_orphans,
     "pk_duplicates": pk_duplicates,
@@ -387,6 +411,13 @@ ORACLE: dict[str, str] = {
         left join customer c on e.user_id = c.c_custkey
         left join nation nc on c.c_nationkey = nc.n_nationkey
         left join nation ne on e.user_id % 25 = ne.n_nationkey""",
+    "emitted_config": """
+        select e.event_id, e.ts, e.event_type, e.value, c.c_custkey, c.c_acctbal as customer_value, ne.n_name,
+               nc.n_name as c_nationkey_n_name
+        from events e
+        left join customer c on e.user_id = c.c_custkey
+        left join nation nc on c.c_nationkey = nc.n_nationkey
+        left join nation ne on e.user_id % 25 = ne.n_nationkey""",
     "star_join": f"""
         select l.l_linenumber, o.o_orderkey, c.c_mktsegment, p.p_type, s.s_name, l.l_shipdate, l.l_extendedprice
         from {_SALES_FROM}""",

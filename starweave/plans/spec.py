@@ -31,6 +31,10 @@ CASE_HANDLING = ("None", "First", "Last")
 # ---------------------------------------------------------------------------
 
 
+# How uses that ask for one output name are told apart (ours, see plans.names).
+NAMINGS = ("strict", "qualify")
+
+
 class SpecError(ValueError):
     """A spec that cannot describe one event log."""
 
@@ -54,8 +58,10 @@ class JoinEdge:
     target_dataset: str
     key_type: str = "Integer"
     export_name: str | None = None
-    # Our extension (DEC-6): prefix for the target's columns when reached through this edge.
+    # Our extension (DEC-6): prefix for the target's columns when reached through this edge, and
+    # (column, output name) pairs that go before it.
     prefix: str = ""
+    aliases: tuple[tuple[str, str], ...] = ()
 
 
 @dataclass(frozen=True)
@@ -65,6 +71,8 @@ class Dataset:
     columns: tuple[str, ...]
     joins: tuple[JoinEdge, ...] = ()
     path: str = ""
+    # Our extension (DEC-6): (column, output name) pairs of the dataset's own columns.
+    aliases: tuple[tuple[str, str], ...] = ()
 
 
 @dataclass(frozen=True)
@@ -112,6 +120,8 @@ class ImportSpec:
     check_keys: bool = True
     # Source format named by the config document ("csv", "parquet", "table"), if any.
     source_format: str | None = None
+    # Two uses of one column name: "strict" rejects them, "qualify" renames the later one (plans.names).
+    naming: str = "strict"
 
     # -- lookups -------------------------------------------------------------
     @property
@@ -161,6 +171,8 @@ class ImportSpec:
 
     # -- validation ----------------------------------------------------------
     def validate(self, require_roles: bool = True) -> "ImportSpec":
+        if self.naming not in NAMINGS:
+            raise SpecError(f"naming must be one of {NAMINGS}")
         names = [d.name for d in self.datasets]
         dupes = sorted({n for n in names if names.count(n) > 1})
         if dupes:
@@ -227,8 +239,16 @@ class ImportSpec:
     # -- JSON config ---------------------------------------------------------
     @classmethod
     def from_config(cls, config: str | dict[str, Any], paths: dict[str, str] | None = None,
-                    tiebreak: tuple[str, ...] = (), check_keys: bool = True) -> "ImportSpec":
-        """Read an import config document; ``paths`` overrides dataset paths by name."""
+                    tiebreak: tuple[str, ...] | None = None, check_keys: bool | None = None,
+                    naming: str | None = None) -> "ImportSpec":
+        """Read an import config document; ``paths`` overrides dataset paths by name.
+
+        ``tiebreak``, ``check_keys`` and ``naming`` default to the document's ``importOptions`` (ours,
+        written by ``to_config``), else to none, on and ``"qualify"``: a document names a dataset once
+        however often it is used, so later uses of a column get names of their own.
+        """
+        from .names import with_derived_attributes
+
         doc = json.loads(config) if isinstance(config, str) else config
         binding = doc.get("inputDataBinding", doc)
         source = binding.get("dataSource", {})
@@ -238,7 +258,7 @@ class ImportSpec:
         paths = paths or {}
         datasets = []
         for raw in raw_sets:
-            joins = tuple(
+            joins = tuple(dict.fromkeys(
                 JoinEdge(
                     source_column=j["SourceColumnName"],
                     target_column=j["TargetColumnName"],
@@ -246,9 +266,10 @@ class ImportSpec:
                     key_type=j.get("JoinKeyType", "Integer"),
                     export_name=j.get("ExportName") or None,
                     prefix=j.get("Prefix", ""),
+                    aliases=tuple((j.get("Aliases") or {}).items()),
                 )
                 for j in (raw.get("Join") or [])
-            )
+            ))
             name = raw["Name"]
             datasets.append(Dataset(
                 name=name,
@@ -256,6 +277,7 @@ class ImportSpec:
                 columns=tuple(c["Name"] for c in (raw.get("Columns") or [])),
                 joins=joins,
                 path=paths.get(name, raw.get("Path", "")),
+                aliases=tuple((c["Name"], c["Alias"]) for c in (raw.get("Columns") or []) if c.get("Alias")),
             ))
         meta = binding.get("miningMetadata", {}).get("ImportConfiguration", {})
         attributes = tuple(
@@ -279,7 +301,12 @@ class ImportSpec:
         if code is not None and int(code) not in FILE_TYPES:
             raise SpecError(f"unknown dataSourceFileType {code!r}")
         fmt = FILE_TYPES[int(code)] if code is not None else None
-        return cls(tuple(datasets), attributes, tuple(tiebreak), check_keys, fmt).validate()
+        options = binding.get("importOptions", {})
+        tiebreak = options.get("Tiebreak", ()) if tiebreak is None else tiebreak
+        check_keys = bool(options.get("CheckKeys", True)) if check_keys is None else check_keys
+        naming = options.get("Naming", "qualify") if naming is None else naming
+        spec = cls(tuple(datasets), attributes, tuple(tiebreak), check_keys, fmt, naming).validate()
+        return with_derived_attributes(spec) if naming == "qualify" else spec
 
     def to_config(self) -> dict[str, Any]:
         """The datasets and attributes as a config document (round-trips with ``from_config``)."""
@@ -294,10 +321,17 @@ class ImportSpec:
                 out["ExportName"] = j.export_name
             if j.prefix:
                 out["Prefix"] = j.prefix
+            if j.aliases:
+                out["Aliases"] = dict(j.aliases)
             return out
 
+        def column(d: Dataset, c: str) -> dict[str, Any]:
+            alias = dict(d.aliases).get(c)
+            return {"Name": c, "Alias": alias} if alias else {"Name": c}
+
         return {
             "inputDataBinding": {
+                "importOptions": {"Tiebreak": list(self.tiebreak), "CheckKeys": self.check_keys, "Naming": self.naming},
                 "dataSource": {
                     "dataSourceSchemaType": 1,
                     **({"dataSourceFileType": {v: k for k, v in FILE_TYPES.items()}[self.source_format]}
@@ -307,7 +341,7 @@ class ImportSpec:
                             "Kind": d.kind,
                             "Name": d.name,
                             "Path": d.path,
-                            "Columns": [{"Name": c} for c in d.columns],
+                            "Columns": [column(d, c) for c in d.columns],
                             "Join": [edge(j) for j in d.joins] or None,
                         }
                         for d in self.datasets
@@ -348,8 +382,8 @@ def lookup(name: str, columns: list[str] | tuple[str, ...], path: str = "") -> D
 
 
 def edge(source: str, target_dataset: str, target: str, key_type: str = "Integer",
-         export_name: str | None = None, prefix: str = "") -> JoinEdge:
-    return JoinEdge(source, target, target_dataset, key_type, export_name, prefix)
+         export_name: str | None = None, prefix: str = "", aliases: dict[str, str] | None = None) -> JoinEdge:
+    return JoinEdge(source, target, target_dataset, key_type, export_name, prefix, tuple((aliases or {}).items()))
 
 
 def attr(name: str, source_data_type: str = "String", import_type: str = "Other", level: str = "Event",
