@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.types import quote
+from ..session import scratch_path
 
 
 def durations(log: DataFrame, case: str, start: str, end: str | None = None) -> DataFrame:
@@ -41,61 +41,61 @@ def summarize(log: DataFrame, key: str, case: str, name: str | None = None) -> D
     )
 
 
-def _line(column: str, dtype: T.DataType) -> Column | None:
-    """The column as a double that rises (weakly) with it; None for types without such a line."""
-    c = F.col(quote(column))
-    if isinstance(dtype, T.TimestampNTZType):
-        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c).cast("double")
-    if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(c).cast("double")
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(dtype, T.NumericType):
-        return c.cast("double")
-    return None
-
-
 def event_order(log: DataFrame, case: str, order: Sequence[str], name: str = "n",
                 rows_per_slice: int = 100_000) -> DataFrame:
     """Position of each event inside its case, 1-based, in DEC-3 order (M2).
 
-    ``row_number() over (partition by case order by ...)`` would hand a whole case to one task.
-    Cases of more than ``rows_per_slice`` events are therefore cut into slices of equal width
-    along their leading order column: a row's slice is a function of the row and of its case's
-    count, minimum and maximum, never of how rows were shuffled. Rows are numbered inside their
-    slice, and each slice starts after the rows of the case's earlier slices. Counts come from
-    partial aggregates over narrow rows; events are shuffled once, by (case, slice).
-
-    Only numbers, dates and timestamps can be cut; other leading columns, and the events of one
-    case that share one leading value, stay in one slice. The order must be total within a case
-    (give tiebreak columns); with ties the numbering of tied rows is arbitrary, as with
-    ``row_number``.
+    ``row_number() over (partition by case order by ...)`` hands a whole case to one task. That is what
+    happens to cases of up to ``rows_per_slice`` events. Longer ones are found first, by a count over
+    narrow rows (an action when the order is built), and cut by rank: their events are dealt by range of
+    (case, order columns), whose boundaries Spark takes from a sample of the rows themselves. So slices
+    are even whatever the values are: an outlier moves no boundary, and events that share a leading
+    value are cut on the next order columns. Each slice is sorted and numbered, and written once in the
+    shared scratch folder, which fixes slices and numbers for all that follows; a slice's events start
+    after the case's events in earlier slices, known from one row per (slice, case).
+
+    Columns of any type that can be sorted can lead the order, nulls first. The order must be total
+    within a case (give tiebreak columns); with ties the numbering of tied rows is arbitrary, as with
+    ``row_number``, and only rows that tie in all of it stay in one slice.
     """
     if not order:
         raise ValueError("event_order needs order columns")
     by = [F.col(quote(c)) for c in order]
-    line = _line(order[0], log.schema[order[0]].dataType)
+    columns = [F.col(quote(c)) for c in log.columns]
     # A struct is never null and equal to itself, so events without a case are one case.
-    log_columns = [F.col(quote(c)) for c in log.columns]
-    rows = log.select(*log_columns, F.struct(F.col(quote(case)).alias("c")).alias("__case"))
-    if line is None:
-        number = F.row_number().over(Window.partitionBy("__case").orderBy(*by))
-        return rows.select(*log_columns, number.cast("bigint").alias(name))
-    finite = F.when(~F.isnan(line) & (F.abs(line) < float("inf")), line)
-    long_cases = (rows.select("__case", finite.alias("__x")).groupBy("__case")
-                  .agg(F.count(F.lit(1)).alias("__size"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
-                  .filter(F.col("__size") > rows_per_slice))
-    rows = rows.join(long_cases, "__case", "left")
-    cuts = F.ceil(F.col("__size") / rows_per_slice)
-    place = F.floor((line - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * cuts)
-    # Nulls sort first, NaN last; infinities lie beyond the finite ends.
-    slot = (F.when(F.col("__size").isNull(), F.lit(0)).when(line.isNull(), F.lit(-2))
-            .when(F.isnan(line) | (line == float("inf")), cuts + 1).when(line == float("-inf"), F.lit(-1))
-            .when(F.col("__hi") > F.col("__lo"), F.least(place, cuts)).otherwise(F.lit(0)))
-    rows = rows.select(*log_columns, "__case", slot.cast("bigint").alias("__slice"))
-    sizes = rows.groupBy("__case", "__slice").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("__case").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("__case", "__slice", F.sum("__n").over(before).alias("__before")).filter("__before > 0")
-    inside = Window.partitionBy("__case", "__slice").orderBy(*by)
-    numbered = rows.withColumn("__r", F.row_number().over(inside)).join(starts, ["__case", "__slice"], "left")
-    return numbered.select(*log_columns, (F.col("__r") + F.coalesce("__before", F.lit(0))).cast("bigint").alias(name))
+    rows = log.select(*columns, F.struct(F.col(quote(case)).alias("c")).alias("__case"))
+    position = F.row_number().over(Window.partitionBy("__case").orderBy(*by)).cast("bigint")
+    spark = log.sparkSession
+    sizes = rows.groupBy("__case").agg(F.count(F.lit(1)).alias("__size")).filter(F.col("__size") > rows_per_slice)
+    total = sizes.agg(F.sum("__size")).first()[0]
+    if total is None:
+        return rows.select(*columns, position.alias(name))
+    path = scratch_path(spark, "long-cases")
+    sizes.write.parquet(path)
+    # Cases of more than ``rows_per_slice`` events: as many rows as the log has slices, at most.
+    long_cases = spark.read.schema(sizes.schema).parquet(path).select("__case")
+    slices = slice_rows(rows.join(long_cases, "__case", "left_semi"), by, int(total), rows_per_slice)
+    # The number in the file order is the slice in the upper bits and the place in it in the lower ones.
+    firsts = slices.groupBy("__slice", "__case").agg(F.min("__place").alias("__first"), F.count(F.lit(1)).alias("__rows"))
+    earlier = Window.partitionBy("__case").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = firsts.select("__slice", "__case", (F.coalesce(F.sum("__rows").over(earlier), F.lit(0)) - F.col("__first") + 1)
+                           .alias("__shift"))
+    numbered = slices.join(starts, ["__slice", "__case"]).select(*columns, (F.col("__place") + F.col("__shift")).alias(name))
+    short = rows.join(long_cases, "__case", "left_anti").select(*columns, position.alias(name))
+    return short.unionByName(numbered)
+
+
+def slice_rows(rows: DataFrame, by: Sequence[Column], total: int, rows_per_slice: int) -> DataFrame:
+    """The rows of long cases with ``__slice`` and ``__place``: ranges of (case, order), sorted, written once.
+
+    Ranges come from a sample, so they are cut for three quarters of ``rows_per_slice``.
+    """
+    spark = rows.sparkSession
+    count = max(2, -(-4 * total // (3 * rows_per_slice)))
+    placed = rows.repartitionByRange(count, "__case", *by).sortWithinPartitions("__case", *by) \
+        .select("*", F.monotonically_increasing_id().alias("__id"))
+    out = placed.select(*[c for c in placed.columns if c != "__id"], F.shiftright("__id", 33).cast("int").alias("__slice"),
+                        F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)).alias("__place"))
+    path = scratch_path(spark, "slices")
+    out.write.parquet(path)
+    return spark.read.schema(out.schema).parquet(path)

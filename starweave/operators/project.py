@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.types import ATTRIBUTE_SPARK_TYPE, default_literal, quote, to_attribute_type
 from ..plans.spec import Attribute, Roles, SpecError
+from .audit import count_values
 
 # Canonical role column names of an event log.
 ROLE_COLUMNS = (("case", "case_id"), ("activity", "activity"), ("start", "start_ts"),
@@ -71,19 +72,16 @@ def display_columns(log: DataFrame) -> list[str]:
     return [f.name for f in log.schema.fields if f.metadata.get("display")]
 
 
-def display_attributes(log: DataFrame, exact: bool = True) -> DataFrame:
-    """One row per display attribute with its number of distinct values.
+def display_attributes(log: DataFrame) -> DataFrame:
+    """One row per display attribute with its number of distinct values, exact.
 
-    Columns: ``attribute``, ``distinct_values``. One aggregation pass for all flagged columns.
+    Columns: ``attribute``, ``distinct_values``. ``eventlog.display_summary`` gives the same from a spec
+    without joining the events.
     """
     names = display_columns(log)
     if not names:
         return log.sparkSession.createDataFrame([], "attribute string, distinct_values bigint")
-    count = F.count_distinct if exact else F.approx_count_distinct
-    one = log.agg(*[count(F.col(quote(n))).alias(f"__d{i}") for i, n in enumerate(names)])
-    rows = [F.struct(F.lit(n).alias("attribute"), F.col(f"__d{i}").cast("bigint").alias("distinct_values"))
-            for i, n in enumerate(names)]
-    return one.select(F.inline(F.array(*rows)))
+    return count_values(log, names).select(F.col("column_name").alias("attribute"), F.col("n_distinct").alias("distinct_values"))
 
 
 def role_projection(log: DataFrame, roles: Roles, keep: Sequence[str] = ()) -> DataFrame:

@@ -15,10 +15,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.types import MONEY, quote
+from ..functions.types import MONEY, quote, type_family
+from ..operators.audit import count_values
 from ..operators.cases import attach_case_values, finance_totals
 from ..operators.project import apply_attributes, excluded_columns
 from ..operators.star import output_columns, split_edge_of, split_parts, star_join
+from ..session import scratch_path
 from .spec import ImportSpec, JoinEdge, SpecError
 
 
@@ -197,9 +199,8 @@ def finish_group(spec: ImportSpec, plan: GroupPlan, per_key: DataFrame, far_df:
     joined = per_key.join(far_df, per_key["__key"] == far_df[far_key], "left")
     # One row per key now: far-side values are constant per key. Pair them with the key's
     # partials, then merge the keys of each group; keys without a match all have a null group.
-    merges, far_post = _far_merges(partials, plan.rules, plan.mins, plan.maxs, plan.sums, far, plan.order,
-                                   near_order)
-    merged = joined.groupBy(F.col(quote(plan.group))).agg(*merges)
+    steps, far_post = _far_steps(partials, plan.rules, plan.mins, plan.maxs, plan.sums, far, plan.order, near_order)
+    merged = joined.groupBy(F.col(quote(plan.group))).agg(*[fn(e).alias(n) for n, fn, e in steps])
     exprs = dict(post + far_post)
     return merged.select(F.col(quote(plan.group)), *[exprs[n].alias(n) for n in plan.names()])
 
@@ -211,8 +212,9 @@ def case_values_on_events(spec: ImportSpec, sources: Mapping[str, DataFrame],
 
     When the case comes from the cases dataset, the values are keyed by the events' own link
     key: each key gets its case's merged values (a key with no case gets the null-case group's,
-    DEC-14), and the events join them on that key. The events are shuffled once, for that
-    join, and never joined to the cases table themselves; a hot case is one hot key there,
+    DEC-14), and the events join them on that key. The events are read twice: reduced to one row per
+    key, which is written once (an action when this is built), and as rows. They are shuffled once, for
+    the join, and never joined to the cases table themselves; a hot case is one hot key there,
     which AQE's skew-join rule splits. Without a cases dataset the values are joined back on
     the case column.
     """
@@ -225,24 +227,86 @@ def case_values_on_events(spec: ImportSpec, sources: Mapping[str, DataFrame],
     parts = split_parts(spec, sources, plan.needed, plan.edge, check_keys)
     far = set(parts.far_columns)
     per_key = key_partials(spec, plan, parts.near, parts.near_key, parts.far_columns)
-    joined = per_key.join(_typed(spec, parts.far), per_key["__key"] == F.col(parts.far_key), "left")
+    # First reading of the events, reduced to one row per link key, kept for the two uses below.
+    joined = written(per_key.join(_typed(spec, parts.far), per_key["__key"] == F.col(parts.far_key), "left").drop(parts.far_key),
+                     "case-values")
     near_order = [c for c in plan.order if c not in far]
     partials, post = _reductions(near_order, plan.rules, plan.mins, plan.maxs, plan.sums, None, far)
-    merges, far_post = _far_merges(partials, plan.rules, plan.mins, plan.maxs, plan.sums, far, plan.order,
-                                   near_order)
+    steps, far_post = _far_steps(partials, plan.rules, plan.mins, plan.maxs, plan.sums, far, plan.order, near_order)
     exprs = dict(post + far_post)
-    values = joined.groupBy(F.col(quote(case)).alias("__case")).agg(*merges).select(
-        "__case", *[exprs[n].alias(n) for n in rules])
-    key_map = joined.select("__key", F.col(quote(case)).alias("__kcase"))
-    by_key = key_map.join(values, key_map["__kcase"].eqNullSafe(values["__case"]), "left").select(
-        "__key", F.col("__kcase").alias("__c"), *[F.col(quote(r)) for r in rules])
+    merges = [fn(e).alias(n) for n, fn, e in steps]
+    picked = [exprs[n].alias(n) for n in rules]
+    names = [F.col(quote(r)) for r in rules]
+    own = F.col(quote(case))
+    if _keys_are_cases(spec, sources, case, check_keys):
+        # Each matched key is a case of its own; only the keys without a case form one group.
+        single = joined.filter(own.isNotNull()).select("__key", own.alias("__c"), *[e.alias(n) for n, _, e in steps]) \
+            .select("__key", "__c", *picked)
+        nobody = joined.filter(own.isNull())
+        group = nobody.agg(*merges).select(F.lit(1).alias("__one"), *picked)
+        nobody = nobody.select("__key", own.alias("__c"), F.lit(1).alias("__one")).join(group, "__one")
+        by_key = single.unionByName(nobody.drop("__one"))
+    else:
+        values = joined.groupBy(own.alias("__case")).agg(*merges).select("__case", *picked)
+        key_map = joined.select("__key", own.alias("__c"))
+        by_key = key_map.join(values, key_map["__c"].eqNullSafe(values["__case"]), "left").select("__key", "__c", *names)
     event_cols = [c for c in columns if c != case]
     side = split_parts(spec, sources, event_cols + [case], plan.edge, check_keys=False)
     link = side.near_key
     events = _typed(spec, side.near.select(*[F.col(quote(c)) for c in event_cols], link))
     out = events.join(by_key, events[link].eqNullSafe(by_key["__key"]), "left")
     picks = [F.col("__c").alias(case) if c == case else F.col(quote(c)) for c in columns]
-    return out.select(*picks, *[F.col(quote(r)) for r in rules])
+    return out.select(*picks, *names)
+
+
+def _keys_are_cases(spec: ImportSpec, sources: Mapping[str, DataFrame], case: str, check_keys: bool | None) -> bool:
+    """Whether the case column is the checked link key itself, in a type that keeps different keys apart."""
+    link = spec.case_edge()
+    column = next(c for c in output_columns(spec) if c.name == case)
+    if not (spec.check_keys if check_keys is None else check_keys) or column.source != link.target_column or column.export:
+        return False
+    attribute = spec.attribute(case)
+    kind = sources[column.dataset].schema[column.source].dataType
+    family = type_family(kind)
+    return family in ("int", "string") and (attribute is None or attribute.source_data_type in (
+        ("Integer", "String") if family == "int" else ("String",))) and not (attribute is not None and attribute.default_value)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the shared scratch folder: computed once, whatever is built on it."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def display_summary(spec: ImportSpec, sources: Mapping[str, DataFrame], check_keys: bool | None = None) -> DataFrame:
+    """``attribute, distinct_values`` of every display attribute (P8), as over the event log but without joining it.
+
+    The events' own attributes are counted where they are. Those that an edge of the events leads to are
+    counted over the distinct keys of that edge, joined to its far side (the cases with their lookups, or
+    one lookup): an event row never meets a join.
+    """
+    spec.validate(require_roles=False)
+    known = {c.name for c in output_columns(spec)}
+    flagged = [a.name for a in spec.attributes if a.is_display and a.name in known]
+    by_edge: dict[JoinEdge | None, list[str]] = {}
+    for name in flagged:
+        by_edge.setdefault(split_edge_of(spec, name), []).append(name)
+    out = []
+    for edge, names in by_edge.items():
+        if edge is None:
+            out.append(count_values(attributed(spec, sources, check_keys, names), names))
+            continue
+        parts = split_parts(spec, sources, names, edge, check_keys)
+        keys = parts.near.select(F.col(parts.near_key).alias("__key")).distinct()
+        reached = keys.join(parts.far, keys["__key"] == parts.far[parts.far_key], "left")
+        out.append(count_values(_typed(spec, reached.select(*[F.col(quote(n)) for n in names])), names))
+    if not out:
+        return next(iter(sources.values())).sparkSession.createDataFrame([], "attribute string, distinct_values bigint")
+    every, *more = out
+    for df in more:
+        every = every.unionByName(df)
+    return every.select(F.col("column_name").alias("attribute"), F.col("n_distinct").alias("distinct_values"))
 
 
 def summary(spec: ImportSpec, sources: Mapping[str, DataFrame], key: str, name: str | None = None,
@@ -290,7 +354,7 @@ def _pack(order: list[str], values: list[str]) -> Column:
 def _reductions(order: list[str], rules: dict, mins: dict, maxs: dict, sums: dict, count: str | None,
                 far: set[str]) -> tuple[list[tuple[str, Column]], list[tuple[str, Column]]]:
     """Decomposable aggregates ``(name, expression)`` over near-side columns, and the output
-    expressions over them. Far-side columns are left to ``_far_merges``."""
+    expressions over them. Far-side columns are left to ``_far_steps``."""
     aggs: list[tuple[str, Column]] = [("__n", F.count(F.lit(1)))]
     post: list[tuple[str, Column]] = []
     if count:
@@ -320,24 +384,24 @@ def _reductions(order: list[str], rules: dict, mins: dict, maxs: dict, sums: dic
     return aggs, post
 
 
-def _far_merges(partials: list[tuple[str, Column]], rules: dict, mins: dict, maxs: dict, sums: dict,
+def _far_steps(partials: list[tuple[str, Column]], rules: dict, mins: dict, maxs: dict, sums: dict,
                 far: set[str], order: list[str], near_order: list[str]
-                ) -> tuple[list[Column], list[tuple[str, Column]]]:
+                ) -> tuple[list[tuple], list[tuple[str, Column]]]:
     """Merge per-key partials per group, folding in far-side values (constant per key).
 
     First/Last: each key's first (last) event is repacked with the *full* order, far-side order
     columns included, followed by its near-side and far-side values; the merge takes the min
-    (max) of those, so keys that share a group are compared in the complete order. Returns the
-    merge aggregates and the output expressions of the far-side columns.
+    (max) of those, so keys that share a group are compared in the complete order. Returns
+    (name, aggregate, what it merges) and the output expressions of the far-side columns.
     """
     def values(last: bool, on_far: bool) -> list[str]:
         return [c for c, how in rules.values() if (c in far) == on_far and (how == "Last") == last]
 
-    merges: list[Column] = []
+    merges: list[tuple] = []
     post: list[tuple[str, Column]] = []
     for name, _ in partials:
         if name not in ("__first", "__last"):
-            merges.append(_merge(name))
+            merges.append((name, _merge_of(name), F.col(name)))
             continue
         last = name == "__last"
         fields = [(F.col(quote(c)) if c in far else F.col(name)[f"o{near_order.index(c)}"]).alias(f"o{i}")
@@ -345,11 +409,11 @@ def _far_merges(partials: list[tuple[str, Column]], rules: dict, mins: dict, max
         fields += [F.col(name)[f"v{i}"].alias(f"v{i}") for i in range(len(values(last, False)))]
         fields += [F.col(quote(c)).alias(f"x{i}") for i, c in enumerate(values(last, True))]
         packed = F.struct(*(fields or [F.lit(0).alias("o0")]))
-        merges.append((F.max(packed) if last else F.min(packed)).alias(name))
+        merges.append((name, F.max if last else F.min, packed))
     for label, spec_map, fn in (("__fmin", mins, F.min), ("__fmax", maxs, F.max)):
         for i, (out, col) in enumerate(spec_map.items()):
             if col in far:
-                merges.append(fn(F.col(quote(col))).alias(f"{label}{i}"))
+                merges.append((f"{label}{i}", fn, F.col(quote(col))))
                 post.append((out, F.col(f"{label}{i}")))
     for out, (col, how) in rules.items():
         if col in far:
@@ -358,19 +422,20 @@ def _far_merges(partials: list[tuple[str, Column]], rules: dict, mins: dict, max
     for i, (out, col) in enumerate(sums.items()):
         if col in far:
             weighted = F.col(quote(col)).try_cast(MONEY) * F.col("__n").cast("decimal(12,0)")
-            merges.append(F.sum(weighted).alias(f"__fsum{i}"))
+            merges.append((f"__fsum{i}", F.sum, weighted))
             post.append((out, F.col(f"__fsum{i}").cast("double")))
     return merges, post
 
 
-def _merge(name: str) -> Column:
+def _merge_of(name: str):
     """How per-key partial results combine into one group."""
-    c = F.col(name)
     if name == "__n" or name.startswith("__sum"):
-        return F.sum(c).alias(name)
-    if name.startswith(("__min", "__first")):
-        return F.min(c).alias(name)
-    return F.max(c).alias(name)
+        return F.sum
+    return F.min if name.startswith(("__min", "__first")) else F.max
+
+
+def _merge(name: str) -> Column:
+    return _merge_of(name)(F.col(name)).alias(name)
 
 
 def finance(spec: ImportSpec, sources: Mapping[str, DataFrame], attribute: str,

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.types import cast_attributes as _cast_attributes, normalize_types as _normalize_types
 from ..operators import audit, cases, measures
-from ..operators.project import display_attributes as _display_attributes, role_projection as _role_projection
+from ..operators.project import role_projection as _role_projection
 from ..operators.star import hidden_keys, project, star_join as _star_join
 from ..session import scratch_path
 from ..sources.readers import read_dataset
@@ -124,7 +124,7 @@ def display_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
              is_display=a.name in flagged)
         for a in base.attributes
     ])
-    return _display_attributes(eventlog.event_log(spec, clicks_sources(spark, sf_dir)))
+    return eventlog.display_summary(spec, clicks_sources(spark, sf_dir))
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,6 +278,12 @@ def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measures.add_seconds(per_case, "first_start", "last_end")
 
 
+def event_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = eventlog.event_log(sales_spec(), sales_sources(spark, sf_dir),
+                             columns=["o_orderkey", "l_linenumber", "l_partkey", "o_orderdate", "l_shipdate"])
+    return measures.event_durations(log, "o_orderdate", "l_shipdate")
+
+
 def event_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = clicks_flat_spec()
     log = eventlog.event_log(spec, tables(spark, sf_dir, "events"))
@@ -331,6 +337,7 @@ QUERIES: dict[str, Query] = {
     "finance_per_case": finance_per_case,
     "finance_per_resource": finance_per_resource,
     "durations": durations,
+    "event_durations": event_durations,
     "event_order": event_order,
     "activity_summary": activity_summary,
     "resource_summary": resource_summary,
@@ -498,6 +505,10 @@ ORACLE: dict[str, str] = {
         select o.o_orderkey, count(*) as n_events, min(o.o_orderdate) as first_start, max(l.l_shipdate) as last_end,
                date_diff('second', min(o.o_orderdate), max(l.l_shipdate)) as seconds
         from {_SALES_FROM} group by o.o_orderkey""",
+    "event_durations": """
+        select l.l_linenumber::bigint as l_linenumber, l.l_shipdate, o.o_orderkey, o.o_orderdate, l.l_partkey,
+               date_diff('second', o.o_orderdate, l.l_shipdate) as seconds
+        from lineitem l left join orders o on l.l_orderkey = o.o_orderkey""",
     "event_order": """
         select * exclude (props), row_number() over (partition by user_id order by ts, event_id) as n
         from events""",

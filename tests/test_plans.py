@@ -3,6 +3,8 @@
 import re
 
 from conftest import SF01
+from pyspark.sql import functions as F
+from starweave.operators.measures import event_order
 from starweave.plans.registry import QUERIES
 
 
@@ -37,15 +39,18 @@ def test_case_first_aggregates_before_the_cases_join(spark):
 
 
 def test_event_order_shuffles_events_once(spark):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        text = plan(QUERIES["event_order"](spark, SF01))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "rangepartitioning" not in text
-    # Rows are numbered inside (case, slice), never inside a whole case.
-    windows = [w for w in re.findall(r"Window \[[^\n]*", text) if "row_number" in w]
-    assert windows and all("__case" in w and "__slice" in w for w in windows)
+    text = plan(QUERIES["event_order"](spark, SF01))
+    # No case of that table is long: one window over the case, one shuffle of the events.
+    assert text.count("FileScan") == 1 and text.count("Exchange") == 1
+
+
+def test_long_cases_are_numbered_without_a_window_over_them(spark):
+    log = spark.range(3000).select((F.col("id") % 3 == 0).alias("c"), F.col("id").alias("t"))
+    text = plan(event_order(log, "c", ["t"], rows_per_slice=500))
+    # Only cases that are not long go through a window over the case; the others were written in slices.
+    assert "ReadSchema: struct<__case:struct<c:boolean>,__slice:int,__place:bigint>" in text and "LeftAnti" in text
+    numbering = [w for w in re.findall(r"Window \[[^\n]*", text) if "row_number" in w]
+    assert len(numbering) == 1
 
 
 def test_audits_preaggregate_keys_before_anti_join(spark):
@@ -94,3 +99,33 @@ def test_case_values_on_events_shuffles_events_once(spark):
     assert "hashpartitioning(coalesce(" in lines[exchange]
     assert not any("Join" in l for l in lines[exchange:scan])
     assert "Window" not in "\n".join(lines)
+
+
+def test_counts_of_distinct_values_do_not_expand_rows(spark):
+    for name in ("profile_columns", "display_attributes"):
+        text = plan(QUERIES[name](spark, SF01))
+        assert "Expand" not in text and "partial_count" in text
+
+
+def test_display_counts_join_keys_not_events(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = plan(QUERIES["display_attributes"](spark, SF01)).splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Between a join and an events scan below it, the events are reduced to their distinct keys.
+    for scan in (i for i, l in enumerate(lines) if "events.parquet" in l):
+        depth = lines[scan].index("FileScan")
+        above = [l for l in lines[:scan] if len(l) - len(l.lstrip(" :+-")) < depth]
+        last_join = max((i for i, l in enumerate(above) if "Join" in l), default=None)
+        if last_join is not None and "user_id" in lines[scan]:
+            assert any("HashAggregate(keys=" in l for l in above[last_join:])
+
+
+def test_case_values_on_events_read_the_events_twice(spark, monkeypatch):
+    from starweave.plans import eventlog
+
+    written, real = [], eventlog.written
+    monkeypatch.setattr(eventlog, "written", lambda df, label: written.append(plan(df)) or real(df, label))
+    text = plan(QUERIES["case_attributes_on_events"](spark, SF01))
+    assert len(written) == 1 and written[0].count("events.parquet") == 1 and text.count("events.parquet") == 1

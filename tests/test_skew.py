@@ -276,3 +276,36 @@ def test_case_values_on_events_keyed_by_link(spark):
     assert got.columns == want.columns
     assert got.count() == want.count() == ev.count()
     assert got.exceptAll(want).count() == 0
+
+
+def _slices(spark, rows, monkeypatch, rows_per_slice):
+    """Numbers of each row by ``event_order`` and the sizes of the slices that it cut."""
+    from starweave.operators import measures
+
+    seen, real = [], measures.slice_rows
+    monkeypatch.setattr(measures, "slice_rows", lambda *a: seen.append(real(*a)) or seen[-1])
+    got = measures.event_order(rows, "c", ["t", "id"], rows_per_slice=rows_per_slice).cache()
+    want = rows.withColumn("n", F.row_number().over(Window.partitionBy("c").orderBy("t", "id")))
+    assert got.count() == want.count() and got.exceptAll(want.withColumn("n", F.col("n").cast("bigint"))).count() == 0
+    got.unpersist()
+    return [r["count"] for r in seen[0].groupBy("__slice").count().collect()]
+
+
+@pytest.mark.parametrize("shape", ["outlier", "one value", "two thirds one value", "null", "text", "exponential", "small cases too"])
+def test_slices_of_a_long_case_are_even(spark, monkeypatch, shape):
+    n, per = 60_000, 5_000
+    base = spark.range(n).select("id", F.lit(1).alias("c"))
+    t = {"outlier": F.when(F.col("id") == 7, 0).otherwise(1_700_000_000_000_000 + F.col("id") * 37 % 1000),
+         "one value": F.lit(5), "null": F.lit(None).cast("int"), "two thirds one value": F.when(F.col("id") % 3 > 0, 9).otherwise(F.col("id")),
+         "text": F.concat(F.lit("same start of a long text "), (F.col("id") * 7919 % n).cast("string")),
+         "exponential": F.exp(F.col("id") % 700), "small cases too": F.col("id")}[shape]
+    rows = base.withColumn("t", t)
+    if shape == "small cases too":
+        rows = rows.unionByName(spark.range(5_000).select("id", (F.col("id") % 50 + 2).cast("int").alias("c"), F.col("id").alias("t")))
+    sizes = _slices(spark, rows, monkeypatch, per)
+    assert sum(sizes) == n and max(sizes) <= 2 * per and len(sizes) >= n // (2 * per)
+
+
+def test_long_null_case_and_hot_order(spark, monkeypatch):
+    rows = spark.range(30_000).select("id", F.when(F.col("id") % 2 == 0, 3).alias("c"), (F.col("id") % 3).alias("t"))
+    assert max(_slices(spark, rows, monkeypatch, 2_000)) <= 4_000
