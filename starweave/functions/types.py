@@ -6,7 +6,7 @@ so they stay inside whole-stage codegen. Only schema metadata is inspected on th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -146,6 +146,28 @@ def cast_attributes(df: DataFrame, types: dict[str, str]) -> DataFrame:
     return df.select(*out)
 
 
+def cast_losses(df: DataFrame, types: dict[str, str], observation: Observation) -> DataFrame:
+    """``cast_attributes``, while ``observation`` counts the values that each named column loses.
+
+    A value is lost if it is not null and becomes null. The counts are metrics of the rows that pass, so
+    they cost no scan; ``observation.get`` has them, by column name, after the first action on the result.
+    """
+    schema = {f.name: f.dataType for f in df.schema.fields}
+    missing = [name for name in types if name not in schema]
+    if missing:
+        raise ValueError(f"cast_losses: unknown columns {missing}")
+    typed = {n: f"__typed{i}" for i, n in enumerate(types)}
+    both = df.select("*", *[to_attribute_type(F.col(_quote(n)), schema[n], types[n]).alias(t) for n, t in typed.items()])
+    return observed_losses(both, typed, observation).select(
+        *[F.col(_quote(typed.get(n, n))).alias(n) for n in schema])
+
+
+def observed_losses(df: DataFrame, typed: dict[str, str], observation: Observation) -> DataFrame:
+    """``df`` with a metric per raw column: rows where it has a value and its typed column has none."""
+    return df.observe(observation, *[
+        F.count_if(F.col(_quote(n)).isNotNull() & F.col(_quote(t)).isNull()).alias(n) for n, t in typed.items()])
+
+
 def default_literal(value: str, attribute_type: str) -> Column:
     """The default value of an attribute as a typed literal (DEC-7)."""
     target = ATTRIBUTE_SPARK_TYPE[attribute_type]

@@ -62,8 +62,7 @@ def event_order(log: DataFrame, case: str, order: Sequence[str], name: str = "n"
         raise ValueError("event_order needs order columns")
     by = [F.col(quote(c)) for c in order]
     columns = [F.col(quote(c)) for c in log.columns]
-    # A struct is never null and equal to itself, so events without a case are one case.
-    rows = log.select(*columns, F.struct(F.col(quote(case)).alias("c")).alias("__case"))
+    rows = log.select(*columns, F.col(quote(case)).alias("__case"))  # events without a case are one case
     position = F.row_number().over(Window.partitionBy("__case").orderBy(*by)).cast("bigint")
     spark = log.sparkSession
     sizes = rows.groupBy("__case").agg(F.count(F.lit(1)).alias("__size")).filter(F.col("__size") > rows_per_slice)
@@ -73,15 +72,17 @@ def event_order(log: DataFrame, case: str, order: Sequence[str], name: str = "n"
     path = scratch_path(spark, "long-cases")
     sizes.write.parquet(path)
     # Cases of more than ``rows_per_slice`` events: as many rows as the log has slices, at most.
-    long_cases = spark.read.schema(sizes.schema).parquet(path).select("__case")
-    slices = slice_rows(rows.join(long_cases, "__case", "left_semi"), by, int(total), rows_per_slice)
+    long_cases = spark.read.schema(sizes.schema).parquet(path).select(F.col("__case").alias("__long"))
+    is_long = F.col("__case").eqNullSafe(F.col("__long"))
+    slices = slice_rows(rows.join(long_cases, is_long, "left_semi"), by, int(total), rows_per_slice)
     # The number in the file order is the slice in the upper bits and the place in it in the lower ones.
     firsts = slices.groupBy("__slice", "__case").agg(F.min("__place").alias("__first"), F.count(F.lit(1)).alias("__rows"))
     earlier = Window.partitionBy("__case").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = firsts.select("__slice", "__case", (F.coalesce(F.sum("__rows").over(earlier), F.lit(0)) - F.col("__first") + 1)
-                           .alias("__shift"))
-    numbered = slices.join(starts, ["__slice", "__case"]).select(*columns, (F.col("__place") + F.col("__shift")).alias(name))
-    short = rows.join(long_cases, "__case", "left_anti").select(*columns, position.alias(name))
+    starts = firsts.select(F.col("__slice").alias("__s"), F.col("__case").alias("__c"),
+                           (F.coalesce(F.sum("__rows").over(earlier), F.lit(0)) - F.col("__first") + 1).alias("__shift"))
+    here = (F.col("__slice") == F.col("__s")) & F.col("__case").eqNullSafe(F.col("__c"))
+    numbered = slices.join(starts, here).select(*columns, (F.col("__place") + F.col("__shift")).alias(name))
+    short = rows.join(long_cases, is_long, "left_anti").select(*columns, position.alias(name))
     return short.unionByName(numbered)
 
 

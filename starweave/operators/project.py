@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.types import ATTRIBUTE_SPARK_TYPE, default_literal, quote, to_attribute_type
+from ..functions.types import ATTRIBUTE_SPARK_TYPE, default_literal, observed_losses, quote, to_attribute_type
 from ..plans.spec import Attribute, Roles, SpecError
 from .audit import count_values
 
@@ -28,14 +28,15 @@ def _metadata(a: Attribute) -> dict:
 
 
 def apply_attributes(star: DataFrame, attributes: Sequence[Attribute], drop_excluded: bool = True,
-                     metadata: bool = True) -> DataFrame:
+                     metadata: bool = True, losses: Observation | None = None) -> DataFrame:
     """Type, default and flag each attribute column of the star, in one projection.
 
     SourceDataType casts with ``try_cast`` (P5); a non-empty DefaultValue fills nulls (P6,
     DEC-7); the attribute's role, level, rules and display flag ride along as column metadata
     (P8); ``IsExcluded`` columns are dropped last (P7, DEC-8). Columns without an attribute pass
     through unchanged. With ``metadata=False`` (internal uses) the projection is skipped when it
-    would change nothing.
+    would change nothing. ``losses`` counts, per attribute, the values that its type turns into null,
+    before defaults fill them (``functions.types.cast_losses``).
     """
     fields = {f.name: f.dataType for f in star.schema.fields}
     by_name = {a.name: a for a in attributes}
@@ -46,6 +47,11 @@ def apply_attributes(star: DataFrame, attributes: Sequence[Attribute], drop_excl
             (drop_excluded and a.is_excluded) or a.default_value != ""
             or fields[a.name] != ATTRIBUTE_SPARK_TYPE[a.source_data_type] for a in by_name.values()):
         return star
+    typed: dict[str, str] = {}
+    if losses is not None:
+        typed = {n: f"__typed{i}" for i, n in enumerate(by_name)}
+        star = observed_losses(star.select("*", *[
+            to_attribute_type(F.col(quote(n)), fields[n], by_name[n].source_data_type).alias(t) for n, t in typed.items()]), typed, losses)
     out: list[Column] = []
     for name, dtype in fields.items():
         col = F.col(quote(name))
@@ -55,7 +61,7 @@ def apply_attributes(star: DataFrame, attributes: Sequence[Attribute], drop_excl
             continue
         if drop_excluded and a.is_excluded:
             continue
-        col = to_attribute_type(col, dtype, a.source_data_type)
+        col = F.col(typed[name]) if typed else to_attribute_type(col, dtype, a.source_data_type)
         if a.default_value != "":
             fallback = default_literal(a.default_value, a.source_data_type)
             col = F.coalesce(col, fallback.cast(ATTRIBUTE_SPARK_TYPE[a.source_data_type]))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.types import MONEY, quote, type_family
@@ -25,28 +25,30 @@ from .spec import ImportSpec, JoinEdge, SpecError
 
 
 def attributed(spec: ImportSpec, sources: Mapping[str, DataFrame], check_keys: bool | None,
-                columns: list[str] | tuple[str, ...] | None = None) -> DataFrame:
+                columns: list[str] | tuple[str, ...] | None = None, losses: Observation | None = None) -> DataFrame:
     """The star with typed attributes and defaults, excluded attributes still in place."""
     star = star_join(spec, sources, check_keys, columns=columns)
     present = set(star.columns)
     attrs = [a for a in spec.attributes if a.name in present]
-    return apply_attributes(star, attrs, drop_excluded=False)
+    return apply_attributes(star, attrs, drop_excluded=False, losses=losses)
 
 
 def event_log(spec: ImportSpec, sources: Mapping[str, DataFrame], check_keys: bool | None = None,
               require_roles: bool = True, case_attributes_on_events: bool = False,
-              columns: list[str] | tuple[str, ...] | None = None) -> DataFrame:
+              columns: list[str] | tuple[str, ...] | None = None, losses: Observation | None = None) -> DataFrame:
     """One row per event with typed attribute columns (DEC-10).
 
     With ``case_attributes_on_events`` every Case-level attribute carries its case's First or
     Last value on each event (G3) instead of the event's own value. ``columns`` limits the log
     to those names (plus, for G3, the role and order columns) and skips joins they do not need.
+    ``losses`` has, after the first action on the log, the values per attribute that its type turned
+    into null (P4, P5).
     """
     spec.validate(require_roles=require_roles)
     if columns is not None and case_attributes_on_events:
         roles = spec.roles()
         columns = list(dict.fromkeys([*columns, roles.case, *roles.order(), *case_rules(spec)]))
-    log = attributed(spec, sources, check_keys, columns)
+    log = attributed(spec, sources, check_keys, columns, losses)
     if case_attributes_on_events:
         roles = spec.roles()
         rules = {k: v for k, v in case_rules(spec).items() if k in log.columns}

@@ -16,8 +16,9 @@ from ..operators import audit, cases, measures
 from ..operators.project import role_projection as _role_projection
 from ..operators.star import hidden_keys, project, star_join as _star_join
 from ..session import scratch_path
+from ..sources.folders import read_csv_checked
 from ..sources.readers import read_dataset
-from ..sources.sinks import write_log
+from ..sources.sinks import read_clustered_log, write_clustered_log, write_log
 from . import eventlog
 from .spec import ImportSpec, attr, cases as cases_ds, edge, events as events_ds, lookup
 from .stars import (
@@ -65,6 +66,41 @@ def write_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("event_id", "event_type", "c_mktsegment")
 
 
+def clustered_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and last activity and position of every event, from a log that is laid out by case."""
+    spec = clicks_flat_spec()
+    r = spec.roles()
+    path = scratch_path(spark, "clustered_log")
+    write_clustered_log(eventlog.event_log(spec, tables(spark, sf_dir, "events")), path, r.case, r.order(), 16)
+    log = read_clustered_log(spark, path)
+    ordered = measures.event_order(log, r.case, r.order())
+    rules = {"first_type": (r.activity, "First"), "last_type": (r.activity, "Last")}
+    return cases.attach_case_attributes(ordered, r.case, r.order(), rules).select("event_id", "n", *rules)
+
+
+def scan_mixed_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder whose files differ in columns and integer width."""
+    root = scratch_path(spark, "scan_mixed_folder")
+    ev = table(spark, sf_dir, "events")
+    click = F.coalesce(F.col("event_type") == "click", F.lit(False))
+    ev.filter(click).select("event_id", F.col("user_id").cast("int").alias("user_id"), "event_type").write.parquet(f"{root}/a")
+    ev.filter(~click).select("user_id", "event_id", "value").write.parquet(f"{root}/b/c")
+    return read_dataset(spark, root, "parquet", recursive=True)
+
+
+def scan_csv_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a CSV source that do not parse, and the rest, counted."""
+    path = scratch_path(spark, "scan_csv_rejected")
+    orders = table(spark, sf_dir, "orders")
+    # Prices of urgent orders are not numbers in this source.
+    price = F.when(F.col("o_orderpriority") == "1-URGENT", "urgent").otherwise(F.col("o_totalprice").cast("string"))
+    orders.select("o_orderkey", "o_orderstatus", price.alias("o_totalprice")).write.option("header", "true").csv(path)
+    good, bad = read_csv_checked(spark, path, "o_orderkey bigint, o_orderstatus string, o_totalprice double")
+    return good.groupBy(F.lit("accepted").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("lowest")) \
+        .unionByName(bad.groupBy(F.lit("rejected").alias("kind")).agg(
+            F.count(F.lit(1)).alias("n"), F.min(F.split("line", ",")[0].cast("bigint")).alias("lowest")))
+
+
 # ---------------------------------------------------------------- projections and types
 PROJECTED = ["l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"]
 
@@ -307,6 +343,9 @@ QUERIES: dict[str, Query] = {
     "scan_parquet": scan_parquet,
     "scan_folder": scan_folder,
     "write_event_log": write_event_log,
+    "clustered_log": clustered_log,
+    "scan_mixed_folder": scan_mixed_folder,
+    "scan_csv_rejected": scan_csv_rejected,
     "project_columns": project_columns,
     "hide_foreign_keys": hide_foreign_keys,
     "export_foreign_key": export_foreign_key,
@@ -361,6 +400,20 @@ ORACLE: dict[str, str] = {
     "write_event_log": """
         select e.event_id, e.event_type, c.c_mktsegment
         from events e left join customer c on e.user_id = c.c_custkey""",
+    "clustered_log": """
+        select event_id, row_number() over o as n, first_value(event_type) over w as first_type,
+               last_value(event_type) over w as last_type
+        from events
+        window o as (partition by user_id order by ts, event_id),
+               w as (partition by user_id order by ts, event_id rows between unbounded preceding and unbounded following)""",
+    "scan_mixed_folder": """
+        select event_id, user_id, case when event_type = 'click' then event_type end as event_type,
+               case when event_type = 'click' then null else value end as value
+        from events""",
+    "scan_csv_rejected": """
+        select case when o_orderpriority = '1-URGENT' then 'rejected' else 'accepted' end as kind, count(*) as n,
+               min(o_orderkey) as lowest
+        from orders group by 1""",
     "project_columns": "select l_linenumber, l_quantity, l_extendedprice, l_returnflag, l_shipdate from lineitem",
     "hide_foreign_keys": "select * exclude (l_orderkey, l_partkey, l_suppkey) from lineitem",
     "export_foreign_key": """

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..plans.spec import ImportSpec, SpecError
+from .folders import is_partitioned, read_folder
 
 # Source kinds a dataset may name.
 FORMATS = ("table", "csv", "parquet")
@@ -26,7 +27,8 @@ def read_dataset(spark: SparkSession, ref: str, fmt: str = "parquet", recursive:
     ``fmt``: ``"table"`` (catalog name, possibly qualified, or a Delta table's storage path),
     ``"csv"`` (header row, types inferred unless ``schema`` is given) or ``"parquet"``. With
     ``recursive=True`` a folder is read as one table: every file with the format's extension
-    below it, at any depth; names starting with ``_`` or ``.`` are skipped by Spark's file index.
+    below it, at any depth; names starting with ``_`` or ``.`` are skipped by Spark's file index. Files
+    of a folder may differ in columns and types (``sources.folders``) unless ``schema`` is given.
     """
     if fmt == "table":
         if recursive:
@@ -38,12 +40,14 @@ def read_dataset(spark: SparkSession, ref: str, fmt: str = "parquet", recursive:
         return spark.read.table(ref)
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}; expected one of {FORMATS}")
+    if recursive and schema is None:
+        return read_folder(spark, ref, fmt)
     reader = spark.read
     if recursive:
         # The extension in any case. A folder of partition folders (key=value) keeps its partition
         # columns; any other folder is read at all depths.
         reader = reader.option("pathGlobFilter", "*." + "".join(f"[{c}{c.upper()}]" for c in fmt))
-        if not _is_partitioned(spark, ref):
+        if not is_partitioned(spark, ref):
             reader = reader.option("recursiveFileLookup", "true")
     if fmt == "csv":
         reader = reader.option("header", "true")
@@ -57,17 +61,6 @@ def read_dataset(spark: SparkSession, ref: str, fmt: str = "parquet", recursive:
     return reader.parquet(ref)
 
 
-def _is_partitioned(spark: SparkSession, ref: str) -> bool:
-    """Whether the visible folders directly below ``ref`` are all partition folders."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(ref)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return False
-    names = [f.getPath().getName() for f in fs.listStatus(path) if f.isDirectory()]
-    names = [n for n in names if n[0] not in "_."]
-    return bool(names) and all("=" in n for n in names)
-
-
 def load_sources(spark: SparkSession, spec: ImportSpec,
                  sources: Mapping[str, DataFrame | str] | None = None,
                  fmt: str | None = None, recursive: bool | None = None,

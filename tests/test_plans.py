@@ -48,7 +48,7 @@ def test_long_cases_are_numbered_without_a_window_over_them(spark):
     log = spark.range(3000).select((F.col("id") % 3 == 0).alias("c"), F.col("id").alias("t"))
     text = plan(event_order(log, "c", ["t"], rows_per_slice=500))
     # Only cases that are not long go through a window over the case; the others were written in slices.
-    assert "ReadSchema: struct<__case:struct<c:boolean>,__slice:int,__place:bigint>" in text and "LeftAnti" in text
+    assert "ReadSchema: struct<__case:boolean,__slice:int,__place:bigint>" in text and "LeftAnti" in text
     numbering = [w for w in re.findall(r"Window \[[^\n]*", text) if "row_number" in w]
     assert len(numbering) == 1
 
