@@ -2,16 +2,18 @@
 
 Signatures: a shingle hash goes through one fixed permutation of the 64-bit integers; coordinate k
 is the smallest value, over the set, of a second permutation applied after a circular shift by k.
-Two permutations give all coordinates. ``BANDS`` bands of ``ROWS`` coordinates are hashed into
-bucket keys; texts with 0.85 similarity share no bucket with a probability under one in a million.
+Two permutations give all coordinates. Bands of ``ROWS`` coordinates are hashed into bucket keys, so many
+that texts at the least similarity share no bucket with a probability under one in a million.
 
 Linking without all pairs of a bucket: equal sets are one node. In every bucket each node is
 compared, on full sets, with the bucket's pivot: the node that meets most others over all its
 buckets, as the original of many edited copies does. Buckets that still hold nodes of different
 components are settled by a prefix filter: with shingles ordered from rare to common, two sets that
-link must share one of the first n - ceil(0.85 n) + 1 of each. Passages that many texts share are
-common and stand at the end, so they do not make pairs. A set's shingles that no other open set has
-bound its overlap with any of them. Every pair that can link is compared.
+link must share one of the first n - ceil(p n) + 1 of each. Passages that many texts share are
+common and stand at the end, so they do not make pairs. Nodes that share such a shingle are compared
+in rounds, with one pivot a round, until rounds link nothing more; then those pairs of different
+components are compared that sizes, shingles shared with others and bitmaps of both sets allow to
+link. Every pair that can link is compared or lies inside one component.
 
 Defined results: a null or blank text has an empty set and is linked with nothing; a text with
 fewer than five words is one shingle; rows without an id take part in links but are never named as
@@ -21,20 +23,23 @@ component exactly one is kept; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starweave.llm.common import col, documents, fresh, stored
+from starweave.llm.common import col, documents, fresh, quoted, stored
 from starweave.llm.graph import connected_components
 from starweave.llm.shingles import WordHashes, mix, set_key, shingle_set
 
-BANDS, ROWS = 24, 5
+ROWS = 5  # coordinates of a band
 MIN_PERCENT = 85  # links: 100 * intersection >= MIN_PERCENT * union
 _U = np.uint64
+_BITS = 2048  # of a set's bitmap
+_ROUNDS = 6  # of pivots, before what is left is compared exactly
 _BLOCK = 4096  # shingles permuted at a time: all coordinates of a block stay in cache
 
 
@@ -94,14 +99,22 @@ def _sketch_batches(bands: int, rows: int):
     return run
 
 
+def bitmap(distinct: np.ndarray) -> np.ndarray:
+    """The set as ``_BITS`` bits, each element setting one: two sets differ in at least as many elements as bits."""
+    bits = np.zeros(_BITS, dtype=np.uint8)
+    bits[(mix(distinct + _U(0xE7037ED1A0B428DB)) >> _U(64 - _BITS.bit_length() + 1)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = WordHashes()
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            sets = [shingle_set(t or b"", cache).view(np.int64) for t in part.column("text").to_pylist()]
-            yield pa.record_batch([part.column("node"), pa.array(sets, pa.list_(pa.int64()))],
-                                  names=["node", "shingles"])
+            sets = [shingle_set(t or b"", cache) for t in part.column("text").to_pylist()]
+            yield pa.record_batch([part.column("node"), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())),
+                                   pa.array([bitmap(x) for x in sets], pa.list_(pa.int64()))],
+                                  names=["node", "shingles", "bits"])
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -118,8 +131,8 @@ def _linked(compared: DataFrame, min_percent: int) -> DataFrame:
     return compared.filter(F.col("i") * 100 >= F.col("u") * min_percent).select("a", "b")
 
 
-def _unsettled_pairs(members: DataFrame, sets: DataFrame, labels: DataFrame, min_percent: int) -> DataFrame:
-    """Pairs of nodes in different components, each in a bucket that is not of one component, that may link."""
+def _prefixes(members: DataFrame, sets: DataFrame, labels: DataFrame, min_percent: int) -> DataFrame:
+    """Nodes of buckets that are not of one component yet, once per shingle of their prefix: s, node, n, most, bits, first."""
     here = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
     here = stored(here, "here")
     open_keys = (here.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
@@ -132,24 +145,87 @@ def _unsettled_pairs(members: DataFrame, sets: DataFrame, labels: DataFrame, min
     # Only shingles of two open nodes or more can be common: they bound the overlap of a pair.
     shared = F.size(F.filter("all", lambda x: x["df"] > 1))
     first = F.filter(F.slice("all", F.lit(1), length.cast("int")), lambda x: x["df"] > 1)
-    columns = ("node", "n", "most", "label", "first")
-    prefix = ranked.join(open_nodes, "node").select(
-        "node", "n", "label", shared.alias("most"), F.transform(first, lambda x: x["s"]).alias("first"))
-    prefix = stored(prefix.select(*columns, F.explode("first").alias("s")), "prefix")
-    one = prefix.select("s", *(F.col(c).alias(f"{c}_a") for c in columns))
-    two = prefix.select("s", *(F.col(c).alias(f"{c}_b") for c in columns))
-    pairs = one.join(two, "s").filter(
-        (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b"))
-        & (F.least("most_a", "most_b") * (100 + min_percent) >= min_percent * (F.col("n_a") + F.col("n_b")))
-        # a pair comes up once, at the first shingle that both prefixes hold
-        & (F.get(F.array_intersect("first_a", "first_b"), F.lit(0)) == F.col("s")))
-    pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    return pairs.select("a", "b").distinct()
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS,
+    prefix = ranked.join(open_nodes, "node").join(sets.select("node", "bits"), "node").select(
+        "node", "n", "label", "bits", shared.alias("most"), F.transform(first, lambda x: x["s"]).alias("first"))
+    return stored(prefix.select("*", F.explode("first").alias("s")), "prefix")
+
+
+def _may_link(a: Callable[[str], Column], b: Callable[[str], Column], min_percent: int) -> Column:
+    """Bounds on the overlap of two sets, from their sizes, their shingles that others hold, and their bitmaps."""
+    total = a("n") + b("n")
+    differ = F.aggregate(F.zip_with(a("bits"), b("bits"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    enough = F.lit(min_percent) * total  # of (100 + min_percent) * overlap
+    return ((a("label") != b("label")) & (F.least(a("n"), b("n")) * 100 >= F.greatest(a("n"), b("n")) * min_percent)
+            & (F.least(a("most"), b("most")) * (100 + min_percent) >= enough)
+            & ((total - differ) * (100 + min_percent) >= 2 * enough))
+
+
+def _relabelled(current: DataFrame, links: DataFrame) -> DataFrame:
+    """``current(node, origin, label)`` after the links: components are joined label by label, not node by node."""
+    of = current.select("node", "label")
+    ends = links.join(of.select(F.col("node").alias("a"), F.col("label").alias("la")), "a") \
+        .join(of.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+    new = connected_components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    new = new.select(F.col("node").alias("label"), F.col("label").alias("lower"))
+    return stored(current.join(new, "label", "left").select("node", "origin", F.coalesce("lower", "label").alias("label")), "current")
+
+
+def _settled(prefix: DataFrame, sets: DataFrame, compared: DataFrame, min_percent: int) -> DataFrame:
+    """``(origin, label)``: the component that each component of open nodes belongs to in the end.
+
+    Rounds of pivots: in every group of nodes that share a prefix shingle and are of several components,
+    one node, another one in each round, is compared with the nodes of other components that it may link
+    with, so a round writes no more pairs than the prefixes have rows, and nodes that have found their
+    component are not compared again. When a round links nothing, the pairs that still may link, those
+    of different components whose bounds allow it, are compared exactly.
+    """
+    current = stored(prefix.select("node", F.col("label").alias("origin"), "label").distinct(), "current")
+    seen = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    slim = prefix.drop("label", "first")
+
+    def named(side: str) -> Callable[[str], Column]:
+        return lambda c: F.col(f"{c}_{side}")
+
+    def fresh_pairs(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+        return stored(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
+
+    fields = ("node", "n", "most", "bits", "label")
+    for k in range(_ROUNDS):
+        group = slim.join(current.select("node", "label"), "node")
+        top = group.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
+                                     F.max(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), *fields)).alias("p"))
+        pivots = top.filter("lo < hi").select("s", *[F.col(f"p.{c}").alias(f"{c}_a") for c in fields])
+        rest = group.select("s", *[F.col(c).alias(f"{c}_b") for c in fields])
+        pairs = fresh_pairs(rest.join(pivots, "s").filter(_may_link(named("a"), named("b"), min_percent)))
+        found = _compared(pairs, sets)
+        links = stored(_linked(found, min_percent), "links")
+        seen = seen.unionAll(found.select("a", "b"))
+        if links.isEmpty():
+            break
+        current = _relabelled(current, links)
+    both = prefix.drop("label").join(current.select("node", "label"), "node")
+    spread = both.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("s")
+    both = stored(both.join(spread, "s"), "rest")
+    one, two = (both.select("s", *[F.col(c).alias(f"{c}_{side}") for c in (*fields, "first")]) for side in "ab")
+    # A pair comes up once, at the first shingle that both prefixes hold.
+    once = F.get(F.array_intersect("first_a", "first_b"), F.lit(0)) == F.col("s")
+    pairs = one.join(two, "s").filter((F.col("node_a") < F.col("node_b")) & _may_link(named("a"), named("b"), min_percent) & once)
+    links = stored(_linked(_compared(fresh_pairs(pairs), sets), min_percent), "links")
+    if not links.isEmpty():
+        current = _relabelled(current, links)
+    return current.select("origin", "label").distinct()
+
+
+def bands_for(min_percent: int, rows: int = ROWS) -> int:
+    """So many bands that a pair of that similarity shares none with a probability below one in a million."""
+    return math.ceil(math.log(1e-6) / math.log(1 - (min_percent / 100) ** rows))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int | None = None,
                     rows: int = ROWS, min_percent: int = MIN_PERCENT) -> DataFrame:
     """One row per document: doc_id, digest (md5 of the text), n_shingles, component_id, kept."""
+    bands = bands or bands_for(min_percent, rows)
     base = documents(docs, id_col, text_col)
     base = base.select("doc_id", F.col("text").cast("binary").alias("text"),
                        F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("digest"))
@@ -181,17 +257,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
               .select("node", F.col("x.doc_id").alias("i"), F.col("x.digest").alias("g")))
     texts = base.join(chosen, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("g")))
     sets = stored(texts.select("node", "text").dropDuplicates(["node"])
-                  .mapInArrow(_set_batches, "node long, shingles array<long>"), "sets")
+                  .mapInArrow(_set_batches, "node long, shingles array<long>, bits array<long>"), "sets")
 
     compared = _compared(members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")), sets)
-    edges = _linked(compared, min_percent)
-    labels = connected_components(edges)
-    more = stored(_unsettled_pairs(members, sets, labels, min_percent).join(compared, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        labels = connected_components(edges.unionAll(_linked(_compared(more, sets), min_percent)))
+    labels = connected_components(_linked(compared, min_percent))
+    settled = _settled(_prefixes(members, sets, labels, min_percent), sets, compared, min_percent)
 
     named = nodes.select("set_key", "node", "rep").join(labels, "node", "left").select(
-        "set_key", "rep", F.coalesce("label", "node").alias("label"))
+        "set_key", "rep", F.coalesce("label", "node").alias("origin"))
+    named = named.join(settled, "origin", "left").select("set_key", "rep", F.coalesce("label", "origin").alias("label"))
     heads = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = stored(named.join(heads, "label").select("set_key", "label", "component_id"), "named")
     full = stored(sketch.filter("set_key is not null").select("doc_id", "digest", "n_shingles", "set_key")
@@ -222,7 +296,9 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     single = both.filter(F.coalesce(~F.col(gone), F.lit(True)) & F.coalesce(~F.col(once), F.lit(True))).select(*mine)
     if report.filter("kept and n > 1 and size > 0").isEmpty():
         return single
-    order = Window.partitionBy(marks["i"], marks["g"]).orderBy(F.lit(1))
+    # Of rows that differ in other columns only, the one whose content has the smallest digest stays.
+    content = F.sha2(F.to_json(F.struct(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(docs.columns)])), 256)
+    order = Window.partitionBy(marks["i"], marks["g"]).orderBy(content)
     again = both.filter(F.coalesce(~F.col(gone) & F.col(once), F.lit(False)))
     again = again.select(*mine, F.row_number().over(order).alias(once)).filter(F.col(once) == 1)
     return single.unionAll(again.drop(once))
