@@ -77,9 +77,10 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo
 
 
 def ownership(hits: DataFrame) -> DataFrame:
-    """``(hash, n_owners, n_repos)``: distinct owners and (owner, repository) pairs of each value."""
-    held = hits.select("hash", "owner", "repo").distinct().groupBy("hash", "owner").agg(F.count("*").alias("n"))
-    return held.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repos"))
+    """``(hash, n_owners, n_repos)``: distinct owners and distinct repositories of each value; null is one of them."""
+    owners, repos = (hits.select("hash", c).distinct().groupBy("hash").agg(F.count("*").alias(n))
+                     for c, n in (("owner", "n_owners"), ("repo", "n_repos")))
+    return owners.join(repos, "hash")
 
 
 def _placed(table: DataFrame) -> DataFrame:
@@ -96,6 +97,12 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per document: counts per base kind, the digest of the base spans, all spans, and how
     many reported spans are live (not copied, random-looking) or copied, in all and by each count
     (``copied_owners`` owners or more, ``copied_repos`` repositories or more)."""
+    return _report(docs, id_col, text_col, owner_col, repo_col, copied_owners, copied_repos).drop("cuts")
+
+
+def _report(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col: str,
+            copied_owners: int = COPIED_OWNERS, copied_repos: int = COPIED_REPOS) -> DataFrame:
+    """The report with ``cuts``: each span's start and end, and the furthest end before it."""
     table = stored(candidates(docs, id_col, text_col, owner_col, repo_col), "secrets")
     hits = stored(_placed(table), "secret-hits")
     counts = stored(ownership(hits), "secret-owners")
@@ -108,14 +115,17 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     judged = judged.filter((F.col("kind") != mixed) | F.col("live"))
     is_base = F.col("kind") != mixed
     before = Window.partitionBy("rid").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy("rid").orderBy("start", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # The rows that follow, read backwards: a frame that ends with the last row is computed anew for every row.
+    after = Window.partitionBy("rid").orderBy(F.desc("start"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     judged = judged.withColumn("reach", F.max(F.when(is_base, F.col("end"))).over(before)).withColumn(
         "next", F.min(F.when(is_base, F.col("start"))).over(after))
     judged = judged.filter(is_base | ((F.coalesce("reach", F.lit(0)) <= F.col("start"))
                                       & (F.coalesce("next", "end") >= F.col("end"))))
+    earlier = Window.partitionBy("rid").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    judged = judged.withColumn("since", F.coalesce(F.max("end").over(earlier), F.lit(0)))
     name = F.element_at(F.array(*map(F.lit, NAMES)), F.col("kind") + 1)
     count = lambda k: F.count_if(F.col("kind") == NAMES.index(k)).alias(f"n_{k}")
-    span = F.struct("start", "kind", "end", F.concat_ws(":", name, "start", "end").alias("text"))
+    span = F.struct("start", "kind", "end", F.concat_ws(":", name, "start", "end").alias("text"), "since")
     per_doc = judged.groupBy("rid").agg(
         *(count(k) for k in BASE), F.count_if("live").alias("n_live"), F.count_if("copied").alias("n_copied"),
         F.count_if("by_owners").alias("n_copied_owners"), F.count_if("by_repos").alias("n_copied_repos"),
@@ -123,13 +133,15 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = lambda a: F.array_join(F.transform(a, lambda s: s["text"]), ",")
     per_doc = per_doc.select(
         "rid", *(f"n_{k}" for k in BASE), "n_live", "n_copied", "n_copied_owners", "n_copied_repos", text(F.col("all")).alias("spans"),
+        F.transform("all", lambda s: F.struct(s["start"].cast("int").alias("a"), s["end"].cast("int").alias("b"),
+                                              s["since"].cast("int").alias("since"))).alias("cuts"),
         text(F.filter("all", lambda s: s["kind"] != mixed)).alias("base"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return table.select("rid", "doc_id", "digest").join(per_doc, "rid", "left").select(
         "doc_id", *(zero(f"n_{k}") for k in BASE),
         F.sha2(F.coalesce("base", F.lit("")).cast("binary"), 256).alias("base_sha256"),
         F.coalesce("spans", F.lit("")).alias("spans"), zero("n_live"), zero("n_copied"),
-        zero("n_copied_owners"), zero("n_copied_repos"), "digest")
+        zero("n_copied_owners"), zero("n_copied_repos"), "digest", "cuts")
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
@@ -139,24 +151,26 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
     Spans are a function of the text alone (ownership is counted per value), so they are matched to
     documents by the text's digest, one row per distinct text that has any.
     """
-    report = secret_report(docs, id_col, text_col, owner_col, repo_col)
-    spans = stored(report.filter("spans <> ''").select("digest", "spans").distinct(), "secret-spans")
+    report = _report(docs, id_col, text_col, owner_col, repo_col)
+    spans = stored(report.filter("spans <> ''").groupBy("digest").agg(F.any_value("cuts").alias("cuts")), "secret-spans")
     d, s, t = (fresh(docs.columns, x) for x in ("digest", "spans", "text"))
-    spans = spans.select(F.col("digest").alias(d), F.col("spans").alias(s))
+    spans = spans.select(F.col("digest").alias(d), F.col("cuts").alias(s))
     text = col(docs, text_col).cast("string")
     mine = [col(docs, c) for c in docs.columns]
     df = docs.select(*mine, F.md5(F.coalesce(text, F.lit(""))).alias(d)).join(spans, d, "left")
-    cuts = F.transform(F.split(F.col(s), ","), lambda x: F.struct(
-        F.split(x, ":")[1].cast("int").alias("a"), F.split(x, ":")[2].cast("int").alias("b")))
-    df = df.select(*(F.col(quoted(c)) for c in docs.columns), cuts.alias(s))
-    mine = [F.col(quoted(c)) for c in docs.columns]
-    # Merge overlapping cuts: each span starts after the furthest end before it.
-    spans = F.col(s)
-    ends = lambda i: F.coalesce(F.array_max(F.transform(F.slice(spans, 1, i), lambda x: x["b"])), F.lit(0))
-    body = F.col(quoted(text_col)).cast("string")
-    parts = F.transform(spans, lambda x, i: F.when(x["a"] >= ends(i), F.concat(
-        F.substring(body, ends(i) + 1, x["a"] - ends(i)), F.lit(mask))).otherwise(F.lit("")))
-    tail = F.substring(body, ends(F.size(spans)) + 1, F.length(body))
-    new = F.when(spans.isNull(), body).otherwise(F.concat(F.array_join(parts, ""), tail))
-    df = df.select(*mine, new.alias(t))
+    df = df.select(*(F.col(quoted(c)) for c in docs.columns), F.col(s))
+    body, cuts = F.col(quoted(text_col)).cast("string"), F.col(s)
+
+    def masked(wide: Column) -> Column:
+        """The text from its four-byte characters, of which a piece is copied without walking to it."""
+        piece = lambda a, b: F.decode(F.substring(wide, 4 * a + 1, 4 * (b - a)), "UTF-32")
+        # Overlapping spans: each starts after the furthest end before it, or inside what is masked already.
+        parts = F.transform(cuts, lambda x: F.when(x["a"] >= x["since"], F.concat(piece(x["since"], x["a"]), F.lit(mask)))
+                            .otherwise(F.lit("")))
+        last = F.array_max(F.transform(cuts, lambda x: x["b"]))
+        return F.concat(F.array_join(parts, ""), piece(last, (F.octet_length(wide) / 4).cast("int")))
+
+    # One element: its lambda binds the encoded text once for all pieces.
+    new = F.when(cuts.isNull(), body).otherwise(F.transform(F.array(F.encode(body, "UTF-32")), masked)[0])
+    df = df.select(*(F.col(quoted(c)) for c in docs.columns), new.alias(t))
     return df.select(*(F.col(t).alias(c) if c == text_col else F.col(quoted(c)) for c in docs.columns))
