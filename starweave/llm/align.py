@@ -378,10 +378,16 @@ def align(docs: DataFrame, vocabulary: str, model: str, id_col: str = "doc_id",
 
 # ---- links over the corpus -------------------------------------------------------------------
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, _ROWS):
+            yield batch.slice(at, _ROWS)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for batch in batches:
-        own = np.frombuffer(b"".join(batch.column("links").to_pylist()), dtype="<i8")
+    for part in _slices(batches):
+        own = np.frombuffer(b"".join(part.column("links").to_pylist()), dtype="<i8")
         new, n = np.unique(own, return_counts=True)
         codes, at = np.unique(np.concatenate((codes, new)), return_inverse=True)
         counts = np.bincount(at, weights=np.concatenate((counts, n)), minlength=len(codes)).astype(np.int64)
@@ -410,7 +416,7 @@ def pair_bound(vocabulary: str, model: str) -> int:
 def _judge(table: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts, best = table.value
-        for batch in batches:
+        for batch in _slices(batches):
             links = batch.column("links").to_pylist()
             at = np.searchsorted(codes, np.frombuffer(b"".join(links), dtype="<i8"))
             edge = np.cumsum([0] + [len(x) // 8 for x in links])
