@@ -28,6 +28,7 @@ table gives an empty result; other columns of ``docs`` are not used.
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import itertools
 import json
@@ -443,13 +444,26 @@ def _sent(spark: SparkSession, counts: DataFrame, bound: int) -> Broadcast:
     return spark.sparkContext.broadcast((code, n, (n == most[b]).astype(np.int64)))
 
 
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows go to Python a thousand at a time while jobs run here: a text's links are longer than the text."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1000")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def alignment_report(docs: DataFrame, vocabulary: str, model: str, id_col: str = "doc_id", text_col: str = "text",
                      long_bytes: int = LONG, step: int = STEP) -> DataFrame:
     """Per document: tokens, groups and links, how many links are the commonest of their B id, the sum of their counts,
     and the digest of the groups."""
-    aligned = align(docs, vocabulary, model, id_col, text_col, long_bytes, step)
-    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
-    aligned = stored(aligned.withColumn("groups_sha256", digest).drop("groups"), "aligned")
-    table = _sent(docs.sparkSession, pair_counts(aligned), pair_bound(vocabulary, model))
-    return aligned.mapInArrow(_judge(table), "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, "
-                                             "count_sum long, groups_sha256 string")
+    with _small_batches(docs.sparkSession):
+        aligned = align(docs, vocabulary, model, id_col, text_col, long_bytes, step)
+        digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+        aligned = stored(aligned.withColumn("groups_sha256", digest).drop("groups"), "aligned")
+        table = _sent(docs.sparkSession, pair_counts(aligned), pair_bound(vocabulary, model))
+        return stored(aligned.mapInArrow(_judge(table), "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, "
+                                                        "count_sum long, groups_sha256 string"), "alignment")
