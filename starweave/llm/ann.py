@@ -1,11 +1,14 @@
 """Approximate nearest neighbours by inner product over robust-pruned directed graphs.
 
 Equal vectors are one node (with its smallest ids, as many as an answer can need). Nodes are dealt
-into shards of about ``SHARD_ROWS`` by a hash of the vector; each shard gets its own graph: greedy
-searches from the medoid propose neighbours, and pruning with a relaxed distance keeps ``DEGREE``
-diverse edges. A beam search answers every query in every shard, in blocks of queries, and the best
-of all shards are kept. Inner products become distances by one more coordinate that makes all
-vectors of a shard equally long. Scores are exact: double precision on the original vectors.
+into shards of about ``SHARD_ROWS`` by a hash of the vector, and within a shard into layers whose
+lengths differ by a factor of ``LAYER`` at most. Each layer gets its own graph: greedy searches from
+the medoid propose neighbours, and pruning with a relaxed distance keeps ``DEGREE`` diverse edges.
+Its distances are those of the vectors with one more coordinate that makes them equally long; with
+lengths so close, that coordinate does not hide the directions. A beam search by the inner product
+itself answers every query in every shard, in blocks of queries, the longest layer first; a layer is
+left out for the queries whose answers all exceed its longest length times the query's (the inner
+product's bound). The whole beam is scored in double precision on the original vectors.
 
 Defined results: vectors that are null, all zero, or hold a null or a non-finite component take no
 part, neither as query nor as candidate; vectors are compared with those of the same length only;
@@ -31,25 +34,26 @@ BUILD_BEAM = 64
 SEARCH_BEAM = 160
 RELAX = 1.2
 QUERY_BLOCK = 512
+LAYER = 1.5  # longest to shortest vector of one graph
 
 
 def beam_search(points: np.ndarray, edges: np.ndarray, start: int, queries: np.ndarray, beam: int,
-                step: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """The ``beam`` nearest nodes met by a greedy walk, per query: (nodes, squared distances).
+                step: int = 4, inner: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The ``beam`` nearest nodes met by a greedy walk, per query: (nodes, distances).
 
-    Every round opens the ``step`` nearest unopened nodes of each query's beam. Free places hold -1.
+    Distances are squared, less the query's own square; with ``inner``, they are inner products times
+    -2. Every round opens the ``step`` nearest unopened nodes of each query's beam. Free places hold -1.
     """
     q, n = len(queries), len(points)
     rows = np.arange(q)[:, None]
-    norm = (points * points).sum(axis=1)
+    norm = np.zeros(n, points.dtype) if inner else (points * points).sum(axis=1)
     met = np.zeros((q, n + 1), dtype=bool)
     met[:, [start, n]] = True  # column n stands for missing edges
     node = np.full((q, beam), -1, dtype=np.int64)
     dist = np.full((q, beam), np.inf, dtype=np.float32)
     opened = np.zeros((q, beam), dtype=bool)
-    own = (queries * queries).sum(axis=1)
     node[:, 0] = start
-    dist[:, 0] = own + norm[start] - 2 * queries @ points[start]
+    dist[:, 0] = norm[start] - 2 * queries @ points[start]
     while True:
         wait = np.where(opened | (node < 0), np.inf, dist)
         pick = np.argpartition(wait, min(step, beam - 1), axis=1)[:, :step] if beam > step else np.argsort(wait, axis=1)[:, :step]
@@ -65,7 +69,7 @@ def beam_search(points: np.ndarray, edges: np.ndarray, start: int, queries: np.n
         met[live[:, None], near] = True
         real = near < n
         safe = np.where(real, near, 0)
-        d = own[live, None] + norm[safe] - 2 * np.matmul(points[safe], queries[live][:, :, None])[:, :, 0]
+        d = norm[safe] - 2 * np.matmul(points[safe], queries[live][:, :, None])[:, :, 0]
         d = np.where(real, d, np.inf).astype(np.float32)
         all_node = np.concatenate([node[live], np.where(real, near, -1)], axis=1)
         all_dist = np.concatenate([dist[live], d], axis=1)
@@ -128,28 +132,91 @@ def build(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, rela
         who, first, size = np.unique(dst, return_index=True, return_counts=True)
         for b in range(0, len(who), 512):
             w, f, s = who[b:b + 512], first[b:b + 512], size[b:b + 512]
-            width = int(min(s.max(), 3 * degree))
-            at = f[:, None] + np.arange(width)
-            new = np.where(np.arange(width) < s[:, None], src[np.minimum(at, len(src) - 1)], -1)
-            both = np.concatenate([np.where(edges[w] == n, -1, edges[w]), new], axis=1)
-            edges[w] = prune(points, w, both, degree, relax)
+            width = 3 * degree
+            for more in range(0, int(s.max()), width):  # all of them, a piece at a time
+                to = np.flatnonzero(s > more)
+                at = more + np.arange(min(width, int(s.max()) - more))
+                new = np.where(at < s[to, None], src[np.minimum(f[to, None] + at, len(src) - 1)], -1)
+                both = np.concatenate([np.where(edges[w[to]] == n, -1, edges[w[to]]), new], axis=1)
+                edges[w[to]] = prune(points, w[to], both, degree, relax)
     return edges, start
 
 
-def lifted(vectors: np.ndarray) -> np.ndarray:
-    """Vectors as single-precision points of equal length: nearest means largest inner product."""
-    norm = (vectors * vectors).sum(axis=1)
-    extra = np.sqrt(np.maximum(norm.max(initial=0) - norm, 0))
-    return np.concatenate([vectors, extra[:, None]], axis=1).astype(np.float32)
+def lengths(vectors: np.ndarray) -> np.ndarray:
+    """Lengths, without overflow on the way."""
+    most = np.abs(vectors).max(axis=1, initial=0)
+    safe = np.where(most > 0, most, 1)
+    return most * np.sqrt(((vectors / safe[:, None]) ** 2).sum(axis=1))
+
+
+def layers(size: np.ndarray) -> list[np.ndarray]:
+    """Places of the vectors by length, longest layer first; a layer starts at the longest that is left."""
+    order = np.argsort(-size, kind="stable")
+    ranked, out, at = size[order], [], 0
+    while at < len(order):
+        to = int(np.searchsorted(-ranked, -ranked[at] / LAYER, side="right"))
+        out.append(np.sort(order[at:to]))
+        at = to
+    return out
+
+
+def lifted(vectors: np.ndarray, longest: float) -> np.ndarray:
+    """Vectors as single-precision points of length one: nearest means largest inner product."""
+    unit = vectors / longest
+    extra = np.sqrt(np.maximum(1 - (unit * unit).sum(axis=1), 0))
+    return np.concatenate([unit, extra[:, None]], axis=1).astype(np.float32)
 
 
 def _index(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("first_id")
+    rows = rows.sort_values("first_id", ignore_index=True)
     vectors = np.stack([np.asarray(v, dtype=np.float64) for v in rows["vector"]])
-    edges, start = build(lifted(vectors))
+    size = lengths(vectors)
+    parts = layers(size)
+    graphs, starts = [], []
+    for part in parts:
+        # A layer within the beam's reach is scanned and needs no edges.
+        edges, start = build(lifted(vectors[part], size[part].max())) if len(part) > SEARCH_BEAM else (np.empty((0, DEGREE)), 0)
+        graphs.append(edges.astype(np.int32).ravel())
+        starts.append(start)
+    order = np.concatenate(parts)
     return pd.DataFrame({"dim": rows["dim"].iloc[:1].to_numpy(), "shard": rows["shard"].iloc[:1].to_numpy(),
-                         "start": [start], "vectors": [vectors.tobytes()], "edges": [edges.astype(np.int32).tobytes()],
-                         "ids": [[np.asarray(i, dtype=np.int64) for i in rows["ids"]]]})
+                         "starts": [np.array(starts, dtype=np.int32)], "sizes": [np.array([len(x) for x in parts], dtype=np.int32)],
+                         "vectors": [vectors[order].tobytes()], "edges": [np.concatenate(graphs).tobytes()],
+                         "ids": [[np.asarray(i, dtype=np.int64) for i in rows["ids"].to_numpy()[order]]]})
+
+
+def search_shard(vectors: np.ndarray, first_ids: np.ndarray, sizes: list[int], starts: list[int], edges: np.ndarray,
+                 queries: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per query the ``top`` best nodes, ties to the smaller first id, and their scores; free places hold -1."""
+    beam = max(SEARCH_BEAM, 4 * top)
+    asked = lengths(queries)
+    unit = (queries / asked[:, None]).astype(np.float32)
+    node = np.full((len(queries), top), -1, dtype=np.int64)
+    score = np.full((len(queries), top), -np.inf)
+    at = edge = 0
+    for n, start in zip(sizes, starts):
+        part = vectors[at:at + n]
+        longest = lengths(part).max()
+        with np.errstate(over="ignore"):
+            live = np.flatnonzero(score[:, -1] <= longest * asked * (1 + 1e-9))
+        graph = None
+        if n > SEARCH_BEAM:
+            graph = edges[edge:edge + (n + 1) * DEGREE].reshape(n + 1, DEGREE).astype(np.int64)
+            edge += graph.size
+        if len(live):
+            if graph is None:
+                found = np.broadcast_to(np.arange(n), (len(live), n))
+            else:
+                found, _ = beam_search((part / longest).astype(np.float32), graph, start, unit[live], min(beam, n), inner=True)
+            new = np.where(found < 0, -1, found + at)
+            with np.errstate(over="ignore", invalid="ignore"):
+                value = np.stack([(vectors[x] * queries[i]).sum(axis=1) for i, x in zip(live, np.maximum(new, 0))])
+            new = np.concatenate([node[live], new], axis=1)
+            value = np.concatenate([score[live], np.where(found < 0, -np.inf, value)], axis=1)
+            best = np.lexsort((first_ids[new], new < 0, -value), axis=1)[:, :top]
+            node[live], score[live] = np.take_along_axis(new, best, axis=1), np.take_along_axis(value, best, axis=1)
+        at += n
+    return node, score
 
 
 def _answers(top: int):
@@ -158,23 +225,18 @@ def _answers(top: int):
             for row in range(batch.num_rows):
                 r = {name: batch.column(name)[row].as_py() for name in batch.schema.names}
                 vectors = np.frombuffer(r["vectors"], dtype=np.float64).reshape(-1, r["dim"])
-                points = lifted(vectors)
-                edges = np.frombuffer(r["edges"], dtype=np.int32).reshape(len(vectors) + 1, -1).astype(np.int64)
+                first = np.array([i[0] for i in r["ids"]], dtype=np.int64)
                 queries = np.array([q["vector"] for q in r["queries"]], dtype=np.float64)
-                asked = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1)
-                # One scale for all queries does not change the order of their neighbours.
-                node, dist = beam_search(points, edges, r["start"], asked.astype(np.float32), max(SEARCH_BEAM, 4 * top))
-                best = np.argsort(dist, axis=1, kind="stable")[:, :top + 8]
-                out = []
-                for q, picks in zip(queries, np.take_along_axis(node, best, axis=1)):
-                    picks = picks[picks >= 0]
-                    score = (vectors[picks] * q).sum(axis=1)
-                    pairs = [(-s, i) for s, p in zip(score.tolist(), picks.tolist()) for i in r["ids"][p]]
-                    out.append([{"minus": m, "vec_id": i} for m, i in sorted(pairs)[:top]])
-                yield pa.record_batch([
-                    pa.array([q["key"] for q in r["queries"]], pa.int64()),
-                    pa.array(out, pa.list_(pa.struct([("minus", pa.float64()), ("vec_id", pa.int64())])))],
-                    names=["key", "found"])
+                node, score = search_shard(vectors, first, r["sizes"], r["starts"], np.frombuffer(r["edges"], dtype=np.int32),
+                                           queries, top)
+                key, minus, ids = [], [], []
+                for q, picks, scores in zip(r["queries"], node.tolist(), score.tolist()):
+                    pairs = sorted((-s, i) for s, p in zip(scores, picks) if p >= 0 for i in r["ids"][p])[:top]
+                    key += [q["key"]] * len(pairs)
+                    minus += [m for m, _ in pairs]
+                    ids += [i for _, i in pairs]
+                yield pa.record_batch([pa.array(key, pa.int64()), pa.array(minus, pa.float64()), pa.array(ids, pa.int64())],
+                                      names=["key", "minus", "vec_id"])
 
     return run
 
@@ -201,7 +263,7 @@ def build_index(vectors: DataFrame, ids: int, shard_rows: int = SHARD_ROWS) -> D
         "shard", F.pmod(F.xxhash64("vector"), F.col("shards")).cast("int"))
     nodes = nodes.select("dim", "shard", "vector", "ids", F.col("ids")[0].alias("first_id"))
     return stored(nodes.groupBy("dim", "shard").applyInPandas(
-        _index, "dim int, shard int, start int, vectors binary, edges binary, ids array<array<bigint>>"), "ann-index")
+        _index, "dim int, shard int, starts array<int>, sizes array<int>, vectors binary, edges binary, ids array<array<bigint>>"), "ann-index")
 
 
 def nearest(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -214,8 +276,11 @@ def nearest(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     shards = index.groupBy("dim").agg(F.collect_list("shard").alias("shards"))
     blocks = blocks.join(F.broadcast(shards), "dim").select("dim", "queries", F.explode("shards").alias("shard"))
     pairs = index.join(blocks, ["dim", "shard"])
-    found = pairs.mapInArrow(_answers(k + 1), "key long, found array<struct<minus double, vec_id long>>")
-    best = stored(found.groupBy("key").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k + 1).alias("found"))
+    found = pairs.mapInArrow(_answers(k + 1), "key long, minus double, vec_id long")
+    # The row number's limit is applied in the tasks that search, so each sends k + 1 rows of a query at most.
+    order = Window.partitionBy("key").orderBy("minus", "vec_id")
+    found = found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1)
+    best = stored(found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("minus", "vec_id"))).alias("found"))
                   .join(asked, "key").select("vector", "found"), "ann-found")
     rows = queries.select(F.col("vec_id").alias("query_id"), "vector").distinct().join(best, "vector")
     own = F.filter("found", lambda x: x["vec_id"] != F.col("query_id"))

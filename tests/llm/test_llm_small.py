@@ -374,6 +374,31 @@ def test_neighbours(spark):
     assert ann.search(spark.createDataFrame([], df.schema)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["unit", "log-normal", "one of 1e4", "one of 1e3"])
+def test_neighbours_of_unequal_lengths(spark, kind):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if kind == "log-normal":
+        x *= np.exp(rng.normal(size=(4000, 1)))
+    elif kind != "unit":
+        x[77] *= float(kind.split()[-1])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    score = x[::20] @ x.T
+    score[np.arange(200), np.arange(0, 4000, 20)] = -np.inf
+    want = np.argsort(-score, axis=1)[:, :20]
+    assert sum(len(got[20 * i] & set(w.tolist())) for i, w in enumerate(want)) >= 0.9 * 4000
+
+
+def test_lengths_at_the_ends_of_the_range():
+    size = ann.lengths(np.array([[3e200, 4e200], [3e-200, 4e-200], [0.0, 0.0]]))
+    assert np.allclose(size[:2] / [5e200, 5e-200], 1) and size[2] == 0
+    assert [p.tolist() for p in ann.layers(np.array([1.0, 9.0, 1.2, 10.0]))] == [[1, 3], [0, 2]]
+
+
 def test_redact_many_spans_in_one_text(spark):
     import time
 
