@@ -12,6 +12,16 @@ import numpy as np
 F32 = np.float32
 
 
+def _exps(logit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows shifted so that exponentials neither overflow nor all vanish, the exponentials and their row sums."""
+    top = logit.max()
+    if top - logit.min() > 60:
+        top = logit.max(axis=1, keepdims=True)
+    logit = logit - top
+    e = np.exp(logit)
+    return logit, e, e @ np.ones(e.shape[1], e.dtype)
+
+
 class Gru:
     def __init__(self, classes: int, width: int, hidden: int, counts: np.ndarray | None = None, seed: int = 1) -> None:
         """``counts``: training count of each of the ``classes * width`` words, most frequent first."""
@@ -59,10 +69,7 @@ class Gru:
     def loss(self, s: np.ndarray, target: np.ndarray, grads: dict | None = None):
         """Natural log probability of each target after state ``s``; with ``grads``, also d(-sum)/ds."""
         p = self.p
-        logit = s @ p["cw"] + p["cb"]
-        logit -= logit.max(axis=1, keepdims=True)
-        e = np.exp(logit)
-        total = e.sum(axis=1)
+        logit, e, total = _exps(s @ p["cw"] + p["cb"])
         cls = target // self.w
         rows = np.arange(len(s))
         out = logit[rows, cls] - np.log(total)
@@ -81,10 +88,7 @@ class Gru:
             if not len(at):
                 continue
             sc = s[at]
-            logit = sc @ p["ww"][c] + p["wb"][c]
-            logit -= logit.max(axis=1, keepdims=True)
-            e = np.exp(logit)
-            total = e.sum(axis=1)
+            logit, e, total = _exps(sc @ p["ww"][c] + p["wb"][c])
             i = np.arange(len(at))
             out[at] += logit[i, word[at]] - np.log(total)
             if grads is not None:
@@ -134,7 +138,7 @@ class Gru:
         grads["x"] = (words, np.add.reduceat(dgates.reshape(-1, 3 * d)[by], starts, axis=0))
         return grads, float(logp.sum()), h
 
-    def train(self, tokens: np.ndarray, end: int, streams: int = 128, window: int = 16, rate: float = 0.05,
+    def train(self, tokens: np.ndarray, end: int, streams: int = 128, window: int = 16, rate: float = 0.1,
               size: float | None = None) -> None:
         """One pass over the texts in ``tokens``, each closed by ``end``, as parallel streams (Adagrad).
 

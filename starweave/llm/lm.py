@@ -2,12 +2,15 @@
 
 1. Word counts over all training documents, by a 64-bit hash of the word: tasks add up their own
    words first, then one aggregate gives every word's count, the number of tokens and of types.
-2. A recurrent model with a class-factored softmax over the ``WORDS`` most frequent words (one of
-   them stands for all others) is trained by truncated backpropagation: in each of a few rounds
-   every task starts from the round's model, trains on its texts of that round, and the mean of the
-   models, weighted by tokens and taken block by block on the executors, starts the next round.
-   The rounds' texts are disjoint shares, picked by a hash of the id, that make up all training documents.
-3. Every text is scored whole; the state is carried from window to window. A word outside the
+2. Every text is written once as model words: the ``WORDS`` most frequent words, one of which stands
+   for all others. Training and scoring read these.
+3. A recurrent model with a class-factored softmax over the model words is trained by truncated
+   backpropagation. The rounds' texts are disjoint shares, picked by a hash of the id, that make up
+   all training documents; a round's texts are dealt by hash into shards of about ``SHARD_TOKENS``
+   tokens, in order of id within. Every shard starts from the round's model, and the mean of the
+   shards' models, weighted by tokens and taken block by block in two steps, starts the next round.
+   Shards do not depend on how the input is partitioned, so neither do scores, up to rounding.
+4. Every text is scored whole; the state is carried from window to window. A word outside the
    model's words has the probability of "other" times its smoothed share of all other words.
 
 Counts of the ``HEAD`` most frequent words are broadcast (a bound in bytes); the remaining words of
@@ -20,13 +23,17 @@ by one; an empty table gives an empty result. Texts of any length are scored who
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from starweave.llm.common import documents, fold, stored
 from starweave.llm.gru import Gru
@@ -36,6 +43,8 @@ CLASSES, WIDTH, HIDDEN = 32, 32, 16
 WORDS = CLASSES * WIDTH
 HEAD = 200_000  # words, about, whose counts are broadcast: 3.2 MB
 ROUNDS = (1, 9, 90)  # percent of the training documents in each round: all of them
+SHARD_TOKENS = 2_000_000
+STREAMS = 256
 _END = -1  # the end token's key; word keys are hashes of words
 _BLOCK = 4096  # parameters averaged by one task
 
@@ -131,83 +140,142 @@ def lexicon(training: DataFrame) -> tuple[DataFrame, Lexicon]:
     return counts, Lexicon(head["key"].to_numpy(np.int64), head["n"].to_numpy(np.int64), size.tokens, size.types)
 
 
-def _training(lex_state, params):
+class _Places(dict):
+    """Word (bytes) to its place in a lexicon, or to -1 - i where ``tail[i]`` is the key of a word that is not there."""
+
+    def __init__(self, lex: Lexicon) -> None:
+        super().__init__()
+        self.lex, self.tail = lex, []
+        self.end = int(lex.find(np.array([_END]))[0][0]) if len(lex.keys) else None
+
+    def __missing__(self, word: bytes) -> int:
+        key = np.array([xxhash.xxh3_64_intdigest(word)], dtype=np.uint64).view(np.int64)
+        at, there = self.lex.find(key)
+        if there[0]:
+            place = int(at[0])
+        else:
+            self.tail.append(int(key[0]))
+            place = -len(self.tail)
+        self[word] = place
+        return place
+
+    def of(self, text: bytes | None) -> tuple[np.ndarray, list[int]]:
+        """(places of the words and the end token, -1 for what the lexicon lacks; keys of those)."""
+        if len(self) > WordHashes.LIMIT:
+            self.clear()
+            self.tail.clear()
+        words = (text or b"").lower().split()
+        out = np.empty(len(words) + 1, dtype=np.int64)
+        out[:-1] = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        if there := self.end is not None and self.lex.keys[self.end] == _END:
+            out[-1] = self.end
+        else:
+            out[-1] = -1
+        lost = [self.tail[-1 - i] for i in out[:-1][out[:-1] < 0].tolist()]
+        return np.maximum(out, -1), lost if there else [*lost, _END]
+
+
+_WORDS = ("doc_id long, held_out boolean, words binary, n_tokens long, head_known long, base_log double, "
+          "other_log double, n_other long, tail array<long>")
+
+
+def _encoded(lex_state):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, cache = Lexicon.of(lex_state.value), WordHashes()
-        model = Gru(CLASSES, WIDTH, HIDDEN).load(params.value)
-        seen, buffer, size = 0, [], 0
+        lex = Lexicon.of(lex_state.value)
+        places, log = _Places(lex), np.log10(lex.counts + 0.5)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                buffer.append(lex.words(_keys(text, cache)))
+            for part in (batch.slice(at, 512) for at in range(0, batch.num_rows, 512)):
+                rows = []
+                for text in part.column("text").to_pylist():
+                    at, tail = places.of(text)
+                    there = at >= 0
+                    words = np.full(len(at), lex.other)
+                    words[there] = lex.word[at[there]]
+                    other = words == lex.other
+                    rows.append((words.astype("<u2").tobytes(), len(at), int(there.sum()), float(log[at[there]].sum()),
+                                 float(log[at[there & other]].sum()), int(other.sum()), tail))
+                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.record_batch(
+                    [part.column("doc_id"), part.column("held_out"), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))],
+                    names=["doc_id", "held_out", "words", "n_tokens", "head_known", "base_log", "other_log", "n_other", "tail"])
+
+    return run
+
+
+def _training(end: int, params):
+    def model_of(shard: int, model: Gru, seen: int) -> pa.RecordBatch:
+        flat = model.to_array()
+        cut = range(0, len(flat), _BLOCK)
+        return pa.record_batch([
+            pa.array([shard] * len(cut), pa.int64()), pa.array(range(len(cut)), pa.int32()),
+            pa.array([float(seen)] * len(cut), pa.float64()), pa.array([flat[a:a + _BLOCK].tobytes() for a in cut], pa.binary()),
+        ], names=["shard", "block", "weight", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, model, seen, buffer, size = None, None, 0, [], 0
+
+        def learn() -> None:
+            nonlocal seen, buffer, size
+            if buffer:
+                model.train(np.concatenate(buffer).astype(np.int64), end, STREAMS)
+            seen, buffer, size = seen + size, [], 0
+
+        for batch in batches:
+            for shard, words in zip(batch.column("shard").to_pylist(), batch.column("words").to_pylist()):
+                if shard != now:
+                    learn()
+                    if seen:
+                        yield model_of(now, model, seen)
+                    now, model, seen = shard, Gru(CLASSES, WIDTH, HIDDEN).load(params.value), 0
+                buffer.append(np.frombuffer(words, "<u2"))
                 size += len(buffer[-1])
                 if size > 200_000:
-                    model.train(np.concatenate(buffer), lex.end)
-                    seen, buffer, size = seen + size, [], 0
-        if buffer:
-            model.train(np.concatenate(buffer), lex.end)
-            seen += size
+                    learn()
+        learn()
         if seen:
-            flat = model.to_array()
-            cut = range(0, len(flat), _BLOCK)
-            yield pa.record_batch([
-                pa.array(range(len(cut)), pa.int32()), pa.array([float(seen)] * len(cut), pa.float64()),
-                pa.array([flat[a:a + _BLOCK].tobytes() for a in cut], pa.binary())], names=["block", "weight", "data"])
+            yield model_of(now, model, seen)
 
     return run
 
 
-def _mean(key, rows):
-    import pandas as pd
-
+def _mean(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values("shard")
     weight = rows["weight"].to_numpy()
     data = np.stack([np.frombuffer(b, dtype=np.float32) for b in rows["data"]])
     mean = (data * (weight / weight.sum())[:, None]).sum(axis=0).astype(np.float32)
-    return pd.DataFrame({"block": [key[0]], "data": [mean.tobytes()]})
+    return pd.DataFrame({"shard": rows["group"].iloc[:1].to_numpy(), "block": rows["block"].iloc[:1].to_numpy(),
+                         "weight": [weight.sum()], "data": [mean.tobytes()]})
 
 
 def train(training: DataFrame, lex: Lexicon) -> np.ndarray:
-    """Parameters of the model after all rounds over ``training(doc_id, text)``."""
+    """Parameters of the model after all rounds over ``training(doc_id, words)``."""
     sc = training.sparkSession.sparkContext
     params = Gru(CLASSES, WIDTH, HIDDEN, lex.model_counts).to_array()
-    state = sc.broadcast(lex.state())
     place, lo = F.pmod(F.xxhash64("doc_id"), F.lit(100)), 0
+    kinds = "shard long, block int, weight double, data binary"
     for share in ROUNDS:
-        part = training.filter((place >= lo) & (place < lo + share)).select("text")
+        shards = max(1, -(-lex.tokens * share // (100 * SHARD_TOKENS)))
+        part = training.filter((place >= lo) & (place < lo + share)).select(
+            "doc_id", "words", F.pmod(F.xxhash64(F.lit(share), "doc_id", "words"), F.lit(shards)).alias("shard"))
         lo += share
-        models = part.mapInArrow(_training(state, sc.broadcast(params)), "block int, weight double, data binary")
-        mean = models.groupBy("block").applyInPandas(_mean, "block int, data binary").collect()  # one model
+        part = part.repartition(min(shards, 10_000), "shard").sortWithinPartitions("shard", "doc_id", "words")
+        models = part.select("shard", "words").mapInArrow(_training(lex.end, sc.broadcast(params)), kinds)
+        models = models.withColumn("group", F.pmod("shard", F.lit(math.isqrt(shards) + 1)))
+        models = models.groupBy("block", "group").applyInPandas(_mean, kinds).withColumn("group", F.lit(0).cast("long"))
+        mean = models.groupBy("block").applyInPandas(_mean, kinds).select("block", "data").collect()  # one model
         if mean:
             params = np.concatenate([np.frombuffer(r.data, np.float32) for r in sorted(mean, key=lambda r: r.block)])
     return params
 
 
-_SCORES = ("doc_id long, held_out boolean, n_tokens long, head_known long, base_log double, other_log double, "
-           "n_other long, model_log double, tail array<long>")
-
-
-def _scores(lex_state, params):
+def _scores(params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, cache = Lexicon.of(lex_state.value), WordHashes()
         model = Gru(CLASSES, WIDTH, HIDDEN).load(params.value)
-        log = np.log10(lex.counts + 0.5)
         for batch in batches:
-            rows, texts = [], []
-            for text in batch.column("text").to_pylist():
-                keys = _keys(text, cache)
-                at, there = lex.find(keys)
-                words = lex.words(keys)
-                other = words == lex.other
-                texts.append(words)
-                got = log[at[there]]
-                rows.append((len(keys), int(there.sum()), float(got.sum()), float(got[other[there]].sum()),
-                             int(other.sum()), keys[~there]))
-            model_log = model.score(texts) / np.log(10)
-            cols = list(zip(*rows)) or [[]] * 6
-            yield pa.record_batch([
-                batch.column("doc_id"), batch.column("held_out"),
-                *(pa.array(c, k) for c, k in zip(cols[:5], (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()))),
-                pa.array(model_log, pa.float64()), pa.array(list(cols[5]), pa.list_(pa.int64())),
-            ], names=["doc_id", "held_out", "n_tokens", "head_known", "base_log", "other_log", "n_other", "model_log", "tail"])
+            for part in (batch.slice(at, 2048) for at in range(0, batch.num_rows, 2048)):
+                texts = [np.frombuffer(w, "<u2") for w in part.column("words").to_pylist()]
+                score = pa.array(model.score(texts) / np.log(10), pa.float64())
+                yield part.drop_columns(["words"]).append_column("model_log", score)
 
     return run
 
@@ -219,17 +287,21 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = base.select("doc_id", F.col("text").cast("binary").alias("text"), fold(base, modulus, held).alias("held_out"))
     training = base.filter("not held_out and doc_id is not null")
     counts, lex = lexicon(training)
-    params = train(training, lex)
     sc = docs.sparkSession.sparkContext
-    rows = base.mapInArrow(_scores(sc.broadcast(lex.state()), sc.broadcast(params)), _SCORES)
-    rows = stored(rows.withColumn("rid", F.monotonically_increasing_id()), "scores")
+    texts = stored(base.mapInArrow(_encoded(sc.broadcast(lex.state())), _WORDS)
+                   .withColumn("rid", F.monotonically_increasing_id()), "model-words")
+    params = train(texts.filter("not held_out and doc_id is not null").select("doc_id", "words"), lex)
+    rows = texts.select("rid", "doc_id", "held_out", "n_tokens", "head_known", "base_log", "other_log", "n_other",
+                        F.size("tail").alias("n_tail"), "words")
+    kinds = T.StructType([*(f for f in rows.schema if f.name != "words"), T.StructField("model_log", T.DoubleType())])
+    rows = stored(rows.mapInArrow(_scores(sc.broadcast(params)), kinds), "scores")
     # Words beyond the head: each text's occurrences meet the exact counts. None of them is frequent.
-    tail = rows.select("rid", F.explode("tail").alias("key")).groupBy("key", "rid").agg(F.count("*").alias("k"))
+    tail = texts.select("rid", F.explode("tail").alias("key")).groupBy("key", "rid").agg(F.count("*").alias("k"))
     found = tail.join(counts, "key").groupBy("rid").agg(
         F.sum("k").alias("known"), F.sum(F.col("k") * (F.log10(F.col("n") + 0.5) - F.log10(F.lit(0.5)))).alias("gain"))
     zero = F.lit(0)
     total, other = lex.tokens + 0.5 * (lex.types + 1), lex.other_tokens + 0.5 * (lex.other_types + 1)
-    unseen = F.size("tail") * F.log10(F.lit(0.5))  # every tail word as if unseen; ``gain`` corrects the seen
+    unseen = F.col("n_tail") * F.log10(F.lit(0.5))  # every tail word as if unseen; ``gain`` corrects the seen
     gain = F.coalesce("gain", F.lit(0.0)) + unseen
     return rows.join(found, "rid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("head_known") + F.coalesce("known", zero)).cast("long").alias("n_known"),

@@ -336,6 +336,31 @@ def test_gru_gradients_and_state():
     assert np.allclose(g.score(texts, batch=1), g.score(texts, batch=4), atol=1e-3)
 
 
+def test_lm_scores_do_not_depend_on_partitions(monkeypatch, spark):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 3000)  # several shards in the last round
+    rng = np.random.default_rng(4)
+    word = np.array([f"w{i}" for i in range(300)])
+    data = [(i, " ".join(word[np.cumsum(rng.integers(0, 3, rng.integers(1, 200))) % 300]), None, "s", 1) for i in range(200)]
+    data += [data[3], (300, None, None, "s", 1), (None, "w1 w2", None, "s", 1), (301, "new words only", None, "s", 1)]
+    got = []
+    for parts in (1, 8):
+        rows = lm.score_documents(table(spark, data).repartition(parts)).collect()
+        got.append(sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.score, r.base_score, r.held_out) for r in rows))
+    one, two = ([r[3] for r in g] for g in got)
+    assert len(one) == len(data) and np.allclose(one, two, atol=1e-3)
+
+
+def test_training_learns_the_order_of_words():
+    from starweave.llm.gru import Gru
+
+    rng = np.random.default_rng(4)
+    tokens = np.cumsum(rng.integers(0, 3, 60_000)) % 60  # each word is one of three that follow the last
+    g = Gru(8, 8, 16, np.bincount(tokens, minlength=64))
+    before = g.score([tokens[:5000]])[0]
+    g.train(tokens, 63, lm.STREAMS)
+    assert g.score([tokens[:5000]])[0] > before + 1000
+
+
 def test_training_takes_every_document_and_token():
     from starweave.llm.gru import Gru
 
