@@ -24,12 +24,12 @@ by one; an empty table gives an empty result. Texts of any length are scored who
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +37,6 @@ from pyspark.sql import types as T
 
 from starweave.llm.common import documents, fold, stored
 from starweave.llm.gru import Gru
-from starweave.llm.shingles import WordHashes
 
 CLASSES, WIDTH, HIDDEN = 32, 32, 16
 WORDS = CLASSES * WIDTH
@@ -47,36 +46,64 @@ SHARD_TOKENS = 2_000_000
 STREAMS = 256
 _END = -1  # the end token's key; word keys are hashes of words
 _BLOCK = 4096  # parameters averaged by one task
+_DISTINCT = 500_000  # words that a task keeps at once
 
 
-def _keys(text: bytes | None, cache: WordHashes) -> np.ndarray:
-    """The keys of the words of a text, A-Z lower-cased, and of the end token."""
-    words = (text or b"").lower().split()
-    out = np.empty(len(words) + 1, dtype=np.uint64)
-    out[:-1] = np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
-    out = out.view(np.int64)
-    out[-1] = _END
-    return out
+class WordIds(dict):
+    """Word (bytes, None: the end token) to a number, counted up on first use; ``keys[number]`` is its key."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self[None] = 0
+        self.keys, self._new = np.empty(0, dtype=np.int64), [_END % 2**64]
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self._new.append(xxhash.xxh3_64_intdigest(word))
+        return number
+
+    def numbers(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """The words of each text, A-Z lower-cased, and the end token."""
+        # Large strings: a batch of long texts may exceed 2 GB. The kernels look at bytes only.
+        # A new array, not a slice: the cast of a slice mixes up its bytes.
+        plain = pa.array([t or b"" for t in texts], pa.large_binary())
+        plain = pc.ascii_lower(plain.cast(pa.large_string(), safe=False))
+        split = pc.ascii_split_whitespace(plain)
+        words = split.flatten()
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        table = np.fromiter(map(self.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+        real = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)  # none before or after outer spaces
+        text = np.repeat(np.arange(len(split)), pc.list_value_length(split).to_numpy())
+        size = np.bincount(text[real], minlength=len(split))
+        numbers = np.insert(table[coded.indices.to_numpy()[real]], np.cumsum(size), self[None])
+        self.keys = np.concatenate([self.keys, np.array(self._new, dtype=np.uint64).view(np.int64)])
+        self._new = []
+        return np.split(numbers, np.cumsum(size + 1)[:-1])
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache, total = WordHashes(), Counter()
+    ids, total = WordIds(), np.zeros(0, dtype=np.int64)
 
     def rows() -> pa.RecordBatch:
-        out = pa.record_batch([pa.array(total.keys(), pa.int64()), pa.array(total.values(), pa.int64())], names=["key", "n"])
-        total.clear()
-        return out
+        there = total > 0
+        return pa.record_batch([pa.array(ids.keys[there]), pa.array(total[there])], names=["key", "n"])
 
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            texts = batch.column("text").slice(at, 256).to_pylist()
-            if texts:
-                keys, n = np.unique(np.concatenate([_keys(t, cache) for t in texts]), return_counts=True)
-                for k, c in zip(keys.tolist(), n.tolist()):
-                    total[k] += c
-            if len(total) > 1_000_000:
+        for at in range(0, batch.num_rows, 512):
+            got = ids.numbers(batch.column("text").slice(at, 512).to_pylist())
+            more = np.bincount(np.concatenate(got), minlength=len(ids))
+            more[:len(total)] += total
+            total = more
+            if len(ids) > _DISTINCT:
                 yield rows()
-    if total:
+                ids.reset()
+                total = total[:0]
+    if total.any():
         yield rows()
 
 
@@ -140,41 +167,6 @@ def lexicon(training: DataFrame) -> tuple[DataFrame, Lexicon]:
     return counts, Lexicon(head["key"].to_numpy(np.int64), head["n"].to_numpy(np.int64), size.tokens, size.types)
 
 
-class _Places(dict):
-    """Word (bytes) to its place in a lexicon, or to -1 - i where ``tail[i]`` is the key of a word that is not there."""
-
-    def __init__(self, lex: Lexicon) -> None:
-        super().__init__()
-        self.lex, self.tail = lex, []
-        self.end = int(lex.find(np.array([_END]))[0][0]) if len(lex.keys) else None
-
-    def __missing__(self, word: bytes) -> int:
-        key = np.array([xxhash.xxh3_64_intdigest(word)], dtype=np.uint64).view(np.int64)
-        at, there = self.lex.find(key)
-        if there[0]:
-            place = int(at[0])
-        else:
-            self.tail.append(int(key[0]))
-            place = -len(self.tail)
-        self[word] = place
-        return place
-
-    def of(self, text: bytes | None) -> tuple[np.ndarray, list[int]]:
-        """(places of the words and the end token, -1 for what the lexicon lacks; keys of those)."""
-        if len(self) > WordHashes.LIMIT:
-            self.clear()
-            self.tail.clear()
-        words = (text or b"").lower().split()
-        out = np.empty(len(words) + 1, dtype=np.int64)
-        out[:-1] = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
-        if there := self.end is not None and self.lex.keys[self.end] == _END:
-            out[-1] = self.end
-        else:
-            out[-1] = -1
-        lost = [self.tail[-1 - i] for i in out[:-1][out[:-1] < 0].tolist()]
-        return np.maximum(out, -1), lost if there else [*lost, _END]
-
-
 _WORDS = ("doc_id long, held_out boolean, words binary, n_tokens long, head_known long, base_log double, "
           "other_log double, n_other long, tail array<long>")
 
@@ -182,18 +174,24 @@ _WORDS = ("doc_id long, held_out boolean, words binary, n_tokens long, head_know
 def _encoded(lex_state):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = Lexicon.of(lex_state.value)
-        places, log = _Places(lex), np.log10(lex.counts + 0.5)
+        ids, log = WordIds(), np.log10(lex.counts + 0.5)
+        place = np.empty(0, dtype=np.int64)  # of each number in the lexicon, -1 for what it lacks
         for batch in batches:
             for part in (batch.slice(at, 512) for at in range(0, batch.num_rows, 512)):
-                rows = []
-                for text in part.column("text").to_pylist():
-                    at, tail = places.of(text)
+                if len(ids) > _DISTINCT:
+                    ids.reset()
+                    place = place[:0]
+                texts, rows = ids.numbers(part.column("text").to_pylist()), []
+                at, there = lex.find(ids.keys[len(place):])
+                place = np.concatenate([place, np.where(there, at, -1)])
+                for numbers in texts:
+                    at = place[numbers]
                     there = at >= 0
                     words = np.full(len(at), lex.other)
                     words[there] = lex.word[at[there]]
                     other = words == lex.other
                     rows.append((words.astype("<u2").tobytes(), len(at), int(there.sum()), float(log[at[there]].sum()),
-                                 float(log[at[there & other]].sum()), int(other.sum()), tail))
+                                 float(log[at[there & other]].sum()), int(other.sum()), ids.keys[numbers[~there]]))
                 kinds = (pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int64()))
                 yield pa.record_batch(
                     [part.column("doc_id"), part.column("held_out"), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))],

@@ -336,6 +336,30 @@ def test_gru_gradients_and_state():
     assert np.allclose(g.score(texts, batch=1), g.score(texts, batch=4), atol=1e-3)
 
 
+def test_lm_words_are_those_of_the_rule():
+    import collections
+
+    import pyarrow as pa
+    import xxhash
+
+    texts = [None, b"", b" ", b"one", b" A a\tB\x0b\x0c\r\nb ", "É é\u00a0x\u2003y \x1c\x1f \x85 A".encode(), bytes(range(256)), b"a " * 1000]
+    ids = lm.WordIds()
+    for part in (texts, texts[::-1]):
+        got = [ids.keys[n].tolist() for n in ids.numbers(part)]
+        for t, keys in zip(part, got):
+            want = [xxhash.xxh3_64_intdigest(w) for w in (t or b"").lower().split()]
+            assert [k % 2**64 for k in keys] == [*want, 2**64 - 1]
+    many = [f"w{i % 7} x{i} W{i % 3}".encode() for i in range(1500)]
+    batch = pa.record_batch([pa.array(many, pa.binary())], names=["text"])
+    want = collections.Counter(xxhash.xxh3_64_intdigest(w) for t in many for w in t.lower().split())
+    want[2**64 - 1] = len(many)
+    got = collections.Counter()
+    for b in lm._counts(iter([batch.slice(0, 700), batch.slice(700)])):
+        for k, n in zip(b.column("key").to_pylist(), b.column("n").to_pylist()):
+            got[k % 2**64] += n
+    assert got == want
+
+
 def test_lm_scores_do_not_depend_on_partitions(monkeypatch, spark):
     monkeypatch.setattr(lm, "SHARD_TOKENS", 3000)  # several shards in the last round
     rng = np.random.default_rng(4)
