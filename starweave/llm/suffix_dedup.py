@@ -1,21 +1,22 @@
-"""Exact removal of repeated 100-byte strings: prefix doubling over the suffixes of all texts.
+"""Exact removal of repeated 100-byte strings by hashed names at sampled anchors.
 
-A suffix is known by the name (a 64-bit hash) of its first h bytes. Names double: the name of 2h
-bytes at i comes from the pair of names of h bytes at i and at i + h. A suffix whose name is unique
-in the corpus leaves; the others get a longer name, until they are unique or past the threshold.
+This stands in for prefix doubling: a string is known by a name, a 64-bit rolling hash of its bytes
+made within its text. Strings of 56 bytes are named at anchors and counted by Spark once; those whose
+name is unique in the corpus leave; the others get a longer name once, that of their context or of
+100 bytes. There are no rank pairs, and no rounds over growing lengths. Exact up to hash collisions.
 
 Three things keep this far below one row per byte and round, without losing a match:
 
 * Anchors. Every 100-byte string holds 45 strings of 56 bytes; the one with the smallest hash
   (leftmost on ties) is its anchor. Equal strings have equal anchors at equal places, so only
-  anchors are ranked in the first round, about one byte in 23. A string whose anchor is unique
+  anchors are named first, about one byte in 23. A string whose anchor is unique
   occurs once.
 * Contexts. An anchor's context is all bytes of the 100-byte strings that can hold it. If two
   anchors have equal contexts, all strings around the later one start earlier too. If all anchors
   of one name have one context, nothing else need be looked at.
 * Only strings around the anchors left over are named at 100 bytes and compared one by one.
 
-Ranks are grouped by partial counts and minimums, never in lists, so a passage that a third of all
+Names are grouped by partial counts and minimums, never in lists, so a passage that a third of all
 documents share costs one row per map task and group. A bitmap of bounded size drops most unique
 anchors before the join that returns the counts.
 
