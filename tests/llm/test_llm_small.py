@@ -290,6 +290,62 @@ def test_language(spark):
     assert all(r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) for d, r in got.items())
 
 
+def test_language_equals_brute_force(spark):
+    import collections
+    import math
+    import re
+
+    rng = np.random.default_rng(6)
+    letters = {"a": list("abcdeé"), "b": list("bcdefß"), "c": list("cdefgж")}
+    data = []
+    for i in range(150):
+        lang = "abc"[i % 3]
+        word = lambda: "".join(rng.choice(letters[lang], rng.integers(1, 7)))
+        data.append((i, " ".join(word() for _ in range(rng.integers(1, 15))) + " 12_3!", lang if i % 7 else None, "s", 1))
+    data += [(200, "QQQ zzz", "a", "s", 1), (201, "", "a", "s", 1), (None, "bcd", "c", "s", 1), data[4]]
+    split = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    count = collections.defaultdict(collections.Counter)
+    for d, t, lang, _, _ in data:
+        if d is not None and lang is not None and zlib.crc32(str(d).encode()) % 5:
+            count[lang].update(split(t))
+    langs = sorted(count)
+
+    def frequencies(by):
+        types, total = set().union(*by.values()), {k: sum(c.values()) for k, c in by.items()}
+        return {w: [math.log((by[k][w] + 0.5) / (total[k] + 0.5 * len(types))) for k in langs] for w in types}
+
+    cut = lambda w, n: [f"\x02{w}\x03"[i:i + n] for i in range(len(w) + 3 - n)]
+    known = frequencies(count)
+    by_n = {}
+    for n in (5, 4, 3, 2, 1):
+        c = {k: collections.Counter() for k in langs}
+        for k in langs:
+            for w, times in count[k].items():
+                for g in cut(w, n):
+                    c[k][g] += times
+        by_n[n] = frequencies(c)
+
+    def of(word):
+        rows = [known[word]] if word in known else next(
+            (r for n in (5, 4, 3, 2, 1) if (r := [by_n[n][g] for g in cut(word, n) if g in by_n[n]])), [[0.0] * len(langs)])
+        rows = [[x - max(r) for x in r] for r in rows]
+        return [sum(c) / len(rows) for c in zip(*rows)]
+
+    want = {}
+    for d, t, *_ in data:
+        if split(t):
+            total = [sum(c) for c in zip(*map(of, split(t)))]
+            want[d] = (total, max(math.exp(x) for x in total) / sum(math.exp(x) for x in total))
+    got = langid.identify(table(spark, data)).collect()
+    assert len(got) == len(data)
+    for r in got:
+        if r.doc_id not in want:
+            assert (r.doc_id, r.lang_pred, r.score) == (201, "und", 0.0)
+            continue
+        total, score = want[r.doc_id]
+        assert abs(r.score - score) < 1e-9 and total[langs.index(r.lang_pred)] >= max(total) - 1e-9
+
+
 @pytest.mark.parametrize("head", [200_000, 20])
 def test_lm_base_scores(monkeypatch, spark, head):
     import collections
