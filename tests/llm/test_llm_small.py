@@ -1,5 +1,6 @@
 """Every operator on small tables: against plain Python, with odd rows and columns, and empty."""
 
+import itertools
 import zlib
 
 import numpy as np
@@ -193,6 +194,28 @@ def test_passage_whose_pieces_stand_in_unrelated_earlier_documents(spark):
     assert spans[201, 200] == (0, 60, 30, 90) and spans[202, 201] == (0, 50, 40, 90)
 
 
+def test_copies_are_passages_of_the_first(spark):
+    """Equal texts are searched once: a copy has one row, and only the first is matched with other texts."""
+    one, passage = _words(400, 70), _words(401, 60)
+    data = [(5, one + passage), (6, passage + _words(402, 30)), (7, one + passage), (8, one + passage), (9, passage[:20]), (10, passage[:20])]
+    docs = table(spark, [(d, " ".join(w), None, None, None) for d, w in data])
+    got = {tuple(r)[:6] for r in compact_windows.near_duplicate_passages(docs).collect()}
+    assert got == {(6, 0, 60, 5, 70, 130), (7, 0, 130, 5, 0, 130), (8, 0, 130, 5, 0, 130)}
+
+
+def test_intersections_of_windows():
+    rng = np.random.default_rng(3)
+    lo = rng.integers(0, 60, (300, 2))
+    m = np.column_stack([lo[:, 0], lo[:, 0] + rng.integers(30, 90, 300), lo[:, 1], lo[:, 1] + rng.integers(30, 90, 300), rng.integers(0, 4, 300)])
+    want = set()
+    for x, y in itertools.combinations(m.tolist(), 2):
+        r = (max(x[0], y[0]), min(x[1], y[1]), max(x[2], y[2]), min(x[3], y[3]))
+        if x[4] != y[4] and min(r[1] - r[0], r[3] - r[2]) + 1 >= compact_windows.LENGTH:
+            want.add(r)
+    got = compact_windows.candidates(m)
+    assert len(got) == len(want) and set(map(tuple, got.tolist())) == want
+
+
 def test_passages_around_foreign_text(spark):
     """Two passages of a pair with other text between them, which is not similar as a whole."""
     one, two = _words(1, 55), _words(2, 58)
