@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.types import MONEY, quote, type_family
+from ..operators.amounts import wide_totals
 from ..operators.audit import count_values
 from ..operators.cases import attach_case_values, finance_totals
 from ..operators.project import apply_attributes, excluded_columns
@@ -441,12 +442,15 @@ def _merge(name: str) -> Column:
 
 
 def finance(spec: ImportSpec, sources: Mapping[str, DataFrame], attribute: str,
-            by: list[str] | None = None, check_keys: bool | None = None) -> DataFrame:
+            by: list[str] | None = None, check_keys: bool | None = None, wide: bool = False) -> DataFrame:
     """Total of one finance attribute under its FinanceImportType (G5–G7, DEC-11).
 
     ``by`` defaults to the case column for PerEvent and PerCase, and to the resource column
     for PerResource. PerEvent by case, PerCase and PerResource reduce per case or resource first
     (``group_aggregate``); PerEvent by other columns sums over the event log.
+
+    Amounts outside ``MONEY`` are left out unless ``wide``: then every finite amount is added, and the
+    counts of ``wide_totals`` come with the total. PerEvent then sums over the event log.
     """
     spec.validate()
     a = spec.attribute(attribute)
@@ -454,11 +458,17 @@ def finance(spec: ImportSpec, sources: Mapping[str, DataFrame], attribute: str,
         raise SpecError(f"{attribute!r} is not a finance attribute")
     roles = spec.roles()
     by = list(by or [])
+    if a.finance == "PerEvent" and wide:
+        by = by or [roles.case]
+        log = attributed(spec, sources, check_keys, list(dict.fromkeys([attribute, *by])))
+        return wide_totals(log, attribute, by)
     if a.finance == "PerEvent" and by in ([], [roles.case]):
         return case_aggregate(spec, sources, sums={"total": attribute}, count=None, check_keys=check_keys)
     if a.finance == "PerCase":
         carried = {c: (c, "First") for c in dict.fromkeys([attribute, *by]) if c != roles.case}
         per_case = case_aggregate(spec, sources, rules=carried, count=None, check_keys=check_keys)
+        if wide:
+            return wide_totals(per_case, attribute, by or [roles.case])
         money = F.col(quote(attribute)).try_cast(MONEY)
         if by in ([], [roles.case]):  # each case is one row already
             return per_case.select(F.col(quote(roles.case)), money.cast("double").alias("total"))
@@ -472,6 +482,8 @@ def finance(spec: ImportSpec, sources: Mapping[str, DataFrame], attribute: str,
         carried = {c: (c, "First") for c in dict.fromkeys([attribute, *by]) if c != roles.resource}
         per_resource = group_aggregate(spec, sources, roles.resource, rules=carried, count=None, order=order,
                                        check_keys=check_keys)
+        if wide:
+            return wide_totals(per_resource, attribute, by or [roles.resource])
         money = F.col(quote(attribute)).try_cast(MONEY)
         if by in ([], [roles.resource]):  # each resource is one row already
             return per_resource.select(F.col(quote(roles.resource)), money.cast("double").alias("total"))

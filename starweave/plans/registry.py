@@ -307,6 +307,11 @@ def finance_per_resource(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eventlog.finance(sales_spec(), sales_sources(spark, sf_dir), "s_acctbal")
 
 
+def finance_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of amounts of any size, with counts of the large ones and of those that are no finite number."""
+    return eventlog.finance(sales_spec(), sales_sources(spark, sf_dir), "l_extendedprice", by=["l_returnflag"], wide=True)
+
+
 # ---------------------------------------------------------------- measures
 def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_case = eventlog.case_aggregate(sales_spec(), sales_sources(spark, sf_dir),
@@ -375,6 +380,7 @@ QUERIES: dict[str, Query] = {
     "finance_per_event": finance_per_event,
     "finance_per_case": finance_per_case,
     "finance_per_resource": finance_per_resource,
+    "finance_wide": finance_wide,
     "durations": durations,
     "event_durations": event_durations,
     "event_order": event_order,
@@ -554,6 +560,11 @@ ORACLE: dict[str, str] = {
             select s.s_name, arg_min(s.s_acctbal, row({_SALES_ORDER}, o.o_orderkey)) as s_acctbal
             from {_SALES_FROM} group by s.s_name
         ) t group by s_name""",
+    "finance_wide": f"""
+        select l_returnflag, cast(sum(cast(l_extendedprice as decimal(18,2))) as double) as total,
+               count(l_extendedprice) as n_values, count(*) filter (where abs(l_extendedprice) >= 1e18) as n_wide,
+               count(*) filter (where not isfinite(l_extendedprice)) as n_left_out
+        from {_SALES_FROM} group by l_returnflag""",
     "durations": f"""
         select o.o_orderkey, count(*) as n_events, min(o.o_orderdate) as first_start, max(l.l_shipdate) as last_end,
                date_diff('second', min(o.o_orderdate), max(l.l_shipdate)) as seconds
