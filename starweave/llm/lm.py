@@ -46,25 +46,21 @@ SHARD_TOKENS = 2_000_000
 STREAMS = 256
 _END = -1  # the end token's key; word keys are hashes of words
 _BLOCK = 4096  # parameters averaged by one task
-_DISTINCT = 500_000  # words that a task keeps at once
+_DISTINCT = 500_000  # words whose counts a task keeps, about
 
 
-class WordIds(dict):
-    """Word (bytes, None: the end token) to a number, counted up on first use; ``keys[number]`` is its key."""
+class WordIds:
+    """Words as numbers, for a few texts at a time: ``keys[number]`` is the word's key, 0 the end token.
+
+    Each call numbers its own distinct words, so a word of two calls has two numbers. No table of words
+    is kept: hashing a distinct word of a call costs less than looking it up.
+    """
 
     def __init__(self) -> None:
-        super().__init__()
         self.reset()
 
     def reset(self) -> None:
-        self.clear()
-        self[None] = 0
-        self.keys, self._new = np.empty(0, dtype=np.int64), [_END % 2**64]
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        self._new.append(xxhash.xxh3_64_intdigest(word))
-        return number
+        self.keys = np.array([_END], dtype=np.int64)
 
     def numbers(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """The words of each text, A-Z lower-cased, and the end token."""
@@ -75,35 +71,48 @@ class WordIds(dict):
         split = pc.ascii_split_whitespace(plain)
         words = split.flatten()
         coded = words.dictionary_encode()
-        distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
-        table = np.fromiter(map(self.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+        distinct = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+        keys = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), dtype=np.uint64, count=len(distinct))
         real = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)  # none before or after outer spaces
         text = np.repeat(np.arange(len(split)), pc.list_value_length(split).to_numpy())
         size = np.bincount(text[real], minlength=len(split))
-        numbers = np.insert(table[coded.indices.to_numpy()[real]], np.cumsum(size), self[None])
-        self.keys = np.concatenate([self.keys, np.array(self._new, dtype=np.uint64).view(np.int64)])
-        self._new = []
+        numbers = np.insert(coded.indices.to_numpy()[real].astype(np.int64) + len(self.keys), np.cumsum(size), 0)
+        self.keys = np.concatenate([self.keys, keys.view(np.int64)])
         return np.split(numbers, np.cumsum(size + 1)[:-1])
 
 
+def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, with the sum of its counts."""
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    key, n = key[n > 0], n[n > 0]
+    by = np.argsort(key)
+    key = key[by]
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else by
+    return key[at], np.add.reduceat(n[by], at) if len(at) else n
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ids, total = WordIds(), np.zeros(0, dtype=np.int64)
+    ids = WordIds()
+    keys, counts, size = [], [], 0
 
     def rows() -> pa.RecordBatch:
-        there = total > 0
-        return pa.record_batch([pa.array(ids.keys[there]), pa.array(total[there])], names=["key", "n"])
+        return pa.record_batch([pa.array(keys[0]), pa.array(counts[0])], names=["key", "n"])
 
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
+            ids.reset()
             got = ids.numbers(batch.column("text").slice(at, 512).to_pylist())
-            more = np.bincount(np.concatenate(got), minlength=len(ids))
-            more[:len(total)] += total
-            total = more
-            if len(ids) > _DISTINCT:
-                yield rows()
-                ids.reset()
-                total = total[:0]
-    if total.any():
+            keys.append(ids.keys)
+            counts.append(np.bincount(np.concatenate(got), minlength=len(ids.keys)))
+            size += len(ids.keys)
+            if size > 2 * _DISTINCT:
+                keys, counts = ([x] for x in _added(keys, counts))
+                size = len(keys[0])
+                if size > _DISTINCT:
+                    yield rows()
+                    keys, counts, size = [], [], 0
+    if keys:
+        keys, counts = ([x] for x in _added(keys, counts))
         yield rows()
 
 
@@ -175,15 +184,12 @@ def _encoded(lex_state):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = Lexicon.of(lex_state.value)
         ids, log = WordIds(), np.log10(lex.counts + 0.5)
-        place = np.empty(0, dtype=np.int64)  # of each number in the lexicon, -1 for what it lacks
         for batch in batches:
             for part in (batch.slice(at, 512) for at in range(0, batch.num_rows, 512)):
-                if len(ids) > _DISTINCT:
-                    ids.reset()
-                    place = place[:0]
+                ids.reset()
                 texts, rows = ids.numbers(part.column("text").to_pylist()), []
-                at, there = lex.find(ids.keys[len(place):])
-                place = np.concatenate([place, np.where(there, at, -1)])
+                at, there = lex.find(ids.keys)
+                place = np.where(there, at, -1)  # of each number in the lexicon, -1 for what it lacks
                 for numbers in texts:
                     at = place[numbers]
                     there = at >= 0

@@ -439,6 +439,47 @@ def test_lm_words_are_those_of_the_rule():
     assert got == want
 
 
+def test_word_probabilities_take_one_pass_over_all_classes(monkeypatch):
+    from starweave.llm import gru
+
+    rng = np.random.default_rng(3)
+    g = gru.Gru(16, 8, 4, rng.integers(1, 50, 128), seed=5)
+    g.p["ww"], g.p["cw"] = rng.normal(0, 1, (16, 4, 8)), rng.normal(0, 1, (4, 16))
+    s, target = rng.normal(0, 1, (500, 4)), rng.integers(0, 128, 500)
+    s[:5] *= 200  # logits whose exponentials would overflow
+    one = s @ g.p["cw"] + g.p["cb"]
+    two = np.einsum("nh,nhw->nw", s, g.p["ww"][target // 8]) + g.p["wb"][target // 8]
+    want = sum(x[np.arange(500), at] - np.logaddexp.reduce(x, axis=1) for x, at in ((one, target // 8), (two, target % 8)))
+    calls, exp = [], np.exp
+    monkeypatch.setattr(gru.np, "exp", lambda *a, **k: calls.append(1) or exp(*a, **k))
+    got, _ = g.loss(s, target)
+    monkeypatch.undo()
+    assert np.allclose(got, want, atol=1e-3) and len(calls) == 2  # classes, words; not one a class
+    words, rows = rng.integers(0, 129, 300), rng.normal(0, 1, (300, 6))
+    sums = np.zeros((129, 6))
+    np.add.at(sums, words, rows)
+    assert np.allclose(g._by_word(words, rows), sums)
+
+
+def test_lm_counts_are_whole_when_a_task_sends_them_in_parts(monkeypatch):
+    import collections
+
+    import pyarrow as pa
+    import xxhash
+
+    monkeypatch.setattr(lm, "_DISTINCT", 300)
+    texts = [f"w{i % 900} x{i % 11}".encode() for i in range(3000)] + [None, b""]
+    batch = pa.record_batch([pa.array(texts, pa.binary())], names=["text"])
+    got, parts = collections.Counter(), 0
+    for b in lm._counts(iter([batch])):
+        parts += 1
+        assert len(set(b.column("key").to_pylist())) == b.num_rows
+        for k, n in zip(b.column("key").to_pylist(), b.column("n").to_pylist()):
+            got[k % 2**64] += n
+    want = collections.Counter(xxhash.xxh3_64_intdigest(w) for t in texts for w in (t or b"").split())
+    assert parts > 1 and got == {**want, 2**64 - 1: len(texts)}
+
+
 def test_lm_scores_do_not_depend_on_partitions(monkeypatch, spark):
     monkeypatch.setattr(lm, "SHARD_TOKENS", 3000)  # several shards in the last round
     rng = np.random.default_rng(4)
