@@ -216,6 +216,31 @@ def test_intersections_of_windows():
     assert len(got) == len(want) and set(map(tuple, got.tolist())) == want
 
 
+def test_pairs_without_a_range_that_enough_is_shared_of_are_not_searched(monkeypatch):
+    rng = np.random.default_rng(11)
+    search, searched = compact_windows.chained, []
+    monkeypatch.setattr(compact_windows, "chained", lambda a, b: searched.append(1) or search(a, b))
+    n, left_out, kept = compact_windows.LENGTH, 0, 0
+    for case in range(120):
+        a = rng.integers(0, 2**40, 150).astype(np.uint64)
+        if case % 3 == 0:
+            a[60:] = a[rng.integers(0, 20, 90)]  # a text that repeats itself
+        b = rng.integers(0, 2**40, 160).astype(np.uint64)
+        size, at, to = int(rng.integers(1, 70)), int(rng.integers(0, 80)), int(rng.integers(0, 90))
+        b[to:to + size] = a[at:at + size]
+        b[rng.integers(0, 160, rng.integers(0, 8))] = 1
+        whole = np.array([(0, 149, 0, 159, 0), (0, 149, 0, 159, 1)])
+        searched.clear()
+        got = compact_windows.verified(a, b, whole)
+        ranges = [(i, j) for i in range(150 - n + 1) for j in range(160 - n + 1) if abs((i - at) - (j - to)) <= 12]
+        near = any(len(x & y) >= 0.8 * len(x | y) for x, y in (
+            (set(a[i:i + n].tolist()), set(b[j:j + n].tolist())) for i, j in ranges[::7]))
+        assert got if near else True
+        assert searched or not (search(a, b) or got)
+        left_out, kept = left_out + (not searched), kept + bool(got)
+    assert left_out > 30 and kept > 20
+
+
 def test_passages_around_foreign_text(spark):
     """Two passages of a pair with other text between them, which is not similar as a whole."""
     one, two = _words(1, 55), _words(2, 58)
