@@ -324,6 +324,37 @@ def test_passages_around_foreign_text(spark):
         assert any(x == d and a <= start and end <= b for x, a, b in got), (d, start, end)
 
 
+def test_passage_that_sticks_out_of_one_of_the_first_document(spark):
+    """The last words are held by a later document only, and the smallest hashes mostly stand before them."""
+    data = []
+    for i in range(0, 36, 3):
+        words = _words(2000 + i, 103)
+        data += [(i, words[:100] + _words(2100 + i, 30)), (i + 1, _words(2200 + i, 30) + words[40:]), (i + 2, words)]
+    docs = table(spark, [(d, " ".join(w), None, None, None) for d, w in data])
+    found = compact_windows.near_duplicate_passages(docs).collect()
+    got = {(r.doc_id, r.rep_doc_id): (r.start, r.end) for r in found if r.doc_id % 3 == 2}
+    assert got == {(i + 2, i + k): ((0, 100), (40, 103))[k] for i in range(0, 36, 3) for k in (0, 1)}
+
+
+def test_shingles_left_out_of_passages():
+    """Against all ranges: every range of weight 0 or more with a shared shingle outside the passages lies in its [lo, hi)."""
+    rng, n, seen = np.random.default_rng(17), compact_windows.LENGTH, 0
+    for case in range(30):
+        seq = rng.integers(0, (10**9, 40)[case % 2], 160).astype(np.uint64)
+        there = rng.random(160) < rng.choice([0.7, 0.85, 0.95])
+        start = rng.integers(0, 110, rng.integers(0, 4))
+        found = np.stack([start, np.minimum(start + rng.integers(50, 80, len(start)), 164)], axis=1)
+        rows, total = compact_windows.left_out(seq, there, found).tolist(), compact_windows._weights(seq, there)
+        free = [u for u in np.flatnonzero(there).tolist() if not any(a <= u and u + 5 <= z for a, z in found.tolist())]
+        assert all(u in free for at, to, _, _ in rows for u in range(at, to))
+        for a in range(160 - n + 1):
+            for z in range(a + n, 161):
+                for u in (u for u in free if a <= u < z and total[z] >= total[a]):
+                    assert any(at <= u < to and lo <= a and z <= hi for at, to, lo, hi in rows)
+                    seen += 1
+    assert seen > 1000
+
+
 def test_passages_against_brute_force(spark):
     """Texts made of copied, edited and new pieces: every range of LENGTH that is near one of an earlier text is covered."""
     rng = np.random.default_rng(7)
