@@ -292,6 +292,34 @@ def test_runs_are_chained_as_one_by_one(monkeypatch, table_size):
     assert total > 20
 
 
+def test_ranges_of_many_runs_are_judged_together(monkeypatch):
+    """Texts that repeat a few shingles have very many runs from which no range is similar."""
+    make, calls = compact_windows._hopeful, []
+
+    def counted(a, b):
+        keep = make(a, b)
+        return lambda r: calls.append(len(r)) or keep(r)
+
+    monkeypatch.setattr(compact_windows, "_hopeful", counted)
+    a, b = (np.tile(np.arange(20, dtype=np.uint64), 20) for _ in range(2))
+    a[::10], b[::10] = np.arange(100, 140), np.arange(200, 240)  # most places are shared, but fewer distinct shingles
+    r = compact_windows.runs(a, b)
+    starts = np.count_nonzero(compact_windows._may_start(r, len(b)))
+    assert compact_windows.chained(a, b) == _chained_plainly(a, b) and starts > 300 and sum(calls) > 300
+    assert len(calls) < starts / 5
+
+
+def test_pairs_are_summed_once(spark, monkeypatch):
+    """The functions of a pair are counted in the pass that gathers its windows."""
+    monkeypatch.setattr(compact_windows, "stored", lambda df, label: df)
+    rows = [(1, 2, k, 0, 60, 5, 70, False, near) for k, near in ((3, False), (3, True), (9, False))]
+    rows += [(1, 3, 4, 0, 60, 5, 70, True, True), (1, 4, 0, 0, 60, 5, 70, False, False), (1, 4, 1, 0, 60, 5, 70, False, False)]
+    meets = spark.createDataFrame(rows, "rep long, ord long, k byte, la int, ra int, l int, r int, open boolean, near boolean")
+    pairs = compact_windows._pairs(meets, "pairs")
+    assert pairs._jdf.queryExecution().executedPlan().toString().count("Aggregate(") == 2  # in part, and in whole
+    assert [(r.rep, r.ord, len(r.meets), r.open) for r in pairs.collect()] == [(1, 2, 2, False)]
+
+
 def test_shared_shingles_are_counted_in_buckets(monkeypatch):
     """Those of two texts or more, wherever they stand, in blocks of any size."""
     import pyarrow as pa
